@@ -7,10 +7,11 @@ across many tasks), number rows inside each range, and add per-range offsets
 from a table with one row per partition (a size bound known in advance, so it
 is broadcast).
 
-Determinism: the order key must be unique for identity-sensitive uses (fold
-ids, permutations); equal keys always land in the same range partition, so
-per-partition counts are stable even with ties, and tie order only matters
-when rows are distinguishable.
+The range-partitioned, numbered layout is checkpointed once (to the
+cluster's checkpoint folder) so that the per-partition counts and the row ids
+come from the same layout.  The order key must be unique for
+identity-sensitive uses (fold ids, permutations); with ties, tie order is
+arbitrary but values at each position are not.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -34,6 +37,10 @@ def row_number_global(df: DataFrame, order_cols, name: str = "rn",
                 .sortWithinPartitions(*order)
                 .withColumn("_rk_pid", F.spark_partition_id())
                 .withColumn("_rk_mid", F.monotonically_increasing_id()))
+    # Range bounds are sampled from the input and ids depend on the layout, so
+    # every consumer must read one materialised layout: a reliable checkpoint
+    # (also what makes the numbering survive a lost executor).
+    ranged = cut_lineage(ranged)
     per_part = ranged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"),
                                             F.min("_rk_mid").alias("_rk_base"))
     # one row per partition: the window below sorts at most `n` rows

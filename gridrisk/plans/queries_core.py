@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import risk
+from ..functions import calendar as cal
+from ..operators import clean, evaluate, features, joins, panel, risk, scaling, split, stats
+from ..operators import geo as geo_ops
 from . import bindings as B
 from .catalog import query, round_doubles
 from .oracle import with_views
@@ -35,3 +37,126 @@ GROUP BY 1, 2, 3"""
 def weekly_risk(spark, d):
     """R1 (A1+A2+P2+P13+P19+F3): accidents per 1000 units of exposure per cell-week."""
     return round_doubles(_weekly(spark, d))
+
+
+# ------------------------------------------------------------- weekly forms ---
+
+_PCT_SQL = f"""
+SELECT grid, CAST(year(date) AS INTEGER) AS year, CAST(week(date) AS INTEGER) AS week,
+       CAST(coalesce(sum(accident), 0) AS BIGINT) AS accident,
+       round({{exp}}, 6) AS exposure,
+       round(coalesce(100.0 * coalesce(sum(accident), 0) / nullif({{exp}}, 0), 0.0), 6) AS risk_pct
+FROM risk_panel
+WHERE grid IS NOT NULL AND date IS NOT NULL AND (grid NOT IN ({EXCL}) OR grid IS NULL)
+GROUP BY 1, 2, 3"""
+
+
+@query("weekly_relative_risk", with_views(_PCT_SQL.format(exp="coalesce(sum(exposure), 0.0)"), "risk_panel"))
+def weekly_relative_risk(spark, d):
+    """R2: 100 x weekly accidents / weekly summed exposure."""
+    w = _weekly(spark, d, scale=100.0, name="risk_pct")
+    return round_doubles(w.select("grid", "year", "week", "accident", "exposure", "risk_pct"))
+
+
+@query("weekly_relative_risk_mean7", with_views(_PCT_SQL.format(exp="(avg(exposure) * 7.0)"), "risk_panel"))
+def weekly_relative_risk_mean7(spark, d):
+    """R3 (A3): exposure as 7 x the mean daily exposure of the week."""
+    w = _weekly(spark, d, scale=100.0, mode="mean7", name="risk_pct")
+    return round_doubles(w.select("grid", "year", "week", "accident", "exposure", "risk_pct"))
+
+
+@query("week_keys", with_views("""
+SELECT grid, date, CAST(year(date) AS INTEGER) AS year, CAST(week(date) AS INTEGER) AS week,
+       CAST(isoyear(date) AS INTEGER) AS iso_year
+FROM risk_panel""", "risk_panel"))
+def week_keys(spark, d):
+    """ISO week with the calendar-year key (reference) and the ISO-year key."""
+    p = B.risk_panel(spark, d).select("grid", "date")
+    return p.withColumns({"year": cal.week_year("date"), "week": cal.iso_week("date"),
+                          "iso_year": cal.week_year("date", iso_year=True)})
+
+
+# ------------------------------------------------------------ calendar & cleaning ---
+
+@query("calendar_features", with_views("""
+SELECT site, date, daily_count,
+       CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month,
+       CAST(month(date) AS INTEGER) AS month, CAST(isodow(date) >= 6 AS INTEGER) AS weekend,
+       ['winter', 'spring', 'summer', 'fall'][CAST(floor((month(date) % 12) / 3) AS INTEGER) + 1] AS season,
+       CAST((month(date) = 1 AND day(date) = 1) OR (month(date) = 12 AND day(date) IN (25, 26)) AS INTEGER) AS is_holiday,
+       CAST(week(date) AS INTEGER) AS week, CAST(year(date) AS INTEGER) AS year,
+       CAST(CASE WHEN month(date) IN (9, 10, 11) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS season_fall,
+       CAST(CASE WHEN month(date) IN (3, 4, 5) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS season_spring,
+       CAST(CASE WHEN month(date) IN (6, 7, 8) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS season_summer,
+       CAST(CASE WHEN month(date) IN (12, 1, 2) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS season_winter
+FROM count_panel""", "count_panel"))
+def calendar_features(spark, d):
+    """Weekday, day, month, weekend, season (+ all four dummies),
+    holiday flag (recurring 1 Jan / 25-26 Dec), ISO week and year."""
+    p = B.count_panel(spark, d).select("site", "date", "daily_count")
+    p = features.calendar_parts(p, "date", holidays=(), recurring=cal.RECURRING_HOLIDAYS)
+    return features.season_dummies(p)
+
+
+_PRIO = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_STATUS = ["O", "P"]
+
+
+@query("one_hot_levels", with_views(
+    "SELECT o_orderkey, o_totalprice, "
+    + ", ".join(f"CAST(coalesce(o_orderpriority = '{v}', false) AS INTEGER) AS \"o_orderpriority_{v}\"" for v in _PRIO)
+    + ", "
+    + ", ".join(f"CAST(coalesce(o_orderstatus = '{v}', false) AS INTEGER) AS \"o_orderstatus_{v}\"" for v in _STATUS)
+    + " FROM order_levels", "order_levels"))
+def one_hot_levels(spark, d):
+    """One-hot of two categoricals, first level (sort order) dropped; the
+    level lists are computed from the data."""
+    o = B.order_levels(spark, d)
+    return clean.one_hot(o, ["o_orderpriority", "o_orderstatus"], drop_first=True)
+
+
+@query("parse_dirty", with_views("""
+SELECT p_partkey, TRY_CAST(trim(replace(p_brand, 'Brand#', '')) AS DOUBLE) AS p_brand,
+       TRY_CAST(p_size_text AS DOUBLE) AS p_size_text, NULLIF(p_kind, 'none') AS p_kind,
+       NULLIF(p_type, 'none') AS p_type
+FROM dirty_parts""", "dirty_parts"))
+def parse_dirty(spark, d):
+    """Unit-stripped number, bulk numeric coercion, sentinel -> NULL."""
+    p = B.dirty_parts(spark, d).select("p_partkey", "p_brand", "p_size_text", "p_kind", "p_type")
+    p = clean.strip_units(p, ["p_brand"], "Brand#")
+    p = clean.to_numeric(p, ["p_size_text"])
+    return clean.sentinel_to_null(p)
+
+
+@query("fill_zero", with_views("""
+SELECT site, date, daily_count, coalesce(price, 0.0) AS price FROM gappy_panel""", "gappy_panel"))
+def fill_zero_q(spark, d):
+    """Every NULL becomes 0."""
+    return clean.fill_zero(B.gappy_panel(spark, d))
+
+
+_INTERP_CTES = {
+    "pos": """SELECT site, date, daily_count, price,
+                     row_number() OVER (PARTITION BY site ORDER BY date) - 1 AS p FROM gappy_panel""",
+    "nb": """SELECT *, last_value(CASE WHEN price IS NOT NULL THEN p END IGNORE NULLS)
+                     OVER (PARTITION BY site ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pp,
+                   first_value(CASE WHEN price IS NOT NULL THEN p END IGNORE NULLS)
+                     OVER (PARTITION BY site ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS np
+            FROM pos""",
+    "vals": """SELECT nb.*, a.price AS pv, b.price AS nv FROM nb
+              LEFT JOIN pos a ON a.site = nb.site AND a.p = nb.pp
+              LEFT JOIN pos b ON b.site = nb.site AND b.p = nb.np""",
+}
+
+
+@query("interpolate_gaps", with_views("""
+SELECT site, date, daily_count,
+       round(CASE WHEN price IS NOT NULL THEN price
+                  WHEN pp IS NOT NULL AND np IS NOT NULL THEN pv + (nv - pv) * (p - pp) / (np - pp)
+                  WHEN pp IS NOT NULL THEN pv ELSE nv END, 6) AS price
+FROM vals""", "gappy_panel", extra=_INTERP_CTES))
+def interpolate_gaps(spark, d):
+    """Linear interpolation of price gaps by position within each site's date order."""
+    g = B.gappy_panel(spark, d)
+    # small blocks here so the block-carry path is exercised at test scale
+    return round_doubles(clean.interpolate(g, ["price"], ["date"], ["site"], block_rows=64))
