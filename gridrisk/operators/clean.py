@@ -66,6 +66,16 @@ def fill_zero(df: DataFrame) -> DataFrame:
     return df.na.fill(0).na.fill("0")
 
 
+def mean_impute(train: DataFrame, test: DataFrame, cols) -> DataFrame:
+    """M1: NULLs of ``test`` replaced by the column means of ``train`` (fit on
+    train, apply to test).  The means are one row, broadcast; a column with no
+    training value stays NULL (drop it first with ``drop_all_null``)."""
+    means = train.agg(*[F.avg(col(c).cast("double")).alias(f"_mi_{i}") for i, c in enumerate(cols)])
+    j = test.crossJoin(F.broadcast(means))
+    j = j.withColumns({c: F.coalesce(col(c).cast("double"), F.col(f"_mi_{i}")) for i, c in enumerate(cols)})
+    return j.drop(*[f"_mi_{i}" for i in range(len(cols))])
+
+
 def drop_all_null(df: DataFrame) -> DataFrame:
     """Drop columns with no non-NULL value (one aggregate pass; one row collected)."""
     counts = df.agg(*[F.count(col(c)).alias(c) for c in df.columns]).collect()[0].asDict()

@@ -88,14 +88,15 @@ def risk_surface(day_panel: DataFrame, *, cell: str = "grid", date: str = "date"
     })
 
 
-def map_layer(weekly: DataFrame, *, cell: str = "grid", week: str = "week", actual: str = "actual",
-              pred: str = "predicted", geo: DataFrame | None = None, min_week: int | None = None) -> DataFrame:
+def map_layer(weekly: DataFrame, *, keys=("grid", "year", "week"), cell: str = "grid", week: str = "week",
+              actual: str = "actual", pred: str = "predicted", geo: DataFrame | None = None,
+              min_week: int | None = None) -> DataFrame:
     """Actual and predicted per cell-week with the shared colour bounds
     (min/max over both columns, A9) attached; optionally joined to geometry
     (J3, all cells kept, missing values 0).  Written with
     ``partitionBy(week)`` instead of one file per week in a loop."""
     src = panel.from_week(weekly, min_week, week) if min_week is not None else weekly
-    layer = src.select(col(cell), col(week), col(actual), col(pred))
+    layer = src.select(*[col(k) for k in keys], col(actual), col(pred))
     bounds = layer.agg(F.min(F.least(col(actual), col(pred))).alias("vmin"),
                        F.max(F.greatest(col(actual), col(pred))).alias("vmax"))
     layer = layer.crossJoin(F.broadcast(bounds))  # one row: a proven size bound

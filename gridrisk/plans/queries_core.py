@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions import exprs as fx
 from ..operators import clean, evaluate, features, joins, panel, risk, scaling, split, stats
 from ..operators import geo as geo_ops
 from . import bindings as B
@@ -160,3 +161,449 @@ def interpolate_gaps(spark, d):
     g = B.gappy_panel(spark, d)
     # small blocks here so the block-carry path is exercised at test scale
     return round_doubles(clean.interpolate(g, ["price"], ["date"], ["site"], block_rows=64))
+
+
+# ------------------------------------------------------------- shared SQL ---
+
+# The weekly panel of `_weekly` without rounding (used inside larger oracles).
+_WEEKLY_RAW = f"""
+SELECT grid, CAST(year(date) AS INTEGER) AS year, CAST(week(date) AS INTEGER) AS week,
+       avg(f_discount) AS f_discount, avg(f_tax) AS f_tax, avg(f_price) AS f_price,
+       CAST(coalesce(sum(accident), 0) AS BIGINT) AS accident,
+       coalesce(sum(exposure), 0.0) AS exposure,
+       coalesce(1000.0 * coalesce(sum(accident), 0) / nullif(coalesce(sum(exposure), 0.0), 0), 0.0) AS risk,
+       CAST(coalesce(sum(accident), 0) > 0 AS INTEGER) AS occurrence
+FROM risk_panel
+WHERE grid IS NOT NULL AND date IS NOT NULL AND (grid NOT IN ({EXCL}) OR grid IS NULL)
+GROUP BY 1, 2, 3"""
+
+TRAIN, TEST = (1, 26), (27, 52)   # the reference's second temporal split
+
+_PRED_CTES = {
+    "weekly": _WEEKLY_RAW,
+    "cellm": f"SELECT grid, avg(risk) AS m, avg(occurrence) AS mo FROM weekly WHERE week BETWEEN {TRAIN[0]} AND {TRAIN[1]} GROUP BY grid",
+    "gmean": f"SELECT avg(risk) AS gm, avg(occurrence) AS gmo FROM weekly WHERE week BETWEEN {TRAIN[0]} AND {TRAIN[1]}",
+    "pred": f"""SELECT w.grid, w.year, w.week, w.risk, w.occurrence,
+                       coalesce(c.m, gmean.gm) AS predicted, coalesce(c.mo, gmean.gmo) AS predicted_rate,
+                       gmean.gm AS predicted_global
+                FROM weekly w LEFT JOIN cellm c ON w.grid = c.grid CROSS JOIN gmean
+                WHERE w.week BETWEEN {TEST[0]} AND {TEST[1]}""",
+}
+
+
+def _rnd(expr: str) -> str:
+    return f"round({expr}, 6)"
+
+
+def _reg_sql(y: str, p: str, cond: str | None = None, suffix: str = "") -> str:
+    def w(e):
+        return e if cond is None else f"CASE WHEN {cond} THEN {e} END"
+    e = f"({p} - {y})"
+    n = f"count({w(e)})"
+    sse = f"sum({w(f'{e} * {e}')})"
+    sst = f"(var_pop({w(y)}) * {n})"
+    r2 = f"CASE WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - {sse} / {sst} END"
+    return ", ".join([
+        f"CAST({n} AS BIGINT) AS n{suffix}",
+        f"{_rnd(f'avg({w(f'abs({e})')})')} AS mae{suffix}",
+        f"{_rnd(f'sqrt(avg({w(f'{e} * {e}')}))')} AS rmse{suffix}",
+        f"{_rnd(f'CAST({r2} AS DOUBLE)')} AS r2{suffix}",
+        f"{_rnd(f'100.0 * avg({w(f'2.0 * abs({e}) / (abs({y}) + abs({p}) + 1e-10)')})')} AS smape{suffix}",
+    ])
+
+
+def _pred(spark, d, target="risk"):
+    w = _weekly(spark, d)
+    return evaluate.baseline_predict(w, cell="grid", target=target, train=TRAIN, test=TEST)
+
+
+def _pred_both(spark, d):
+    """Test rows with the risk prediction and the occurrence-rate prediction."""
+    w = _weekly(spark, d)
+    p = evaluate.baseline_predict(w, cell="grid", target="risk", train=TRAIN, test=TEST)
+    r = evaluate.baseline_predict(w.select("grid", "year", "week", "occurrence"), cell="grid",
+                                  target="occurrence", train=TRAIN, test=TEST, out="predicted_rate")
+    return p.join(r.select("grid", "year", "week", "predicted_rate"), ["grid", "year", "week"])
+
+
+# ------------------------------------------------------------ profile / drop ---
+
+_PARTS_COLS = [("p_partkey", "bigint", True), ("p_brand", "string", False), ("p_type", "string", False),
+               ("p_size", "int", True), ("p_retailprice", "double", True), ("p_kind", "string", False),
+               ("p_size_text", "string", False)]
+
+
+@query("column_profile", with_views(" UNION ALL ".join(
+    f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, '{c}' AS column_name, '{t}' AS dtype, {str(num).lower()} AS is_numeric,
+               false AS duplicated, CAST(count_if({c} IS NULL) AS BIGINT) AS n_null,
+               CAST(count_if(coalesce(contains(CAST({c} AS VARCHAR), 'none'), false)) AS BIGINT) AS n_sentinel,
+               count_if({c} IS NULL) = count(*) AS all_null FROM dirty_parts"""
+    for c, t, num in _PARTS_COLS), "dirty_parts"))
+def column_profile(spark, d):
+    """One-pass column audit (NULLs, sentinel hits, type, duplicates)."""
+    return clean.profile_columns(B.dirty_parts(spark, d))
+
+
+@query("drop_all_null", with_views("""
+SELECT p_partkey, p_size, p_retailprice, TRY_CAST(p_size_text AS DOUBLE) AS p_size_text FROM dirty_parts""",
+                                   "dirty_parts"))
+def drop_all_null_q(spark, d):
+    """P10 + P22: coerce every text column to a number, then drop the columns
+    left without any value (found by one aggregate pass over the data)."""
+    p = B.dirty_parts(spark, d)
+    p = clean.to_numeric(p, ["p_brand", "p_type", "p_kind", "p_size_text"])
+    return clean.drop_all_null(p)
+
+
+# ------------------------------------------------------------------ filters ---
+
+@query("filter_status", with_views("SELECT * FROM order_levels WHERE o_orderstatus = 'F'", "order_levels"))
+def filter_status(spark, d):
+    """equality filter."""
+    return panel.eq_filter(B.order_levels(spark, d), "o_orderstatus", "F")
+
+
+@query("exclude_levels", with_views("""
+SELECT * FROM order_levels WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') OR o_orderpriority IS NULL""",
+                                    "order_levels"))
+def exclude_levels(spark, d):
+    """exclusion list, NULL keys kept."""
+    return panel.exclude(B.order_levels(spark, d), "o_orderpriority", ["1-URGENT", "5-LOW"])
+
+
+@query("distinct_levels", with_views("""
+SELECT DISTINCT o_orderpriority, o_orderstatus FROM order_levels""", "order_levels"))
+def distinct_levels(spark, d):
+    """Distinct level pairs (sorted)."""
+    return panel.distinct_on(B.order_levels(spark, d), ["o_orderpriority", "o_orderstatus"]) \
+        .orderBy("o_orderpriority", "o_orderstatus")
+
+
+@query("distinct_count", "SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_distinct FROM orders")
+def distinct_count(spark, d):
+    """Exact distinct count."""
+    from ..sources.io import read_table
+    return panel.distinct_values(read_table(spark, d, "orders"), "o_custkey")
+
+
+@query("week_range", with_views(
+    "SELECT grid, year, week, round(risk, 6) AS risk FROM weekly WHERE week BETWEEN 10 AND 20",
+    "risk_panel", extra={"weekly": _WEEKLY_RAW}))
+def week_range(spark, d):
+    """inclusive week range of the weekly panel."""
+    w = panel.week_between(_weekly(spark, d), 10, 20)
+    return round_doubles(w.select("grid", "year", "week", "risk"))
+
+
+@query("stations", with_views("""
+SELECT DISTINCT segment, station_id, lon, lat FROM points
+WHERE coalesce(contains(segment, 'O'), false) AND lon IS NOT NULL AND lat IS NOT NULL
+  AND (segment NOT IN ('HOUSEHOLD') OR segment IS NULL)""", "points"))
+def stations_q(spark, d):
+    """G3 (F2 + F5 + F3 + F6): station catalogue."""
+    return geo_ops.stations(B.points(spark, d), site="segment", lon="lon", lat="lat",
+                            valid_substring="O", exclude=["HOUSEHOLD"], keep=["station_id"])
+
+
+@query("station_mercator", with_views("""
+SELECT station_id, lon, lat, round(6378137.0 * radians(lon), 6) AS x,
+       round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 6) AS y FROM points""", "points"))
+def station_mercator(spark, d):
+    """G1: WGS84 -> Web Mercator."""
+    p = B.points(spark, d).select("station_id", "lon", "lat")
+    return round_doubles(geo_ops.to_mercator(p))
+
+
+@query("scan_panel", """
+SELECT l_suppkey, l_shipdate, l_quantity, l_discount FROM lineitem WHERE l_linestatus = 'O'""")
+def scan_panel(spark, d):
+    """Parquet scan with an explicit column list and a pushed filter; NaN -> NULL."""
+    from ..sources.io import read_panel
+    li = read_panel(spark, f"{d}/lineitem.parquet")
+    return li.where(F.col("l_linestatus") == "O").select("l_suppkey", "l_shipdate", "l_quantity", "l_discount")
+
+
+# -------------------------------------------------------------------- joins ---
+
+@query("attach_exposure", with_views(f"""
+SELECT a.grid, a.year, a.week, a.accident, round(coalesce(e.exposure, 0.0), 6) AS exposure
+FROM (SELECT grid, CAST(year(date) AS INTEGER) AS year, CAST(week(date) AS INTEGER) AS week,
+             CAST(coalesce(sum(accident), 0) AS BIGINT) AS accident
+      FROM risk_panel GROUP BY 1, 2, 3) a
+LEFT JOIN (SELECT grid, CAST(year(date) AS INTEGER) AS year, CAST(week(date) AS INTEGER) AS week,
+                  coalesce(sum(exposure), 0.0) AS exposure
+           FROM risk_panel WHERE exposure > 0 GROUP BY 1, 2, 3) e
+  ON a.grid = e.grid AND a.year = e.year AND a.week = e.week""", "risk_panel"))
+def attach_exposure(spark, d):
+    """Weekly accidents left-joined with a separately aggregated exposure
+    table on (grid, year, week); weeks without exposure rows get 0."""
+    p = panel.with_week_key(B.risk_panel(spark, d), "date")
+    keys = ["grid", "year", "week"]
+    acc = panel.weekly_rollup(p, keys, sums=["accident"])
+    exp = panel.weekly_rollup(p.where(F.col("exposure") > 0), keys, exposure="exposure", exposure_name="exposure")
+    return round_doubles(joins.attach(acc, exp, keys, "left", fill=0.0))
+
+
+_SURFACE_CTES = {
+    "acc": """SELECT grid, CAST(sum(accident) AS BIGINT) AS accidents
+              FROM (SELECT DISTINCT grid, date, accident FROM risk_panel) GROUP BY grid""",
+    "vol": "SELECT grid, sum(exposure) AS total_exposure, avg(exposure) AS mean_exposure FROM risk_panel GROUP BY grid",
+    "dr": """SELECT grid, avg(coalesce(100.0 * accident / nullif(exposure, 0), 0.0)) AS mean_daily_risk
+             FROM risk_panel GROUP BY grid""",
+    "wk": """SELECT grid, CAST(year(date) AS INTEGER) AS year, CAST(week(date) AS INTEGER) AS week,
+                    coalesce(100.0 * coalesce(sum(accident), 0) / nullif(coalesce(sum(exposure), 0.0), 0), 0.0) AS r
+             FROM risk_panel WHERE grid IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2, 3""",
+    "wr": "SELECT grid, avg(r) AS mean_weekly_risk FROM wk GROUP BY grid",
+    "surface": """SELECT acc.grid, accidents, total_exposure, mean_exposure,
+                         accidents / nullif(total_exposure, 0) AS annual_risk,
+                         mean_daily_risk, mean_weekly_risk, total_exposure / 1e6 AS exposure_millions,
+                         ln(1 + total_exposure) AS log_exposure, ln(1 + accidents) AS log_accidents
+                  FROM acc JOIN vol ON acc.grid = vol.grid JOIN dr ON acc.grid = dr.grid
+                  JOIN wr ON acc.grid = wr.grid""",
+}
+_SURFACE_DBL = ["total_exposure", "mean_exposure", "annual_risk", "mean_daily_risk", "mean_weekly_risk",
+                "exposure_millions", "log_exposure", "log_accidents"]
+
+
+def _surface(spark, d):
+    return risk.risk_surface(B.risk_panel(spark, d))
+
+
+@query("risk_surface", with_views(
+    "SELECT grid, accidents, " + ", ".join(f"{_rnd(c)} AS {c}" for c in _SURFACE_DBL) + " FROM surface",
+    "risk_panel", extra=_SURFACE_CTES))
+def risk_surface_q(spark, d):
+    """R7 (R4-R6, A4-A6, J2, P14, P15): per-cell risk surface."""
+    return round_doubles(_surface(spark, d))
+
+
+@query("annual_risk", with_views(f"""
+SELECT acc.grid, accidents, {_rnd('total_exposure')} AS total_exposure, {_rnd('mean_exposure')} AS mean_exposure,
+       {_rnd('accidents / nullif(total_exposure, 0)')} AS annual_risk
+FROM acc JOIN vol ON acc.grid = vol.grid""", "risk_panel", extra=_SURFACE_CTES))
+def annual_risk_q(spark, d):
+    """R4 (A4 + A5 + J2): deduplicated accidents over total exposure per cell."""
+    return round_doubles(risk.annual_risk(B.risk_panel(spark, d)))
+
+
+@query("mean_daily_risk", with_views(f"SELECT grid, {_rnd('mean_daily_risk')} AS mean_daily_risk FROM dr",
+                                     "risk_panel", extra=_SURFACE_CTES))
+def mean_daily_risk(spark, d):
+    """R5 (P13 + A6): mean over days of the safe daily ratio."""
+    return round_doubles(risk.mean_risk(B.risk_panel(spark, d), level="day"))
+
+
+@query("mean_weekly_risk", with_views(f"SELECT grid, {_rnd('mean_weekly_risk')} AS mean_weekly_risk FROM wr",
+                                      "risk_panel", extra=_SURFACE_CTES))
+def mean_weekly_risk(spark, d):
+    """Mean over weeks of the weekly relative risk."""
+    return round_doubles(risk.mean_risk(B.risk_panel(spark, d), level="week"))
+
+
+@query("deduped_accidents", with_views("SELECT grid, accidents FROM acc", "risk_panel", extra=_SURFACE_CTES))
+def deduped_accidents(spark, d):
+    """A5: accidents over distinct (cell, date, accident) rows."""
+    return panel.deduped_total(B.risk_panel(spark, d), "grid", "date", "accident", name="accidents")
+
+
+@query("cell_totals", with_views(
+    f"SELECT grid, {_rnd('total_exposure')} AS total, {_rnd('mean_exposure')} AS mean FROM vol",
+    "risk_panel", extra=_SURFACE_CTES))
+def cell_totals_q(spark, d):
+    """A4: per-cell sum and mean of exposure."""
+    return round_doubles(panel.cell_totals(B.risk_panel(spark, d), "grid", "exposure"))
+
+
+@query("cell_feature_means", with_views(f"""
+SELECT acc.grid, accidents, {_rnd('total_exposure')} AS total_exposure,
+       {_rnd('m.f_discount')} AS f_discount, {_rnd('m.f_tax')} AS f_tax, {_rnd('m.f_price')} AS f_price
+FROM acc JOIN vol ON acc.grid = vol.grid
+LEFT JOIN (SELECT grid, avg(f_discount) AS f_discount, avg(f_tax) AS f_tax, avg(f_price) AS f_price
+           FROM risk_panel GROUP BY grid) m ON acc.grid = m.grid""", "risk_panel", extra=_SURFACE_CTES))
+def cell_feature_means(spark, d):
+    """J4 + A7: per-cell feature means left-joined onto the per-cell totals."""
+    p = B.risk_panel(spark, d)
+    base = risk.annual_risk(p).select("grid", "accidents", "total_exposure")
+    means = panel.cell_mean(p, "grid", list(B.PANEL_FEATURES))
+    return round_doubles(joins.attach(base, means, "grid", "left"))
+
+
+@query("reorder_sites", with_views("""
+SELECT site, CAST(sum(daily_count) AS BIGINT) AS total FROM count_panel GROUP BY site""", "count_panel"))
+def reorder_sites(spark, d):
+    """Per-site totals in a given key order (nation keys 24..0)."""
+    p = B.count_panel(spark, d)
+    totals = p.groupBy("site").agg(F.sum("daily_count").alias("total"))
+    return joins.reorder(totals, "site", list(range(24, -1, -1)))
+
+
+@query("write_back", with_views(f"""
+SELECT w.grid, w.year, w.week, {_rnd('w.risk')} AS risk, {_rnd('p.predicted')} AS predicted
+FROM weekly w LEFT JOIN pred p ON w.grid = p.grid AND w.year = p.year AND w.week = p.week""",
+                                "risk_panel", extra=_PRED_CTES))
+def write_back_q(spark, d):
+    """Test-week predictions written back onto the whole weekly panel;
+    training rows keep a NULL prediction."""
+    w = _weekly(spark, d).select("grid", "year", "week", "risk")
+    p = _pred(spark, d)
+    return round_doubles(joins.write_back(w, p, ["grid", "year", "week"], "predicted"))
+
+
+# --------------------------------------------------------------- evaluation ---
+
+@query("baseline_metrics", with_views(f"SELECT {_reg_sql('risk', 'predicted')} FROM pred",
+                                      "risk_panel", extra=_PRED_CTES))
+def baseline_metrics(spark, d):
+    """E1 + E2: MAE, RMSE, R^2 and SMAPE of the baseline risk prediction."""
+    return round_doubles(evaluate.regression_metrics(_pred(spark, d), "risk", "predicted"))
+
+
+@query("nonzero_metrics", with_views(
+    f"SELECT {_reg_sql('risk', 'predicted')}, {_reg_sql('risk', 'predicted', 'risk <> 0', '_nonzero')} FROM pred",
+    "risk_panel", extra=_PRED_CTES))
+def nonzero_metrics_q(spark, d):
+    """The metric set overall and on non-zero truth, one pass."""
+    return round_doubles(evaluate.nonzero_metrics(_pred(spark, d), "risk", "predicted"))
+
+
+@query("smape_by_zero", with_views(f"""
+SELECT {_rnd('100.0 * avg(2.0 * abs(predicted - risk) / (abs(risk) + abs(predicted) + 1e-10))')} AS smape_all,
+       {_rnd('100.0 * avg(CASE WHEN risk = 0 THEN 2.0 * abs(predicted - risk) / (abs(risk) + abs(predicted) + 1e-10) END)')} AS smape_zero,
+       {_rnd('100.0 * avg(CASE WHEN risk <> 0 THEN 2.0 * abs(predicted - risk) / (abs(risk) + abs(predicted) + 1e-10) END)')} AS smape_nonzero
+FROM pred""", "risk_panel", extra=_PRED_CTES))
+def smape_by_zero_q(spark, d):
+    """E5: SMAPE split by zero / non-zero truth."""
+    return round_doubles(evaluate.smape_by_zero(_pred(spark, d), "risk", "predicted"))
+
+
+_CLS = "CAST(predicted_rate > 0.5 AS INTEGER)"
+
+
+@query("class_metrics", with_views(f"""
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+       {_rnd('coalesce(tp / nullif(tp + fp, 0), 0.0)')} AS precision,
+       {_rnd('coalesce(tp / nullif(tp + fn, 0), 0.0)')} AS recall,
+       {_rnd('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0)')} AS f1
+FROM (SELECT count_if(occurrence = 1 AND {_CLS} = 1) AS tp, count_if(occurrence = 0 AND {_CLS} = 1) AS fp,
+             count_if(occurrence = 1 AND {_CLS} = 0) AS fn, count_if(occurrence = 0 AND {_CLS} = 0) AS tn
+      FROM pred)""", "risk_panel", extra=_PRED_CTES))
+def class_metrics_q(spark, d):
+    """E3 + P20: precision/recall/F1 of the thresholded (0.5) occurrence rate."""
+    p = _pred_both(spark, d).withColumn("predicted_label", fx.binarize("predicted_rate", 0.5))
+    return round_doubles(evaluate.class_metrics(p, "occurrence", "predicted_label"))
+
+
+@query("confusion", with_views(f"""
+SELECT l.label, l.prediction, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(label, prediction)) l
+LEFT JOIN (SELECT occurrence AS label, {_CLS} AS prediction, count(*) AS n FROM pred GROUP BY 1, 2) c
+  ON l.label = c.label AND l.prediction = c.prediction""", "risk_panel", extra=_PRED_CTES))
+def confusion_q(spark, d):
+    """2x2 confusion matrix with empty cells as 0."""
+    p = _pred_both(spark, d).withColumn("predicted_label", fx.binarize("predicted_rate", 0.5))
+    return stats.confusion(p, "occurrence", "predicted_label")
+
+
+_PER_CELL = f"SELECT grid, {_reg_sql('risk', 'predicted')} FROM pred GROUP BY grid"
+
+
+@query("per_cell_metrics", with_views(_PER_CELL, "risk_panel", extra=_PRED_CTES))
+def per_cell_metrics(spark, d):
+    """Metrics per cell."""
+    return round_doubles(evaluate.regression_metrics(_pred(spark, d), "risk", "predicted", by=["grid"]))
+
+
+@query("pooled_vs_mean", with_views(f"""
+SELECT {_rnd('pooled_smape')} AS pooled_smape, {_rnd('pooled_mae')} AS pooled_mae,
+       {_rnd('mean_group_smape')} AS mean_group_smape, {_rnd('mean_group_mae')} AS mean_group_mae, n_groups
+FROM (SELECT 100.0 * avg(2.0 * abs(predicted - risk) / (abs(risk) + abs(predicted) + 1e-10)) AS pooled_smape,
+             avg(abs(predicted - risk)) AS pooled_mae FROM pred) a,
+     (SELECT avg(s) AS mean_group_smape, avg(m) AS mean_group_mae, CAST(count(*) AS BIGINT) AS n_groups
+      FROM (SELECT grid, 100.0 * avg(2.0 * abs(predicted - risk) / (abs(risk) + abs(predicted) + 1e-10)) AS s,
+                   avg(abs(predicted - risk)) AS m FROM pred GROUP BY grid)) b""", "risk_panel", extra=_PRED_CTES))
+def pooled_vs_mean(spark, d):
+    """Pooled SMAPE/MAE next to the mean of per-cell values."""
+    return round_doubles(evaluate.pooled_and_mean(_pred(spark, d), "risk", "predicted", "grid"))
+
+
+@query("leaderboard", with_views(f"""
+SELECT model, {_reg_sql('risk', 'p')} FROM (
+  SELECT 'cell_mean' AS model, risk, predicted AS p FROM pred
+  UNION ALL SELECT 'global_mean' AS model, risk, predicted_global AS p FROM pred) GROUP BY model""",
+                                 "risk_panel", extra=_PRED_CTES))
+def leaderboard_q(spark, d):
+    """E8 + C1: two predictors' test rows unioned with a model column, one
+    metric row per model, sorted by SMAPE."""
+    p = _pred(spark, d)
+    w = _weekly(spark, d)
+    tr = w.where(F.col("week").between(*TRAIN))
+    g = tr.agg(F.avg("risk").alias("p"))
+    a = p.select(F.lit("cell_mean").alias("model"), "risk", F.col("predicted").alias("p"))
+    b = p.select(F.lit("global_mean").alias("model"), "risk").crossJoin(F.broadcast(g))
+    return round_doubles(evaluate.leaderboard(evaluate.union_folds(a, b), "model", "risk", "p"))
+
+
+@query("top_cells", with_views(_PER_CELL.replace("SELECT grid,", "SELECT * FROM (SELECT grid,", 1)
+                               + ") ORDER BY smape DESC, grid LIMIT 10", "risk_panel", extra=_PRED_CTES))
+def top_cells(spark, d):
+    """T1 + T2: the 10 cells with the highest SMAPE (ties by cell id)."""
+    m = evaluate.regression_metrics(_pred(spark, d), "risk", "predicted", by=["grid"])
+    return round_doubles(evaluate.top_k(m, "smape", 10, tie="grid"))
+
+
+@query("below_threshold", with_views(f"SELECT * FROM ({_PER_CELL}) WHERE smape < 100", "risk_panel",
+                                     extra=_PRED_CTES))
+def below_threshold(spark, d):
+    """keep cells whose SMAPE is under a threshold."""
+    m = evaluate.regression_metrics(_pred(spark, d), "risk", "predicted", by=["grid"])
+    return round_doubles(panel.below(m, "smape", 100.0))
+
+
+@query("residuals", with_views(f"""
+SELECT grid, year, week, {_rnd('risk - predicted')} AS residual, {_rnd('predicted - risk')} AS residual_pred,
+       {_rnd('abs(predicted - risk)')} AS abs_error FROM pred""", "risk_panel", extra=_PRED_CTES))
+def residuals(spark, d):
+    """Both residual conventions and the absolute error."""
+    p = _pred(spark, d)
+    return round_doubles(p.select("grid", "year", "week",
+                                  fx.residual("risk", "predicted").alias("residual"),
+                                  fx.residual("risk", "predicted", "pred_minus_true").alias("residual_pred"),
+                                  fx.residual("risk", "predicted", "abs").alias("abs_error")))
+
+
+@query("metrics_long", with_views(f"""
+SELECT metric, round(value, 6) AS value FROM (
+  SELECT {_reg_sql('risk', 'predicted')} FROM pred)
+UNPIVOT (value FOR metric IN (n, mae, rmse, r2, smape))""".replace("CAST(count(", "CAST(count(", 1),
+                                  "risk_panel", extra=_PRED_CTES))
+def metrics_long_q(spark, d):
+    """K2: scalar metrics as (metric, value) rows."""
+    from ..sources.io import metrics_long
+    m = evaluate.regression_metrics(_pred(spark, d), "risk", "predicted")
+    return round_doubles(metrics_long(round_doubles(m)))
+
+
+@query("map_layer", with_views(f"""
+SELECT grid, year, week, {_rnd('risk')} AS actual, {_rnd('predicted')} AS predicted,
+       {_rnd('min(least(risk, predicted)) OVER ()')} AS vmin, {_rnd('max(greatest(risk, predicted)) OVER ()')} AS vmax
+FROM pred WHERE week >= 40""", "risk_panel", extra=_PRED_CTES))
+def map_layer_q(spark, d):
+    """R8 (+F8, A9): actual vs predicted per cell-week from week 40 on, with shared bounds."""
+    p = _pred(spark, d).withColumnRenamed("risk", "actual")
+    return round_doubles(risk.map_layer(p, min_week=40))
+
+
+@query("shared_bounds", with_views(f"""
+SELECT {_rnd('min(least(risk, predicted))')} AS vmin, {_rnd('max(greatest(risk, predicted))')} AS vmax FROM pred""",
+                                   "risk_panel", extra=_PRED_CTES))
+def shared_bounds_q(spark, d):
+    """One colour scale over actual and predicted."""
+    return round_doubles(stats.shared_bounds(_pred(spark, d), "risk", "predicted"))
+
+
+@query("global_mean", with_views(f"SELECT {_rnd('avg(smape)')} AS mean FROM ({_PER_CELL})", "risk_panel",
+                                 extra=_PRED_CTES))
+def global_mean_q(spark, d):
+    """A10: the mean line over per-cell SMAPE."""
+    m = evaluate.regression_metrics(_pred(spark, d), "risk", "predicted", by=["grid"])
+    return round_doubles(panel.global_mean(m, "smape"))
