@@ -1,3 +1,273 @@
-"""Model queries (MLlib learners, search, explanation): rows-only checks."""
+"""Model queries (MLlib learners, search, selection, explanation) and the
+approximate/hashed variants: rows-only checks (no SQL oracle can say them).
+
+Model sizes are parameters; the registered queries use small forests so the
+check stays quick, but every query reads the whole tables.
+"""
 
 from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..functions import calendar as cal
+from ..operators import clean, evaluate, explain, features, learn, panel, risk, scaling, split, stats
+from . import bindings as B
+from .catalog import query, round_doubles
+from .queries_core import TEST, TRAIN, _weekly
+
+WEEKLY_FEATS = ["f_discount", "f_tax", "f_price", "exposure"]
+COUNT_FEATS = ["day_of_week", "day_of_month", "month", "weekend", "is_holiday", "season_fall",
+               "season_spring", "season_summer", "season_winter", "week", "price"]
+SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
+
+
+def _split2(spark, d):
+    w = _weekly(spark, d)
+    tr = w.where(F.col("week").between(*TRAIN))
+    te = w.where(F.col("week").between(*TEST))
+    return tr, te
+
+
+def _count_frame(spark, d):
+    """Stage-1 frame: site x day counts, calendar features, interpolated price."""
+    p = B.gappy_panel(spark, d)
+    p = clean.interpolate(p, ["price"], ["date"], ["site"])
+    p = features.calendar_parts(p, "date", holidays=(), recurring=cal.RECURRING_HOLIDAYS)
+    return features.season_dummies(p)
+
+
+def _fit_predict(tr, te, est, feats):
+    a_tr, a_te = learn.assemble(tr, feats), learn.assemble(te, feats)
+    return est.fit(a_tr).transform(a_te)
+
+
+@query("forest_temporal")
+def forest_temporal(spark, d):
+    """L2 + M1 + M3: forest regressor on training weeks (mean-imputed), risk
+    predicted for the test weeks."""
+    tr, te = _split2(spark, d)
+    te = clean.mean_impute(tr, te, WEEKLY_FEATS)
+    tr = clean.mean_impute(tr, tr, WEEKLY_FEATS)
+    pred = _fit_predict(tr, te, learn.forest("risk", **SMALL_FOREST), WEEKLY_FEATS)
+    return round_doubles(pred.select("grid", "year", "week", "risk", "prediction"))
+
+
+@query("forest_temporal_metrics")
+def forest_temporal_metrics(spark, d):
+    """E1 + E2 + E4 + E5 on the forest's test predictions."""
+    p = forest_temporal(spark, d)
+    m = evaluate.nonzero_metrics(p, "risk", "prediction")
+    return round_doubles(m.crossJoin(evaluate.smape_by_zero(p, "risk", "prediction").select("smape_zero")))
+
+
+@query("classifier_temporal")
+def classifier_temporal(spark, d):
+    """L3 + E3 + A14: forest classifier of weekly occurrence; precision,
+    recall, F1 of the positive class."""
+    tr, te = _split2(spark, d)
+    pred = _fit_predict(tr, te, learn.forest_classifier("occurrence", **SMALL_FOREST), WEEKLY_FEATS)
+    return evaluate.class_metrics(pred, "occurrence", "prediction")
+
+
+@query("model_leaderboard")
+def model_leaderboard(spark, d):
+    """L1 + L2 + L4 + L5 + C1 + E8: four learners on the same split, test
+    predictions unioned with a model column, one metric row per model."""
+    tr, te = _split2(spark, d)
+    a_tr, a_te = learn.assemble(tr, WEEKLY_FEATS).cache(), learn.assemble(te, WEEKLY_FEATS)
+    models = {"linear": learn.linear("risk"), "forest": learn.forest("risk", **SMALL_FOREST),
+              "gbt": learn.gbt("risk", maxIter=20), "gbt_sub": learn.gbt_sub("risk", maxIter=20, maxDepth=4)}
+    preds = [m.fit(a_tr).transform(a_te).select(F.lit(name).alias("model"), "risk", "prediction")
+             for name, m in models.items()]
+    return round_doubles(evaluate.leaderboard(evaluate.union_folds(*preds), "model", "risk", "prediction"))
+
+
+@query("grid_search")
+def grid_search_q(spark, d):
+    """H1 + W5: grid search of the classifier scored by positive-class F1 over
+    three contiguous folds (fold ids from the distributed ntile)."""
+    tr, _ = _split2(spark, d)
+    tr = split.fold_id(tr, 3, ["grid", "year", "week"])
+    a = learn.assemble(tr, WEEKLY_FEATS).cache()
+    est = learn.forest_classifier("occurrence", numTrees=10)
+    cv = learn.grid_search(a, est, {"maxDepth": [3, 6], "minInstancesPerNode": [1, 2]},
+                           learn.f1_evaluator("occurrence"), fold="fold")
+    return spark.createDataFrame(learn.cv_table(cv), "params string, f1 double")
+
+
+@query("random_search")
+def random_search_q(spark, d):
+    """H2 + M5: seeded random sample of a forest grid, cross-validated over
+    whole-site folds, scored by MAE of the per-site scaled count."""
+    p = scaling.standardize(_count_frame(spark, d), "site", "daily_count", out="scaled")
+    p = split.group_kfold(p, "site", 3)
+    a = learn.assemble(p, COUNT_FEATS).cache()
+    est = learn.forest("scaled", numTrees=10)
+    grid = {"maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4], "numTrees": [5, 10]}
+    cv = learn.random_search(a, est, grid, learn.regression_evaluator("scaled", "mae"), fold="fold", n_iter=3)
+    return spark.createDataFrame(learn.cv_table(cv), "params string, mae double")
+
+
+@query("count_model_logo")
+def count_model_logo(spark, d):
+    """Stage 1: per-site scaled counts (W1), exact leave-one-site-out linear
+    model from per-site Gram sums (L1 + M5 + M6), predictions inverse-scaled
+    with the site's statistics (W2), per-site metrics (E6)."""
+    p = _count_frame(spark, d)
+    st = scaling.fit_scaler(p, "site", "daily_count")
+    z = scaling.standardize(p, "site", "daily_count", out="scaled", stats=st)
+    pred = learn.logo_linear(z, COUNT_FEATS, "scaled", "site", prediction="pred_scaled")
+    back = scaling.unstandardize(pred, st, "site", "pred_scaled", out="predicted")
+    return round_doubles(evaluate.regression_metrics(back, "daily_count", "predicted", by=["site"]))
+
+
+@query("count_model_forest")
+def count_model_forest(spark, d):
+    """Stage 1 with a forest: whole-site folds (M5 hashed), fold-wise fit and
+    predict (M6), inverse scaling, pooled vs mean-of-sites SMAPE (E7)."""
+    p = _count_frame(spark, d)
+    st = scaling.fit_scaler(p, "site", "daily_count")
+    z = split.group_kfold(scaling.standardize(p, "site", "daily_count", out="scaled", stats=st), "site", 5)
+    a = learn.assemble(z, COUNT_FEATS).cache()
+    pred = learn.cross_predict(a, learn.forest("scaled", **SMALL_FOREST), "fold", prediction="pred_scaled")
+    back = scaling.unstandardize(pred, st, "site", "pred_scaled", out="predicted")
+    return round_doubles(evaluate.pooled_and_mean(back, "daily_count", "predicted", "site"))
+
+
+@query("rfe_features")
+def rfe_features(spark, d):
+    """FS1: recursive elimination of the count features down to 5."""
+    p = scaling.standardize(_count_frame(spark, d), "site", "daily_count", out="scaled")
+    kept = learn.rfe(p, COUNT_FEATS, "scaled", keep=5, step=2,
+                     est_factory=lambda lbl, fc: learn.forest(lbl, fc, numTrees=10, maxDepth=5))
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(kept)], "position int, feature string")
+
+
+@query("rfecv_features")
+def rfecv_features(spark, d):
+    """FS2: elimination inside whole-site folds, size chosen by mean MAE."""
+    p = scaling.standardize(_count_frame(spark, d), "site", "daily_count", out="scaled")
+    p = split.group_kfold(p, "site", 3)
+    chosen, scores = learn.rfecv(p, COUNT_FEATS, "scaled", "fold", step=3, min_keep=2,
+                                 est_factory=lambda lbl, fc: learn.forest(lbl, fc, numTrees=10, maxDepth=5))
+    rows = [(n, float(s), n == len(chosen)) for n, s in sorted(scores.items())]
+    return spark.createDataFrame(rows, "n_features int, mean_mae double, chosen boolean")
+
+
+def _count_forest(spark, d):
+    p = scaling.standardize(_count_frame(spark, d), "site", "daily_count", out="scaled")
+    p = p.select("site", "date", "scaled", *COUNT_FEATS).cache()
+    model = learn.forest("scaled", **SMALL_FOREST).fit(learn.assemble(p, COUNT_FEATS))
+    return p, model
+
+
+@query("impurity_importance")
+def impurity_importance(spark, d):
+    """X1 + T2: forest impurity importances, ranked; top 10."""
+    _, model = _count_forest(spark, d)
+    imp = explain.importances_df(spark, model, COUNT_FEATS)
+    return round_doubles(evaluate.top_k(imp, "importance", 10, tie="feature"))
+
+
+@query("permutation_importance")
+def permutation_importance_q(spark, d):
+    """Mean R^2 drop over 10 seeded permutations of each feature."""
+    p, model = _count_forest(spark, d)
+    return round_doubles(explain.permutation_importance(p, model, COUNT_FEATS, "scaled", ["site", "date"],
+                                                        n_repeats=10, seed=42))
+
+
+@query("block_importance")
+def block_importance_q(spark, d):
+    """X3 + P18: blocks of columns found by name patterns, permuted together;
+    F1 drop of the occurrence classifier and SMAPE rise of the risk forest."""
+    w = _weekly(spark, d).cache()
+    feats = WEEKLY_FEATS
+    blocks = {k: v for k, v in features.blocks_by_pattern(
+        feats, contains={"Prices": ["price", "discount"], "Volume": ["exposure"]},
+        exact={"Tax": ["f_tax"]}).items() if v}
+    a = learn.assemble(w, feats)
+    clf = learn.forest_classifier("occurrence", **SMALL_FOREST).fit(a)
+    reg = learn.forest("risk", **SMALL_FOREST).fit(a)
+    key = ["grid", "year", "week"]
+    c = explain.block_importance(w, clf, feats, blocks, "occurrence", key, metric="f1", seed=7)
+    r = explain.block_importance(w, reg, feats, blocks, "risk", key, metric="smape", seed=7)
+    out = (c.select("block", F.col("importance").alias("f1_drop"))
+           .join(r.select("block", F.col("importance").alias("smape_rise")), "block"))
+    return round_doubles(out)
+
+
+@query("partial_dependence")
+def partial_dependence_q(spark, d):
+    """Partial dependence of the three most important features."""
+    p, model = _count_forest(spark, d)
+    top = [f for f, _ in explain.importances(model, COUNT_FEATS)[:3]]
+    return round_doubles(explain.partial_dependence(p, model, COUNT_FEATS, top, points=20))
+
+
+_GROUPS = {"calendar": ["day_of_week", "day_of_month", "month", "weekend", "is_holiday", "week"],
+           "season": ["season_fall", "season_spring", "season_summer", "season_winter"],
+           "price": ["price"]}
+
+
+@query("group_importance")
+def group_importance_q(spark, d):
+    """Impurity importance summed by feature group."""
+    _, model = _count_forest(spark, d)
+    imp = explain.importances_df(spark, model, COUNT_FEATS)
+    mapping = spark.createDataFrame([(f, g) for g, fs in _GROUPS.items() for f in fs], "feature string, group string")
+    return round_doubles(explain.group_importance(imp, mapping))
+
+
+def _surface_with_means(spark, d):
+    p = B.risk_panel(spark, d)
+    s = risk.risk_surface(p)
+    return s.join(panel.cell_mean(p, "grid", list(B.PANEL_FEATURES)), "grid", "left")
+
+
+@query("ols_multi")
+def ols_multi(spark, d):
+    """Q1: log accidents on log exposure and the cell feature means, with
+    standard errors, t and p values (NULL predictors -> 0)."""
+    s = _surface_with_means(spark, d)
+    return round_doubles(stats.ols(s, "log_accidents", ["log_exposure", *B.PANEL_FEATURES]))
+
+
+@query("vif_multi")
+def vif_multi(spark, d):
+    """Q2: VIF of the same predictors without intercept, highest first."""
+    s = _surface_with_means(spark, d)
+    return round_doubles(stats.vif(s, ["log_exposure", *B.PANEL_FEATURES]))
+
+
+@query("impute_scale")
+def impute_scale_q(spark, d):
+    """M2: impute -> assemble -> scale pipeline fitted on training years,
+    applied to the later years."""
+    g = B.gappy_panel(spark, d)
+    tr, te = g.where(F.year("date") <= 1998), g.where(F.year("date") > 1998)
+    cols = ["daily_count", "price"]
+    g2 = {c: F.col(c).cast("double") for c in cols}
+    model = learn.impute_scale(cols).fit(tr.withColumns(g2))
+    out = model.transform(te.withColumns(g2))
+    return out.select("site", "date", vector_to_array("features").alias("features"))
+
+
+@query("group_kfold")
+def group_kfold_q(spark, d):
+    """M5 for many groups: sites hashed into 5 folds."""
+    return split.group_kfold(B.count_panel(spark, d).select("site", "date"), "site", 5)
+
+
+@query("box_stats_approx")
+def box_stats_approx(spark, d):
+    """A12 at scale: box statistics from the mergeable percentile sketch."""
+    return round_doubles(stats.box_stats(B.count_panel(spark, d), "site", "daily_count", approx=True))
+
+
+@query("distinct_count_approx")
+def distinct_count_approx(spark, d):
+    """A8 at scale: HyperLogLog++ distinct count."""
+    from ..sources.io import read_table
+    return panel.distinct_values(read_table(spark, d, "orders"), "o_custkey", approx=True)
