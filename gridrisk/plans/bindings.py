@@ -82,3 +82,15 @@ def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n_events"),
                   F.sum("value").alias("value_sum"),
                   F.count(F.when(F.col("event_type") == "error", F.lit(1))).alias("n_errors")))
+
+
+def cell_squares(spark: SparkSession, sf_dir: str, half: float = 0.5) -> DataFrame:
+    """Grid-cell layer: one square polygon (WGS84, closed ring of 5 corners)
+    per supplier key, centred on a longitude/latitude derived from the key."""
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid"))
+    lon = ((F.col("grid") % 360) - 180).cast("double")
+    lat = ((F.col("grid") % 170) - 85).cast("double")
+    corners = [(-half, -half), (half, -half), (half, half), (-half, half), (-half, -half)]
+    ring = F.array(*[F.array(lon + F.lit(dx), lat + F.lit(dy)) for dx, dy in corners])
+    return s.select("grid", F.struct(F.lit("Polygon").alias("type"),
+                                     F.array(ring).alias("coordinates")).alias("geometry"))

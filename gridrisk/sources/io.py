@@ -41,15 +41,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_geojson(spark: SparkSession, path: str, key: str = "grid") -> DataFrame:
-    """One row per GeoJSON feature with its properties flattened.
+def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool | None = None) -> DataFrame:
+    """One row per GeoJSON feature, properties flattened next to ``geometry``.
 
-    ``multiLine`` JSON is read as one record per file, so a single
-    FeatureCollection file is one task; layers of many cells should be split
-    into several files (or GeoJSON-seq) to parallelise the scan.
+    Reads a FeatureCollection file (``multiLine``: one record per file, so a
+    big layer should come as several files) or GeoJSON-seq lines (one feature
+    per line, split across tasks like any JSON lines input).
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.explode("features").alias("f"))
+    if seq is None:
+        seq = "features" not in spark.read.option("multiLine", True).json(path).columns
+    if seq:
+        feats = spark.read.json(path).select(F.struct("*").alias("f"))
+    else:
+        feats = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     props = feats.select("f.properties.*").columns
     out = feats.select(*[F.col(f"f.properties.`{p}`").alias(p) for p in props],
                        F.col("f.geometry").alias("geometry"))
@@ -58,6 +62,15 @@ def read_geojson(spark: SparkSession, path: str, key: str = "grid") -> DataFrame
     return out
 
 
+def write_geojson_seq(df: DataFrame, path: str, geometry: str = "geometry", mode: str = "overwrite") -> None:
+    """Write features as GeoJSON-seq (one Feature per line, every task writes
+    its own file): properties = all columns but the geometry."""
+    props = [c for c in df.columns if c != geometry]
+    df.select(F.lit("Feature").alias("type"),
+              F.struct(*[F.col(f"`{c}`") for c in props]).alias("properties"),
+              F.col(geometry).alias("geometry")).write.mode(mode).json(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
                 mode: str = "overwrite") -> None:
     """K1: write a directory (one file per task); CSV carries a header, no index column."""
