@@ -132,22 +132,27 @@ def interpolate(df: DataFrame, cols, order_by, partition_by=(), block_rows: int
     def point(c):
         return F.when(col(c).isNotNull(), F.struct(F.col("_ip_pos").alias("p"), col(c).cast("double").alias("v")))
 
-    fwd = Window.partitionBy(*bkey).orderBy("_ip_pos").rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy(*bkey).orderBy("_ip_pos").rowsBetween(0, Window.unboundedFollowing)
-    local = ranked.withColumns({**{f"_ip_prev{i}": F.last(point(c), ignorenulls=True).over(fwd)
-                                   for i, c in enumerate(cols)},
-                                **{f"_ip_next{i}": F.first(point(c), ignorenulls=True).over(bwd)
-                                   for i, c in enumerate(cols)}})
+    # Both directions are running frames (UNBOUNDED PRECEDING .. CURRENT ROW),
+    # which Spark evaluates incrementally; "next known value" is the running
+    # last value in descending order.  A frame ending at UNBOUNDED FOLLOWING
+    # would be re-aggregated for every row: quadratic in the block size.
+    fwd = Window.partitionBy(*bkey).orderBy(F.col("_ip_pos").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy(*bkey).orderBy(F.col("_ip_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranked.withColumns({f"_ip_prev{i}": F.last(point(c), ignorenulls=True).over(fwd)
+                                for i, c in enumerate(cols)})
+    local = local.withColumns({f"_ip_next{i}": F.last(point(c), ignorenulls=True).over(bwd)
+                               for i, c in enumerate(cols)})
 
     summary = ranked.groupBy(*bkey).agg(*[F.max(point(c)).alias(f"_ip_bl{i}") for i, c in enumerate(cols)],
                                          *[F.min(point(c)).alias(f"_ip_bf{i}") for i, c in enumerate(cols)])
-    bw = Window.partitionBy(*part).orderBy("_ip_blk") if part else Window.orderBy("_ip_blk")
+    up = (Window.partitionBy(*part) if part else Window).orderBy(F.col("_ip_blk").asc())
+    down = (Window.partitionBy(*part) if part else Window).orderBy(F.col("_ip_blk").desc())
     carry = summary.select(*bkey,
                            *[F.last(f"_ip_bl{i}", ignorenulls=True)
-                             .over(bw.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ip_cp{i}")
+                             .over(up.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ip_cp{i}")
                              for i in range(len(cols))],
-                           *[F.first(f"_ip_bf{i}", ignorenulls=True)
-                             .over(bw.rowsBetween(1, Window.unboundedFollowing)).alias(f"_ip_cn{i}")
+                           *[F.last(f"_ip_bf{i}", ignorenulls=True)
+                             .over(down.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ip_cn{i}")
                              for i in range(len(cols))])
     joined = local.join(carry, bkey, "left")
 

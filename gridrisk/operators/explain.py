@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, smape_term
-from .ranking import rank_within
+from .ranking import row_number_global
 
 
 def importances(model, features) -> list[tuple[str, float]]:
@@ -32,29 +32,39 @@ def permuted_variants(df: DataFrame, key, blocks: dict, n_repeats: int, seed: in
     """Rows of ``df`` once per (block, repeat) with the block's columns taken
     from a seeded random permutation of the rows.
 
-    Positions: a row's rank by ``key`` (unique) is matched with the row of the
-    same rank in the hash order ``xxhash64(key, block, repeat, seed)``; both
-    ranks come from the range-partitioned numbering in one pass over all
-    variants, so no variant is gathered into one task.
+    Every row gets its rank p by ``key`` (unique) once.  Donor rows - only the
+    key and the block's values - are copied per variant v and numbered in the
+    order (v, xxhash64(key, v, seed), key); as each variant holds exactly n
+    rows, the hash rank inside the variant is that number minus v*n.  The
+    row at key rank p receives the values of the donor at hash rank p: one
+    join on (p) of the n base rows with the n x variants donor rows.  Both
+    numberings are range-partitioned, so no variant sits in one task.
     """
     key = list(key)
     spark = df.sparkSession
-    variants = spark.createDataFrame([(b, r) for b in blocks for r in range(n_repeats)],
-                                     "_pv_block string, _pv_rep int")
-    copies = df.crossJoin(F.broadcast(variants))  # variant table: blocks x repeats rows
-    by_key = rank_within(copies, ["_pv_block", "_pv_rep"], key, name="_pv_pos").drop("_pv_pos_n")
-    all_cols = sorted({c for cols in blocks.values() for c in cols})
-    hashed = copies.select(*key, "_pv_block", "_pv_rep", *all_cols,
-                           F.xxhash64(*[col(k) for k in key], F.col("_pv_block"), F.col("_pv_rep"),
-                                      F.lit(seed)).alias("_pv_h"))
-    by_hash = rank_within(hashed, ["_pv_block", "_pv_rep"], ["_pv_h", *key], name="_pv_pos").drop("_pv_pos_n")
-    donors = by_hash.select("_pv_block", "_pv_rep", "_pv_pos", *[col(c).alias(f"_pv_src_{c}") for c in all_cols])
-    j = by_key.join(donors, ["_pv_block", "_pv_rep", "_pv_pos"])
+    names = list(blocks)
+    variants = spark.createDataFrame([(i * n_repeats + r, b, r) for i, b in enumerate(names) for r in range(n_repeats)],
+                                     "_pv_v int, _pv_block string, _pv_rep int")
+    base = row_number_global(df, key, "_pv_pos")
+    n = df.count()
+    vals = F.lit(None).cast("array<double>")
+    for b in names:
+        vals = F.when(F.col("_pv_block") == b, F.array(*[col(c).cast("double") for c in blocks[b]])).otherwise(vals)
+    moved = sorted({c for cs in blocks.values() for c in cs})
+    donors = (df.select(*key, *moved).crossJoin(F.broadcast(variants))  # variants: blocks x repeats rows
+                .select("_pv_v", vals.alias("_pv_vals"), *key,
+                        F.xxhash64(*[col(k) for k in key], F.col("_pv_v"), F.lit(seed)).alias("_pv_h")))
+    donors = row_number_global(donors, ["_pv_v", "_pv_h", *key], "_pv_rn")
+    donors = donors.select("_pv_v", (F.col("_pv_rn") - F.col("_pv_v") * F.lit(n)).alias("_pv_pos"), "_pv_vals")
+    j = base.join(donors, "_pv_pos").join(F.broadcast(variants), "_pv_v")
     repl = {}
-    for c in all_cols:
-        members = [b for b, cols in blocks.items() if c in cols]
-        repl[c] = F.when(F.col("_pv_block").isin(members), F.col(f"_pv_src_{c}")).otherwise(col(c))
-    return j.withColumns(repl).drop("_pv_pos", *[f"_pv_src_{c}" for c in all_cols])
+    for c in moved:
+        e = col(c)
+        for b in names:
+            if c in blocks[b]:
+                e = F.when(F.col("_pv_block") == b, F.col("_pv_vals")[blocks[b].index(c)]).otherwise(e)
+        repl[c] = e
+    return j.withColumns(repl).drop("_pv_pos", "_pv_vals", "_pv_v")
 
 
 def _score_aggs(label: str, metric: str):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Broadcast only below this many rows of the small side; above it the join is
 # left to the planner (sort-merge, with AQE's runtime broadcast and skew split).
 BROADCAST_MAX_ROWS = 2_000_000
@@ -19,7 +21,15 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 def small_side_join(big: DataFrame, small: DataFrame, on, how: str = "left",
                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a per-key side table: broadcast when its size is checked small, else shuffle."""
+    """Join a per-key side table (group statistics, fold ids, ...).
+
+    The side table is materialised once in the checkpoint folder, its row
+    count is checked, and it is broadcast only under ``max_rows``; above that
+    the join is planned as a shuffle join (AQE splits skewed keys).  The big
+    side is never shuffled when the side table is small, so a key holding a
+    third of the rows costs nothing extra.
+    """
+    small = cut_lineage(small)
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..session import cut_lineage
 
 FEATURES = "features"
 
@@ -137,7 +138,7 @@ def logo_linear(df: DataFrame, features, label: str, group: str, prediction: str
     data = df.where(y.isNotNull())
     aggs = [F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     aggs += [F.sum(xs[i] * y).alias(f"b{i}") for i in range(k)]
-    per = data.groupBy(col(group).alias("_lg_group")).agg(*aggs)
+    per = cut_lineage(data.groupBy(col(group).alias("_lg_group")).agg(*aggs))  # one row per group
     tot = per.agg(*[F.sum(c).alias(c) for c in per.columns if c != "_lg_group"]).collect()[0].asDict()
     g_tot = np.zeros((k, k))
     for i in range(k):

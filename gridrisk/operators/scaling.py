@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..session import cut_lineage
 from .joins import small_side_join
 
 GLOBAL_KEY = "__global__"
@@ -21,16 +22,17 @@ GLOBAL_KEY = "__global__"
 def fit_scaler(df: DataFrame, key: str, c: str) -> DataFrame:
     """Per-group (mean, scale) of ``c``; scale = population std, 0 -> 1."""
     std = F.stddev_pop(col(c).cast("double"))
-    return df.groupBy(col(key)).agg(
+    stats = df.groupBy(col(key)).agg(
         F.avg(col(c).cast("double")).alias("mean"),
         F.when(F.coalesce(std, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(std).alias("scale"))
+    return cut_lineage(stats)  # one row per group, reused by scale and inverse-scale
 
 
 def fit_global(df: DataFrame, c: str) -> DataFrame:
     """The fallback statistics over all rows (one row)."""
     std = F.stddev_pop(col(c).cast("double"))
-    return df.agg(F.avg(col(c).cast("double")).alias("g_mean"),
-                  F.when(F.coalesce(std, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(std).alias("g_scale"))
+    return cut_lineage(df.agg(F.avg(col(c).cast("double")).alias("g_mean"),
+                              F.when(F.coalesce(std, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(std).alias("g_scale")))
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, key: str, global_stats: DataFrame | None) -> DataFrame:
