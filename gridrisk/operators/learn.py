@@ -192,6 +192,14 @@ def param_maps(estimator, grid: dict):
     return b.build()
 
 
+def _with_folds(cv, df: DataFrame, fold: str | None, num_folds: int):
+    """Use a fold-id column (ids 0..k-1; k read from the data) or random folds."""
+    if not fold:
+        return cv.setNumFolds(num_folds)
+    k = int(df.agg(F.max(fold)).first()[0]) + 1
+    return cv.setFoldCol(fold).setNumFolds(k)
+
+
 def grid_search(df: DataFrame, estimator, grid: dict, evaluator, fold: str | None = None,
                 num_folds: int = 3, parallelism: int = 2, seed: int = 42):
     """H1: exhaustive search scored by cross-validation on a given fold column
@@ -199,7 +207,7 @@ def grid_search(df: DataFrame, estimator, grid: dict, evaluator, fold: str | Non
     maps = param_maps(estimator, grid)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator,
                         parallelism=parallelism, seed=seed)
-    cv = cv.setFoldCol(fold) if fold else cv.setNumFolds(num_folds)
+    cv = _with_folds(cv, df, fold, num_folds)
     return cv.fit(df)
 
 
@@ -212,7 +220,7 @@ def random_search(df: DataFrame, estimator, grid: dict, evaluator, fold: str | N
     chosen = rnd.sample(maps, min(n_iter, len(maps)))
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=chosen, evaluator=evaluator,
                         parallelism=parallelism, seed=seed)
-    cv = cv.setFoldCol(fold) if fold else cv.setNumFolds(num_folds)
+    cv = _with_folds(cv, df, fold, num_folds)
     return cv.fit(df)
 
 

@@ -271,3 +271,40 @@ def distinct_count_approx(spark, d):
     """A8 at scale: HyperLogLog++ distinct count."""
     from ..sources.io import read_table
     return panel.distinct_values(read_table(spark, d, "orders"), "o_custkey", approx=True)
+
+
+# ------------------------------------------------------------- workflows ---
+
+@query("volume_model_workflow")
+def volume_model_workflow(spark, d):
+    """Stage 1 end to end on the site x day count panel: interpolation,
+    scaling, elimination to 6 features, random search over whole-site folds,
+    fold-wise forest, per-site metrics."""
+    from .workflows import volume_model
+    p = B.gappy_panel(spark, d)
+    p = features.season_dummies(features.calendar_parts(p, "date", holidays=(), recurring=cal.RECURRING_HOLIDAYS))
+    out = volume_model(p, site="site", date="date", target="daily_count", feature_cols=COUNT_FEATS,
+                       gap_cols=["price"], keep=6, step=3, folds=5,
+                       search_grid={"maxDepth": [4, 6], "minInstancesPerNode": [1, 4]}, n_iter=2,
+                       forest_params={"numTrees": 10, "maxDepth": 5}, explain_model=False)
+    return round_doubles(out["per_group"])
+
+
+@query("risk_model_workflow")
+def risk_model_workflow(spark, d):
+    """Stage 2 end to end: weekly risk, the reference's two temporal splits,
+    imputation, tuned forest classifier and regressor, metrics per split."""
+    from .queries_core import _SPECS
+    from .workflows import risk_model
+    out = risk_model(B.risk_panel(spark, d), specs=_SPECS, feature_cols=list(B.PANEL_FEATURES),
+                     exclude=B.EXCLUDED_CELLS, classifier_grid={"maxDepth": [3, 5]},
+                     forest_params={"numTrees": 10, "maxDepth": 5}, write_back_split=2, map_from_week=40)
+    return round_doubles(out["metrics"])
+
+
+@query("safety_workflow")
+def safety_workflow(spark, d):
+    """Safety in numbers end to end: surface, correlations, OLS, VIF (OLS table returned)."""
+    from .workflows import safety_in_numbers
+    out = safety_in_numbers(B.risk_panel(spark, d), feature_cols=list(B.PANEL_FEATURES))
+    return round_doubles(out["ols"])
