@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..session import cut_lineage
+from .joins import small_side_join
 
 FEATURES = "features"
 
@@ -167,9 +168,10 @@ def logo_linear(df: DataFrame, features, label: str, group: str, prediction: str
     gtype = per.schema["_lg_group"].dataType.simpleString()
     schema = f"_lg_group {gtype}, " + ", ".join(f"beta{i} double" for i in range(k))
     betas = per.mapInPandas(solve, schema)
-    j = df.join(betas, col(group) == F.col("_lg_group"), "left")
+    betas = betas.withColumnRenamed("_lg_group", group)
+    j = small_side_join(df, betas, group, "left")  # one row of coefficients per group
     pred = reduce(lambda a, b: a + b, [F.col(f"beta{i}") * xs[i] for i in range(k)])
-    return j.withColumn(prediction, pred).drop("_lg_group", *[f"beta{i}" for i in range(k)])
+    return j.withColumn(prediction, pred).drop(*[f"beta{i}" for i in range(k)])
 
 
 # ------------------------------------------------------------------ search ---

@@ -56,12 +56,15 @@ def rank_within(df: DataFrame, group_cols, order_cols, name: str = "pos",
     """0-based position of a row inside its group (``row_number() - 1`` per group).
 
     A group's first global row number comes from a grouped ``min`` (partial
-    aggregation, so a hot group costs one value per task) and is joined back.
+    aggregation, so a hot group costs one value per task) and is joined back
+    through the size-checked broadcast join (one row per group).
     """
+    from .joins import small_side_join  # local import: joins -> session only
+
     ranked = row_number_global(df, list(group_cols) + list(order_cols), "_rw_rn", partitions)
     starts = ranked.groupBy(*group_cols).agg(F.min("_rw_rn").alias("_rw_start"),
                                             F.count(F.lit(1)).alias("_rw_n"))
-    out = ranked.join(starts, list(group_cols), "inner")
+    out = small_side_join(ranked, starts, list(group_cols), "inner")
     return (out.withColumn(name, F.col("_rw_rn") - F.col("_rw_start"))
                .withColumnRenamed("_rw_n", f"{name}_n")
                .drop("_rw_rn", "_rw_start"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..session import cut_lineage
+from .joins import small_side_join
 from .ranking import rank_within, row_number_global
 
 
@@ -86,8 +88,8 @@ def box_stats(df: DataFrame, key: str, c: str, whisker: float = 1.5, approx: boo
         quart = picked.select(key, "n", *[
             (F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
             for i, nm in enumerate(("q1", "median", "q3"))])
-    quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
-    fenced = vals.join(quart.select(key, "q1", "q3", "iqr"), key)
+    quart = cut_lineage(quart.withColumn("iqr", F.col("q3") - F.col("q1")))  # one row per group, used twice
+    fenced = small_side_join(vals, quart.select(key, "q1", "q3", "iqr"), key, "inner")
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
     whisk = fenced.groupBy(key).agg(
@@ -121,14 +123,17 @@ def ols_one(df: DataFrame, y: str, x: str) -> DataFrame:
               F.regr_intercept("_y", "_x").alias("intercept"), F.regr_r2("_y", "_x").alias("r2"),
               F.regr_sxx("_y", "_x").alias("sxx"), F.regr_sxy("_y", "_x").alias("sxy"),
               F.regr_syy("_y", "_x").alias("syy"), F.regr_avgx("_y", "_x").alias("xbar"))
-    sigma2 = (F.col("syy") - F.col("slope") * F.col("sxy")) / (F.col("n") - 2)
-    se_slope = F.sqrt(sigma2 / F.col("sxx"))
-    se_int = F.sqrt(sigma2 * (F.lit(1.0) / F.col("n") + F.col("xbar") * F.col("xbar") / F.col("sxx")))
-    adj = F.lit(1.0) - (F.lit(1.0) - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2)
+    # try_divide: fewer than 3 rows or a constant predictor give NULL, not an error
+    dof = (F.col("n") - 2).cast("double")
+    sigma2 = F.try_divide(F.col("syy") - F.col("slope") * F.col("sxy"), dof)
+    se_slope = F.sqrt(F.try_divide(sigma2, F.col("sxx")))
+    se_int = F.sqrt(sigma2 * (F.try_divide(F.lit(1.0), F.col("n").cast("double"))
+                              + F.try_divide(F.col("xbar") * F.col("xbar"), F.col("sxx"))))
+    adj = F.lit(1.0) - F.try_divide((F.lit(1.0) - F.col("r2")) * (F.col("n") - 1), dof)
     return s.select(
         F.col("n"), F.col("r2"), adj.alias("r2_adj"),
-        F.col("intercept"), se_int.alias("se_intercept"), (F.col("intercept") / se_int).alias("t_intercept"),
-        F.col("slope"), se_slope.alias("se_slope"), (F.col("slope") / se_slope).alias("t_slope"))
+        F.col("intercept"), se_int.alias("se_intercept"), F.try_divide(F.col("intercept"), se_int).alias("t_intercept"),
+        F.col("slope"), se_slope.alias("se_slope"), F.try_divide(F.col("slope"), se_slope).alias("t_slope"))
 
 
 def ols(df: DataFrame, y: str, xs, fill_zero: bool = True) -> DataFrame:

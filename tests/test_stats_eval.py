@@ -98,3 +98,11 @@ def test_ols_and_vif(spark):
         b = np.linalg.lstsq(others, Xn[:, i], rcond=None)[0]
         r2_unc = 1 - np.sum((Xn[:, i] - others @ b) ** 2) / np.sum(Xn[:, i] ** 2)
         assert vifs[c] == pytest.approx(1 / (1 - r2_unc), rel=1e-6)
+
+
+def test_ols_one_degenerate_is_null_not_error(spark):
+    two = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0)], "x double, y double")
+    r = stats.ols_one(two, "y", "x").first()
+    assert r.slope == pytest.approx(2.0) and r.se_slope is None
+    flat = spark.createDataFrame([(1.0, 1.0), (1.0, 3.0), (1.0, 2.0)], "x double, y double")
+    assert stats.ols_one(flat, "y", "x").first().slope is None
