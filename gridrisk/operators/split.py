@@ -10,19 +10,41 @@ from .joins import small_side_join
 from .ranking import dense_rank_keys, ntile_global, rank_within
 
 
+def stratified_sizes(counts: list[tuple], k: int) -> list[tuple]:
+    """Rows per (label, fold) of scikit-learn's ``StratifiedKFold`` (no shuffle):
+    the label-sorted rows are dealt round-robin into k slices, and label c
+    receives in fold f as many rows as slice f holds of c.  ``counts`` is
+    [(label, n)]; returns [(label, fold, first position, size)]."""
+    out, start = [], 0
+    for lab, n in sorted(counts, key=lambda t: t[0]):
+        first = 0
+        for f in range(k):
+            size = (start + n - 1 - f) // k - (start - 1 - f) // k
+            out.append((lab, f, first, size))
+            first += size
+        start += n
+    return out
+
+
 def fold_id(df: DataFrame, k: int, order_by, label: str | None = None, name: str = "fold") -> DataFrame:
     """Contiguous k-fold id (0..k-1) in row order, first ``n mod k`` folds one
-    row larger (scikit-learn ``KFold`` without shuffling).  With ``label``,
-    folds are cut inside each label (a stratified form).  ``order_by`` must be
-    unique.  Numbered through a range-partitioned order, not a one-task window."""
+    row larger (scikit-learn ``KFold`` without shuffling).  With ``label``, the
+    classifier form (``StratifiedKFold`` without shuffling): each label's rows,
+    in order, are cut into contiguous runs whose sizes follow its
+    round-robin allocation.  ``order_by`` must be unique.  Positions come from
+    the range-partitioned numbering, not a one-task window; only the label
+    counts (one row per label) reach the driver."""
     if label is None:
         return ntile_global(df, k, order_by, name)
     r = rank_within(df, [label], order_by, name="_fd_pos")
-    n = F.col("_fd_pos_n")
-    q, rem, i = F.floor(n / k), n % k, F.col("_fd_pos")
-    big = rem * (q + 1)
-    tile = F.when(i < big, F.floor(i / (q + 1))).otherwise(rem + F.floor((i - big) / F.greatest(q, F.lit(1))))
-    return r.withColumn(name, tile.cast("int")).drop("_fd_pos", "_fd_pos_n")
+    counts = [(row[0], row[1]) for row in df.groupBy(col(label)).count().collect()]
+    ltype = df.schema[label].dataType.simpleString()
+    runs = df.sparkSession.createDataFrame(stratified_sizes(counts, k),
+                                           f"_fd_label {ltype}, {name} int, _fd_lo long, _fd_size long")
+    cond = ((col(label) == F.col("_fd_label")) & (F.col("_fd_pos") >= F.col("_fd_lo"))
+            & (F.col("_fd_pos") < F.col("_fd_lo") + F.col("_fd_size")))
+    j = r.join(F.broadcast(runs), cond, "inner")  # runs: labels x k rows
+    return j.drop("_fd_pos", "_fd_pos_n", "_fd_label", "_fd_lo", "_fd_size")
 
 
 def temporal_splits(df: DataFrame, specs, week: str = "week") -> DataFrame:

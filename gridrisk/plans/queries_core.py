@@ -701,11 +701,19 @@ def kfold_ids(spark, d):
 
 
 @query("kfold_stratified", with_views("""
-SELECT grid, year, week, occurrence,
-       CAST(ntile(3) OVER (PARTITION BY occurrence ORDER BY grid, year, week) - 1 AS INTEGER) AS fold FROM weekly""",
+SELECT w.grid, w.year, w.week, w.occurrence, CAST(a.fold AS INTEGER) AS fold
+FROM (SELECT *, row_number() OVER (PARTITION BY occurrence ORDER BY grid, year, week) - 1 AS pos FROM weekly) w
+JOIN (SELECT occurrence, fold,
+             sum(sz) OVER (PARTITION BY occurrence ORDER BY fold) - sz AS lo, sz
+      FROM (SELECT c.occurrence, f.fold,
+                   floor((c.start + c.n - 1 - f.fold) / 3) - floor((c.start - 1 - f.fold) / 3) AS sz
+            FROM (SELECT occurrence, n, sum(n) OVER (ORDER BY occurrence) - n AS start
+                  FROM (SELECT occurrence, count(*) AS n FROM weekly GROUP BY occurrence)) c
+            CROSS JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range(0, 3)) f)) a
+  ON w.occurrence = a.occurrence AND w.pos >= a.lo AND w.pos < a.lo + a.sz""",
                                       "risk_panel", extra={"weekly": _WEEKLY_RAW}))
 def kfold_stratified(spark, d):
-    """W5 with a label: folds cut inside each class."""
+    """W5 with a label: the classifier CV folds (StratifiedKFold allocation)."""
     w = _weekly(spark, d).select("grid", "year", "week", "occurrence")
     return split.fold_id(w, 3, ["grid", "year", "week"], label="occurrence")
 

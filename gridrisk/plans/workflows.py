@@ -85,8 +85,8 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
     """Stage 2.  Weekly roll-up with exposure-adjusted risk and occurrence
     label (R1, A1-A2, P13, P19), exclusion (F3), then per temporal split
     (M3): mean imputation fitted on train (M1), forest classifier and
-    regressor tuned by contiguous-fold CV (H1, W5; F1 of the positive class /
-    MAE), confusion matrix (A14), class and regression metrics (E3-E5),
+    regressor tuned by CV over stratified / contiguous folds (H1, W5; F1 of
+    the positive class / MAE), confusion matrix (A14), class and regression metrics (E3-E5),
     optional write-back of one split's predictions (J6) and map layer (R8)."""
     forest_params = dict(forest_params or {"numTrees": 100, "maxDepth": 10})
     feats = list(feature_cols)
@@ -100,12 +100,13 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
         te = weekly.where(F.col("week").between(*sp["test"]))
         te = clean.mean_impute(tr, te, feats)
         tr = clean.mean_impute(tr, tr, feats)
-        tr = split.fold_id(tr, cv_folds, keys)
+        # classifier CV folds are stratified by the label, regressor folds plain contiguous
+        tr = split.fold_id(split.fold_id(tr, cv_folds, keys), cv_folds, keys, label="occurrence", name="sfold")
         a_tr, a_te = learn.assemble(tr, feats).cache(), learn.assemble(te, feats)
         clf = learn.forest_classifier("occurrence", seed=seed, **forest_params)
         reg = learn.forest("risk", seed=seed, **forest_params)
         if classifier_grid:
-            clf = learn.grid_search(a_tr, clf, classifier_grid, learn.f1_evaluator("occurrence"), fold="fold").bestModel
+            clf = learn.grid_search(a_tr, clf, classifier_grid, learn.f1_evaluator("occurrence"), fold="sfold").bestModel
         else:
             clf = clf.fit(a_tr)
         if regressor_grid:
