@@ -400,6 +400,14 @@ def mean_weekly_risk(spark, d):
     return round_doubles(risk.mean_risk(B.risk_panel(spark, d), level="week"))
 
 
+@query("mean_weekly_risk_compat", with_views(f"SELECT grid, {_rnd('mean_daily_risk')} AS mean_weekly_risk FROM dr",
+                                             "risk_panel", extra=_SURFACE_CTES))
+def mean_weekly_risk_compat(spark, d):
+    """R6 in the reference's form: its 'weekly' ratio is the daily row-level
+    ratio, so the mean equals R5."""
+    return round_doubles(risk.mean_risk(B.risk_panel(spark, d), level="week", reference_compat=True))
+
+
 @query("deduped_accidents", with_views("SELECT grid, accidents FROM acc", "risk_panel", extra=_SURFACE_CTES))
 def deduped_accidents(spark, d):
     """A5: accidents over distinct (cell, date, accident) rows."""

@@ -114,3 +114,20 @@ def test_stratified_fold_ids(spark):
     one = [i for i in sorted(got) if i not in zero]
     assert [got[i] for i in one] == [0, 1, 1, 2, 2]
     assert len(labels) == len(got)
+
+
+def test_hot_group_is_split_across_tasks(spark):
+    """A group holding a third of the rows is numbered by several tasks, and the
+    per-group positions stay exact."""
+    n = 3000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
+                               (F.col("id") * 7 % n).alias("x"))
+    r = ranking.rank_within(df, ["g"], ["x"], partitions=8)
+    hot = r.where("g = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(hot) >= 2 and max(c["count"] for c in hot) < n // 3
+    ref = df.select("g", "x", (F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1).alias("p"))
+    assert r.join(ref, ["g", "x"]).where(F.col("pos") != F.col("p")).count() == 0
+    sk = spark.createDataFrame([(0 if i % 3 == 0 else i % 7, float(i % 11) if i % 4 else None) for i in range(600)],
+                               "g int, v double").withColumn("t", F.monotonically_increasing_id())
+    out = clean.interpolate(sk, ["v"], ["t"], ["g"], block_rows=16)
+    assert out.count() == 600 and out.where(F.col("v").isNull()).count() == 0
