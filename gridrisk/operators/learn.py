@@ -270,11 +270,8 @@ def rfe_path(assembled: DataFrame, features, label: str, keep: int, step: int =
 def rfe(df: DataFrame, features, label: str, keep: int = 30, step: int = 1, est_factory=None):
     """FS1: the features kept by recursive elimination (assembled once,
     cut with ``VectorSlicer`` at every step)."""
-    a = assemble(df, features).cache()
-    try:
-        return rfe_path(a, features, label, keep, step, est_factory)[-1][0]
-    finally:
-        a.unpersist()
+    a = assemble(cut_lineage(df), features)  # every elimination step re-reads it
+    return rfe_path(a, features, label, keep, step, est_factory)[-1][0]
 
 
 def rfecv(df: DataFrame, features, label: str, fold: str, step: int = 1, min_keep: int = 1,
@@ -282,18 +279,15 @@ def rfecv(df: DataFrame, features, label: str, fold: str, step: int = 1, min_kee
     """FS2: run elimination inside every fold, score each size on the held-out
     fold, pick the size with the lowest mean error, then eliminate on all
     rows down to that size.  Returns (chosen features, {size: mean score})."""
-    a = assemble(df, features).cache()
-    try:
-        folds = sorted(r[0] for r in a.select(fold).distinct().collect())
-        scores: dict[int, list[float]] = {}
-        for k in folds:
-            path = rfe_path(a.where(F.col(fold) != k), features, label, min_keep, step, est_factory,
-                            eval_df=a.where(F.col(fold) == k), metric=metric)
-            for feats, s in path:
-                scores.setdefault(len(feats), []).append(s)
-        mean = {n: float(np.mean(v)) for n, v in scores.items() if len(v) == len(folds)}
-        best = min(mean, key=lambda n: (mean[n], n))
-        chosen = rfe_path(a, features, label, best, step, est_factory)[-1][0]
-        return chosen, mean
-    finally:
-        a.unpersist()
+    a = assemble(cut_lineage(df), features)  # every fold and step re-reads it
+    folds = sorted(r[0] for r in a.select(fold).distinct().collect())
+    scores: dict[int, list[float]] = {}
+    for k in folds:
+        path = rfe_path(a.where(F.col(fold) != k), features, label, min_keep, step, est_factory,
+                        eval_df=a.where(F.col(fold) == k), metric=metric)
+        for feats, s in path:
+            scores.setdefault(len(feats), []).append(s)
+    mean = {n: float(np.mean(v)) for n, v in scores.items() if len(v) == len(folds)}
+    best = min(mean, key=lambda n: (mean[n], n))
+    chosen = rfe_path(a, features, label, best, step, est_factory)[-1][0]
+    return chosen, mean
