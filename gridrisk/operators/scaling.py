@@ -59,3 +59,22 @@ def unstandardize(df: DataFrame, stats: DataFrame, key: str, c: str, out: str |
     ones for a group the statistics don't know."""
     j = _with_stats(df, stats, key, global_stats)
     return j.withColumn(out or c, col(c) * F.col("scale") + F.col("mean")).drop("mean", "scale")
+
+
+def fit_out_of_fold(df: DataFrame, fold: str, c: str) -> DataFrame:
+    """W3 for cross-validation: per fold id, (mean, scale) of ``c`` over all rows
+    *outside* that fold, from per-fold sums (one grouped aggregate, one row per
+    fold): mean = (S - S_f)/(N - N_f), var = (Q - Q_f)/(N - N_f) - mean^2.
+    Used to inverse-scale a held-out group without its own (unknown) statistics."""
+    x = col(c).cast("double")
+    per = df.where(x.isNotNull()).groupBy(col(fold)).agg(
+        F.count(F.lit(1)).alias("_oof_n"), F.sum(x).alias("_oof_s"), F.sum(x * x).alias("_oof_q"))
+    tot = per.agg(F.sum("_oof_n").alias("_t_n"), F.sum("_oof_s").alias("_t_s"), F.sum("_oof_q").alias("_t_q"))
+    j = per.crossJoin(F.broadcast(tot))  # one row
+    n = (F.col("_t_n") - F.col("_oof_n")).cast("double")
+    mean = F.try_divide(F.col("_t_s") - F.col("_oof_s"), n)
+    var = F.greatest(F.try_divide(F.col("_t_q") - F.col("_oof_q"), n) - mean * mean, F.lit(0.0))
+    std = F.sqrt(var)
+    out = j.select(col(fold), mean.alias("mean"),
+                   F.when(F.coalesce(std, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(std).alias("scale"))
+    return cut_lineage(out)

@@ -10,6 +10,9 @@ from .joins import small_side_join
 from .ranking import dense_rank_keys, ntile_global, rank_within
 
 
+MAX_CLASSES = 10_000
+
+
 def stratified_sizes(counts: list[tuple], k: int) -> list[tuple]:
     """Rows per (label, fold) of scikit-learn's ``StratifiedKFold`` (no shuffle):
     the label-sorted rows are dealt round-robin into k slices, and label c
@@ -37,7 +40,9 @@ def fold_id(df: DataFrame, k: int, order_by, label: str | None = None, name: str
     if label is None:
         return ntile_global(df, k, order_by, name)
     r = rank_within(df, [label], order_by, name="_fd_pos")
-    counts = [(row[0], row[1]) for row in df.groupBy(col(label)).count().collect()]
+    counts = [(row[0], row[1]) for row in df.groupBy(col(label)).count().limit(MAX_CLASSES + 1).collect()]
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{label}: more than {MAX_CLASSES} classes for stratified folds")
     ltype = df.schema[label].dataType.simpleString()
     runs = df.sparkSession.createDataFrame(stratified_sizes(counts, k),
                                            f"_fd_label {ltype}, {name} int, _fd_lo long, _fd_size long")

@@ -24,7 +24,7 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
                  order_key=None, gap_cols=(), exclude=(), keep: int | None = None, step: int = 1,
                  search_grid: dict | None = None, n_iter: int = 20, folds: int | None = None,
                  forest_params: dict | None = None, n_repeats: int = 10, top_pd: int = 3,
-                 explain_model: bool = True, seed: int = 42) -> dict:
+                 explain_model: bool = True, leak_free: bool = True, seed: int = 42) -> dict:
     """Stage 1.  Gap interpolation (W4) per site in date order, exclusion (F3),
     per-site target scaling (W1), optional elimination to ``keep`` features
     (FS1), seeded random search over group folds (H2), fold-wise prediction
@@ -33,7 +33,9 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
     permutation importance (X2) and partial dependence (X4).
 
     ``folds=None`` is leave-one-site-out; an integer hashes whole sites into
-    that many folds (for many sites)."""
+    that many folds (for many sites).  ``leak_free`` inverse-scales a held-out
+    site's predictions with the statistics of the rows outside its fold; the
+    reference uses the held-out site's own statistics (``leak_free=False``)."""
     forest_params = dict(forest_params or {"numTrees": 50, "maxDepth": 10})
     feats = list(feature_cols)
     p = panel
@@ -63,7 +65,11 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
         best.update({prm.name: v for prm, v in best_map.items()})
     est = learn.forest("_scaled", seed=seed, **best)
     pred = learn.cross_predict(a, est, "fold", prediction="_pred_scaled")
-    back = scaling.unstandardize(pred, st, site, "_pred_scaled", out="predicted", global_stats=gl)
+    if leak_free:
+        oof = scaling.fit_out_of_fold(p, "fold", target)
+        back = scaling.unstandardize(pred, oof, "fold", "_pred_scaled", out="predicted")
+    else:
+        back = scaling.unstandardize(pred, st, site, "_pred_scaled", out="predicted", global_stats=gl)
     out["predictions"] = back.select(site, date, F.col(target).alias("true"), "predicted")
     out["per_group"] = evaluate.regression_metrics(back, target, "predicted", by=[site])
     out["pooled"] = evaluate.pooled_and_mean(back, target, "predicted", site)

@@ -131,3 +131,13 @@ def test_hot_group_is_split_across_tasks(spark):
                                "g int, v double").withColumn("t", F.monotonically_increasing_id())
     out = clean.interpolate(sk, ["v"], ["t"], ["g"], block_rows=16)
     assert out.count() == 600 and out.where(F.col("v").isNull()).count() == 0
+
+
+def test_out_of_fold_statistics(spark):
+    rows = [(f, float(v)) for f, vals in enumerate([[1, 2, 3], [10, 20], [5]]) for v in vals]
+    df = spark.createDataFrame(rows, "fold int, x double")
+    got = {r.fold: (r.mean, r.scale) for r in scaling.fit_out_of_fold(df, "fold", "x").collect()}
+    for f in range(3):
+        rest = np.array([v for ff, v in rows if ff != f])
+        assert got[f][0] == pytest.approx(rest.mean())
+        assert got[f][1] == pytest.approx(rest.std() if rest.std() > 0 else 1.0)
