@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, smape_term
+from ..session import cut_lineage
 from .joins import small_side_join
 
 
@@ -105,7 +106,10 @@ def baseline_predict(weekly: DataFrame, *, cell: str, target: str, train, test,
     without training rows; returned for the test-week rows."""
     tr = weekly.where(col(week).between(*train))
     te = weekly.where(col(week).between(*test))
-    per_cell = tr.groupBy(col(cell)).agg(F.avg(col(target)).alias("_bp_cell"))
-    glob = tr.agg(F.avg(col(target)).alias("_bp_glob"))
-    j = small_side_join(te, per_cell, cell, "left").crossJoin(F.broadcast(glob))  # glob: one row
+    y = col(target).cast("double")
+    per_cell = cut_lineage(tr.groupBy(col(cell)).agg(F.sum(y).alias("_bp_s"), F.count(y).alias("_bp_n")))
+    # the global training mean comes from the per-cell sums: no second pass over the input
+    glob = per_cell.agg(F.try_divide(F.sum("_bp_s"), F.sum("_bp_n")).alias("_bp_glob"))
+    cells = per_cell.select(col(cell), F.try_divide(F.col("_bp_s"), F.col("_bp_n")).alias("_bp_cell"))
+    j = small_side_join(te, cells, cell, "left").crossJoin(F.broadcast(glob))  # glob: one row
     return j.withColumn(out, F.coalesce("_bp_cell", "_bp_glob")).drop("_bp_cell", "_bp_glob")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, occurred, ratio_or_null, rescale, safe_ratio
+from ..session import cut_lineage
 from . import joins, panel
 
 
@@ -69,19 +70,31 @@ def mean_risk(day_panel: DataFrame, *, level: str = "day", cell: str = "grid", d
 
 def risk_surface(day_panel: DataFrame, *, cell: str = "grid", date: str = "date",
                  accident: str = "accident", exposure: str = "exposure",
-                 reference_compat: bool = False) -> DataFrame:
+                 reference_compat: bool = False, materialize: bool = True) -> DataFrame:
     """One row per cell with accidents, total/mean exposure, R4, R5, R6,
     exposure in millions and log1p of accidents and exposure.
 
-    The per-cell aggregates are all keyed by ``cell``: Spark hash-partitions
-    each once and the joins reuse that partitioning.
+    The day panel is read by three aggregates (deduplicated accidents; exposure
+    sums with the mean daily ratio in one pass; the weekly ratios), so its
+    four needed columns are materialised once (checkpoint) unless
+    ``materialize=False``.  All aggregates are keyed by ``cell`` and the joins
+    reuse that partitioning.
     """
-    base = annual_risk(day_panel, cell=cell, date=date, accident=accident, exposure=exposure)
-    r5 = mean_risk(day_panel, level="day", cell=cell, accident=accident, exposure=exposure)
-    r6 = mean_risk(day_panel, level="week", cell=cell, date=date, accident=accident,
-                   exposure=exposure, reference_compat=reference_compat)
-    out = joins.risk_join([base, r5, r6], cell)
+    src = day_panel.select(col(cell), col(date), col(accident), col(exposure))
+    if materialize:
+        src = cut_lineage(src)
+    acc = panel.deduped_total(src, cell, date, accident, name="accidents")
+    per = src.groupBy(col(cell)).agg(F.sum(col(exposure)).alias("total_exposure"),
+                                     F.avg(col(exposure)).alias("mean_exposure"),
+                                     F.avg(safe_ratio(accident, exposure, 100.0)).alias("mean_daily_risk"))
+    if reference_compat:
+        per = per.withColumn("mean_weekly_risk", F.col("mean_daily_risk"))
+        parts = [acc, per]
+    else:
+        parts = [acc, per, mean_risk(src, level="week", cell=cell, date=date, accident=accident, exposure=exposure)]
+    out = joins.risk_join(parts, cell)
     return out.withColumns({
+        "annual_risk": ratio_or_null("accidents", "total_exposure"),
         "exposure_millions": rescale("total_exposure", 1e6),
         "log_exposure": F.log1p(F.col("total_exposure")),
         "log_accidents": F.log1p(F.col("accidents")),
