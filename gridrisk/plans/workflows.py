@@ -20,6 +20,32 @@ from ..session import cut_lineage
 from ..sources.io import metrics_long
 
 
+def prepare_count_panel(raw: DataFrame, *, date: str = "Date", site: str = "grid", group_col: str = "GroupType",
+                        group_value: str | None = "SG", weather=("tavg", "tmin", "tmax", "wspd", "pres", "wdir", "wpgt"),
+                        speed_col: str = "max_speed", speed_unit: str = "mph", categoricals=("Borough", "Names"),
+                        sentinel: str = "none", holidays=None, order_key: str | None = None) -> DataFrame:
+    """Stage-1 preparation of a site x day count panel: calendar parts and
+    season dummies (P1-P7), group filter (F1), weather gaps interpolated per
+    site in date order (W4), unit-suffixed speed parsed (P9), categoricals
+    one-hot with the first level dropped (P8), sentinel strings to NULL (P11),
+    remaining NULLs to 0 (P12).  Columns that are absent are skipped."""
+    from ..functions import calendar as cal
+
+    p = raw.withColumn(date, cal.to_day(date))
+    p = features.calendar_parts(p, date, holidays=cal.REFERENCE_HOLIDAYS if holidays is None else holidays)
+    p = features.season_dummies(p)
+    if group_value is not None and group_col in p.columns:
+        p = p.where(F.col(group_col) == group_value)
+    gaps = [c for c in weather if c in p.columns]
+    if gaps:
+        p = clean.interpolate(p, gaps, [order_key or date], [site])
+    if speed_col in p.columns:
+        p = clean.strip_units(p, [speed_col], speed_unit)
+    p = clean.one_hot(p, [c for c in categoricals if c in p.columns], drop_first=True)
+    p = clean.sentinel_to_null(p, value=sentinel)
+    return clean.fill_zero(p)
+
+
 def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature_cols,
                  order_key=None, gap_cols=(), exclude=(), keep: int | None = None, step: int = 1,
                  search_grid: dict | None = None, n_iter: int = 20, folds: int | None = None,
