@@ -100,10 +100,16 @@ def union_folds(*dfs: DataFrame) -> DataFrame:
 
 
 def baseline_predict(weekly: DataFrame, *, cell: str, target: str, train, test,
-                     week: str = "week", out: str = "predicted") -> DataFrame:
+                     week: str = "week", out: str = "predicted", global_out: str | None = None,
+                     materialize: bool = True) -> DataFrame:
     """A deterministic predictor for the evaluation chain: the cell's mean
     target over the training weeks, the global training mean for a cell
-    without training rows; returned for the test-week rows."""
+    without training rows; returned for the test-week rows (with the global
+    mean as a second predictor in ``global_out``).  The input is read twice
+    (training sums, test rows), so it is materialised once unless
+    ``materialize=False``."""
+    if materialize:
+        weekly = cut_lineage(weekly)
     tr = weekly.where(col(week).between(*train))
     te = weekly.where(col(week).between(*test))
     y = col(target).cast("double")
@@ -112,4 +118,7 @@ def baseline_predict(weekly: DataFrame, *, cell: str, target: str, train, test,
     glob = per_cell.agg(F.try_divide(F.sum("_bp_s"), F.sum("_bp_n")).alias("_bp_glob"))
     cells = per_cell.select(col(cell), F.try_divide(F.col("_bp_s"), F.col("_bp_n")).alias("_bp_cell"))
     j = small_side_join(te, cells, cell, "left").crossJoin(F.broadcast(glob))  # glob: one row
-    return j.withColumn(out, F.coalesce("_bp_cell", "_bp_glob")).drop("_bp_cell", "_bp_glob")
+    j = j.withColumn(out, F.coalesce("_bp_cell", "_bp_glob"))
+    if global_out:
+        j = j.withColumn(global_out, F.col("_bp_glob"))
+    return j.drop("_bp_cell", "_bp_glob")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, smape_term
-from .ranking import row_number_global
+from .ranking import number_rows, row_number_global
 
 
 def importances(model, features) -> list[tuple[str, float]]:
@@ -45,8 +45,7 @@ def permuted_variants(df: DataFrame, key, blocks: dict, n_repeats: int, seed: in
     names = list(blocks)
     variants = spark.createDataFrame([(i * n_repeats + r, b, r) for i, b in enumerate(names) for r in range(n_repeats)],
                                      "_pv_v int, _pv_block string, _pv_rep int")
-    base = row_number_global(df, key, "_pv_pos")
-    n = df.count()
+    base, n = number_rows(df, key, "_pv_pos")
     vals = F.lit(None).cast("array<double>")
     for b in names:
         vals = F.when(F.col("_pv_block") == b, F.array(*[col(c).cast("double") for c in blocks[b]])).otherwise(vals)

@@ -28,9 +28,10 @@ def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def row_number_global(df: DataFrame, order_cols, name: str = "rn",
-                      partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in ``ORDER BY order_cols`` (ascending, nulls first)."""
+def number_rows(df: DataFrame, order_cols, name: str = "rn",
+                partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``row_number_global`` plus the total row count, taken from the
+    per-partition counts (no second pass over the input)."""
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = _n_partitions(df, partitions)
     ranged = (df.repartitionByRange(n, *order)
@@ -45,10 +46,17 @@ def row_number_global(df: DataFrame, order_cols, name: str = "rn",
                                             F.min("_rk_mid").alias("_rk_base"))
     # one row per partition: the window below sorts at most `n` rows
     w = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(w), F.lit(0)))
+    offsets = cut_lineage(per_part.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(w), F.lit(0))))
+    total = offsets.agg(F.coalesce(F.sum("_rk_n"), F.lit(0))).first()[0]
     out = ranged.join(F.broadcast(offsets.select("_rk_pid", "_rk_off", "_rk_base")), "_rk_pid")
     out = out.withColumn(name, F.col("_rk_off") + (F.col("_rk_mid") - F.col("_rk_base")) + 1)
-    return out.drop("_rk_pid", "_rk_mid", "_rk_off", "_rk_base")
+    return out.drop("_rk_pid", "_rk_mid", "_rk_off", "_rk_base"), int(total)
+
+
+def row_number_global(df: DataFrame, order_cols, name: str = "rn",
+                      partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in ``ORDER BY order_cols`` (ascending, nulls first)."""
+    return number_rows(df, order_cols, name, partitions)[0]
 
 
 def rank_within(df: DataFrame, group_cols, order_cols, name: str = "pos",
@@ -83,9 +91,8 @@ def ntile_global(df: DataFrame, k: int, order_cols, name: str = "tile",
 
     With n rows, q = n div k and r = n mod k, the first r tiles hold q+1 rows.
     """
-    ranked = row_number_global(df, order_cols, "_nt_rn", partitions)
-    total = df.agg(F.count(F.lit(1)).alias("_nt_total"))
-    out = ranked.crossJoin(F.broadcast(total))  # one row: a proven size bound
+    ranked, total = number_rows(df, order_cols, "_nt_rn", partitions)
+    out = ranked.withColumn("_nt_total", F.lit(total))
     q = F.floor(F.col("_nt_total") / k)
     r = F.col("_nt_total") % k
     i = F.col("_nt_rn") - 1

@@ -88,6 +88,7 @@ def box_stats(df: DataFrame, key: str, c: str, whisker: float = 1.5, approx: boo
         quart = picked.select(key, "n", *[
             (F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
             for i, nm in enumerate(("q1", "median", "q3"))])
+        vals = ranked.select(key, "_bx_x")  # fence the numbered copy: no second pass over the source
     quart = cut_lineage(quart.withColumn("iqr", F.col("q3") - F.col("q1")))  # one row per group, used twice
     fenced = small_side_join(vals, quart.select(key, "q1", "q3", "iqr"), key, "inner")
     lo_f = F.col("q1") - whisker * F.col("iqr")

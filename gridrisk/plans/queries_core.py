@@ -542,12 +542,10 @@ SELECT model, {_reg_sql('risk', 'p')} FROM (
 def leaderboard_q(spark, d):
     """E8 + C1: two predictors' test rows unioned with a model column, one
     metric row per model, sorted by SMAPE."""
-    p = _pred(spark, d)
     w = _weekly(spark, d)
-    tr = w.where(F.col("week").between(*TRAIN))
-    g = tr.agg(F.avg("risk").alias("p"))
+    p = evaluate.baseline_predict(w, cell="grid", target="risk", train=TRAIN, test=TEST, global_out="predicted_global")
     a = p.select(F.lit("cell_mean").alias("model"), "risk", F.col("predicted").alias("p"))
-    b = p.select(F.lit("global_mean").alias("model"), "risk").crossJoin(F.broadcast(g))
+    b = p.select(F.lit("global_mean").alias("model"), "risk", F.col("predicted_global").alias("p"))
     return round_doubles(evaluate.leaderboard(evaluate.union_folds(a, b), "model", "risk", "p"))
 
 
@@ -825,6 +823,8 @@ def _geo_dir(spark) -> str:
 
 
 _R = 6378137.0
+_FEATURE_DDL = ("type string, properties struct<grid: bigint>, "
+                "geometry struct<type: string, coordinates: array<array<array<double>>>>")
 
 
 @query("geo_layer", with_views(f"""
@@ -845,7 +845,7 @@ def geo_layer(spark, d):
     from ..sources.io import read_geojson, write_geojson_seq
     path = _geo_dir(spark)
     write_geojson_seq(B.cell_squares(spark, d), path)
-    g = geo_ops.reproject_polygons(read_geojson(spark, path, seq=True))
+    g = geo_ops.reproject_polygons(read_geojson(spark, path, seq=True, feature_schema=_FEATURE_DDL))
     surf = panel.exclude(_surface(spark, d), "grid", B.EXCLUDED_CELLS).select("grid", "accidents", "annual_risk")
     j = joins.attach_geometry(g, surf, on="grid", fill=0)
     ring = F.col("geometry.coordinates")[0]

@@ -41,19 +41,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool | None = None) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool | None = None,
+                 feature_schema: str | T.StructType | None = None) -> DataFrame:
     """One row per GeoJSON feature, properties flattened next to ``geometry``.
 
     Reads a FeatureCollection file (``multiLine``: one record per file, so a
     big layer should come as several files) or GeoJSON-seq lines (one feature
-    per line, split across tasks like any JSON lines input).
+    per line, split across tasks like any JSON lines input).  A known
+    ``feature_schema`` (DDL of one Feature) skips the schema-inference pass.
     """
     if seq is None:
         seq = "features" not in spark.read.option("multiLine", True).json(path).columns
     if seq:
-        feats = spark.read.json(path).select(F.struct("*").alias("f"))
+        reader = spark.read.schema(feature_schema) if feature_schema is not None else spark.read
+        feats = reader.json(path).select(F.struct("*").alias("f"))
     else:
-        feats = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+        reader = spark.read.option("multiLine", True)
+        if feature_schema is not None:
+            fs = (spark.createDataFrame([], feature_schema).schema if isinstance(feature_schema, str)
+                  else feature_schema)
+            reader = reader.schema(T.StructType([T.StructField("features", T.ArrayType(fs))]))
+        feats = reader.json(path).select(F.explode("features").alias("f"))
     props = feats.select("f.properties.*").columns
     out = feats.select(*[F.col(f"f.properties.`{p}`").alias(p) for p in props],
                        F.col("f.geometry").alias("geometry"))

@@ -79,3 +79,15 @@ def test_stations(spark):
                                 ("SG03", 3.0, 4.0), (None, 5.0, 6.0)], "site string, lon double, lat double")
     out = geo_ops.stations(df, site="site", lon="lon", lat="lat", valid_substring="SG", exclude=["SG03"])
     assert sorted(tuple(r) for r in out.collect()) == [("SG01", 1.0, 2.0)]
+
+
+def test_geojson_with_known_schema(spark):
+    d = _tmp()
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"grid": 7}, "geometry": _square(1.0, 2.0)}]}
+    with open(os.path.join(d, "c.geojson"), "w") as f:
+        json.dump(fc, f)
+    ddl = "type string, properties struct<grid: bigint>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    g = io.read_geojson(spark, os.path.join(d, "c.geojson"), seq=False, feature_schema=ddl)
+    r = g.first()
+    assert r.grid == 7 and len(r.geometry.coordinates[0]) == 5
