@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
-from ..session import cut_lineage
+from ..session import cut_lineage, materialize
 from .joins import small_side_join
 
 FEATURES = "features"
@@ -270,7 +270,7 @@ def rfe_path(assembled: DataFrame, features, label: str, keep: int, step: int =
 def rfe(df: DataFrame, features, label: str, keep: int = 30, step: int = 1, est_factory=None):
     """FS1: the features kept by recursive elimination (assembled once,
     cut with ``VectorSlicer`` at every step)."""
-    a = assemble(cut_lineage(df), features)  # every elimination step re-reads it
+    a = assemble(materialize(df), features)  # every elimination step re-reads it
     return rfe_path(a, features, label, keep, step, est_factory)[-1][0]
 
 
@@ -279,7 +279,7 @@ def rfecv(df: DataFrame, features, label: str, fold: str, step: int = 1, min_kee
     """FS2: run elimination inside every fold, score each size on the held-out
     fold, pick the size with the lowest mean error, then eliminate on all
     rows down to that size.  Returns (chosen features, {size: mean score})."""
-    a = assemble(cut_lineage(df), features)  # every fold and step re-reads it
+    a = assemble(materialize(df), features)  # every fold and step re-reads it
     folds = sorted(r[0] for r in a.select(fold).distinct().collect())
     scores: dict[int, list[float]] = {}
     for k in folds:

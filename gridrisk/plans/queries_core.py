@@ -855,3 +855,39 @@ def geo_layer(spark, d):
                    F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"),
                    "accidents", "annual_risk")
     return round_doubles(out)
+
+
+# ------------------------------------------------------------- sinks & scans ---
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("metrics_csv_roundtrip", with_views(_PER_CELL, "risk_panel", extra=_PRED_CTES))
+def metrics_csv_roundtrip(spark, d):
+    """K1 + S3: per-cell metrics written as a CSV directory with a header (no
+    index column) and scanned back with an explicit schema."""
+    from ..sources.io import read_panel, write_table
+    m = round_doubles(evaluate.regression_metrics(_pred(spark, d), "risk", "predicted", by=["grid"]))
+    path = _scratch(spark, "metrics-csv")
+    write_table(m, path, fmt="csv")
+    return read_panel(spark, path, schema=m.schema, fmt="csv")
+
+
+@query("map_layer_by_week", with_views(f"""
+SELECT grid, year, {_rnd('risk')} AS actual, {_rnd('predicted')} AS predicted,
+       {_rnd('min(least(risk, predicted)) OVER ()')} AS vmin, {_rnd('max(greatest(risk, predicted)) OVER ()')} AS vmax,
+       week
+FROM pred WHERE week >= 40""", "risk_panel", extra=_PRED_CTES))
+def map_layer_by_week(spark, d):
+    """R8 + K1 + F8: the map layer written partitioned by week (one folder per
+    week instead of a loop of files) and read back with partition discovery."""
+    from ..sources.io import read_panel, write_table
+    p = _pred(spark, d).withColumnRenamed("risk", "actual")
+    layer = round_doubles(risk.map_layer(p, min_week=40))
+    path = _scratch(spark, "map-layer")
+    write_table(layer, path, partition_by=["week"])
+    return read_panel(spark, path).withColumn("week", F.col("week").cast("int"))

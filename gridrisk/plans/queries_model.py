@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import clean, evaluate, explain, features, learn, panel, risk, scaling, split, stats
 from . import bindings as B
-from ..session import cut_lineage
+from ..session import materialize
 from .catalog import query, round_doubles
 from .queries_core import TEST, TRAIN, _weekly
 
@@ -24,7 +24,7 @@ SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
 
 
 def _split2(spark, d):
-    w = cut_lineage(_weekly(spark, d))  # model input read many times: materialise once
+    w = materialize(_weekly(spark, d))  # model input read many times: materialise once
     return panel.week_between(w, *TRAIN), panel.week_between(w, *TEST)
 
 
@@ -88,7 +88,7 @@ def grid_search_q(spark, d):
     three stratified contiguous folds (the classifier form of the fold ids)."""
     tr, _ = _split2(spark, d)
     tr = split.fold_id(tr, 3, ["grid", "year", "week"], label="occurrence")
-    a = learn.assemble(cut_lineage(tr), WEEKLY_FEATS)
+    a = learn.assemble(materialize(tr), WEEKLY_FEATS)
     est = learn.forest_classifier("occurrence", numTrees=10)
     cv = learn.grid_search(a, est, {"maxDepth": [3, 6], "minInstancesPerNode": [1, 2]},
                            learn.f1_evaluator("occurrence"), fold="fold")
@@ -101,7 +101,7 @@ def random_search_q(spark, d):
     whole-site folds, scored by MAE of the per-site scaled count."""
     p = scaling.standardize(_count_frame(spark, d), "site", "daily_count", out="scaled")
     p = split.group_kfold(p, "site", 3)
-    a = learn.assemble(cut_lineage(p), COUNT_FEATS)
+    a = learn.assemble(materialize(p), COUNT_FEATS)
     est = learn.forest("scaled", numTrees=10)
     grid = {"maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4], "numTrees": [5, 10]}
     cv = learn.random_search(a, est, grid, learn.regression_evaluator("scaled", "mae"), fold="fold", n_iter=3)
@@ -128,7 +128,7 @@ def count_model_forest(spark, d):
     p = _count_frame(spark, d)
     st = scaling.fit_scaler(p, "site", "daily_count")
     z = split.group_kfold(scaling.standardize(p, "site", "daily_count", out="scaled", stats=st), "site", 5)
-    a = learn.assemble(cut_lineage(z), COUNT_FEATS)
+    a = learn.assemble(materialize(z), COUNT_FEATS)
     pred = learn.cross_predict(a, learn.forest("scaled", **SMALL_FOREST), "fold", prediction="pred_scaled")
     back = scaling.unstandardize(pred, st, "site", "pred_scaled", out="predicted")
     return round_doubles(evaluate.pooled_and_mean(back, "daily_count", "predicted", "site"))
@@ -156,7 +156,7 @@ def rfecv_features(spark, d):
 
 def _count_forest(spark, d):
     p = scaling.standardize(_count_frame(spark, d), "site", "daily_count", out="scaled")
-    p = cut_lineage(p.select("site", "date", "scaled", *COUNT_FEATS))
+    p = materialize(p.select("site", "date", "scaled", *COUNT_FEATS))
     model = learn.forest("scaled", **SMALL_FOREST).fit(learn.assemble(p, COUNT_FEATS))
     return p, model
 
@@ -181,7 +181,7 @@ def permutation_importance_q(spark, d):
 def block_importance_q(spark, d):
     """X3 + P18: blocks of columns found by name patterns, permuted together;
     F1 drop of the occurrence classifier and SMAPE rise of the risk forest."""
-    w = cut_lineage(_weekly(spark, d))
+    w = materialize(_weekly(spark, d))
     feats = WEEKLY_FEATS
     blocks = {k: v for k, v in features.blocks_by_pattern(
         feats, contains={"Prices": ["price", "discount"], "Volume": ["exposure"]},

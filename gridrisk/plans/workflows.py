@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import binarize
 from ..operators import clean, evaluate, explain, features, learn, risk, scaling, split, stats
-from ..session import cut_lineage
+from ..session import materialize
 from ..sources.io import metrics_long
 
 
@@ -74,7 +74,7 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
     gl = scaling.fit_global(p, target)
     p = scaling.standardize(p, site, target, out="_scaled", stats=st, global_stats=gl)
     p = split.logo_folds(p, site) if folds is None else split.group_kfold(p, site, folds, seed=seed)
-    p = cut_lineage(p)  # read by every fit: materialise once
+    p = materialize(p)  # read by every fit: materialise once
     out: dict[str, DataFrame] = {}
     spark = p.sparkSession
     if keep is not None and keep < len(feats):
@@ -125,7 +125,7 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
     feats = list(feature_cols)
     weekly = risk.weekly_risk(day_panel, cell=cell, date=date, accident=accident, exposure=exposure,
                               features=feats, scale=scale, exclude_cells=exclude)
-    weekly = cut_lineage(weekly)
+    weekly = materialize(weekly)
     keys = [cell, "year", "week"]
     out: dict[str, DataFrame] = {"weekly": weekly}
     metric_rows = []
@@ -136,7 +136,7 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
         tr = clean.mean_impute(tr, tr, feats)
         # classifier CV folds are stratified by the label, regressor folds plain contiguous
         tr = split.fold_id(split.fold_id(tr, cv_folds, keys), cv_folds, keys, label="occurrence", name="sfold")
-        a_tr, a_te = learn.assemble(cut_lineage(tr), feats), learn.assemble(te, feats)
+        a_tr, a_te = learn.assemble(materialize(tr), feats), learn.assemble(te, feats)
         clf = learn.forest_classifier("occurrence", seed=seed, **forest_params)
         reg = learn.forest("risk", seed=seed, **forest_params)
         if classifier_grid:

@@ -61,3 +61,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Checkpoint an input that several jobs (e.g. model fits) will read.
+
+    AQE coalesces small shuffle outputs into very few partitions and a
+    checkpoint keeps that layout, which would leave every later job with one
+    task.  When the written copy has fewer partitions than the cluster runs
+    at once, it is spread round-robin and written again; a large input
+    already has enough partitions and is written once."""
+    out = cut_lineage(df)
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < want:
+        out = cut_lineage(out.repartition(want))
+    return out
