@@ -117,7 +117,7 @@ def baseline_predict(weekly: DataFrame, *, cell: str, target: str, train, test,
     # the global training mean comes from the per-cell sums: no second pass over the input
     glob = per_cell.agg(F.try_divide(F.sum("_bp_s"), F.sum("_bp_n")).alias("_bp_glob"))
     cells = per_cell.select(col(cell), F.try_divide(F.col("_bp_s"), F.col("_bp_n")).alias("_bp_cell"))
-    j = small_side_join(te, cells, cell, "left").crossJoin(F.broadcast(glob))  # glob: one row
+    j = small_side_join(te, cells, cell, "left", materialize=False).crossJoin(F.broadcast(glob))  # glob: one row
     j = j.withColumn(out, F.coalesce("_bp_cell", "_bp_glob"))
     if global_out:
         j = j.withColumn(global_out, F.col("_bp_glob"))

@@ -20,16 +20,19 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def small_side_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    max_rows: int = BROADCAST_MAX_ROWS, materialize: bool = True) -> DataFrame:
     """Join a per-key side table (group statistics, fold ids, ...).
 
     The side table is materialised once in the checkpoint folder, its row
     count is checked, and it is broadcast only under ``max_rows``; above that
     the join is planned as a shuffle join (AQE splits skewed keys).  The big
     side is never shuffled when the side table is small, so a key holding a
-    third of the rows costs nothing extra.
+    third of the rows costs nothing extra.  ``materialize=False`` skips the
+    checkpoint when the side table is already cheap to re-read (derived from
+    a checkpoint).
     """
-    small = cut_lineage(small)
+    if materialize:
+        small = cut_lineage(small)
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -72,7 +72,7 @@ def rank_within(df: DataFrame, group_cols, order_cols, name: str = "pos",
     ranked = row_number_global(df, list(group_cols) + list(order_cols), "_rw_rn", partitions)
     starts = ranked.groupBy(*group_cols).agg(F.min("_rw_rn").alias("_rw_start"),
                                             F.count(F.lit(1)).alias("_rw_n"))
-    out = small_side_join(ranked, starts, list(group_cols), "inner")
+    out = small_side_join(ranked, starts, list(group_cols), "inner", materialize=False)
     return (out.withColumn(name, F.col("_rw_rn") - F.col("_rw_start"))
                .withColumnRenamed("_rw_n", f"{name}_n")
                .drop("_rw_rn", "_rw_start"))

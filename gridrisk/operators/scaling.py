@@ -36,7 +36,7 @@ def fit_global(df: DataFrame, c: str) -> DataFrame:
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, key: str, global_stats: DataFrame | None) -> DataFrame:
-    out = small_side_join(df, stats, key, "left")
+    out = small_side_join(df, stats, key, "left", materialize=False)  # fit_scaler output is a checkpoint
     if global_stats is not None:
         out = out.crossJoin(F.broadcast(global_stats))  # one row
         out = out.withColumns({"mean": F.coalesce("mean", "g_mean"), "scale": F.coalesce("scale", "g_scale")})

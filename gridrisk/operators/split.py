@@ -75,7 +75,7 @@ def cut_split(df: DataFrame, cut: int, week: str = "week") -> DataFrame:
 def logo_folds(df: DataFrame, group: str, name: str = "fold") -> DataFrame:
     """M5: leave-one-group-out fold = dense rank of the group - 1 (0..G-1)."""
     ranks = dense_rank_keys(df, [group], "_lg_rank").select(group, (F.col("_lg_rank") - 1).cast("int").alias(name))
-    return small_side_join(df, ranks, group, "inner")
+    return small_side_join(df, ranks, group, "inner", materialize=False)  # ranks read a checkpoint
 
 
 def group_kfold(df: DataFrame, group: str, k: int, name: str = "fold", seed: int = 42) -> DataFrame:

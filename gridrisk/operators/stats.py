@@ -90,7 +90,7 @@ def box_stats(df: DataFrame, key: str, c: str, whisker: float = 1.5, approx: boo
             for i, nm in enumerate(("q1", "median", "q3"))])
         vals = ranked.select(key, "_bx_x")  # fence the numbered copy: no second pass over the source
     quart = cut_lineage(quart.withColumn("iqr", F.col("q3") - F.col("q1")))  # one row per group, used twice
-    fenced = small_side_join(vals, quart.select(key, "q1", "q3", "iqr"), key, "inner")
+    fenced = small_side_join(vals, quart.select(key, "q1", "q3", "iqr"), key, "inner", materialize=False)
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
     whisk = fenced.groupBy(key).agg(
