@@ -16,9 +16,6 @@ from ..functions.exprs import col
 from ..session import cut_lineage
 from .joins import small_side_join
 
-GLOBAL_KEY = "__global__"
-
-
 def fit_scaler(df: DataFrame, key: str, c: str) -> DataFrame:
     """Per-group (mean, scale) of ``c``; scale = population std, 0 -> 1."""
     std = F.stddev_pop(col(c).cast("double"))

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import binarize
 from ..operators import clean, evaluate, explain, features, learn, risk, scaling, split, stats
 from ..session import materialize
 from ..sources.io import metrics_long
@@ -179,8 +178,3 @@ def safety_in_numbers(day_panel: DataFrame, *, cell: str = "grid", date: str = "
     if geo is not None:
         out["layer"] = surf.transform(lambda s: geo.join(s, cell, "left").na.fill(0))
     return out
-
-
-def threshold_labels(df: DataFrame, col: str, threshold: float = 0.5, out: str = "label") -> DataFrame:
-    """P20 on a frame."""
-    return df.withColumn(out, binarize(col, threshold))
