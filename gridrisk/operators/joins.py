@@ -33,6 +33,9 @@ def small_side_join(big: DataFrame, small: DataFrame, on, how: str = "left",
     """
     if materialize:
         small = cut_lineage(small)
+    # fresh attribute ids: a side table derived from (or checkpointed from) the
+    # big side's lineage would otherwise carry the same ids into a self-join
+    small = small.select(*[F.col(f"`{c}`").alias(c) for c in small.columns])
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

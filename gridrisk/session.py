@@ -60,9 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local checkpoint."""
+    """Reliable checkpoint (survives executor loss), never a local checkpoint.
+
+    The checkpointed plan keeps the attribute ids of the original lineage;
+    re-aliasing gives fresh ids so that joining the copy back to a frame of
+    the same lineage is never an ambiguous self-join."""
+    from pyspark.sql import functions as F
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
 def materialize(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
