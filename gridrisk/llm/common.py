@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage  # noqa: F401  (re-exported: reliable checkpoint)
@@ -16,6 +19,20 @@ from ..session import cut_lineage  # noqa: F401  (re-exported: reliable checkpoi
 STEP_BYTES = 4 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: their Python needs the kernels, and a
+    cluster's nodes may not have the package installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,3 +65,36 @@ def list_column(parts: list[bytes], dtype=np.int32) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(p) // width for p in parts], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=dtype)))
+
+
+#: Most buckets that ``with_next`` makes; their bounds (one integer each) are broadcast.
+MAX_BUCKETS = 100_000
+
+
+def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 2000) -> DataFrame:
+    """``rows`` and ``next_<column>`` of the row behind in ascending order of the integer ``id``
+    (nulls first, repeated ids by ``columns``); behind the last row comes the first.
+
+    Buckets hold ranges of ids, about ``per_bucket`` rows each, and each bucket also gets the first
+    row of the one behind it, so the wide columns are shuffled once and a task sees whole buckets
+    only, never the table."""
+    spark = rows.sparkSession
+    key = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
+    keys = rows.select(key.alias("k"))
+    n = min(MAX_BUCKETS, max(1, -(-keys.count() // per_bucket)))
+    ranges = keys.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    bounds = spark.sparkContext.broadcast(np.array(sorted(r["k"] for r in ranges.collect()), dtype=np.int64))
+
+    @F.arrow_udf("struct<bucket: int, first: boolean>")
+    def place(keys: pa.Array) -> pa.Array:
+        least, k = bounds.value, keys.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(least, k, side="right") - 1
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(least[at] == k)], names=["bucket", "first"])
+
+    put = rows.withColumn("k", key).withColumn("at", place.asNondeterministic()("k"))
+    own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("tail"))
+    before = F.struct(F.pmod(F.col("at.bucket") - 1, F.lit(max(1, len(bounds.value)))).alias("bucket"), F.lit(True).alias("tail"))
+    dealt = put.withColumn("to", F.explode(F.when(F.col("at.first"), F.array(own, before)).otherwise(F.array(own))))
+    by = Window.partitionBy("to.bucket").orderBy("to.tail", "k", *columns)
+    out = dealt.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
+    return out.filter("not to.tail").drop("k", "at", "to")

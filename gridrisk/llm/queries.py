@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid
-from .common import read_table
+from . import bpe, decontaminate, langid, merkle
+from .common import read_table, two, with_next
 from .registry import query
 
 
@@ -71,3 +71,23 @@ def op9_decontamination(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def edited_text():
+    """The text whose last half (rounded down) makes way for the first code points of the next one."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    return F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
+
+
+@query("op5_merkle_fingerprint")
+def op5_merkle_fingerprint(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    rows = two(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    pairs = with_next(merkle.fingerprint(rows), ["text", "fingerprint"])
+    pairs = pairs.withColumn("edited", edited_text())
+    pairs = merkle.fingerprint(pairs, "edited", "edited_fingerprint")
+    return pairs.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
+                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint",
+                        merkle.like("fingerprint", "edited_fingerprint").alias("near_edited"),
+                        merkle.like("fingerprint", "next_fingerprint").alias("near_next"))

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from .common import ship
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = (run, sql)
+        return run
     return deco
 
 
