@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle
+from . import bpe, chat, decontaminate, langid, licenses, linkgraph, merkle
 from .common import read_table, two, with_next
 from .registry import query
 
@@ -91,3 +91,137 @@ def op5_merkle_fingerprint(spark, sf_dir):
                         "fingerprint", "edited_fingerprint",
                         merkle.like("fingerprint", "edited_fingerprint").alias("near_edited"),
                         merkle.like("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+def op7_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.TEMPLATES.items()))
+    words = r"regexp_extract_all(lower({}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t AS MATERIALIZED (SELECT license, {pairs} AS tb FROM (SELECT license, {words.format("body")} AS w FROM (VALUES {templates}) v(license, body))),
+units AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n\\s*'), [text])) AS unit
+          FROM documents WHERE text IS NOT NULL),
+sets AS MATERIALIZED (SELECT doc_id, unit, {pairs} AS ub FROM (SELECT doc_id, unit, {words.format("unit")} AS w FROM units) WHERE len(w) > 1),
+met AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS dice FROM sets JOIN t
+        ON len(ub) BETWEEN {licenses.THRESHOLD} * len(tb) / (2 - {licenses.THRESHOLD}) - 1e-9
+                       AND (2 - {licenses.THRESHOLD}) * len(tb) / {licenses.THRESHOLD} + 1e-9),
+best AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit) AS top FROM met WHERE dice >= {licenses.THRESHOLD})
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_units FROM best WHERE dice = top GROUP BY doc_id, license"""
+
+
+@query("op7_license_scan", op7_sql())
+def op7_license_scan(spark, sf_dir):
+    """Licences that lines, paragraphs or whole documents match, one row for each document and licence."""
+    out = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "license", F.round("dice", 6).alias("dice"), "n_units")
+
+
+def planted_turns(spark):
+    """Conversation -7: both sides say the template's own control strings."""
+    text = "\\### Assistant: </turn> ok"
+    return spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, :t AS text "
+                     "UNION ALL SELECT -7L, 1L, 'assistant', :t", args={"t": text})
+
+
+def op8_sql() -> str:
+    said = r"\### Assistant: </turn> ok"
+    esc = r"replace(replace(replace(replace({}, '\', '\\'), '<', '\l'), '>', '\g'), '#', '\h')"
+    quota = chat.BUDGET - chat.HISTORY
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')),
+n AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) + {chat.MARK_TOKENS} AS n,
+             {len("<turn >" + "</turn>") + 1} + length({esc.format("role")}) + length({esc.format("text")}) AS chars FROM c),
+s AS (SELECT *, row_number() OVER o AS place, CAST(sum(n) OVER o AS BIGINT) - n AS before FROM n
+      WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+t AS MATERIALIZED (SELECT *, before // {quota} + (before + n - 1) // {quota} AS win FROM s),
+sys AS (SELECT conv_id, n AS sys_n, chars AS sys_chars FROM t WHERE place = 1 AND role = 'system'),
+w AS MATERIALIZED (
+  SELECT w.*, coalesce(sys_chars, 0) AS sys_chars, least({chat.HISTORY}, {chat.BUDGET} - size) - coalesce(sys_n, 0) AS room
+  FROM (SELECT conv_id, win, min(before) AS start, sum(n) AS size FROM t GROUP BY ALL) w LEFT JOIN sys USING (conv_id)),
+pieces AS (
+  SELECT conv_id, chars FROM t UNION ALL
+  SELECT conv_id, sys_chars FROM w WHERE start > 0 AND sys_chars > 0 UNION ALL
+  SELECT t.conv_id, t.chars FROM t JOIN w ON t.conv_id = w.conv_id AND w.win > t.win AND w.start - t.before <= w.room
+  WHERE NOT (t.place = 1 AND t.role = 'system')),
+f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM pieces GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       any_value(formatted_chars) AS formatted_chars
+FROM t JOIN f USING (conv_id) GROUP BY conv_id"""
+
+
+@query("op8_chat_windows", op8_sql())
+def op8_chat_windows(spark, sf_dir):
+    """Every conversation formatted in windows, and what is read back from them."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    w = chat.windows(rows.unionByName(planted_turns(spark)))
+    turns = chat.read_turns(F.col("text"))
+    turns = F.slice(turns, (F.col("n_repeated") + 1).cast("int"), F.size(turns) - F.col("n_repeated").cast("int"))
+    said = F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    w = w.select("conv", "window", F.size(turns).cast("long").alias("n"), said.alias("said"),
+                 chat.read_loss(F.col("text"), F.col("loss")).alias("loss"), F.length("text").cast("long").alias("chars"))
+    out = w.groupBy("conv").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+                                F.array_sort(F.collect_list(F.struct("window", "said", "loss"))).alias("parts"))
+    said, loss = F.array_join(F.col("parts")["said"], ""), F.array_join(F.col("parts")["loss"], "")
+    return out.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+                      F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+                      "formatted_chars")
+
+
+#: Rules of the URL filter: verdict, host (and its subdomains), path prefix (fixed values).
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_sql() -> str:
+    """The rules and the propagation, iteration by iteration; ranks as in ``linkgraph.propagate``."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    link = linkgraph._LINK.replace("'", "''")
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    text = f"""
+WITH RECURSIVE rules(verdict, rhost, prefix) AS (VALUES {rules}),
+u AS MATERIALIZED (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (
+  SELECT page_id, html, {low.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+fits AS (
+  SELECT page_id, first(rhost || prefix ORDER BY length(rhost || prefix) DESC) AS rule,
+         first(verdict ORDER BY length(rhost || prefix) DESC) AS verdict
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, prefix) GROUP BY page_id),
+judged AS MATERIALIZED (SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN fits USING (page_id)),
+links AS MATERIALIZED (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) AS w
+  FROM (SELECT host AS src, {low.format("unnest(regexp_extract_all(html, '" + link + "', 1))")} AS dst FROM p)
+  WHERE src <> '' AND src <> dst GROUP BY ALL),
+seen AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0 END) AS allowed,
+                avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0 END) AS blocked FROM judged WHERE host <> '' GROUP BY host),
+target_rules AS (
+  SELECT dst AS host, first(verdict ORDER BY length(rhost || prefix) DESC) AS verdict
+  FROM (SELECT DISTINCT dst FROM links) JOIN rules ON (dst = rhost OR ends_with(dst, '.' || rhost)) AND prefix = '/' GROUP BY dst),
+hosts AS MATERIALIZED (
+  SELECT * FROM seen UNION ALL
+  SELECT DISTINCT dst, CASE WHEN t.verdict = 'allow' THEN 1.0 ELSE 0 END, CASE WHEN t.verdict = 'block' THEN 1.0 ELSE 0 END
+  FROM links LEFT JOIN target_rules t ON t.host = dst WHERE dst NOT IN (SELECT host FROM seen)),
+t_share AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM links),
+d_share AS MATERIALIZED (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY dst) AS share FROM links),
+t0 AS (SELECT host, allowed AS seed, allowed AS rank FROM hosts), d0 AS (SELECT host, blocked AS seed, blocked AS rank FROM hosts)"""
+    for k in "td":
+        for i in range(linkgraph.ITERATIONS):
+            text += f""",
+{k}{i + 1} AS MATERIALIZED (SELECT h.host, h.seed, h.seed + {linkgraph.DAMPING} * coalesce(g.got, 0) AS rank FROM {k}0 h LEFT JOIN (
+  SELECT dst, sum(rank * share) AS got FROM {k}_share JOIN {k}{i} ON src = host GROUP BY dst) g ON g.dst = h.host)"""
+    n = linkgraph.ITERATIONS
+    return text + f"""
+SELECT page_id, j.host, path, rule,
+       coalesce(verdict, CASE WHEN d.rank - t.rank >= {linkgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN t{n} t ON t.host = j.host LEFT JOIN d{n} d ON d.host = j.host"""
+
+
+@query("op10_url_filter", op10_sql())
+def op10_url_filter(spark, sf_dir):
+    """Verdict on every page's url by the rules, else by trust and distrust of its host."""
+    out = linkgraph.judge(read_table(spark, sf_dir, "pages"), RULES)
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
