@@ -86,8 +86,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     listed = listed.select("license", words(F.col("template")).alias("template"))
     listed = listed.select("license", bigrams(F.col("template")).alias("template"))
     b = F.size("template")
-    admits = F.sequence(F.ceil(threshold * b / (2 - threshold) - 1e-9), F.floor((2 - threshold) * b / threshold + 1e-9))
-    by_size = listed.filter("size(template) > 0").withColumn("size", F.explode(admits).alias("size").cast("int"))
+    low, high = F.ceil(threshold * b / (2 - threshold) - 1e-9), F.floor((2 - threshold) * b / threshold + 1e-9)
+    by_size = listed.filter("size(template) > 0").withColumn("size", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
 
     text = F.col(f"`{text_col}`")
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n\s*"), F.array(text)))

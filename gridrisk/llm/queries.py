@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, linkgraph, merkle
+from . import bpe, chat, decontaminate, langid, licenses, linededup, linkgraph, merkle
 from .common import read_table, two, with_next
 from .registry import query
 
@@ -73,6 +73,31 @@ def op9_decontamination(spark, sf_dir):
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP4_SQL = rf"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
+             FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+l AS MATERIALIZED (SELECT doc_id, k, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s FROM raw),
+p AS MATERIALIZED (SELECT doc_id, k, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos FROM l WHERE s <> ''),
+r AS (SELECT doc_id, pos, 3 AS n, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS run FROM p
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+      UNION ALL SELECT doc_id, pos, 1, s FROM p WHERE len(regexp_extract_all(s, '[^ \t\r\n\f\v]+')) >= {linededup.LONG_LINE}),
+f AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS c FROM r WHERE run IS NOT NULL),
+cut AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM f WHERE c > 1),
+gone AS (SELECT doc_id, k FROM cut JOIN p USING (doc_id, pos)),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) FILTER (s <> '') AS n_left
+         FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_deleted,
+       CASE WHEN c.n IS NULL THEN d.text WHEN coalesce(kept.n_left, 0) = 0 THEN '' ELSE kept.text END AS text
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4_line_dedup(spark, sf_dir):
+    """Every document without the lines of runs that occurred earlier."""
+    return linededup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def edited_text():
     """The text whose last half (rounded down) makes way for the first code points of the next one."""
     half = F.floor(F.length("text") / 2).cast("int")
