@@ -7,8 +7,7 @@ and a very long pre-token costs a bounded step per merge.  A bucket gives its le
 position first; an entry whose pair has changed meanwhile is stale and skipped.
 
 Words repeat, so each Python worker remembers the ids of the pieces it has met (bounded by
-``MEMO``).  A piece is the text between two single spaces or line feeds that have no white space
-beside them: the pattern always has a boundary there, so pieces can be encoded apart.
+``MEMO``); ``pieces`` says where a text can be cut so that its pieces can be encoded apart.
 
 Defined results: a null text is the empty text, without ids; decoding a null list gives empty
 bytes, and an id outside the vocabulary raises.  Repeated rows are encoded each on its own.
@@ -18,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,15 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import list_column, steps, two
+from .pieces import part_tail, pieces
 
 #: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
 MEMO = 300_000
 
-_LINES = re.compile(r"(?<=\S)\n(?=\S)")
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may begin a contraction
-_PIECES = re.compile(r"(?<=\S) (?=\S)")
-
-
 class Codec(dict):
     """Encoder and decoder for one vocabulary; as a dict it maps met pieces to their ids as
     little-endian 32-bit numbers (a piece with a leading space has that space in its key)."""
@@ -127,10 +121,9 @@ class Codec(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(_TAIL)
-        if core and len(core) < len(piece) and core[-1].isalpha():
-            # signs after a letter are a pre-token of their own
-            return self[core] + self[piece[len(core):]]
+        core, tail = part_tail(piece)
+        if tail:
+            return self[core] + self[tail]
         got = self.older.get(piece)
         if got is None:
             pre_tokens = self.split(piece)
@@ -146,19 +139,7 @@ class Codec(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if "\0" in text or text.split() != text.replace("\n", " ").split(" "):
-            return self._encode_any(text)
-        # all white space is single spaces and line feeds with signs on both sides
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.__getitem__, pieces))
-
-    def _encode_any(self, text: str) -> bytes:
-        ids = self.__getitem__
-        lines = []
-        for line in _LINES.split(text):
-            first, *rest = _PIECES.split(line)
-            lines.append(ids(first) + b"".join([ids(" " + x) for x in rest]))
-        return ids("\n").join(lines) if len(lines) > 1 else lines[0]
+        return b"".join(map(self.__getitem__, pieces(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

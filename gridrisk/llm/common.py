@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage  # noqa: F401  (re-exported: reliable checkpoint)
+from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-exported)
 
 #: Text bytes that one step of an Arrow kernel holds at a time (one longer text is a step of its own).
 STEP_BYTES = 4 << 20

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, linededup, linkgraph, merkle
-from .common import read_table, two, with_next
+from . import bpe, chat, decontaminate, langid, licenses, linededup, linkgraph, merkle, tokenstore
+from .common import ensure_checkpoint_dir, read_table, two, with_next
 from .registry import query
 
 
@@ -73,6 +75,15 @@ def op9_decontamination(spark, sf_dir):
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op2_token_store")
+def op2_token_store(spark, sf_dir):
+    """Ids of every document written in grammar-compressed shards, and read back from them."""
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenizer = tokenstore.load_tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    tokenstore.write(read_table(spark, sf_dir, "documents"), path, tokenizer)
+    return tokenstore.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 OP4_SQL = rf"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
              FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
