@@ -203,3 +203,17 @@ def round_trip(docs: DataFrame, vocabulary, pattern: str, id_col: str = "doc_id"
                                                  names=["id", "ids", "bytes"])
 
     return rows.mapInArrow(run, kind)
+
+
+def with_ids(docs: DataFrame, vocabulary, pattern: str, text_col: str = "text", out: str = "bpe") -> DataFrame:
+    """All columns of ``docs`` and a struct ``out`` of ``ids`` and ``text``, the text decoded from them (a column of
+    that name is replaced).  The ids of a whole text decode to UTF-8."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+
+    def run(texts: pa.Array) -> pa.Array:
+        c = codec(vocabulary.value, pattern)
+        ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
+        got = [c.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
+        return pa.StructArray.from_arrays([list_column(ids), pa.array(got, pa.binary()).cast(pa.string())], names=["ids", "text"])
+
+    return docs.withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(F.col(f"`{text_col}`").cast("string")))

@@ -70,10 +70,10 @@ class WindowIndex:
             factor = (factor * 0xBF58476D1CE4E5B9 + 2) & (1 << 64) - 1 | 1
         return factor, hashes[order], grams[order], [owners[i] for i in order]
 
-    def scan(self, doc: list[bytes]) -> tuple[np.ndarray, set]:
-        """Marks for each word of ``doc``, and the items that have a window in it."""
+    def scan(self, doc: list[bytes]) -> tuple[np.ndarray, set, int]:
+        """Marks for each word of ``doc``, the items that have a window in it, and the longest window found."""
         ids = np.fromiter(map(self.vocabulary.get, doc, repeat(-1)), np.int32, len(doc))
-        delta, items = np.zeros(len(doc) + 1, dtype=np.int32), set()
+        delta, items, longest = np.zeros(len(doc) + 1, dtype=np.int32), set(), 0
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
         for n, (factor, hashes, grams, owners) in self.tables.items():
             if len(doc) < n:
@@ -90,7 +90,8 @@ class WindowIndex:
                 delta[s] += 1
                 delta[s + n] -= 1
                 items |= owners[j]
-        return np.cumsum(delta)[:-1] > 0, items
+                longest = n
+        return np.cumsum(delta)[:-1] > 0, items, longest
 
 
 def rolling(columns, factor: int) -> np.ndarray:
@@ -113,28 +114,35 @@ def _unruns(flat, n: int) -> np.ndarray:
     return mask
 
 
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> list:
+    """The windows of the benchmark as broadcasts of bounded size, at least one."""
+    spark = benchmark.sparkSession
+    bench = two(benchmark, item_col, item_text_col).filter("text is not null")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    out = []
+    for b in range(n):
+        block = bench if n == 1 else bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
+        rows = [(None if r["id"] is None else str(r["id"]), r["text"]) for r in block.collect()]
+        out.append(spark.sparkContext.broadcast(WindowIndex(rows, window)))
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_words``, ``n_hit`` (marked words), ``spans`` (flat word positions
     start, end, start, end, ... of the marked runs) and ``items`` (distinct ids, as strings, sorted as
     strings)."""
-    spark = docs.sparkSession
-    bench = two(benchmark, item_col, item_text_col).filter("text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes)
     out = two(docs, id_col, text_col)
     found = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
              T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     head = [out.schema["id"], out.schema["text"]]
-    blocks = [bench] if n_blocks <= 1 else [
-        bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    for b, block in enumerate(blocks):
-        rows = [(None if r["id"] is None else str(r["id"]), r["text"]) for r in block.collect()]
-        index = spark.sparkContext.broadcast(WindowIndex(rows, window))
+    indexes = _indexes(benchmark, item_col, item_text_col, window, block_bytes)
+    for b, index in enumerate(indexes):
         if b:
             out = cut_lineage(out)
-        last = b == len(blocks) - 1  # only a scan that another follows hands the text on
+        last = b == len(indexes) - 1  # only a scan that another follows hands the text on
         out = out.mapInArrow(_scanner(index, carry=bool(b), last=last), T.StructType(head[:1 if last else 2] + found))
     return out
 
@@ -149,7 +157,7 @@ def _scanner(index, carry: bool, last: bool):
                 before = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) if carry else repeat(((), ()))
                 for text, (old_spans, old_items) in zip(texts, before, strict=False):
                     doc = words(text.as_py())
-                    mask, had = look.scan(doc)
+                    mask, had, _ = look.scan(doc)
                     if old_spans:
                         mask |= _unruns(old_spans, len(doc))
                     n_words.append(len(doc))
@@ -164,6 +172,41 @@ def _scanner(index, carry: bool, last: bool):
     return run
 
 
+def _marker(index):
+    kind = T.StructType([T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("longest", T.IntegerType())])
+
+    def mark(texts: pa.Array, before: pa.Array) -> pa.Array:
+        look, spans, longest = index.value, [], []
+        for text, old in zip(texts, before, strict=True):
+            doc = words(text.as_py())
+            mask, _, n = look.scan(doc)
+            old_spans, old_n = old["spans"].as_py(), old["longest"].as_py()
+            if old_spans:
+                mask |= _unruns(old_spans, len(doc))
+            spans.append(_runs(mask).tobytes())
+            longest.append(max(n, old_n))
+        return pa.StructArray.from_arrays([list_column(spans), pa.array(longest, pa.int32())], names=["spans", "longest"])
+
+    return F.arrow_udf(mark, kind).asNondeterministic()
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+           item_text_col: str = "text", window: int = WINDOW, drop_from: int = WINDOW,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all its columns, decontaminated: a document with a hit of at least ``drop_from`` words goes,
+    and from the others the spans under shorter items are cut.  Nothing is shuffled."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"),
+                       F.expr("named_struct('spans', cast(array() as array<int>), 'longest', 0)").alias("_hits"))
+    for b, index in enumerate(_indexes(benchmark, item_col, item_text_col, window, block_bytes)):
+        if b:
+            rows = cut_lineage(rows)
+        rows = rows.withColumn("_hits", _marker(index)("_text", "_hits"))
+    rows = rows.filter(F.col("_hits.longest") < drop_from)
+    text = cut_spans("_text", F.col("_hits.spans"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
+
+
 @F.arrow_udf(T.StringType())
 def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """The text without the characters from a span's first word to its last."""
