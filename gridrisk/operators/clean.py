@@ -7,31 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col, strip_unit
+from .joins import side_join
 from .ranking import rank_within, row_number_global
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def levels(df: DataFrame, c: str, max_levels: int = 1000) -> list:
-    """Sorted non-null levels of a categorical (one distinct aggregate; the level
-    list is the only thing collected, and its length is capped)."""
-    rows = df.select(col(c)).where(col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{c}: more than {max_levels} levels; use StringIndexer + OneHotEncoder")
-    return sorted(r[0] for r in rows)
+def levels(df: DataFrame, c: str) -> list:
+    """Sorted non-null levels of a categorical (they become columns, so they reach the driver)."""
+    return sorted(r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().collect())
 
 
-def one_hot(df: DataFrame, cols, drop_first: bool = True, max_levels: int = 1000,
-            skip_missing: bool = True, prefix_sep: str = "_") -> DataFrame:
+def one_hot(df: DataFrame, cols, drop_first: bool = True, skip_missing: bool = True, prefix_sep: str = "_") -> DataFrame:
     """One 0/1 column per level (``<col>_<level>``), first level in sort order
-    dropped; NULL gives all zeros; the source column is replaced."""
+    dropped; NULL gives all zeros; the source column is replaced.  For more
+    levels than a table should have columns, use ``one_hot_vector``."""
     out = df
     for c in cols:
         if c not in out.columns:
             if skip_missing:
                 continue
             raise KeyError(c)
-        lv = levels(out, c, max_levels)
+        lv = levels(out, c)
         if drop_first:
             lv = lv[1:]
         new = {f"{c}{prefix_sep}{v}": F.coalesce((col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in lv}
@@ -39,6 +36,30 @@ def one_hot(df: DataFrame, cols, drop_first: bool = True, max_levels: int = 1000
     return out
 
 
+def one_hot_vector(df: DataFrame, cols, drop_first: bool = True, suffix: str = "_vec") -> DataFrame:
+    """P8 for wide categoricals: a sparse vector ``<col><suffix>`` per column over the sorted levels (the first
+    dropped), by MLlib's indexer and encoder; NULL gives all zeros; the source column is replaced."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    out = df
+    for c in cols:
+        # NULL is an extra last level whose place is cut off again
+        index = StringIndexer(inputCol=c, outputCol="_oh_i", stringOrderType="alphabetAsc", handleInvalid="keep")
+        known = index.fit(out.where(col(c).isNotNull()))
+        n = len(known.labels)
+        encoder = OneHotEncoder(inputCol="_oh_i", outputCol="_oh_v", dropLast=True)
+        coded = known.transform(out)
+        encoded = encoder.fit(coded).transform(coded)
+        if drop_first and n > 0:
+            from pyspark.ml.feature import VectorSlicer
+            encoded = VectorSlicer(inputCol="_oh_v", outputCol=f"{c}{suffix}", indices=list(range(1, n))).transform(encoded) \
+                if n > 1 else encoded.withColumn(f"{c}{suffix}", F.col("_oh_v"))
+        else:
+            encoded = encoded.withColumn(f"{c}{suffix}", F.col("_oh_v"))
+        out = encoded.drop("_oh_i", "_oh_v", c)
+    return out
+
+
 def strip_units(df: DataFrame, cols, unit: str) -> DataFrame:
     """P9 on a frame."""
     return df.withColumns({c: strip_unit(c, unit) for c in cols})
@@ -105,6 +126,31 @@ def profile_columns(df: DataFrame, sentinel: str = "none") -> DataFrame:
     return stacked.withColumn("all_null", F.col("n_null") == F.col("n_rows"))
 
 
+#: Blocks whose known points one task carries on; above that, blocks of blocks do.
+CARRY_BLOCKS = 100_000
+
+
+def _carry(blocks: DataFrame, part: list, at: str, lasts: list, firsts: list, before: list, after: list) -> DataFrame:
+    """For each block (``part`` and number ``at``): the last known point of the blocks before it and the first of
+    those behind it.  Within ``CARRY_BLOCKS`` neighbouring blocks by windows, beyond them through one row
+    for each such run of blocks, so no task orders more than a run."""
+    blocks = blocks.withColumn("_ca_run", F.floor(F.col(at) / CARRY_BLOCKS))
+    run = part + ["_ca_run"]
+
+    def along(keys, order, names, new, up):
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        w = w.orderBy(F.col(order).asc() if up else F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.last(c, ignorenulls=True).over(w).alias(x) for c, x in zip(names, new, strict=True)]
+
+    near = blocks.select(*part, "_ca_run", at, *along(run, at, lasts, before, True), *along(run, at, firsts, after, False))
+    runs = blocks.groupBy(*run).agg(*[F.max(c).alias(c) for c in lasts], *[F.min(c).alias(c) for c in firsts])
+    far_b, far_a = [f"_ca_b{i}" for i in range(len(before))], [f"_ca_a{i}" for i in range(len(after))]
+    far = runs.select(*run, *along(part, "_ca_run", lasts, far_b, True), *along(part, "_ca_run", firsts, far_a, False))
+    out = side_join(near, far, run, "left", materialize=False)
+    out = out.withColumns({c: F.coalesce(c, x) for c, x in zip(before + after, far_b + far_a, strict=True)})
+    return out.drop("_ca_run", *far_b, *far_a)
+
+
 def interpolate(df: DataFrame, cols, order_by, partition_by=(), block_rows: int = 100_000) -> DataFrame:
     """Linear interpolation of NULL gaps by row position inside each
     partition; leading/trailing gaps take the nearest value; an all-NULL
@@ -118,7 +164,9 @@ def interpolate(df: DataFrame, cols, order_by, partition_by=(), block_rows: int
          known (position, value) on each side, all columns in one window spec
          per direction;
       3. a table with one row per block carries the nearest known point into
-         blocks that have none; it is ``block_rows`` times smaller than the data.
+         blocks that have none; it is ``block_rows`` times smaller than the data
+         and is itself carried in levels (``_carry``).
+    A NULL partition key is a partition of its own; every row is kept.
     """
     part = list(partition_by)
     order = list(order_by)
@@ -145,16 +193,10 @@ def interpolate(df: DataFrame, cols, order_by, partition_by=(), block_rows: int
 
     summary = ranked.groupBy(*bkey).agg(*[F.max(point(c)).alias(f"_ip_bl{i}") for i, c in enumerate(cols)],
                                          *[F.min(point(c)).alias(f"_ip_bf{i}") for i, c in enumerate(cols)])
-    up = (Window.partitionBy(*part) if part else Window).orderBy(F.col("_ip_blk").asc())
-    down = (Window.partitionBy(*part) if part else Window).orderBy(F.col("_ip_blk").desc())
-    carry = summary.select(*bkey,
-                           *[F.last(f"_ip_bl{i}", ignorenulls=True)
-                             .over(up.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ip_cp{i}")
-                             for i in range(len(cols))],
-                           *[F.last(f"_ip_bf{i}", ignorenulls=True)
-                             .over(down.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ip_cn{i}")
-                             for i in range(len(cols))])
-    joined = local.join(carry, bkey, "left")
+    n = len(cols)
+    firsts, lasts = [f"_ip_bf{i}" for i in range(n)], [f"_ip_bl{i}" for i in range(n)]
+    carry = _carry(summary, part, "_ip_blk", lasts, firsts, [f"_ip_cp{i}" for i in range(n)], [f"_ip_cn{i}" for i in range(n)])
+    joined = side_join(local, carry, bkey, "left", materialize=False)
 
     out = {}
     for i, c in enumerate(cols):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col, smape_term
 from ..session import cut_lineage
-from .joins import small_side_join
+from .joins import side_join
 
 
 def _reg_aggs(y, p, cond: Column | None = None, suffix: str = "") -> list[Column]:
@@ -41,9 +41,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, by=()) -> DataFrame:
 
 
 def nonzero_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """The E1/E2 set over rows with non-zero truth, in the same pass as the
+    """The E1/E2 set over rows with truth above 0, in the same pass as the
     overall set; NULLs (absent) when there are no such rows."""
-    nz = col(y) != 0
+    nz = col(y) > 0
     return df.agg(*_reg_aggs(y, p), *_reg_aggs(y, p, nz, "_nonzero"))
 
 
@@ -55,6 +55,18 @@ def smape_by_zero(df: DataFrame, y: str, p: str) -> DataFrame:
                   (F.lit(100.0) * F.avg(F.when(col(y) != 0, t))).alias("smape_nonzero"))
 
 
+def threshold_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.0) -> DataFrame:
+    """One evaluation table: truth and prediction binarised above a threshold give precision, recall and F1,
+    next to the E1/E2 set overall and for truth above 0; everything in one pass."""
+    yv, pv = col(y) > threshold, col(p) > threshold
+    c = df.agg(F.count_if(yv & pv).alias("tp"), F.count_if(~yv & pv).alias("fp"), F.count_if(yv & ~pv).alias("fn"),
+               *_reg_aggs(y, p), *_reg_aggs(y, p, col(y) > 0, "_nonzero"))
+    precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return c.withColumns({"precision": precision, "recall": recall, "f1": f1})
+
+
 def class_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """Confusion counts, precision, recall and F1 of the positive class;
     a zero division gives 0."""
@@ -117,7 +129,7 @@ def baseline_predict(weekly: DataFrame, *, cell: str, target: str, train, test,
     # the global training mean comes from the per-cell sums: no second pass over the input
     glob = per_cell.agg(F.try_divide(F.sum("_bp_s"), F.sum("_bp_n")).alias("_bp_glob"))
     cells = per_cell.select(col(cell), F.try_divide(F.col("_bp_s"), F.col("_bp_n")).alias("_bp_cell"))
-    j = small_side_join(te, cells, cell, "left", materialize=False).crossJoin(F.broadcast(glob))  # glob: one row
+    j = side_join(te, cells, cell, "left", materialize=False).crossJoin(F.broadcast(glob))  # glob: one row
     j = j.withColumn(out, F.coalesce("_bp_cell", "_bp_glob"))
     if global_out:
         j = j.withColumn(global_out, F.col("_bp_glob"))

@@ -1,4 +1,4 @@
-"""Joins (J1-J7) and the size-checked small-side join they share."""
+"""Joins (J1-J7) and the null-safe side-table join they share."""
 
 from __future__ import annotations
 
@@ -9,36 +9,26 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Broadcast only below this many rows of the small side; above it the join is
-# left to the planner (sort-merge, with AQE's runtime broadcast and skew split).
-BROADCAST_MAX_ROWS = 2_000_000
 
+def side_join(big: DataFrame, side: DataFrame, on, how: str = "left", materialize: bool = True) -> DataFrame:
+    """Join a per-key side table (group statistics, fold ids, ...) on its key, NULL
+    keys included: grouping keeps a NULL group, so its statistics must find
+    their rows again.
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops reading after max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                    max_rows: int = BROADCAST_MAX_ROWS, materialize: bool = True) -> DataFrame:
-    """Join a per-key side table (group statistics, fold ids, ...).
-
-    The side table is materialised once in the checkpoint folder, its row
-    count is checked, and it is broadcast only under ``max_rows``; above that
-    the join is planned as a shuffle join (AQE splits skewed keys).  The big
-    side is never shuffled when the side table is small, so a key holding a
-    third of the rows costs nothing extra.  ``materialize=False`` skips the
-    checkpoint when the side table is already cheap to re-read (derived from
-    a checkpoint).
+    The side table is materialised once in the checkpoint folder
+    (``materialize=False`` when it is cheap to re-read).  How the join runs is
+    left to the planner: AQE broadcasts a side table that turns out small in
+    bytes and splits skewed keys otherwise.
     """
     if materialize:
-        small = cut_lineage(small)
-    # fresh attribute ids: a side table derived from (or checkpointed from) the
-    # big side's lineage would otherwise carry the same ids into a self-join
-    small = small.select(*[F.col(f"`{c}`").alias(c) for c in small.columns])
-    if fits_broadcast(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+        side = cut_lineage(side)
+    keys = [on] if isinstance(on, str) else list(on)
+    # fresh names and attribute ids: a side table derived from (or checkpointed
+    # from) the big side's lineage would otherwise be an ambiguous self-join
+    names = {k: f"_sj_{i}" for i, k in enumerate(keys)}
+    side = side.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in side.columns])
+    match = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()])
+    return big.join(side, match, how).drop(*names.values())
 
 
 def attach(left: DataFrame, right: DataFrame, on, how: str = "left", fill=None) -> DataFrame:
@@ -72,9 +62,16 @@ def write_back(panel: DataFrame, preds: DataFrame, key, pred_col: str) -> DataFr
     return panel.join(preds.select(*keys, pred_col), keys, "left")
 
 
-def reorder(df: DataFrame, c: str, keys) -> DataFrame:
-    """Rows ordered by their key's position in ``keys``; a key missing from ``keys`` raises."""
-    pos = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col(c))
-    checked = F.when(pos > 0, pos).otherwise(
-        F.raise_error(F.concat(F.lit(f"reorder: {c} not in key list: "), F.col(c).cast("string"))))
-    return df.withColumn("_order", checked).orderBy("_order").drop("_order")
+def reorder(df: DataFrame, c: str, keys, name: str = "position") -> DataFrame:
+    """The rows of the listed keys, in the list's order, with their 1-based ``name`` in it.
+
+    Rows of other keys are dropped; a listed key that the data lacks raises, as
+    a look-up by label does.  The list is the caller's, so its table is
+    broadcast."""
+    listed = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(keys, 1)],
+                                             f"_ro_key {df.schema[c].dataType.simpleString()}, {name} int")
+    found = df.select(F.col(c).alias("_ro_key")).distinct()
+    absent = listed.join(found, "_ro_key", "left_anti").agg(F.array_sort(F.collect_list("_ro_key")).alias("k")).first()["k"]
+    if absent:
+        raise KeyError(f"{c}: listed keys that the data lacks: {absent}")
+    return df.join(F.broadcast(listed), F.col(c) == F.col("_ro_key"), "inner").drop("_ro_key").orderBy(name)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..session import cut_lineage, materialize
-from .joins import small_side_join
+from .joins import side_join
 
 FEATURES = "features"
 
@@ -75,21 +75,32 @@ def linear(label: str, features: str = FEATURES, **kw) -> LinearRegression:
     return LinearRegression(featuresCol=features, labelCol=label, solver="normal", regParam=0.0, **kw)
 
 
-def forest(label: str, features: str = FEATURES, numTrees: int = 100, maxDepth: int = 30,
+#: The deepest trees that MLlib grows.
+MAX_DEPTH = 30
+
+
+def tree_depth(depth: int | None) -> int:
+    """MLlib's limit for unbounded trees (None); a greater depth raises."""
+    if depth is not None and depth > MAX_DEPTH:
+        raise ValueError(f"maxDepth {depth}: trees have at most {MAX_DEPTH} levels (None: as deep as that)")
+    return depth or MAX_DEPTH
+
+
+def forest(label: str, features: str = FEATURES, numTrees: int = 100, maxDepth: int | None = None,
            minInstancesPerNode: int = 1, featureSubsetStrategy: str = "all", seed: int = 42,
            **kw) -> RandomForestRegressor:
     """L2: random-forest regressor; every feature considered at each split
-    (scikit-learn's old regressor default), depth capped at MLlib's 30."""
+    (scikit-learn's old regressor default); ``maxDepth`` None is MLlib's deepest."""
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=numTrees,
-                                 maxDepth=min(maxDepth, 30), minInstancesPerNode=minInstancesPerNode,
+                                 maxDepth=tree_depth(maxDepth), minInstancesPerNode=minInstancesPerNode,
                                  featureSubsetStrategy=featureSubsetStrategy, seed=seed, **kw)
 
 
-def forest_classifier(label: str, features: str = FEATURES, numTrees: int = 100, maxDepth: int = 30,
+def forest_classifier(label: str, features: str = FEATURES, numTrees: int = 100, maxDepth: int | None = None,
                       minInstancesPerNode: int = 1, seed: int = 42, **kw) -> RandomForestClassifier:
     """L3: random-forest classifier, sqrt(k) features per split."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=numTrees,
-                                  maxDepth=min(maxDepth, 30), minInstancesPerNode=minInstancesPerNode,
+                                  maxDepth=tree_depth(maxDepth), minInstancesPerNode=minInstancesPerNode,
                                   featureSubsetStrategy="sqrt", seed=seed, **kw)
 
 
@@ -100,7 +111,7 @@ def gbt(label: str, features: str = FEATURES, maxIter: int = 100, maxDepth: int
                         stepSize=stepSize, seed=seed, **kw)
 
 
-def gbt_sub(label: str, features: str = FEATURES, maxIter: int = 100, maxDepth: int = 6,
+def gbt_sub(label: str, features: str = FEATURES, maxIter: int = 100, maxDepth: int = 3,
             stepSize: float = 0.1, subsamplingRate: float = 0.8, featureSubsetStrategy: str = "sqrt",
             seed: int = 42, **kw) -> GBTRegressor:
     """The second boosted configuration (row and feature subsampling)."""
@@ -126,52 +137,47 @@ def cross_predict(df: DataFrame, estimator, fold: str, prediction: str = "predic
 def logo_linear(df: DataFrame, features, label: str, group: str, prediction: str = "prediction") -> DataFrame:
     """L1 under leave-one-group-out, exactly, in one pass over the data.
 
-    Per group g: G_g = X_g'X_g, b_g = X_g'y_g (with an intercept column), by one
-    grouped aggregate.  The model for g solves (G - G_g) beta = (b - b_g); the
-    solves run in ``mapInPandas`` over the per-group table (one row per
-    group), the coefficients are joined back and applied as a native dot
-    product.  Replaces #groups full refits.
+    Per group g: G_g = [X y]_g'[X y]_g (with an intercept column), as one NumPy
+    block per partition and group, summed element by element, so the plan
+    doesn't grow with the number of features.  The model for g solves
+    (G - G_g) beta = (b - b_g); the solves run in ``mapInPandas`` over the
+    per-group table, the coefficients are joined back null-safely and applied
+    as a native dot product.  Replaces #groups full refits.
     """
     feats = list(features)
     k = len(feats) + 1
     xs = [F.lit(1.0)] + [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in feats]
     y = col(label).cast("double")
-    data = df.where(y.isNotNull())
-    aggs = [F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(xs[i] * y).alias(f"b{i}") for i in range(k)]
-    per = cut_lineage(data.groupBy(col(group).alias("_lg_group")).agg(*aggs))  # one row per group
-    tot = per.agg(*[F.sum(c).alias(c) for c in per.columns if c != "_lg_group"]).collect()[0].asDict()
-    g_tot = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g_tot[i, j] = g_tot[j, i] = tot[f"g{i}_{j}"]
-    b_tot = np.array([tot[f"b{i}"] for i in range(k)])
-    bc = df.sparkSession.sparkContext.broadcast((g_tot, b_tot))
+    data = df.where(y.isNotNull()).select(col(group).alias("_lg_group"), F.array(*xs, y).alias("x"))
+    gtype = data.schema["_lg_group"].dataType.simpleString()
+    cells = (k + 1) * (k + 1)
+
+    def blocks(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("_lg_group", dropna=False):
+                x = np.stack(part["x"].to_numpy())
+                yield pd.DataFrame({"_lg_group": pd.Series([None if pd.isna(g) else g] * cells, dtype=object),
+                                    "i": np.arange(cells), "g": (x.T @ x).ravel()})
+
+    sums = data.mapInPandas(blocks, f"_lg_group {gtype}, i int, g double").groupBy("_lg_group", "i").agg(F.sum("g").alias("g"))
+    # one row of (k+1)^2 numbers per group
+    per = cut_lineage(sums.groupBy("_lg_group").agg(F.array_sort(F.collect_list(F.struct("i", "g"))).alias("m"))
+                          .select("_lg_group", F.col("m.g").alias("m")))
+    total = (per.select(F.posexplode("m").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas())
+    whole = df.sparkSession.sparkContext.broadcast(total["g"].to_numpy())
 
     def solve(batches):
-        g_all, b_all = bc.value
         for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                g = g_all.copy()
-                for i in range(k):
-                    for j in range(i, k):
-                        v = r[f"g{i}_{j}"]
-                        g[i, j] -= v
-                        if i != j:
-                            g[j, i] -= v
-                b = b_all - np.array([r[f"b{i}"] for i in range(k)])
-                beta = np.linalg.lstsq(g, b, rcond=None)[0]
-                rows.append([r["_lg_group"], *beta.tolist()])
-            yield pd.DataFrame(rows, columns=["_lg_group"] + [f"beta{i}" for i in range(k)])
-
-    gtype = per.schema["_lg_group"].dataType.simpleString()
-    schema = f"_lg_group {gtype}, " + ", ".join(f"beta{i} double" for i in range(k))
-    betas = per.mapInPandas(solve, schema)
-    betas = betas.withColumnRenamed("_lg_group", group)
-    j = small_side_join(df, betas, group, "left")  # one row of coefficients per group
-    pred = reduce(lambda a, b: a + b, [F.col(f"beta{i}") * xs[i] for i in range(k)])
-    return j.withColumn(prediction, pred).drop(*[f"beta{i}" for i in range(k)])
+            betas = []
+            for m in pdf["m"]:
+                rest = (whole.value - np.asarray(m)).reshape(k + 1, k + 1)
+                betas.append(np.linalg.lstsq(rest[:k, :k], rest[:k, k], rcond=None)[0].tolist())
+            yield pd.DataFrame({"_lg_group": pdf["_lg_group"], "beta": betas})
+
+    betas = per.mapInPandas(solve, f"_lg_group {gtype}, beta array<double>").withColumnRenamed("_lg_group", group)
+    j = side_join(df, betas, group, "left")  # one row of coefficients per group
+    pred = F.aggregate(F.zip_with("beta", F.array(*xs), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return j.withColumn(prediction, pred).drop("beta")
 
 
 # ------------------------------------------------------------------ search ---

@@ -22,10 +22,22 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+#: Input bytes that one range holds when no number of partitions is given.
+RANGE_BYTES = 128 << 20
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
+    """The given number; else one range for each ``RANGE_BYTES`` of the plan's files and for each
+    partition of its checkpoints, at least ``spark.sql.shuffle.partitions`` (an explicit
+    number isn't split at run time, so it must follow the data)."""
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    leaves, size, written = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0, 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            written += leaf.rdd().getNumPartitions()
+        elif leaf.getClass().getSimpleName() == "LogicalRelation":
+            size += int(str(leaf.stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), written, -(-size // RANGE_BYTES))
 
 
 def number_rows(df: DataFrame, order_cols, name: str = "rn",
@@ -61,23 +73,38 @@ def row_number_global(df: DataFrame, order_cols, name: str = "rn",
 
 def rank_within(df: DataFrame, group_cols, order_cols, name: str = "pos",
                 partitions: int | None = None) -> DataFrame:
-    """0-based position of a row inside its group (``row_number() - 1`` per group).
+    """0-based position of a row inside its group (``row_number() - 1`` per group); a NULL key is a
+    group of its own.
 
     A group's first global row number comes from a grouped ``min`` (partial
     aggregation, so a hot group costs one value per task) and is joined back
-    through the size-checked broadcast join (one row per group).
+    null-safely.
     """
-    from .joins import small_side_join  # local import: joins -> session only
+    from .joins import side_join  # local import: joins -> session only
 
     ranked = row_number_global(df, list(group_cols) + list(order_cols), "_rw_rn", partitions)
     starts = ranked.groupBy(*group_cols).agg(F.min("_rw_rn").alias("_rw_start"),
                                             F.count(F.lit(1)).alias("_rw_n"))
-    out = small_side_join(ranked, starts, list(group_cols), "inner", materialize=False)
+    out = side_join(ranked, starts, list(group_cols), "inner", materialize=False)
     return (out.withColumn(name, F.col("_rw_rn") - F.col("_rw_start"))
                .withColumnRenamed("_rw_n", f"{name}_n")
                .drop("_rw_rn", "_rw_start"))
 
 
+def running_total(df: DataFrame, order_cols, weight: str, name: str, partitions: int | None = None) -> DataFrame:
+    """``name``: sum of ``weight`` over all rows before this one in ``ORDER BY order_cols`` (which must
+    be unique).  Sums run inside each range; a table with one row per range carries them on."""
+    n = _n_partitions(df, partitions)
+    order = [F.col(c) for c in order_cols]
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_rt_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_rt_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    per_part = ranged.groupBy("_rt_pid").agg(F.sum(weight).alias("_rt_sum"))
+    ahead = Window.orderBy("_rt_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = per_part.select("_rt_pid", F.coalesce(F.sum("_rt_sum").over(ahead), F.lit(0)).alias("_rt_off"))
+    out = ranged.withColumn("_rt_in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(F.broadcast(offsets), "_rt_pid")
+    return out.withColumn(name, F.col("_rt_off") + F.col("_rt_in")).drop("_rt_pid", "_rt_in", "_rt_off")
+
+
 def dense_rank_keys(df: DataFrame, key_cols, name: str = "rank",
                     partitions: int | None = None) -> DataFrame:
     """1-based dense rank of the distinct key tuples (one row per key)."""

@@ -106,12 +106,15 @@ def map_layer(weekly: DataFrame, *, keys=("grid", "year", "week"), cell: str = "
               min_week: int | None = None) -> DataFrame:
     """Actual and predicted per cell-week with the shared colour bounds
     (min/max over both columns, A9) attached; optionally joined to geometry
-    (J3, all cells kept, missing values 0).  Written with
+    (J3, all cells kept, missing values 0).  ``weekly`` is the whole panel with
+    the predictions written back: the bounds are taken over all its weeks, and
+    only then the weeks from ``min_week`` on are kept.  Written with
     ``partitionBy(week)`` instead of one file per week in a loop."""
-    src = panel.from_week(weekly, min_week, week) if min_week is not None else weekly
-    layer = src.select(*[col(k) for k in keys], col(actual), col(pred))
+    layer = weekly.select(*[col(k) for k in keys], col(actual), col(pred))
     bounds = layer.agg(F.min(F.least(col(actual), col(pred))).alias("vmin"),
                        F.max(F.greatest(col(actual), col(pred))).alias("vmax"))
+    if min_week is not None:
+        layer = panel.from_week(layer, min_week, week)
     layer = layer.crossJoin(F.broadcast(bounds))  # one row: a proven size bound
     if geo is not None:
         layer = joins.attach_geometry(geo, layer, on=cell)

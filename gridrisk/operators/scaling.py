@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..session import cut_lineage
-from .joins import small_side_join
+from .joins import side_join
 
 def fit_scaler(df: DataFrame, key: str, c: str) -> DataFrame:
     """Per-group (mean, scale) of ``c``; scale = population std, 0 -> 1."""
@@ -33,7 +33,7 @@ def fit_global(df: DataFrame, c: str) -> DataFrame:
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, key: str, global_stats: DataFrame | None) -> DataFrame:
-    out = small_side_join(df, stats, key, "left", materialize=False)  # fit_scaler output is a checkpoint
+    out = side_join(df, stats, key, "left", materialize=False)  # fit_scaler output is a checkpoint
     if global_stats is not None:
         out = out.crossJoin(F.broadcast(global_stats))  # one row
         out = out.withColumns({"mean": F.coalesce("mean", "g_mean"), "scale": F.coalesce("scale", "g_scale")})

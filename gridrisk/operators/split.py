@@ -6,50 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
-from .joins import small_side_join
-from .ranking import dense_rank_keys, ntile_global, rank_within
+from .joins import side_join
+from .ranking import dense_rank_keys, ntile_global, rank_within, running_total
 
-
-MAX_CLASSES = 10_000
-
-
-def stratified_sizes(counts: list[tuple], k: int) -> list[tuple]:
-    """Rows per (label, fold) of scikit-learn's ``StratifiedKFold`` (no shuffle):
-    the label-sorted rows are dealt round-robin into k slices, and label c
-    receives in fold f as many rows as slice f holds of c.  ``counts`` is
-    [(label, n)]; returns [(label, fold, first position, size)]."""
-    out, start = [], 0
-    for lab, n in sorted(counts, key=lambda t: t[0]):
-        first = 0
-        for f in range(k):
-            size = (start + n - 1 - f) // k - (start - 1 - f) // k
-            out.append((lab, f, first, size))
-            first += size
-        start += n
-    return out
+def _floor_div(a, k: int):
+    return ((a - F.pmod(a, F.lit(k))) / k).cast("long")
 
 
 def fold_id(df: DataFrame, k: int, order_by, label: str | None = None, name: str = "fold") -> DataFrame:
     """Contiguous k-fold id (0..k-1) in row order, first ``n mod k`` folds one
     row larger (scikit-learn ``KFold`` without shuffling).  With ``label``, the
-    classifier form (``StratifiedKFold`` without shuffling): each label's rows,
-    in order, are cut into contiguous runs whose sizes follow its
-    round-robin allocation.  ``order_by`` must be unique.  Positions come from
-    the range-partitioned numbering, not a one-task window; only the label
-    counts (one row per label) reach the driver."""
+    classifier form (``StratifiedKFold`` without shuffling): the label-sorted
+    rows are dealt round-robin into k slices, and each label's rows, in order,
+    are cut into contiguous runs as long as the slices hold rows of it.  A NULL
+    label is a class of its own, before the others.  ``order_by`` must be
+    unique.  Positions and the labels' starts come from distributed numbering;
+    nothing reaches the driver."""
     if label is None:
         return ntile_global(df, k, order_by, name)
     r = rank_within(df, [label], order_by, name="_fd_pos")
-    counts = [(row[0], row[1]) for row in df.groupBy(col(label)).count().limit(MAX_CLASSES + 1).collect()]
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"{label}: more than {MAX_CLASSES} classes for stratified folds")
-    ltype = df.schema[label].dataType.simpleString()
-    runs = df.sparkSession.createDataFrame(stratified_sizes(counts, k),
-                                           f"_fd_label {ltype}, {name} int, _fd_lo long, _fd_size long")
-    cond = ((col(label) == F.col("_fd_label")) & (F.col("_fd_pos") >= F.col("_fd_lo"))
-            & (F.col("_fd_pos") < F.col("_fd_lo") + F.col("_fd_size")))
-    j = r.join(F.broadcast(runs), cond, "inner")  # runs: labels x k rows
-    return j.drop("_fd_pos", "_fd_pos_n", "_fd_label", "_fd_lo", "_fd_size")
+    classes = r.groupBy(col(label).alias(label)).agg(F.count(F.lit(1)).alias("_fd_n"))
+    classes = running_total(classes, [label], "_fd_n", "_fd_start")
+    # rows of the class that slices 0..f hold, i.e. where its run in fold f ends
+    until = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: (
+        _floor_div(F.col("_fd_start") + F.col("_fd_n") - 1 - f, k) - _floor_div(F.col("_fd_start") - 1 - f, k)))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(F.slice("_fd_sizes", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    classes = classes.withColumn("_fd_sizes", until).select(label, ends.alias("_fd_ends"))
+    j = side_join(r, classes, label, "inner", materialize=False)
+    fold = F.size(F.filter("_fd_ends", lambda e: e <= F.col("_fd_pos"))).cast("int")
+    return j.withColumn(name, fold).drop("_fd_pos", "_fd_pos_n", "_fd_ends")
 
 
 def temporal_splits(df: DataFrame, specs, week: str = "week") -> DataFrame:
@@ -57,14 +42,14 @@ def temporal_splits(df: DataFrame, specs, week: str = "week") -> DataFrame:
     holds them; specs may overlap (a row then appears once per split) or leave
     gaps (rows in no range are dropped).
 
-    ``specs``: list of {"train": (lo, hi), "test": (lo, hi)}; the spec table
-    has 2 x len(specs) rows and is broadcast into a range join.
+    ``specs``: list of {"train": (lo, hi), "test": (lo, hi)}, tested row by row
+    (no join).
     """
-    spark = df.sparkSession
-    rows = [(i, role, int(lo), int(hi)) for i, s in enumerate(specs, 1) for role, (lo, hi) in s.items()]
-    spec = spark.createDataFrame(rows, "split int, role string, lo int, hi int")
-    j = df.join(F.broadcast(spec), col(week).between(F.col("lo"), F.col("hi")), "inner")
-    return j.drop("lo", "hi")
+    spans = F.array(*[F.struct(F.lit(i).alias("split"), F.lit(role).alias("role"), F.lit(int(lo)).alias("lo"), F.lit(int(hi)).alias("hi"))
+                      for i, s in enumerate(specs, 1) for role, (lo, hi) in s.items()])
+    held = F.filter(spans, lambda x: col(week).between(x["lo"], x["hi"]))
+    j = df.withColumn("_ts", F.explode(held))
+    return j.withColumns({"split": F.col("_ts.split"), "role": F.col("_ts.role")}).drop("_ts")
 
 
 def cut_split(df: DataFrame, cut: int, week: str = "week") -> DataFrame:
@@ -75,9 +60,11 @@ def cut_split(df: DataFrame, cut: int, week: str = "week") -> DataFrame:
 def logo_folds(df: DataFrame, group: str, name: str = "fold") -> DataFrame:
     """M5: leave-one-group-out fold = dense rank of the group - 1 (0..G-1)."""
     ranks = dense_rank_keys(df, [group], "_lg_rank").select(group, (F.col("_lg_rank") - 1).cast("int").alias(name))
-    return small_side_join(df, ranks, group, "inner", materialize=False)  # ranks read a checkpoint
+    return side_join(df, ranks, group, "inner", materialize=False)  # ranks read a checkpoint
 
 
-def group_kfold(df: DataFrame, group: str, k: int, name: str = "fold", seed: int = 42) -> DataFrame:
-    """M5 for many groups: whole groups hashed into k folds (no ranking pass)."""
-    return df.withColumn(name, F.pmod(F.xxhash64(col(group), F.lit(seed)), F.lit(k)).cast("int"))
+def group_kfold(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFrame:
+    """M5 for many groups: whole groups dealt into k folds by their dense rank (no fold is empty when
+    there are at least k groups)."""
+    ranked = logo_folds(df, group, name)
+    return ranked.withColumn(name, F.pmod(F.col(name), F.lit(k)).cast("int"))

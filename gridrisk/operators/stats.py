@@ -7,13 +7,14 @@ Only k x k matrices and one-row aggregates reach the driver.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..session import cut_lineage
-from .joins import small_side_join
-from .ranking import rank_within, row_number_global
+from .joins import side_join
+from .ranking import row_number_global, running_total
 
 
 def shared_bounds(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,56 +49,52 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
                          F.coalesce(F.col("count"), F.lit(0)).alias("count")))
 
 
-def _quantile_at(q: float):
-    """Linear-interpolated quantile from per-group positions (NumPy 'linear')."""
-    pos = F.lit(q) * (F.col("_bx_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    return pos, lo, hi
-
-
 def box_stats(df: DataFrame, key: str, c: str, whisker: float = 1.5, approx: bool = False,
               accuracy: int = 10000) -> DataFrame:
     """Per group: n, quartiles (linear interpolation), IQR, whiskers at the
     furthest value inside 1.5 IQR of the box, outlier count, and a 1..n label
-    in key order.
-
-    Exact form without collecting a group: rows are numbered inside their
-    group through a range-partitioned global order (a hot group spans many
-    tasks), the values at the two ranks around each quantile are picked by a
-    grouped conditional ``max``, and fences are applied after joining the
-    per-group quartiles back.  ``approx=True`` uses the mergeable
-    ``percentile_approx`` sketch instead.
+    in key order.  A NULL key is a group of its own.
+
+    Everything is read from a table with one row per (group, value) and its
+    count: ties collapse in the map-side aggregate, (group, value) is a unique
+    order, so neither a hot group nor a hot value meets in one task.  Positions
+    are running sums of the counts in that order.  ``approx=True`` takes the
+    quartiles from the mergeable ``percentile_approx`` sketch instead.
     """
     x = col(c).cast("double")
     vals = df.select(col(key).alias(key), x.alias("_bx_x")).where(F.col("_bx_x").isNotNull())
-    qs = (0.25, 0.5, 0.75)
+    counted = vals.groupBy(key, "_bx_x").agg(F.count(F.lit(1)).alias("_bx_m"))
+    names, qs = ("q1", "median", "q3"), (0.25, 0.5, 0.75)
     if approx:
-        quart = vals.groupBy(key).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("_bx_x", list(qs), accuracy).alias("_bx_q"))
-        quart = quart.select(key, "n", *[F.col("_bx_q")[i].alias(nm) for i, nm in enumerate(("q1", "median", "q3"))])
+        counted = cut_lineage(counted)
+        quart = vals.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_bx_x", list(qs), accuracy).alias("_bx_q"))
+        quart = quart.select(key, "n", *[F.col("_bx_q")[i].alias(nm) for i, nm in enumerate(names)])
     else:
-        ranked = rank_within(vals, [key], ["_bx_x"], name="_bx_pos").withColumnRenamed("_bx_pos_n", "_bx_n")
-        aggs = [F.first("_bx_n").alias("n")]
+        counted = running_total(counted, [key, "_bx_x"], "_bx_m", "_bx_at")
+        groups = counted.groupBy(key).agg(F.sum("_bx_m").alias("n"), F.min("_bx_at").alias("_bx_first"))
+        placed = side_join(counted, groups, key, "inner", materialize=False)
+        at = F.col("_bx_at") - F.col("_bx_first")
+        aggs = [F.first("n").alias("n")]
         for i, q in enumerate(qs):
-            pos, lo, hi = _quantile_at(q)
-            aggs += [F.max(F.when(F.col("_bx_pos") == lo, F.col("_bx_x"))).alias(f"_lo{i}"),
-                     F.max(F.when(F.col("_bx_pos") == hi, F.col("_bx_x"))).alias(f"_hi{i}"),
-                     F.first(pos - lo).alias(f"_fr{i}")]
-        picked = ranked.groupBy(key).agg(*aggs)
-        quart = picked.select(key, "n", *[
-            (F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-            for i, nm in enumerate(("q1", "median", "q3"))])
-        vals = ranked.select(key, "_bx_x")  # fence the numbered copy: no second pass over the source
+            for side, r in (("lo", F.floor(F.lit(q) * (F.col("n") - 1))), ("hi", F.ceil(F.lit(q) * (F.col("n") - 1)))):
+                aggs.append(F.max(F.when((at <= r) & (r < at + F.col("_bx_m")), F.col("_bx_x"))).alias(f"_{side}{i}"))
+        quart = placed.groupBy(key).agg(*aggs)
+
+        def between(i, q):
+            part = F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+            return F.col(f"_lo{i}") + part * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+
+        quart = quart.select(key, "n", *[between(i, q).alias(nm) for i, (q, nm) in enumerate(zip(qs, names, strict=True))])
     quart = cut_lineage(quart.withColumn("iqr", F.col("q3") - F.col("q1")))  # one row per group, used twice
-    fenced = small_side_join(vals, quart.select(key, "q1", "q3", "iqr"), key, "inner", materialize=False)
+    fenced = side_join(counted, quart.select(key, "q1", "q3", "iqr"), key, "inner", materialize=False)
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
+    out_of = (F.col("_bx_x") < lo_f) | (F.col("_bx_x") > hi_f)
     whisk = fenced.groupBy(key).agg(
         F.min(F.when(F.col("_bx_x") >= lo_f, F.col("_bx_x"))).alias("whisker_low"),
         F.max(F.when(F.col("_bx_x") <= hi_f, F.col("_bx_x"))).alias("whisker_high"),
-        F.count_if((F.col("_bx_x") < lo_f) | (F.col("_bx_x") > hi_f)).alias("n_outliers"))
-    out = quart.join(whisk, key)
+        F.coalesce(F.sum(F.when(out_of, F.col("_bx_m"))), F.lit(0)).alias("n_outliers"))
+    out = side_join(quart, whisk, key, "inner", materialize=False)
     return row_number_global(out, [key], "label")
 
 
@@ -107,13 +104,19 @@ def pearson(df: DataFrame, pairs) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """2x2 counts (label, prediction), empty cells 0."""
-    spark = df.sparkSession
-    cells = spark.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)], "label int, prediction int")
-    counts = (df.groupBy(col(label).cast("int").alias("label"), col(pred).cast("int").alias("prediction"))
-                .agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("label").isin(0, 1) & F.col("prediction").isin(0, 1)))  # at most 4 rows
-    return (cells.join(F.broadcast(counts), ["label", "prediction"], "left")
+    """Counts of every (label, prediction) over the classes that occur, 0 and 1 at least;
+    empty cells 0.  A NULL or fractional class raises."""
+    def whole(c):
+        v = col(c).cast("double")
+        bad = v.isNull() | (v != F.floor(v))
+        return F.when(bad, F.raise_error(F.concat(F.lit(f"confusion: {c} is no class: "), F.coalesce(col(c).cast("string"), F.lit("NULL"))))
+                      ).otherwise(v.cast("int"))
+
+    counts = cut_lineage(df.groupBy(whole(label).alias("label"), whole(pred).alias("prediction")).agg(F.count(F.lit(1)).alias("n")))
+    classes = (counts.select(F.explode(F.array("label", "prediction")).alias("c"))
+                     .unionByName(df.sparkSession.range(2).select(F.col("id").cast("int").alias("c"))).distinct())
+    cells = classes.select(F.col("c").alias("label")).crossJoin(classes.select(F.col("c").alias("prediction")))  # the matrix itself
+    return (cells.join(counts, ["label", "prediction"], "left")
                  .select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n")))
 
 
@@ -164,17 +167,24 @@ def ols(df: DataFrame, y: str, xs, fill_zero: bool = True) -> DataFrame:
 
 
 def gram(df: DataFrame, xs) -> np.ndarray:
-    """X'X of the given columns (NULL -> 0) in one aggregate: k(k+1)/2 sums."""
+    """X'X of the given columns (NULL -> 0): one k x k block per partition (NumPy), added up
+    element by element, so the plan doesn't grow with k."""
     xs = list(xs)
     k = len(xs)
-    v = [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in xs]
-    aggs = [F.sum(v[i] * v[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = df.agg(*aggs).collect()[0]
-    g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    return g
+    data = df.select(F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in xs]).alias("x"))
+
+    def block(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy())
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(k * k), "g": total.ravel()})
+
+    sums = data.mapInPandas(block, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
+    out = np.zeros(k * k)
+    out[sums["i"]] = sums["g"]
+    return out.reshape(k, k)
 
 
 def vif(df: DataFrame, xs) -> DataFrame:

@@ -159,8 +159,92 @@ FROM vals""", "gappy_panel", extra=_INTERP_CTES))
 def interpolate_gaps(spark, d):
     """Linear interpolation of price gaps by position within each site's date order."""
     g = B.gappy_panel(spark, d)
-    # small blocks here so the block-carry path is exercised at test scale
-    return round_doubles(clean.interpolate(g, ["price"], ["date"], ["site"], block_rows=64))
+    return round_doubles(clean.interpolate(g, ["price"], ["date"], ["site"]))
+
+
+#: A site of the count panel whose key the null-key queries replace by NULL.
+_NULL_SITE = 7
+
+
+def _with_null_site(p):
+    return p.withColumn("site", F.when(F.col("site") != _NULL_SITE, F.col("site")))
+
+
+_NULL_SITE_SQL = f"CASE WHEN site <> {_NULL_SITE} THEN site END"
+
+
+@query("interpolate_null_site", with_views(f"""
+SELECT {_NULL_SITE_SQL} AS site, date, daily_count,
+       round(CASE WHEN price IS NOT NULL THEN price
+                  WHEN pp IS NOT NULL AND np IS NOT NULL THEN pv + (nv - pv) * (p - pp) / (np - pp)
+                  WHEN pp IS NOT NULL THEN pv ELSE nv END, 6) AS price
+FROM vals""", "gappy_panel", extra=_INTERP_CTES))
+def interpolate_null_site(spark, d):
+    """W4 where one site's key is NULL: its rows are a partition like any other."""
+    g = _with_null_site(B.gappy_panel(spark, d))
+    return round_doubles(clean.interpolate(g, ["price"], ["date"], ["site"]))
+
+
+@query("logo_linear_one", with_views("""
+SELECT p.site, p.date, round(((t.sy - g.sy) - s.slope * (t.sx - g.sx)) / (t.n - g.n) + s.slope * month(p.date), 6) AS predicted
+FROM count_panel p JOIN sums g USING (site) CROSS JOIN total t
+JOIN (SELECT g.site, ((t.n - g.n) * (t.sxy - g.sxy) - (t.sx - g.sx) * (t.sy - g.sy))
+                     / ((t.n - g.n) * (t.sxx - g.sxx) - (t.sx - g.sx) * (t.sx - g.sx)) AS slope
+      FROM sums g CROSS JOIN total t) s USING (site)""", "count_panel", extra={
+    "sums": """SELECT site, count(*)::DOUBLE AS n, sum(month(date))::DOUBLE AS sx, sum(daily_count)::DOUBLE AS sy,
+               sum(month(date) * month(date))::DOUBLE AS sxx, sum(month(date) * daily_count)::DOUBLE AS sxy
+               FROM count_panel GROUP BY site""",
+    "total": "SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM sums"}))
+def logo_linear_one(spark, d):
+    """L1 + M5 + M6 with one predictor: for every site, the line fitted to all other sites."""
+    from ..operators import learn
+    p = B.count_panel(spark, d).select("site", "date", "daily_count", F.month("date").alias("month"))
+    return round_doubles(learn.logo_linear(p, ["month"], "daily_count", "site", prediction="predicted").select("site", "date", "predicted"))
+
+
+@query("population_scale", with_views("""
+SELECT site, date, round((coalesce(price, m) - m) / s, 6) AS price, round((daily_count - cm) / cs, 6) AS daily_count
+FROM gappy_panel, (SELECT avg(price) AS m, stddev_pop(price) AS s, avg(daily_count) AS cm, stddev_pop(daily_count) AS cs
+                   FROM gappy_panel WHERE year(date) <= 1998) WHERE year(date) > 1998""", "gappy_panel"))
+def population_scale_q(spark, d):
+    """M2, exact: train means fill the gaps, columns centred and divided by the population deviation."""
+    from ..operators import learn
+    g = B.gappy_panel(spark, d)
+    _, te = learn.population_scale(g.where(F.year("date") <= 1998), g.where(F.year("date") > 1998), ["price", "daily_count"])
+    return round_doubles(te.select("site", "date", "price", "daily_count"))
+
+
+@query("logo_folds_null", with_views(f"""
+SELECT {_NULL_SITE_SQL} AS site, date,
+       CAST(dense_rank() OVER (ORDER BY {_NULL_SITE_SQL} NULLS FIRST) - 1 AS INTEGER) AS fold FROM count_panel""", "count_panel"))
+def logo_folds_null(spark, d):
+    """M5 with a NULL group, which is a fold of its own."""
+    return split.logo_folds(_with_null_site(B.count_panel(spark, d)).select("site", "date"), "site")
+
+
+@query("group_kfold", with_views("""
+SELECT site, date, CAST((dense_rank() OVER (ORDER BY site) - 1) % 5 AS INTEGER) AS fold FROM count_panel""", "count_panel"))
+def group_kfold_q(spark, d):
+    """M5 for many groups: sites dealt into 5 folds by rank."""
+    return split.group_kfold(B.count_panel(spark, d).select("site", "date"), "site", 5)
+
+
+@query("kfold_stratified_null", with_views("""
+SELECT site, date, label, CAST(fold AS INTEGER) AS fold FROM (
+  SELECT r.*, f.fold, row_number() OVER (PARTITION BY r.site, r.date ORDER BY f.fold) AS k
+  FROM (SELECT site, date, label, row_number() OVER (PARTITION BY label ORDER BY site, date) - 1 AS pos
+        FROM (SELECT site, date, CASE WHEN site % 4 > 0 THEN site % 4 END AS label FROM count_panel)) r
+  JOIN (SELECT label, f AS fold, sum(size) OVER (PARTITION BY label ORDER BY f) AS upto
+        FROM (SELECT label, f, count(*) FILTER (i % 3 = f) AS size
+              FROM (SELECT label, row_number() OVER (ORDER BY label NULLS FIRST) - 1 AS i
+                    FROM (SELECT CASE WHEN site % 4 > 0 THEN site % 4 END AS label FROM count_panel))
+              CROSS JOIN (SELECT unnest(range(3)) AS f) GROUP BY label, f)) f
+  ON f.label IS NOT DISTINCT FROM r.label AND r.pos < f.upto) WHERE k = 1""", "count_panel"))
+def kfold_stratified_null(spark, d):
+    """W5 with a label that is NULL for some rows: a class of its own."""
+    label = F.when(F.col("site") % 4 > 0, F.col("site") % 4)
+    p = B.count_panel(spark, d).select("site", "date", label.alias("label"))
+    return split.fold_id(p, 3, ["site", "date"], label="label")
 
 
 # ------------------------------------------------------------- shared SQL ---
@@ -437,12 +521,14 @@ def cell_feature_means(spark, d):
 
 
 @query("reorder_sites", with_views("""
-SELECT site, CAST(sum(daily_count) AS BIGINT) AS total FROM count_panel GROUP BY site""", "count_panel"))
+SELECT site, CAST(sum(daily_count) AS BIGINT) AS total, CAST(20 - site AS INTEGER) AS position
+FROM count_panel WHERE site < 20 GROUP BY site""", "count_panel"))
 def reorder_sites(spark, d):
-    """Per-site totals in a given key order (nation keys 24..0)."""
+    """Per-site totals in a given key order (nation keys 19..0), with the position in it; sites
+    that aren't listed are dropped."""
     p = B.count_panel(spark, d)
     totals = p.groupBy("site").agg(F.sum("daily_count").alias("total"))
-    return joins.reorder(totals, "site", list(range(24, -1, -1)))
+    return joins.reorder(totals, "site", list(range(19, -1, -1)))
 
 
 @query("write_back", with_views(f"""
@@ -565,6 +651,19 @@ def below_threshold(spark, d):
     return round_doubles(panel.below(m, "smape", 196.0))
 
 
+@query("threshold_metrics", with_views(f"""
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+       round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, m.*
+FROM (SELECT count(*) FILTER (risk > 1 AND predicted > 1) AS tp, count(*) FILTER (risk <= 1 AND predicted > 1) AS fp,
+             count(*) FILTER (risk > 1 AND predicted <= 1) AS fn FROM pred) c,
+     (SELECT {_reg_sql('risk', 'predicted')}, {_reg_sql('risk', 'predicted', 'risk > 0', '_nonzero')} FROM pred) m""",
+                                         "risk_panel", extra=_PRED_CTES))
+def threshold_metrics_q(spark, d):
+    """P20 + E1-E4 in one table: truth and prediction binarised above 1, with the regression metrics."""
+    return round_doubles(evaluate.threshold_metrics(_pred(spark, d), "risk", "predicted", threshold=1.0))
+
+
 @query("residuals", with_views(f"""
 SELECT grid, year, week, {_rnd('risk - predicted')} AS residual, {_rnd('predicted - risk')} AS residual_pred,
        {_rnd('abs(predicted - risk)')} AS abs_error FROM pred""", "risk_panel", extra=_PRED_CTES))
@@ -589,14 +688,25 @@ def metrics_long_q(spark, d):
     return round_doubles(metrics_long(round_doubles(m)))
 
 
+_LAYER_SQL = """(
+  SELECT w.grid, w.year, w.week, w.risk, p.predicted, min(least(w.risk, p.predicted)) OVER () AS vmin,
+         max(greatest(w.risk, p.predicted)) OVER () AS vmax
+  FROM weekly w LEFT JOIN pred p ON w.grid = p.grid AND w.year = p.year AND w.week = p.week)"""
+
+
+def _written_back(spark, d):
+    w = _weekly(spark, d).select("grid", "year", "week", F.col("risk").alias("actual"))
+    return joins.write_back(w, _pred(spark, d), ["grid", "year", "week"], "predicted")
+
+
 @query("map_layer", with_views(f"""
 SELECT grid, year, week, {_rnd('risk')} AS actual, {_rnd('predicted')} AS predicted,
-       {_rnd('min(least(risk, predicted)) OVER ()')} AS vmin, {_rnd('max(greatest(risk, predicted)) OVER ()')} AS vmax
-FROM pred WHERE week >= 40""", "risk_panel", extra=_PRED_CTES))
+       {_rnd('vmin')} AS vmin, {_rnd('vmax')} AS vmax
+FROM {_LAYER_SQL} WHERE week >= 40""", "risk_panel", extra=_PRED_CTES))
 def map_layer_q(spark, d):
-    """R8 (+F8, A9): actual vs predicted per cell-week from week 40 on, with shared bounds."""
-    p = _pred(spark, d).withColumnRenamed("risk", "actual")
-    return round_doubles(risk.map_layer(p, min_week=40))
+    """R8 (+F8, A9, J6): actual vs predicted per cell-week from week 40 on, with bounds over every week of the
+    panel that the predictions are written back to."""
+    return round_doubles(risk.map_layer(_written_back(spark, d), min_week=40))
 
 
 @query("shared_bounds", with_views(f"""
@@ -879,15 +989,13 @@ def metrics_csv_roundtrip(spark, d):
 
 @query("map_layer_by_week", with_views(f"""
 SELECT grid, year, {_rnd('risk')} AS actual, {_rnd('predicted')} AS predicted,
-       {_rnd('min(least(risk, predicted)) OVER ()')} AS vmin, {_rnd('max(greatest(risk, predicted)) OVER ()')} AS vmax,
-       week
-FROM pred WHERE week >= 40""", "risk_panel", extra=_PRED_CTES))
+       {_rnd('vmin')} AS vmin, {_rnd('vmax')} AS vmax, week
+FROM {_LAYER_SQL} WHERE week >= 40""", "risk_panel", extra=_PRED_CTES))
 def map_layer_by_week(spark, d):
     """R8 + K1 + F8: the map layer written partitioned by week (one folder per
     week instead of a loop of files) and read back with partition discovery."""
     from ..sources.io import read_panel, write_table
-    p = _pred(spark, d).withColumnRenamed("risk", "actual")
-    layer = round_doubles(risk.map_layer(p, min_week=40))
+    layer = round_doubles(risk.map_layer(_written_back(spark, d), min_week=40))
     path = _scratch(spark, "map-layer")
     write_table(layer, path, partition_by=["week"])
     return read_panel(spark, path).withColumn("week", F.col("week").cast("int"))

@@ -253,12 +253,6 @@ def impute_scale_q(spark, d):
     return out.select("site", "date", vector_to_array("features").alias("features"))
 
 
-@query("group_kfold")
-def group_kfold_q(spark, d):
-    """M5 for many groups: sites hashed into 5 folds."""
-    return split.group_kfold(B.count_panel(spark, d).select("site", "date"), "site", 5)
-
-
 @query("box_stats_approx")
 def box_stats_approx(spark, d):
     """A12 at scale: box statistics from the mergeable percentile sketch."""

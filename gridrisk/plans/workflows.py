@@ -72,7 +72,7 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
     st = scaling.fit_scaler(p, site, target)
     gl = scaling.fit_global(p, target)
     p = scaling.standardize(p, site, target, out="_scaled", stats=st, global_stats=gl)
-    p = split.logo_folds(p, site) if folds is None else split.group_kfold(p, site, folds, seed=seed)
+    p = split.logo_folds(p, site) if folds is None else split.group_kfold(p, site, folds)
     p = materialize(p)  # read by every fit: materialise once
     out: dict[str, DataFrame] = {}
     spark = p.sparkSession
@@ -156,7 +156,8 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
         metric_rows.append(metrics_long(cm.crossJoin(rm)).withColumn("split", F.lit(i)))
         if write_back_split == i:
             out["write_back"] = weekly.join(rp.select(*keys, "predicted"), keys, "left")
-            layer_src = rp.withColumnRenamed("risk", "actual")
+            # the whole panel, training weeks included: the colour bounds cover every week
+            layer_src = out["write_back"].withColumnRenamed("risk", "actual")
             out["map_layer"] = risk.map_layer(layer_src, keys=keys, cell=cell, min_week=map_from_week)
     out["metrics"] = evaluate.union_folds(*metric_rows)
     return out

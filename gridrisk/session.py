@@ -72,16 +72,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
-def materialize(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Checkpoint an input that several jobs (e.g. model fits) will read.
-
-    AQE coalesces small shuffle outputs into very few partitions and a
-    checkpoint keeps that layout, which would leave every later job with one
-    task.  When the written copy has fewer partitions than the cluster runs
-    at once, it is spread round-robin and written again; a large input
-    already has enough partitions and is written once."""
-    out = cut_lineage(df)
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < want:
-        out = cut_lineage(out.repartition(want))
-    return out
+def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Checkpoint an input that several jobs (e.g. model fits) will read, spread over ``partitions``
+    (default: ``spark.sql.shuffle.partitions``, which a cluster sets to its data).
+
+    AQE coalesces small shuffle outputs into very few partitions and a checkpoint would keep that
+    layout, leaving every later job with a few tasks; so rows are spread before the one write."""
+    want = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartition(want))

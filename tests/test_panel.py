@@ -63,9 +63,10 @@ def test_fill_zero(spark):
 def test_reorder_missing_key_raises(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     assert [r.k for r in joins.reorder(df, "k", [3, 1, 2]).collect()] == [3, 1, 2]
+    assert [(r.k, r.position) for r in joins.reorder(df, "k", [3, 1]).collect()] == [(3, 1), (1, 2)]
     import pytest
-    with pytest.raises(Exception):
-        joins.reorder(df, "k", [3, 1]).collect()
+    with pytest.raises(KeyError):
+        joins.reorder(df, "k", [3, 9])
 
 
 def test_attach_geometry_fills(spark):

@@ -98,13 +98,6 @@ def test_logo_and_group_folds(spark):
     assert all(len(v) == 1 for v in per.values())
 
 
-def test_stratified_sizes_follow_round_robin():
-    # label-sorted rows 0*10 + 1*5 dealt into 3 slices: class 0 -> 4,3,3; class 1 -> 1,2,2
-    sizes = split.stratified_sizes([(1, 5), (0, 10)], 3)
-    assert [(l, f, n) for l, f, _, n in sizes] == [(0, 0, 4), (0, 1, 3), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 2)]
-    assert [lo for l, f, lo, n in sizes if l == 1] == [0, 1, 3]
-
-
 def test_stratified_fold_ids(spark):
     labels = [0] * 10 + [1] * 5
     df = spark.createDataFrame([(i, lab) for i, lab in enumerate([0, 1] * 5 + [0] * 5)], "i int, y int")
