@@ -64,22 +64,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                         F.col(f"`{lang_col}`").cast("string").alias("lang"))
                 .filter("id is not null and text is not null and lang is not null"))
     rows = rows.withColumn("pick", F.xxhash64(F.col("id").cast("string")))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # four times the rows wanted pass the rate, then a window of that bounded size takes the exact number
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return LanguageModel((), ())
+    # four times the rows wanted pass the rate where they lie, then a window of that bounded size takes the exact number
+    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n))])
     share = F.pmod(F.col("pick"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.join(counts, "lang").filter(share * F.col("n") < 4.0 * sample_docs)
+    near = rows.filter(share < F.element_at(rate, F.col("lang")))
     start = F.pmod(F.shiftright("pick", 30), F.greatest(F.length("text") - piece_chars, F.lit(1))) + 1
     near = near.withColumn("piece", F.substr("text", start.cast("int"), F.lit(piece_chars)))
     by = Window.partitionBy("lang").orderBy("pick", "id", "piece")
     sample = (near.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample_docs)
-                  .select("lang", "n", "k", "piece").collect())
-    seen: dict[str, tuple[int, list]] = {}
+                  .select("lang", "k", "piece").collect())
+    seen: dict[str, list[tuple[int, str]]] = {}
     for r in sample:
-        seen.setdefault(r["lang"], (r["n"], []))[1].append((r["k"], r["piece"]))
-    order = sorted(seen, key=lambda x: (-seen[x][0], x))
+        seen.setdefault(r["lang"], []).append((r["k"], r["piece"]))
+    order = sorted(seen, key=lambda x: (-counts[x], x))
     dictionaries = []
     for lang in order:
-        body = b" ".join(normalise(piece) for _, piece in sorted(seen[lang][1]))
+        body = b" ".join(normalise(piece) for _, piece in sorted(seen[lang]))
         dictionaries.append(body[:dict_bytes])
     return LanguageModel(tuple(order), tuple(dictionaries))
 
