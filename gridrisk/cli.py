@@ -44,16 +44,17 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
     ap.add_argument("--csv", action="store_true", help="write CSV instead of parquet")
-    ap.add_argument("--exclude", default="138,355", help="cells left out (comma list; empty for none)")
-    ap.add_argument("--specs", default="1-23:27-52,1-26:27-52", help="train-test week ranges per split")
+    ap.add_argument("--exclude", default="", help="cells left out (comma list; 'study' for the study's own)")
+    ap.add_argument("--specs", default=registry.STUDY_SPECS, help="train-test week ranges per split")
     ap.add_argument("--folds", type=int, default=None, help="volume: whole-site folds (default leave-one-out)")
     ap.add_argument("--keep", type=int, default=30, help="volume: features kept by elimination")
     ap.add_argument("--geojson", default=None)
+    ap.add_argument("--geojson-seq", action="store_true", help="the GeoJSON has one feature per line")
     a = ap.parse_args(argv)
 
     spark = get_session(a.master)
     fmt = "csv" if a.csv else "parquet"
-    exclude = [int(x) for x in a.exclude.split(",") if x]
+    exclude = list(registry.STUDY_EXCLUDED_CELLS) if a.exclude == "study" else [int(x) for x in a.exclude.split(",") if x]
     panel = _read(spark, a.panel)
     if a.analysis == "risk":
         panel = panel.withColumn("Date", F.to_date("Date"))
@@ -61,10 +62,7 @@ def main(argv=None) -> None:
                  if c in panel.columns]
         out = workflows.risk_model(panel, specs=_specs(a.specs), feature_cols=feats, date="Date",
                                    exposure="Predicted Daily Count", exclude=exclude,
-                                   classifier_grid={"numTrees": [100, 200], "maxDepth": [30, 10, 20],
-                                                    "minInstancesPerNode": [1, 2]},
-                                   regressor_grid={"numTrees": [100, 200], "maxDepth": [30, 10, 20],
-                                                   "minInstancesPerNode": [1, 2]},
+                                   classifier_grid=registry.FOREST_GRID, regressor_grid=registry.FOREST_GRID,
                                    write_back_split=2, map_from_week=27)
     elif a.analysis == "volume":
         prepared = workflows.prepare_count_panel(panel)
@@ -72,14 +70,12 @@ def main(argv=None) -> None:
                  if c in prepared.columns]
         out = workflows.volume_model(prepared, site="grid", date="Date", target="Daily Count",
                                      feature_cols=feats, exclude=exclude, keep=a.keep, folds=a.folds,
-                                     search_grid={"numTrees": [100, 200, 300, 400], "maxDepth": [30, 10, 20],
-                                                  "minInstancesPerNode": [1, 2, 4],
-                                                  "featureSubsetStrategy": ["all", "sqrt"],
-                                                  "bootstrap": [True, False]})
+                                     search_grid=registry.FOREST_SEARCH)
     else:
         panel = panel.withColumn("Date", F.to_date("Date"))
-        geo = io.read_geojson(spark, a.geojson) if a.geojson else None
-        out = workflows.safety_in_numbers(panel, date="Date", exposure="Predicted Daily Count", geo=geo)
+        geo = io.read_geojson(spark, a.geojson, seq=a.geojson_seq) if a.geojson else None
+        feats = [c for c in registry.SAFETY_PREDICTORS if c in panel.columns]
+        out = workflows.safety_in_numbers(panel, date="Date", exposure="Predicted Daily Count", feature_cols=feats, geo=geo)
     for name, df in out.items():
         if "geometry" in df.columns and fmt == "csv":
             df = df.withColumn("geometry", F.to_json("geometry"))

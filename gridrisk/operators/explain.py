@@ -112,29 +112,35 @@ def permutation_importance(df: DataFrame, model, features, label: str, key, n_re
     return out.withColumnRenamed("block", "feature")
 
 
-def partial_dependence(df: DataFrame, model, features, targets, points: int = 20,
+def partial_dependence(df: DataFrame, model, features, targets, points: int = 100,
                        lo: float = 0.05, hi: float = 0.95, accuracy: int = 10000) -> DataFrame:
-    """Mean prediction when one feature is set to each of ``points`` values
-    spread evenly between its 5th and 95th percentiles, over *all* rows.
-
-    The value grid is ``points`` rows per target feature (broadcast); the
-    rows x grid product is scored by one ``transform`` and averaged by one
-    grouped aggregate.  Percentiles use the mergeable ``percentile_approx``.
+    """Mean prediction when one feature is set to each value of its grid, over
+    *all* rows.  A feature with fewer than ``points`` values has them as its grid
+    (a flag is only ever 0 or 1), others ``points`` values spread evenly between
+    their 5th and 95th percentiles.
+
+    Every row meets every grid value (that is the definition), in one
+    ``transform`` and one grouped average, a narrow step: the grid, at most
+    ``points`` values per target feature, is an array that rows explode.
+    Percentiles use the mergeable ``percentile_approx``.
     """
     feats = list(features)
-    spark = df.sparkSession
-    q = df.agg(*[F.percentile_approx(col(t).cast("double"), [lo, hi], accuracy).alias(t) for t in targets]).collect()[0]
+    x = {t: col(t).cast("double") for t in targets}
+    q = df.agg(*[F.percentile_approx(x[t], [lo, hi], accuracy).alias(f"q_{t}") for t in targets],
+               *[F.approx_count_distinct(x[t]).alias(f"n_{t}") for t in targets]).first()
     grid = []
     for t in targets:
-        a, b = q[t]
-        for v in np.linspace(a, b, points):
-            grid.append((t, float(v)))
-    g = spark.createDataFrame(grid, "_pd_feature string, _pd_value double")
-    x = df.select(*feats).crossJoin(F.broadcast(g))
-    x = x.withColumns({t: F.when(F.col("_pd_feature") == t, F.col("_pd_value")).otherwise(col(t)) for t in targets})
+        values = None
+        if q[f"n_{t}"] < 2 * points:  # a sketch's count: the exact values decide
+            values = sorted(r[0] for r in df.select(x[t]).where(x[t].isNotNull()).distinct().limit(points).collect())
+        if values is None or len(values) >= points:
+            values = np.linspace(*q[f"q_{t}"], points) if q[f"q_{t}"] else []
+        grid += [F.struct(F.lit(t).alias("feature"), F.lit(float(v)).alias("value")) for v in values]
+    rows = df.select(*feats).withColumn("_pd", F.explode(F.array(*grid)))
+    rows = rows.withColumns({t: F.when(F.col("_pd.feature") == t, F.col("_pd.value")).otherwise(col(t)) for t in targets})
     asm = VectorAssembler(inputCols=feats, outputCol=model.getFeaturesCol(), handleInvalid="keep")
-    pred = model.transform(asm.transform(x))
-    return (pred.groupBy(F.col("_pd_feature").alias("feature"), F.col("_pd_value").alias("value"))
+    pred = model.transform(asm.transform(rows))
+    return (pred.groupBy(F.col("_pd.feature").alias("feature"), F.col("_pd.value").alias("value"))
                 .agg(F.avg("prediction").alias("mean_prediction"))
                 .orderBy("feature", "value"))
 

@@ -18,6 +18,8 @@ from .catalog import query, round_doubles
 from .queries_core import TEST, TRAIN, _weekly
 
 WEEKLY_FEATS = ["f_discount", "f_tax", "f_price", "exposure"]
+#: The regressor predicts accidents by exposure, so exposure is no feature of it.
+RISK_FEATS = [c for c in WEEKLY_FEATS if c != "exposure"]
 COUNT_FEATS = ["day_of_week", "day_of_month", "month", "weekend", "is_holiday", "season_fall",
                "season_spring", "season_summer", "season_winter", "week", "price"]
 SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
@@ -46,9 +48,9 @@ def forest_temporal(spark, d):
     """L2 + M1 + M3: forest regressor on training weeks (mean-imputed), risk
     predicted for the test weeks."""
     tr, te = _split2(spark, d)
-    te = clean.mean_impute(tr, te, WEEKLY_FEATS)
-    tr = clean.mean_impute(tr, tr, WEEKLY_FEATS)
-    pred = _fit_predict(tr, te, learn.forest("risk", **SMALL_FOREST), WEEKLY_FEATS)
+    te = clean.mean_impute(tr, te, RISK_FEATS)
+    tr = clean.mean_impute(tr, tr, RISK_FEATS)
+    pred = _fit_predict(tr, te, learn.forest("risk", **SMALL_FOREST), RISK_FEATS)
     return round_doubles(pred.select("grid", "year", "week", "risk", "prediction"))
 
 
@@ -74,7 +76,7 @@ def model_leaderboard(spark, d):
     """L1 + L2 + L4 + L5 + C1 + E8: four learners on the same split, test
     predictions unioned with a model column, one metric row per model."""
     tr, te = _split2(spark, d)
-    a_tr, a_te = learn.assemble(tr, WEEKLY_FEATS), learn.assemble(te, WEEKLY_FEATS)
+    a_tr, a_te = learn.assemble(tr, RISK_FEATS), learn.assemble(te, RISK_FEATS)
     models = {"linear": learn.linear("risk"), "forest": learn.forest("risk", **SMALL_FOREST),
               "gbt": learn.gbt("risk", maxIter=20), "gbt_sub": learn.gbt_sub("risk", maxIter=20, maxDepth=4)}
     preds = [m.fit(a_tr).transform(a_te).select(F.lit(name).alias("model"), "risk", "prediction")
@@ -182,27 +184,29 @@ def block_importance_q(spark, d):
     """X3 + P18: blocks of columns found by name patterns, permuted together;
     F1 drop of the occurrence classifier and SMAPE rise of the risk forest."""
     w = materialize(_weekly(spark, d))
-    feats = WEEKLY_FEATS
-    blocks = {k: v for k, v in features.blocks_by_pattern(
-        feats, contains={"Prices": ["price", "discount"], "Volume": ["exposure"]},
-        exact={"Tax": ["f_tax"]}).items() if v}
-    a = learn.assemble(w, feats)
-    clf = learn.forest_classifier("occurrence", **SMALL_FOREST).fit(a)
-    reg = learn.forest("risk", **SMALL_FOREST).fit(a)
+
+    def blocks(feats):
+        found = features.blocks_by_pattern(feats, contains={"Prices": ["price", "discount"], "Volume": ["exposure"]},
+                                           exact={"Tax": ["f_tax"]})
+        return {k: v for k, v in found.items() if v}
+
+    clf = learn.forest_classifier("occurrence", **SMALL_FOREST).fit(learn.assemble(w, WEEKLY_FEATS))
+    reg = learn.forest("risk", **SMALL_FOREST).fit(learn.assemble(w, RISK_FEATS))
     key = ["grid", "year", "week"]
-    c = explain.block_importance(w, clf, feats, blocks, "occurrence", key, metric="f1", seed=7)
-    r = explain.block_importance(w, reg, feats, blocks, "risk", key, metric="smape", seed=7)
+    c = explain.block_importance(w, clf, WEEKLY_FEATS, blocks(WEEKLY_FEATS), "occurrence", key, metric="f1", seed=7)
+    r = explain.block_importance(w, reg, RISK_FEATS, blocks(RISK_FEATS), "risk", key, metric="smape", seed=7)
     out = (c.select("block", F.col("importance").alias("f1_drop"))
-           .join(r.select("block", F.col("importance").alias("smape_rise")), "block"))
+           .join(r.select("block", F.col("importance").alias("smape_rise")), "block", "left"))
     return round_doubles(out)
 
 
 @query("partial_dependence")
 def partial_dependence_q(spark, d):
-    """Partial dependence of the three most important features."""
+    """Partial dependence of the three features with the largest permutation importance, 100 points."""
     p, model = _count_forest(spark, d)
-    top = [f for f, _ in explain.importances(model, COUNT_FEATS)[:3]]
-    return round_doubles(explain.partial_dependence(p, model, COUNT_FEATS, top, points=20))
+    ranking = explain.permutation_importance(p, model, COUNT_FEATS, "scaled", ["site", "date"], n_repeats=10, seed=42)
+    top = [r["feature"] for r in ranking.limit(3).collect()]
+    return round_doubles(explain.partial_dependence(p, model, COUNT_FEATS, top))
 
 
 _GROUPS = {"calendar": ["day_of_week", "day_of_month", "month", "weekend", "is_holiday", "week"],

@@ -117,3 +117,19 @@ def panel_schema(columns, strings=STRING_COLUMNS, integers=("grid", "accident"))
             t = T.DoubleType()
         fields.append(T.StructField(c, t, True))
     return T.StructType(fields)
+
+
+# Predictors of the safety-in-numbers regression next to the log exposure.
+SAFETY_PREDICTORS = [
+    "tavg", "distance_to_center_m", "max_speed", "pop_dens_2023",
+    "landuse_residential_pct_250m", "landuse_commercial_pct_250m", "bike_lane_density_250m", "weekend",
+]
+
+# Week ranges (train-test) of the study's temporal splits, and the cells it leaves out.
+STUDY_SPECS = "1-23:27-52,1-26:27-52"
+STUDY_EXCLUDED_CELLS = (138, 355)
+
+# Search grids of the study.
+FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}
+FOREST_SEARCH = {"numTrees": [100, 200, 300, 400], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 4],
+                 "featureSubsetStrategy": ["all", "sqrt"], "bootstrap": [True, False]}

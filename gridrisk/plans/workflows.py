@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, evaluate, explain, features, learn, risk, scaling, split, stats
+from ..operators import clean, evaluate, explain, features, joins, learn, panel, risk, scaling, split, stats
 from ..session import materialize
 from ..sources.io import metrics_long
 
@@ -104,7 +104,7 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
         return out
     out["permutation"] = explain.permutation_importance(p, final, feats, "_scaled", [site, date],
                                                         n_repeats=n_repeats, seed=seed)
-    top = [f for f, _ in explain.importances(final, feats)[:top_pd]]
+    top = [r["feature"] for r in out["permutation"].limit(top_pd).collect()]
     out["partial_dependence"] = explain.partial_dependence(p, final, feats, top)
     return out
 
@@ -166,16 +166,20 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
 def safety_in_numbers(day_panel: DataFrame, *, cell: str = "grid", date: str = "date", accident: str = "accident",
                       exposure: str = "exposure", feature_cols=(), geo: DataFrame | None = None) -> dict:
     """Per-cell risk surface (R4-R7), raw and log-log correlation (A13),
-    log-log OLS with the cell feature means (Q1) and their VIF (Q2);
-    optionally joined to a geometry layer (J3)."""
+    log-log OLS with the cell feature means (Q1) and their VIF (Q2).  With a
+    geometry layer (J3) all of its cells take part, those without data as 0
+    (whose log1p is 0, as for the others)."""
     surf = risk.risk_surface(day_panel, cell=cell, date=date, accident=accident, exposure=exposure)
     feats = list(feature_cols)
     if feats:
-        surf = surf.join(day_panel.groupBy(cell).agg(*[F.avg(c).alias(c) for c in feats]), cell, "left")
+        means = panel.cell_mean(day_panel.withColumns({c: F.col(c).try_cast("double") for c in feats}), cell, feats)
+        surf = surf.join(means, cell, "left")
+    if geo is not None:
+        surf = joins.attach_geometry(geo.select(cell), surf, on=cell)
     out = {"surface": surf,
            "correlation": stats.pearson(surf, [("total_exposure", "accidents"), ("log_exposure", "log_accidents")]),
            "ols": stats.ols(surf, "log_accidents", ["log_exposure", *feats]),
            "vif": stats.vif(surf, ["log_exposure", *feats])}
     if geo is not None:
-        out["layer"] = surf.transform(lambda s: geo.join(s, cell, "left").na.fill(0))
+        out["layer"] = geo.join(surf, cell, "left")
     return out

@@ -41,7 +41,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool | None = None,
+def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool = False,
                  feature_schema: str | T.StructType | None = None) -> DataFrame:
     """One row per GeoJSON feature, properties flattened next to ``geometry``.
 
@@ -49,9 +49,8 @@ def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool |
     big layer should come as several files) or GeoJSON-seq lines (one feature
     per line, split across tasks like any JSON lines input).  A known
     ``feature_schema`` (DDL of one Feature) skips the schema-inference pass.
+    ``seq`` says which of the two forms the files have; nothing is read to guess it.
     """
-    if seq is None:
-        seq = "features" not in spark.read.option("multiLine", True).json(path).columns
     if seq:
         reader = spark.read.schema(feature_schema) if feature_schema is not None else spark.read
         feats = reader.json(path).select(F.struct("*").alias("f"))

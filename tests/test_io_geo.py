@@ -69,7 +69,7 @@ def test_geojson_seq_roundtrip(spark):
                          F.array(F.array(F.array("lon", "lat"), F.array("lon", "lat"))).alias("coordinates"))
         .alias("geometry"))
     io.write_geojson_seq(df, f"{d}/seq")
-    back = io.read_geojson(spark, f"{d}/seq")
+    back = io.read_geojson(spark, f"{d}/seq", seq=True)
     r = back.first()
     assert r.grid == 5 and r.geometry.coordinates[0][0] == [-1.0, 50.0]
 
