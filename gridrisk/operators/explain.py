@@ -1,20 +1,23 @@
 """Model explanation.
 
-Permutation importance is built as one DataFrame job: every (feature,
-repeat) variant of the data is produced by a distributed shuffle of the
-column (rank rows by a seeded hash, join rank to rank), all variants are
-unioned and scored by one ``transform`` and one grouped metric aggregate.
+Permutation importance is built as one DataFrame job: rows are ranked once, a
+seeded bijection of the ranks per repeat names donors, one join brings their
+values, the (block, repeat) variants are made locally and scored by one
+``transform`` and one grouped metric aggregate.
 """
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, smape_term
-from .ranking import number_rows, row_number_global
+from .ranking import number_rows
 
 
 def importances(model, features) -> list[tuple[str, float]]:
@@ -28,42 +31,41 @@ def importances_df(spark, model, features) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
 
+def _bijections(n: int, n_repeats: int, seed: int) -> list[tuple[int, int]]:
+    """Seeded maps p -> (a p + b) mod n of 0..n-1 onto itself, one per repeat; a is small enough
+    that a p stays a long."""
+    rng, out = random.Random(seed), []
+    for _ in range(n_repeats):
+        a = 1
+        while n > 2:
+            a = rng.randrange(1, min(n, (1 << 62) // n))
+            if math.gcd(a, n) == 1:
+                break
+        out.append((a, rng.randrange(max(n, 1))))
+    return out
+
+
 def permuted_variants(df: DataFrame, key, blocks: dict, n_repeats: int, seed: int) -> DataFrame:
     """Rows of ``df`` once per (block, repeat) with the block's columns taken
-    from a seeded random permutation of the rows.
-
-    Every row gets its rank p by ``key`` (unique) once.  Donor rows - only the
-    key and the block's values - are copied per variant v and numbered in the
-    order (v, xxhash64(key, v, seed), key); as each variant holds exactly n
-    rows, the hash rank inside the variant is that number minus v*n.  The
-    row at key rank p receives the values of the donor at hash rank p: one
-    join on (p) of the n base rows with the n x variants donor rows.  Both
-    numberings are range-partitioned, so no variant sits in one task.
+    from a seeded permutation of the rows.
+
+    Every row gets its rank by ``key`` (unique) once, and each repeat has one
+    permutation for all blocks: a seeded bijection of the ranks names every
+    row's donor.  One join per repeat brings the donor's values (n x repeats
+    rows are shuffled); the variants of the blocks are then made where the
+    joined row lies.
     """
-    key = list(key)
-    spark = df.sparkSession
-    names = list(blocks)
-    variants = spark.createDataFrame([(i * n_repeats + r, b, r) for i, b in enumerate(names) for r in range(n_repeats)],
-                                     "_pv_v int, _pv_block string, _pv_rep int")
-    base, n = number_rows(df, key, "_pv_pos")
-    vals = F.lit(None).cast("array<double>")
-    for b in names:
-        vals = F.when(F.col("_pv_block") == b, F.array(*[col(c).cast("double") for c in blocks[b]])).otherwise(vals)
+    base, n = number_rows(df, list(key), "_pv_pos")
     moved = sorted({c for cs in blocks.values() for c in cs})
-    donors = (df.select(*key, *moved).crossJoin(F.broadcast(variants))  # variants: blocks x repeats rows
-                .select("_pv_v", vals.alias("_pv_vals"), *key,
-                        F.xxhash64(*[col(k) for k in key], F.col("_pv_v"), F.lit(seed)).alias("_pv_h")))
-    donors = row_number_global(donors, ["_pv_v", "_pv_h", *key], "_pv_rn")
-    donors = donors.select("_pv_v", (F.col("_pv_rn") - F.col("_pv_v") * F.lit(n)).alias("_pv_pos"), "_pv_vals")
-    j = base.join(donors, "_pv_pos").join(F.broadcast(variants), "_pv_v")
-    repl = {}
-    for c in moved:
-        e = col(c)
-        for b in names:
-            if c in blocks[b]:
-                e = F.when(F.col("_pv_block") == b, F.col("_pv_vals")[blocks[b].index(c)]).otherwise(e)
-        repl[c] = e
-    return j.withColumns(repl).drop("_pv_pos", "_pv_vals", "_pv_v")
+    p = F.col("_pv_pos") - 1
+    repeats = F.array(*[F.struct(F.lit(r).alias("rep"), (F.pmod(p * F.lit(a) + F.lit(b), F.lit(max(n, 1))) + 1).alias("donor"))
+                        for r, (a, b) in enumerate(_bijections(n, n_repeats, seed))])
+    donors = base.select(F.col("_pv_pos").alias("_pv_donor"), *[col(c).cast("double").alias(f"_pv_{i}") for i, c in enumerate(moved)])
+    j = base.withColumn("_pv", F.explode(repeats)).join(donors, F.col("_pv.donor") == F.col("_pv_donor"))
+    j = j.withColumn("_pv_block", F.explode(F.array(*[F.lit(b) for b in blocks]))).withColumn("_pv_rep", F.col("_pv.rep"))
+    new = {c: F.when(F.col("_pv_block").isin([b for b, cs in blocks.items() if c in cs]), F.col(f"_pv_{i}")).otherwise(col(c))
+           for i, c in enumerate(moved)}
+    return j.withColumns(new).drop("_pv_pos", "_pv_donor", "_pv", *[f"_pv_{i}" for i in range(len(moved))])
 
 
 def _score_aggs(label: str, metric: str):
