@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -67,6 +68,28 @@ def list_column(parts: list[bytes], dtype=np.int32) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=dtype)))
 
 
+class Scratch:
+    """Tables written to the shared checkpoint folder and read back, for steps that several jobs read.
+
+    A reread table has no lineage, sizes the planner knows, and no constraints of earlier steps (these
+    grow with every round of an iteration that is cut by checkpoints alone).  ``close`` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, 0
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Most buckets that ``with_next`` makes; their bounds (one integer each) are broadcast.
 MAX_BUCKETS = 100_000
 

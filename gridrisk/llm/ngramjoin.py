@@ -12,8 +12,8 @@ if it has fewer words).  Two documents link when their sets' Jaccard similarity
   the size and position filters are pairs of groups; these are expanded to their members (one for
   each distinct set, so copies never multiply) and verified on the whole sets.
 * ``links`` verifies every pair of groups.  ``components`` needs no pair whose members are connected
-  already: in each list it first pairs one group (the hub) with the others, connects what links, and
-  then verifies whatever pairs still lie between different components.  So a family of many
+  already: where lists are long it first pairs one group (the hub) with the others, connects what links,
+  and then verifies whatever pairs still lie between different components.  So a family of many
   near copies costs about a pair a member and no link between components is lost.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are their
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, steps, two
+from .common import Scratch, steps, two
 from .components import connected
 
 N = 5
@@ -38,8 +38,12 @@ PERCENT = 80
 #: Shingles put last in the order, at most, and how often such a one occurs at least.
 FREQUENT = 500_000
 FREQUENT_LEAST = 32
-#: Rounds of hub pairs before all pairs that remain are verified.
+#: Lists with more open pairs than this for each of their units are first paired with hubs, for so many
+#: rounds at most; then all pairs that remain are verified.
+HUB_PAIRS = 32
 HUB_ROUNDS = 4
+#: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
+FETCH_BROADCAST = 1 << 20
 MEMO = 400_000
 BLOCK = 1 << 20
 
@@ -204,54 +208,50 @@ def may_link(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Colu
 class Join:
     """The tables of one join: documents, sets, groups and the lists of groups that share a shingle."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N):
-        self.n = n
+    def __init__(self, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", n: int = N):
+        self.n, self.scratch = n, scratch
+        table = scratch.table
         self.docs = two(docs, id_col, text_col)
         known = self.docs.filter("id is not null")
-        shared = cut_lineage(_zone_counts(known, n))
+        shared = table(_zone_counts(known, n))
         order = docs.sparkSession.sparkContext.broadcast(_order(shared, FREQUENT, FREQUENT_LEAST))
-        self.base = cut_lineage(_base(known, order, n))
+        self.base = table(_base(known, order, n))
         sets = self.base.filter("n > 0")
         #: a row for each distinct set
-        self.members = cut_lineage(sets.groupBy("k").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n")))
+        self.members = table(sets.groupBy("k").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n")))
         groups = sets.groupBy("g").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"))
         postings = _spread(groups, ["g", "n"], "prefix")
         # a shingle that two prefixes share was counted twice, or lies outside the zone of one of them
         outside = _spread(sets.filter("outside is not null"), [], "outside").select("s").distinct()
         can_meet = shared.select("s").unionByName(outside).distinct()
-        postings = cut_lineage(postings.join(can_meet, "s", "left_semi"))
+        postings = table(postings.join(can_meet, "s", "left_semi"))
         lists = postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
-        self.lists = cut_lineage(postings.join(lists, "s"))
+        #: groups by shared shingle: list ``s``, unit ``u``, its size and the shingle's place in its prefix
+        self.lists = table(postings.join(lists, "s").select("s", F.col("g").alias("u"), "n", "pos"))
+        several = self.members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
+        #: members by group, as lists of the same shape
+        self.within = table(self.members.join(several, "g").select(F.col("g").alias("s"), F.col("k").alias("u"), "n", F.lit(0).alias("pos")))
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """``k`` and the whole set of the members whose ``k`` is wanted."""
-        ids = self.members.join(wanted, "k", "left_semi").select("id")
+        """``k`` and the whole set of the members whose ``k`` is wanted (a table)."""
+        ids = self.members.join(wanted, "k").select("id", "k")
+        if wanted.count() <= FETCH_BROADCAST:
+            ids = F.broadcast(ids)
         n = self.n
 
         def run(batches):
             for whole in batches:
                 for batch in steps(whole, limit=1 << 20):
                     got = [shingles(t.as_py(), n).tobytes() for t in batch.column(0)]
-                    k = [_long(xxhash.xxh3_64_intdigest(x)) for x in got]
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(got, pa.binary())], names=["k", "body"])
-
-        found = self.docs.join(ids.distinct(), "id", "left_semi").select("text").mapInArrow(run, "k long, body binary")
-        return cut_lineage(found.join(wanted, "k", "left_semi").dropDuplicates(["k"]))
-
-    def verify(self, group_pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-        """Links ``a``, ``b`` among the members of pairs of groups (``ga``, ``gb``; equal for pairs within one).
-
-        With ``labels``, members of one component aren't compared."""
-        m = self.members.select("k", "g")
-        if labels is not None:
-            m = m.join(labels, m["k"] == labels["node"], "left").select("k", "g", F.coalesce("label", "k").alias("label"))
-        else:
-            m = m.withColumn("label", F.col("k"))
-        left = m.select(F.col("k").alias("a"), F.col("g").alias("ga"), F.col("label").alias("la"))
-        right = m.select(F.col("k").alias("b"), F.col("g").alias("gb"), F.col("label").alias("lb"))
-        pairs = group_pairs.join(left, "ga").join(right, "gb").filter("la != lb and (ga != gb or a < b)")
-        pairs = cut_lineage(pairs.select("a", "b"))
-        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+                    # an id that has several texts brings sets that aren't wanted
+                    own = pa.array([_long(xxhash.xxh3_64_intdigest(x)) == k for x, k in zip(got, batch.column(1).to_pylist(), strict=True)])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).filter(own), pa.array(got, pa.binary()).filter(own)], names=["k", "body"])
+
+        return self.scratch.table(self.docs.join(ids, "id").select("text", "k").mapInArrow(run, "k long, body binary"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of members (``a``, ``b``, a table) whose whole sets are similar enough."""
+        wanted = self.scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
         sets = self._sets(wanted)
 
         def run(batches):
@@ -267,105 +267,147 @@ class Join:
                 mask = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-        # hubs stand in b: the set of the other side travels with a pair, a hub's set only to its key
-        pairs = pairs.join(sets.select(F.col("k").alias("a"), F.col("body").alias("x")), "a")
-        pairs = pairs.join(sets.select(F.col("k").alias("b"), F.col("body").alias("y")), "b")
-        return cut_lineage(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("body").alias("x")), "a")
+        both = both.join(sets.select(F.col("k").alias("b"), F.col("body").alias("y")), "b")
+        return self.scratch.table(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
-    def _within(self) -> DataFrame:
-        """Groups of several sets, as pairs with themselves."""
-        several = self.members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        return several.select(F.col("g").alias("ga"), F.col("g").alias("gb"))
+    def _expand(self, units: DataFrame, labels: DataFrame | None, all_members: bool) -> DataFrame:
+        """Pairs of groups as pairs of members of different components: all of them, or one for each
+        component that a group has a member in."""
+        m = _labelled(self.members.select("k", "g"), "k", labels)
+        if not all_members:
+            m = m.groupBy("g", "label").agg(F.min("k").alias("k"))
+        left = m.select(F.col("g").alias("x"), F.col("k").alias("a"), F.col("label").alias("la"))
+        right = m.select(F.col("g").alias("y"), F.col("k").alias("b"), F.col("label").alias("lb"))
+        return units.join(left, "x").join(right, "y").filter("la != lb").select("a", "b")
 
     def links(self) -> DataFrame:
         """Every link between different sets: ``a``, ``b`` (their ``k``; ``members`` and ``base`` have the documents)."""
-        x = self.lists.select("s", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-        y = self.lists.select("s", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        pairs = x.join(y, "s").filter(F.col("ga") < F.col("gb")).filter(may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
-        return self.verify(pairs.select("ga", "gb").distinct().unionByName(self._within()))
-
-    def _labelled(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Groups with the label that all their members have (null: several), and the lists with those."""
-        m = self.members.join(labels, self.members["k"] == labels["node"], "left")
-        m = m.groupBy("g").agg(F.min(F.coalesce("label", "k")).alias("least"), F.max(F.coalesce("label", "k")).alias("most"))
-        groups = m.select("g", F.when(F.col("least") == F.col("most"), F.col("least")).alias("label"))
-        return groups, self.lists.join(groups, "g")
+        inner = _crossing(self.within.withColumn("label", F.col("u")), False).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        outer = self._expand(_crossing(self.lists.withColumn("label", F.col("u")), True), None, True)
+        return self.verify(self.scratch.table(_ordered(outer.unionByName(inner)).distinct())).distinct()
 
     def components(self) -> DataFrame:
         """``node`` (a set's ``k``) and ``label`` of the sets that link with another one."""
-        spark = self.docs.sparkSession
-        found = self.verify(self._within())
-        labels = connected(found)
-        tested = spark.createDataFrame([], "ga long, gb long")
-        differ = F.coalesce(F.col("label") != F.col("hub_label"), F.lit(True))
+        labels, found, tested = None, [], []
+
+        def step(pairs: DataFrame) -> DataFrame:
+            pairs = _ordered(pairs).distinct()
+            for old in tested:
+                pairs = pairs.join(old, ["a", "b"], "left_anti")
+            tested.append(self.scratch.table(pairs))
+            found.append(self.verify(tested[-1]))
+            links = found[0]
+            for more in found[1:]:
+                links = links.unionByName(more)
+            return connected(links, self.scratch)
+
+        # long lists first: their units meet hubs until few pairs are open
+        long = [self.scratch.table(_long_lists(x.withColumn("label", F.col("u")))) for x in (self.within, self.lists)]
         for i in range(HUB_ROUNDS):
-            _, lists = self._labelled(labels)
-            lists = cut_lineage(lists.withColumn("class", F.floor(F.log("n") / np.log(100 / PERCENT))))
-            # lists whose members are all connected have no pair left
-            if self._open(lists) <= (2 * lists.count() if i else 0):
+            inner, outer = (x.drop("label") for x in long)
+            inner, outer = _labelled(inner, "u", labels), outer.join(self._group_labels(labels), "u")
+            long = [self.scratch.table(_long_lists(x)) for x in (inner, outer)]
+            if not any(x.limit(1).count() for x in long):
                 break
-            pick = F.struct(F.xxhash64("g", F.lit(i)).alias("o"), F.col("g").alias("hub"), F.col("n").alias("hub_n"),
-                            F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
-            hubs = lists.groupBy("s", "class").agg(F.min(pick).alias("h")).select("s", "class", "h.*")
-            pairs = (lists.join(hubs, ["s", "class"]).filter("g != hub").filter(differ)
-                          .filter(may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
-                          .select(F.col("g").alias("ga"), F.col("hub").alias("gb")).distinct())
-            pairs = cut_lineage(self._untested(pairs, tested))
-            tested = tested.unionByName(pairs)
-            found = cut_lineage(found.unionByName(self.verify(pairs, labels)))
-            labels = connected(found)
-        rest = cut_lineage(self._untested(self._remaining(labels), tested))
-        found = found.unionByName(self.verify(rest, labels))
-        return connected(found)
-
-    @staticmethod
-    def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-        either = tested.unionByName(tested.select(F.col("gb").alias("ga"), F.col("ga").alias("gb")))
-        return pairs.join(either, ["ga", "gb"], "left_anti")
-
-    @staticmethod
-    def _open(lists: DataFrame) -> int:
-        """Pairs in the lists whose groups aren't in one component."""
-        part = lists.groupBy("s", "label").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        part = part.groupBy("s").agg(F.sum("c").alias("all"), F.sum(F.when(F.col("label").isNotNull(), F.col("c") * F.col("c"))
-                                                                    .otherwise(F.col("c"))).alias("same"))
-        return int(part.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0)
-
-    def _remaining(self, labels: DataFrame) -> DataFrame:
-        """All pairs of groups that share a list and pass the filters, but not those in one component.
-
-        In each list the groups of its largest component meet only the others, and those each other."""
-        _, lists = self._labelled(labels)
-        lists = cut_lineage(lists)
-        part = lists.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"))
-        top = part.groupBy("s").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("c", "label"))).alias("m"), F.sum("c").alias("all"))
-        top = top.filter("m is null or m.c < all").select("s", F.col("m.label").alias("main"))
-        lists = cut_lineage(lists.join(top, "s").withColumn(
-            "minor", F.coalesce(F.col("label") != F.col("main"), F.lit(True))))
-        x = lists.filter("minor").select("s", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-        y = lists.select("s", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), "minor")
-        pairs = x.join(y, "s").filter("(not minor or ga < gb) and ga != gb and coalesce(la != lb, true)")
-        pairs = pairs.filter(may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
-        return pairs.select("ga", "gb").distinct()
+            inner, outer = (_hub_pairs(x, i) for x in long)
+            labels = step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, False)))
+        inner = self.scratch.table(_labelled(self.within, "u", labels))
+        outer = self.scratch.table(self.lists.join(self._group_labels(labels), "u"))
+        inner, outer = _crossing(inner, False), _crossing(outer, True)
+        return step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, True)))
+
+    def _group_labels(self, labels: DataFrame | None) -> DataFrame:
+        """The component that all members of a group are in; null if they're in several."""
+        groups = _labelled(self.members.select("k", "g"), "k", labels).groupBy(F.col("g").alias("u")).agg(
+            F.min("label").alias("low"), F.max("label").alias("high"))
+        return groups.select("u", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b")
+
+
+def _labelled(rows: DataFrame, col: str, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of the member in ``col``: its own ``k`` if it has no link yet."""
+    if labels is None:
+        return rows.withColumn("label", F.col(col))
+    return rows.join(labels.withColumnRenamed("node", col), col, "left").withColumn("label", F.coalesce("label", col))
+
+
+def _pairs(left: DataFrame, right: DataFrame, more: str, shared: bool = False) -> DataFrame:
+    """Distinct pairs of units ``x``, ``y`` that have a list in common and pass the filters and ``more``.
+
+    ``shared``: the lists hold every shingle that the units' prefixes share, so their number limits the
+    overlap too: what the prefixes don't share lies behind the end of one of them."""
+    def side(lists: DataFrame, unit: str) -> DataFrame:
+        return lists.select("s", *[F.col(c).alias(unit if c == "u" else f"{unit}_{c}") for c in lists.columns if c != "s"])
+
+    pairs = side(left, "x").join(side(right, "y"), "s").filter(more)
+    pairs = pairs.filter(may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")))
+    if not shared:
+        return pairs.select("x", "y").distinct()
+    # either unit may be x, from list to list
+    both = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.greatest("x_n", "y_n").alias("most"),
+                        (F.col("x_n") + F.col("y_n")).alias("total"))
+    both = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min("most").alias("most"), F.min("total").alias("total"))
+    rest = F.ceil(F.lit(PERCENT) * F.col("most") / 100) - 1  # the size without the prefix
+    return both.filter((100 + PERCENT) * (F.col("c") + rest) >= PERCENT * F.col("total")).select("x", "y")
+
+
+def _long_lists(lists: DataFrame) -> DataFrame:
+    """The lists with more than ``HUB_PAIRS`` open pairs for each unit; a pair is open if its units aren't in one
+    component (label null: several)."""
+    part = lists.groupBy("s", "label").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    same = F.when(F.col("label").isNotNull(), F.col("c") * F.col("c")).otherwise(F.col("c"))
+    part = part.groupBy("s").agg(F.sum("c").alias("c"), F.sum(same).alias("same"))
+    return lists.join(part.filter((F.col("c") * F.col("c") - F.col("same")) / 2 > HUB_PAIRS * F.col("c")).select("s"), "s")
+
+
+_DIFFER = "x != y and coalesce(x_label != y_label, true)"
+
+
+def _hub_pairs(lists: DataFrame, i: int) -> DataFrame:
+    """Each list's units with its hub for this round, one hub for each class of sizes that may link."""
+    lists = lists.withColumn("class", F.floor(F.log("n") / float(np.log(100 / PERCENT))))
+    pick = F.struct(F.xxhash64("u", F.lit(i)).alias("o"), "u", "n", "pos", "label")
+    hubs = lists.groupBy("s", "class").agg(F.min(pick).alias("h")).select("s", "class", "h.u", "h.n", "h.pos", "h.label")
+    return _pairs(lists, hubs, f"x_class = y_class and {_DIFFER}")
+
+
+def _crossing(lists: DataFrame, shared: bool) -> DataFrame:
+    """All pairs but those in one component.
+
+    In each list the units of its largest component meet only the others, and those each other."""
+    part = lists.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = part.groupBy("s").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("c", "label"))).alias("m"), F.sum("c").alias("c"))
+    main = main.filter("m is null or m.c < c").select("s", F.col("m.label").alias("main"))
+    lists = lists.join(main, "s").withColumn("minor", F.coalesce(F.col("label") != F.col("main"), F.lit(True))).drop("main")
+    return _pairs(lists.filter("minor"), lists, f"(x < y or not y_minor) and {_DIFFER}", shared)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """A row for every row of ``docs``: ``id``, ``n_shingles`` and ``component_id``, the least id reachable by links."""
-    join = Join(docs, id_col, text_col, n)
-    labels = join.components()
-    rows = join.base.select("id", "n", "k").join(labels, F.col("k") == F.col("node"), "left")
-    rows = rows.select("id", "n", F.coalesce("label", "k").alias("c"))
-    least = rows.groupBy("c").agg(F.min("id").alias("least"))
-    rows = cut_lineage(rows.join(least, "c", "left").select("id", "n", F.coalesce("least", "id").alias("component_id")))
-    # rows that share an id are one document: the components of its texts are one
-    split = rows.groupBy("id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low != high")
-    if split.limit(1).count():
-        joined = connected(rows.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-        rows = rows.join(joined, rows["component_id"] == joined["node"]).select("id", "n", F.col("label").alias("component_id"))
-    out = rows.select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    # null ids took no part: their size is known, their component isn't
-    lone = docs.filter(F.col(f"`{id_col}`").isNull())
-    return out.unionByName(_lone(two(lone, id_col, text_col), n))
+    """A row for every row of ``docs``: ``id``, ``n_shingles`` and ``component_id``, the least id reachable by links.
+
+    The result is a table in the shared checkpoint folder; the tables of the steps are deleted."""
+    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    try:
+        join = Join(docs, scratch, id_col, text_col, n)
+        labels = join.components()
+        rows = _labelled(join.base.select("id", "n", "k"), "k", labels).select("id", "n", F.col("label").alias("c"))
+        least = rows.groupBy("c").agg(F.min("id").alias("least"))
+        rows = scratch.table(rows.join(least, "c", "left").select("id", "n", F.coalesce("least", "id").alias("component_id")))
+        # rows that share an id are one document: the components of its texts are one
+        split = rows.groupBy("id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low != high")
+        if split.limit(1).count():
+            joined = connected(rows.select(F.col("id").alias("a"), F.col("component_id").alias("b")), scratch)
+            rows = rows.join(joined, rows["component_id"] == joined["node"]).select("id", "n", F.col("label").alias("component_id"))
+        out = rows.select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        # null ids took no part: their size is known, their component isn't
+        lone = docs.filter(F.col(f"`{id_col}`").isNull())
+        return result.table(out.unionByName(_lone(two(lone, id_col, text_col), n)))
+    finally:
+        scratch.close()
 
 
 def _lone(rows: DataFrame, n: int) -> DataFrame:
