@@ -5,8 +5,8 @@ if it has fewer words).  Two documents link when their sets' Jaccard similarity
 
 * All sets are put in one global order: shingles that aren't frequent by hash, then the frequent
   ones by frequency and hash.  If two sets link, their prefixes (the first n - ceil(0.8 n) + 1) meet.
-  Frequencies are counted over all documents, for the low hashes that prefixes can come from; the
-  ``FREQUENT`` most frequent shingles at most are broadcast.  They only shape the order: any
+  Frequencies are counted over all documents, for the low hashes that prefixes come from and for
+  whatever is common in a block of documents; the ``FREQUENT`` most frequent shingles at most are broadcast.  They only shape the order: any
   order gives the same links, so that bound loses nothing.
 * Documents with equal prefixes and sizes form a group.  Groups that share a prefix shingle and pass
   the size and position filters are pairs of groups; these are expanded to their members (one for
@@ -45,7 +45,9 @@ HUB_ROUNDS = 4
 #: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
 FETCH_BROADCAST = 1 << 20
 MEMO = 400_000
-BLOCK = 1 << 20
+#: Shingles counted together in a task, and how often one is common there wherever it lies in a document's order.
+BLOCK = 1 << 21
+BLOCK_COMMON = 4
 
 
 class _Words(dict):
@@ -104,25 +106,31 @@ class Order:
 
 
 def _zone_counts(docs: DataFrame, n: int) -> DataFrame:
-    """``s`` and ``df`` of the shingles that occur in the zones of at least two documents."""
+    """``s`` and ``df`` of the shingles that occur in the zones of at least two documents; the count also takes in
+    what lies outside the zones if it is common in a block of documents."""
     def count(batches):
-        held, size = [], 0
+        zones, sets, size = [], [], 0
 
         def block():
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(c)], names=["s", "c"])
+            s, c = np.unique(np.concatenate(zones), return_counts=True)
+            t, d = np.unique(np.concatenate(sets), return_counts=True)
+            t, d = t[d >= BLOCK_COMMON], d[d >= BLOCK_COMMON]
+            # common ones with their whole count, the others with that of the zones
+            alone = ~np.isin(s, t, assume_unique=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[alone], t])), pa.array(np.concatenate([c[alone], d]))], names=["s", "c"])
 
         for whole in batches:
             for batch in steps(whole):
                 for text in batch.column(0):
                     h = shingles(text.as_py(), n)
                     if len(h):
-                        held.append(h[:zone_length(len(h))])
-                        size += len(held[-1])
+                        zones.append(h[:zone_length(len(h))])
+                        sets.append(h)
+                        size += len(h)
                         if size >= BLOCK:
                             yield block()
-                            held, size = [], 0
-        if held:
+                            zones, sets, size = [], [], 0
+        if sets:
             yield block()
 
     counted = docs.select("text").mapInArrow(count, "s long, c long")
@@ -305,6 +313,8 @@ class Join:
         # long lists first: their units meet hubs until few pairs are open
         long = [self.scratch.table(_long_lists(x.withColumn("label", F.col("u")))) for x in (self.within, self.lists)]
         for i in range(HUB_ROUNDS):
+            if i and 10 * found[-1].count() < tested[-1].count():
+                break  # few of the last pairs linked: hubs don't help
             inner, outer = (x.drop("label") for x in long)
             inner, outer = _labelled(inner, "u", labels), outer.join(self._group_labels(labels), "u")
             long = [self.scratch.table(_long_lists(x)) for x in (inner, outer)]
