@@ -313,7 +313,7 @@ class Join:
         # long lists first: their units meet hubs until few pairs are open
         long = [self.scratch.table(_long_lists(x.withColumn("label", F.col("u")))) for x in (self.within, self.lists)]
         for i in range(HUB_ROUNDS):
-            if i and 10 * found[-1].count() < tested[-1].count():
+            if i > 1 and 10 * found[-1].count() < tested[-1].count():
                 break  # few of the last pairs linked: hubs don't help
             inner, outer = (x.drop("label") for x in long)
             inner, outer = _labelled(inner, "u", labels), outer.join(self._group_labels(labels), "u")
@@ -377,22 +377,33 @@ def _long_lists(lists: DataFrame) -> DataFrame:
 _DIFFER = "x != y and coalesce(x_label != y_label, true)"
 
 
+def _with_main(lists: DataFrame) -> DataFrame:
+    """The lists whose units are in several components, with the largest one's label ``main``."""
+    part = lists.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = part.groupBy("s").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("c", "label"))).alias("m"), F.sum("c").alias("c"))
+    return lists.join(main.filter("m is null or m.c < c").select("s", F.col("m.label").alias("main")), "s")
+
+
 def _hub_pairs(lists: DataFrame, i: int) -> DataFrame:
-    """Each list's units with its hub for this round, one hub for each class of sizes that may link."""
+    """Each list's units with its hub for this round, one hub for each class of sizes that may link.
+
+    The first round's hubs are the same in lists of the same units; later ones differ from list to list and
+    come from the list's largest component, so that what is left meets many of its members."""
     lists = lists.withColumn("class", F.floor(F.log("n") / float(np.log(100 / PERCENT))))
-    pick = F.struct(F.xxhash64("u", F.lit(i)).alias("o"), "u", "n", "pos", "label")
+    hash_ = F.xxhash64("u", F.lit(i))
+    if i:
+        lists = _with_main(lists)
+        hash_ = F.struct(F.coalesce(F.col("label") != F.col("main"), F.lit(True)), F.xxhash64("u", "s", F.lit(i)))
+    pick = F.struct(hash_.alias("o"), "u", "n", "pos", "label")
     hubs = lists.groupBy("s", "class").agg(F.min(pick).alias("h")).select("s", "class", "h.u", "h.n", "h.pos", "h.label")
-    return _pairs(lists, hubs, f"x_class = y_class and {_DIFFER}")
+    return _pairs(lists.select("s", "class", "u", "n", "pos", "label"), hubs, f"x_class = y_class and {_DIFFER}")
 
 
 def _crossing(lists: DataFrame, shared: bool) -> DataFrame:
     """All pairs but those in one component.
 
     In each list the units of its largest component meet only the others, and those each other."""
-    part = lists.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = part.groupBy("s").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("c", "label"))).alias("m"), F.sum("c").alias("c"))
-    main = main.filter("m is null or m.c < c").select("s", F.col("m.label").alias("main"))
-    lists = lists.join(main, "s").withColumn("minor", F.coalesce(F.col("label") != F.col("main"), F.lit(True))).drop("main")
+    lists = _with_main(lists).withColumn("minor", F.coalesce(F.col("label") != F.col("main"), F.lit(True))).drop("main")
     return _pairs(lists.filter("minor"), lists, f"(x < y or not y_minor) and {_DIFFER}", shared)
 
 
