@@ -2,7 +2,7 @@
 
 Documents are put in ascending order of id (range partitions), encoded, and their ids gathered in
 shards of about ``SHARD_TOKENS`` (a document is never divided).  In each shard, frequent pairs of
-neighbouring ids are replaced by new ids (nonterminals), round by round, until no pair is frequent.  A
+neighbouring ids are replaced by new ids (nonterminals), round by round, until a round gains little.  A
 round takes the most frequent pairs that can't overlap: an id is the left part of its pairs or the
 right part, never both.  Rules refer to ids of earlier rounds only.
 
@@ -23,9 +23,11 @@ first; repeated ids stay apart, in order of their texts; no documents give no sh
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,10 +42,13 @@ from .pieces import part_tail, pieces
 SHARD_TOKENS = 1 << 18
 #: A pair is replaced if it occurs so often.
 MIN_COUNT = 4
+#: Rounds end when one makes a sequence shorter by less than this power of a half.
+LEAST_GAIN = 8
 #: Pairs replaced in one round, at most; the others wait for the next.
 ROUND_PAIRS = 4096
 END_ID = 0
-MEMO = 300_000
+#: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
+MEMO = 450_000
 _BUCKETS = 18
 
 SHARDS = "part int, k int, n_docs long, n_tokens long, shard binary"
@@ -64,33 +69,32 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        core, tail = part_tail(piece)
-        return self[core] + self[tail]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(text) for text in texts]
-        want = self._parts(set().union(*cut).difference(self))
-        if len(self) + len(want) > MEMO:
+        """Each piece that isn't remembered is looked up once, its closing signs apart."""
+        if len(self) > MEMO:
             self.older = dict(self)
             self.clear()
-            want = self._parts(set().union(*cut))
-        unknown = []
-        for p in want:
-            got = self.older.get(p)
-            if got is None:
-                unknown.append(p)
-            else:
-                self[p] = got
-        for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.__getitem__, own)) for own in cut]
-
-    def _parts(self, found: set[str]) -> set[str]:
-        out = set()
-        for p in found:
-            out.update(x for x in part_tail(p) if x or not p)
-        return out.difference(self)
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        try:
+            cut = [pieces(text) for text in texts]
+            cores, tails = {}, {}
+            for piece in set().union(*cut).difference(self):
+                got = self.older.get(piece)
+                if got is None:
+                    cores[piece], tails[piece] = part_tail(piece)
+                else:
+                    self[piece] = got
+            unknown = list(set(cores.values()).union(tails.values()).difference(self))
+            for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+                self[p] = array("I", e.ids).tobytes()
+            for piece, core in cores.items():
+                if tail := tails[piece]:
+                    self[piece] = self[core] + self[tail]
+            return [b"".join(map(self.__getitem__, own)) for own in cut]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @lru_cache(maxsize=1)
@@ -124,7 +128,9 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
     """Symbol sequence, rules (pairs, in order of their nonterminals) and the first nonterminal."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, top = ids.astype(np.uint32), [], base
-    while len(seq) > 1:
+    before = 2 * len(seq)
+    while len(seq) > 1 and before - len(seq) >= before >> LEAST_GAIN:
+        before = len(seq)
         bucket, often, pairs = _frequent(seq, min_count)
         side: dict[int, int] = {}
         taken = np.full(1 << _BUCKETS, -1, dtype=np.int64)
