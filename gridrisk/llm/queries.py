@@ -141,9 +141,10 @@ def edited_text():
 def op5_merkle_fingerprint(spark, sf_dir):
     """Fingerprints of every document and of its edited text, and how alike they are."""
     rows = two(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    pairs = with_next(merkle.fingerprint(rows), ["text", "fingerprint"])
-    pairs = pairs.withColumn("edited", edited_text())
-    pairs = merkle.fingerprint(pairs, "edited", "edited_fingerprint")
+    # fingerprints are made where the pairs lie: the texts alone are shuffled
+    pairs = with_next(rows, ["text"]).withColumn("edited", edited_text())
+    for text, name in (("text", "fingerprint"), ("next_text", "next_fingerprint"), ("edited", "edited_fingerprint")):
+        pairs = merkle.fingerprint(pairs, text, name)
     return pairs.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                         "fingerprint", "edited_fingerprint",
