@@ -31,7 +31,7 @@ from .common import list_column, steps, two
 from .pieces import part_tail, pieces
 
 #: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
-MEMO = 300_000
+MEMO = 150_000
 
 class Codec(dict):
     """Encoder and decoder for one vocabulary; as a dict it maps met pieces to their ids as
@@ -211,9 +211,12 @@ def with_ids(docs: DataFrame, vocabulary, pattern: str, text_col: str = "text",
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
 
     def run(texts: pa.Array) -> pa.Array:
-        c = codec(vocabulary.value, pattern)
-        ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
-        got = [c.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
-        return pa.StructArray.from_arrays([list_column(ids), pa.array(got, pa.binary()).cast(pa.string())], names=["ids", "text"])
+        c, parts = codec(vocabulary.value, pattern), []
+        for batch in steps(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in batch.column(0)]
+            got = [c.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
+            parts.append(pa.StructArray.from_arrays([list_column(ids), pa.array(got, pa.binary()).cast(pa.string())], names=["ids", "text"]))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("text", pa.string())]))
 
     return docs.withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(F.col(f"`{text_col}`").cast("string")))

@@ -44,7 +44,7 @@ HUB_PAIRS = 32
 HUB_ROUNDS = 4
 #: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
 FETCH_BROADCAST = 1 << 20
-MEMO = 400_000
+MEMO = 150_000
 #: Shingles counted together in a task, and how often one is common there wherever it lies in a document's order.
 BLOCK = 1 << 21
 BLOCK_COMMON = 4
@@ -63,6 +63,12 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    """At the end of a task: a reused worker shouldn't hold an operator's memory while others run."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """The set, as ascending signed 64-bit hashes."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -132,6 +138,7 @@ def _zone_counts(docs: DataFrame, n: int) -> DataFrame:
                             zones, sets, size = [], [], 0
         if sets:
             yield block()
+        _forget()
 
     counted = docs.select("text").mapInArrow(count, "s long, c long")
     return counted.groupBy("s").agg(F.sum("c").alias("df")).filter("df > 1")
@@ -182,6 +189,7 @@ def _base(docs: DataFrame, order, n: int) -> DataFrame:
                     [batch.column(0), pa.array(size, pa.int32()), pa.array(k, pa.int64()), pa.array(g, pa.int64()),
                      pa.array(prefix, pa.binary()), pa.array(outside, pa.binary())],
                     names=["id", "n", "k", "g", "prefix", "outside"])
+        _forget()
 
     kind = docs.select("id").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     return docs.select("id", "text").mapInArrow(run, f"{kind}, {BASE}")
@@ -254,6 +262,7 @@ class Join:
                     # an id that has several texts brings sets that aren't wanted
                     own = pa.array([_long(xxhash.xxh3_64_intdigest(x)) == k for x, k in zip(got, batch.column(1).to_pylist(), strict=True)])
                     yield pa.RecordBatch.from_arrays([batch.column(1).filter(own), pa.array(got, pa.binary()).filter(own)], names=["k", "body"])
+            _forget()
 
         return self.scratch.table(self.docs.join(ids, "id").select("text", "k").mapInArrow(run, "k long, body binary"))
 
