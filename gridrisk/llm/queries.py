@@ -171,8 +171,8 @@ SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_units FROM be
 
 @query("op7_license_scan", op7_sql())
 def op7_license_scan(spark, sf_dir):
-    """Licences that lines, paragraphs or whole documents match, one row for each document and licence."""
-    out = licenses.scan(read_table(spark, sf_dir, "documents"))
+    """Licences that lines, paragraphs, whole documents or runs of lines match, one row for each document and licence."""
+    out = licenses.scan(read_table(spark, sf_dir, "documents"), runs=True)
     return out.select(F.col("id").alias("doc_id"), "license", F.round("dice", 6).alias("dice"), "n_units")
 
 

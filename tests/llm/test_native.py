@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 from helpers import docs, edge_rows, empty
@@ -61,6 +62,48 @@ def test_license_edges(spark):
     assert licenses.scan(docs(spark, [(1, "one two three")]), {"x": "one two three", "y": "one", "z": ""}).first()["license"] == "x"
 
 
+def published(name, width=70):
+    """A whole text in lines, with a blank line before each paragraph that its capitals or numbers begin."""
+    body = licenses.TEMPLATES[name]
+    for mark in ("1. Redis", "2. Redis", "The above copyright notice and this permission notice shall", "THIS SOFTWARE IS", "THE SOFTWARE IS",
+                 "This program is distributed", "You should have", "You may obtain", "Unless required"):
+        body = body.replace(" " + mark, "\n\n" + mark)
+    return "\n\n".join("\n".join(textwrap.wrap(x, width)) for x in body.split("\n\n"))
+
+
+def test_whole_licence_texts_in_longer_documents(spark):
+    prose = "\n\n".join(f"Paragraph {i} of a longer text that has words of its own, {i} of them new.\nAnd a second line." for i in range(20))
+    head = "Copyright (c) 2020 Some Body\n\n"
+    names = ["Apache-2.0-header", "BSD-2-Clause-text", "GPL-3.0-header-text", "ISC-text", "MIT-text"]
+    rows, want = [], {}
+    for i, name in enumerate(names):
+        body = published(name)
+        comment = "\n".join(f"# {x}".rstrip() for x in (head + body).split("\n"))
+        for k, text in enumerate((head + body, f"{prose}\n\n{body}\n\n{prose}", f"{comment}\nimport os\nprint(os.name)\n" + "x = f(x, 1)\n" * 40,
+                                  f"{prose}\n{body}\n{prose}")):
+            rows.append((10 * i + k, text))
+            want[10 * i + k] = name
+    got = licenses.scan(docs(spark, rows, extra=True), runs=True).collect()
+    found = {(r["id"], r["license"]): (r["dice"], r["n_units"]) for r in got}
+    assert set(want.items()) <= found.keys()
+    family = {i: name.split("-")[0] for i, name in want.items()}
+    assert all(name.startswith(family[i]) for i, name in found)
+    assert all(found[i, name] == (1.0, 1) for i, name in want.items() if i % 10 == 3)  # the licence's own lines and no others
+    # rows that units match stay as they are
+    plain = {(r["id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert plain.items() <= found.items() and len(plain) < len(found)
+
+
+def test_runs_name_the_licence_they_are_most_like(spark):
+    rows = [(1, "a b\nThis work is licensed under the GNU General\nPublic License, version\n2.\nc d"), (1, None), (2, ""), (3, "\n \n"),
+            (4, "All rights\n\nreserved"), (None, "x\nAll rights\nreserved\ny"), (5, "All\nrights"), (6, "This work is licensed under the GNU General Public License, version 2.\nx")]
+    got = sorted(((r["id"], r["license"], r["n_units"]) for r in licenses.scan(docs(spark, rows), runs=True).collect()), key=str)
+    assert got == [(1, "GPL-2.0-notice", 1), (4, "all-rights-reserved", 1), (6, "GPL-2.0-notice", 2), (None, "all-rights-reserved", 1)]
+    plan = licenses.scan(docs(spark, rows), runs=True)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|MapIn", plan)
+    assert licenses.scan(empty(spark), runs=True).count() == 0
+
+
 def test_no_python_in_native_plans(spark):
     conv = spark.createDataFrame([(1, 0, "user", "a")], CONV)
     pages = spark.createDataFrame([(1, "http://a.com/", "")], PAGES)
