@@ -127,8 +127,8 @@ FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 @query("op4_line_dedup", OP4_SQL)
 def op4_line_dedup(spark, sf_dir):
-    """Every document without the lines of runs that occurred earlier."""
-    return linededup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without the lines of runs that occurred earlier; as in the SQL, two lines are no run."""
+    return linededup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pairs=False)
 
 
 def edited_text():
