@@ -1,6 +1,6 @@
 """Corpus operators for large text collections: language ID, token storage, near-duplicate
 joins, line dedup, fingerprints, byte-level BPE, licence scans, chat formatting, benchmark
-decontamination and link-graph URL filters.
+decontamination, link-graph URL filters, secret scans, fill-in-middle and Merkle manifests.
 
 Nothing outside this folder imports it; it uses the library's session helpers only.
 """

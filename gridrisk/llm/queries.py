@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, linededup, linkgraph, merkle, ngramjoin, tokenstore
+from . import bpe, chat, decontaminate, fim, langid, licenses, linededup, linkgraph, manifest, merkle, ngramjoin, secrets, tokenstore
 from .common import ensure_checkpoint_dir, read_table, two, with_next
 from .registry import query
 
@@ -284,3 +284,99 @@ def op10_url_filter(spark, sf_dir):
     """Verdict on every page's url by the rules, else by trust and distrust of its host."""
     out = linkgraph.judge(read_table(spark, sf_dir, "pages"), RULES)
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op11_secret_scan")
+def op11_secret_scan(spark, sf_dir):
+    """Secrets in every document: the plain patterns' spans, and those that decoding and parsing confirm."""
+    out = secrets.scan(read_table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["kind"].isin(*secrets.PLAIN))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in secrets.PLAIN],
+                      F.sha2(listed(plain).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+OP12_SQL = r"""
+WITH u AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || CAST(doc_id AS VARCHAR)) AS d FROM documents),
+h AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+             CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+             array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def op12_fill_in_middle(spark, sf_dir):
+    """Every document cut into lines and reordered around marks, and the text rebuilt from that."""
+    out = fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, crc32_7, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS n1,
+         coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM (SELECT *, {crc} % 7 = 0 AS crc32_7 FROM documents)),
+l AS MATERIALIZED (
+  SELECT doc_id, lang, leaf, candidate, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256(head || n || body) AS leaf, sha256(head || CASE WHEN crc32_7 THEN n1 ELSE n END || body) AS candidate FROM f)),
+t AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM l
+      UNION ALL SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+s AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS gn FROM t WHERE n = 1),
+r AS (SELECT 0 AS lvl, g AS pos, gn AS n, subroot AS h FROM s
+      UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM r WHERE n > 1 GROUP BY lvl, pos // 2, n),
+lh AS (SELECT lang, max(lvl) AS height FROM t GROUP BY lang),
+nodes AS MATERIALIZED (  -- every leaf's steps: level by level the sibling and its side
+  SELECT l.doc_id, l.leaf, x.lvl, (l.pos >> x.lvl) AS spot, o.h AS sibling
+  FROM l JOIN (SELECT DISTINCT lang, lvl FROM t WHERE n > 1) x ON x.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM l.lang AND o.lvl = x.lvl AND o.pos = xor(l.pos >> x.lvl, 1)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, 1000 + x.lvl, (s.g >> x.lvl), o.h
+  FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT DISTINCT lvl FROM r WHERE n > 1) x ON true
+  LEFT JOIN r o ON o.lvl = x.lvl AND o.pos = xor(s.g >> x.lvl, 1)),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY lvl) AS k FROM nodes),
+fold AS (SELECT doc_id, leaf, CAST(0 AS BIGINT) AS k, candidate AS h FROM l
+         UNION ALL SELECT f.doc_id, f.leaf, f.k + 1, sha256(CASE WHEN sibling IS NULL THEN h WHEN spot % 2 = 1 THEN sibling || h ELSE h || sibling END)
+         FROM fold f JOIN steps p ON p.doc_id IS NOT DISTINCT FROM f.doc_id AND p.leaf = f.leaf AND p.k = f.k + 1),
+ends AS (SELECT doc_id, leaf, arg_max(h, k) AS folded_root FROM fold GROUP BY doc_id, leaf),
+proofs AS (SELECT doc_id, leaf, string_agg(sibling, '' ORDER BY k) AS proof FROM steps GROUP BY doc_id, leaf)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM r WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM r WHERE n = 1) AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN ends e ON e.doc_id IS NOT DISTINCT FROM l.doc_id AND e.leaf = l.leaf
+LEFT JOIN proofs p ON p.doc_id IS NOT DISTINCT FROM l.doc_id AND p.leaf = l.leaf"""
+
+#: DuckDB has no CRC-32: bit by bit over the id's decimal text.
+_CRC = """coalesce(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda x, c: list_reduce(list_prepend(xor(x, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295), 1)"""
+
+
+@query("op13_merkle_manifest", OP13_SQL.replace("{crc}", _CRC))
+def op13_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and the root that its possibly tampered leaf folds to."""
+    docs = read_table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = [F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in columns]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, manifest.leaf(more))
+    out = manifest.build(docs, columns, "doc_id", "lang", candidate=tampered).proofs
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                      F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
