@@ -106,24 +106,20 @@ def drop_all_null(df: DataFrame) -> DataFrame:
 
 def profile_columns(df: DataFrame, sentinel: str = "none") -> DataFrame:
     """Per column: type, rows, NULLs, all-NULL, numeric, sentinel hits,
-    duplicated name.  One aggregate pass, unpivoted with ``stack``."""
-    names = df.columns
-    dup = {c for c in names if names.count(c) > 1}
+    duplicated name.  One aggregate pass over columns addressed by position, so equal names and names with any
+    sign are reported like others; one row, turned into a row per column."""
+    fields = df.schema.fields
+    names = [f.name for f in fields]
+    placed = df.toDF(*[f"_p{i}" for i in range(len(names))])
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(names):
-        aggs.append(F.count_if(col(c).isNull()).alias(f"_n{i}"))
-        aggs.append(F.count_if(F.coalesce(col(c).cast("string").contains(sentinel), F.lit(False)))
-                    .alias(f"_s{i}"))
-    one = df.agg(*aggs)
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
-    rows = []
-    for i, c in enumerate(names):
-        rows.append(f"'{c}', '{dtypes[c].simpleString()}', {str(isinstance(dtypes[c], NUMERIC)).lower()}, "
-                    f"{str(c in dup).lower()}, _n{i}, _s{i}")
-    stacked = one.selectExpr("_rows AS n_rows",
-                             f"stack({len(rows)}, {', '.join(rows)}) "
-                             "AS (column_name, dtype, is_numeric, duplicated, n_null, n_sentinel)")
-    return stacked.withColumn("all_null", F.col("n_null") == F.col("n_rows"))
+    for i in range(len(names)):
+        aggs.append(F.count_if(F.col(f"_p{i}").isNull()).alias(f"_n{i}"))
+        aggs.append(F.count_if(F.coalesce(F.col(f"_p{i}").cast("string").contains(sentinel), F.lit(False))).alias(f"_s{i}"))
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"),
+                     F.lit(isinstance(f.dataType, NUMERIC)).alias("is_numeric"), F.lit(names.count(f.name) > 1).alias("duplicated"),
+                     F.col(f"_n{i}").alias("n_null"), F.col(f"_s{i}").alias("n_sentinel")) for i, f in enumerate(fields)]
+    out = placed.agg(*aggs).select(F.col("_rows").alias("n_rows"), F.explode(F.array(*rows)).alias("_c")).select("n_rows", "_c.*")
+    return out.withColumn("all_null", F.col("n_null") == F.col("n_rows"))
 
 
 #: Blocks whose known points one task carries on; above that, blocks of blocks do.

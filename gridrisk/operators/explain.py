@@ -1,22 +1,22 @@
 """Model explanation.
 
-Permutation importance is built as one DataFrame job: rows are ranked once, a
-seeded bijection of the ranks per repeat names donors, one join brings their
-values, the (block, repeat) variants are made locally and scored by one
-``transform`` and one grouped metric aggregate.
+Permutation importance is built as one DataFrame job: rows are ranked once, a keyed
+permutation of the ranks per block and repeat (``functions.permute``) says where a row's values
+go, one join brings them there, and the variants are scored by one ``transform`` and one grouped
+metric aggregate.  Partial dependence has two forms: over all rows (``partial_dependence``), and by a
+weighted walk through the trees alone (``tree_dependence``).
 """
 
 from __future__ import annotations
 
-import math
-import random
-
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, smape_term
+from ..functions.permute import key_column, round_keys, with_image
+from .forest import dependence, leaf_boxes
 from .ranking import number_rows
 
 
@@ -31,41 +31,42 @@ def importances_df(spark, model, features) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
 
-def _bijections(n: int, n_repeats: int, seed: int) -> list[tuple[int, int]]:
-    """Seeded maps p -> (a p + b) mod n of 0..n-1 onto itself, one per repeat; a is small enough
-    that a p stays a long."""
-    rng, out = random.Random(seed), []
-    for _ in range(n_repeats):
-        a = 1
-        while n > 2:
-            a = rng.randrange(1, min(n, (1 << 62) // n))
-            if math.gcd(a, n) == 1:
-                break
-        out.append((a, rng.randrange(max(n, 1))))
-    return out
+def permuted_places(ranked: DataFrame, place, n: int, blocks, n_repeats: int, seed: int) -> DataFrame:
+    """Every row once per (block, repeat) with ``_pv_to``, the place that its values go to: a keyed
+    pseudo-random permutation of the places 0..n-1, one key for each block and repeat."""
+    blocks = list(blocks)
+    keys = F.array(*[key_column(round_keys(seed, i)) for i in range(len(blocks) * n_repeats)])  # a literal: rows carry its index
+    out = ranked.withColumn("_pv_i", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) * n_repeats - 1)))).withColumn("_pv_at", place)
+    out = with_image(out, "_pv_at", n, keys[F.col("_pv_i")], "_pv_to")
+    block = F.array(*[F.lit(b) for b in blocks])[F.call_function("div", "_pv_i", F.lit(n_repeats)).cast("int")]
+    return out.withColumns({"_pv_block": block, "_pv_rep": F.col("_pv_i") % n_repeats}).drop("_pv_i", "_pv_at")
 
 
 def permuted_variants(df: DataFrame, key, blocks: dict, n_repeats: int, seed: int) -> DataFrame:
     """Rows of ``df`` once per (block, repeat) with the block's columns taken
     from a seeded permutation of the rows.
 
-    Every row gets its rank by ``key`` (unique) once, and each repeat has one
-    permutation for all blocks: a seeded bijection of the ranks names every
-    row's donor.  One join per repeat brings the donor's values (n x repeats
-    rows are shuffled); the variants of the blocks are then made where the
-    joined row lies.
+    Every row gets its place by ``key`` (unique) once.  It then sends its values of each block to the
+    place that the block's permutation names, so only the moved columns are shuffled for each
+    variant; the rows themselves are shuffled once and meet their variants in one join.
     """
     base, n = number_rows(df, list(key), "_pv_pos")
-    moved = sorted({c for cs in blocks.values() for c in cs})
-    p = F.col("_pv_pos") - 1
-    repeats = F.array(*[F.struct(F.lit(r).alias("rep"), (F.pmod(p * F.lit(a) + F.lit(b), F.lit(max(n, 1))) + 1).alias("donor"))
-                        for r, (a, b) in enumerate(_bijections(n, n_repeats, seed))])
-    donors = base.select(F.col("_pv_pos").alias("_pv_donor"), *[col(c).cast("double").alias(f"_pv_{i}") for i, c in enumerate(moved)])
-    j = base.withColumn("_pv", F.explode(repeats)).join(donors, F.col("_pv.donor") == F.col("_pv_donor"))
-    j = j.withColumn("_pv_block", F.explode(F.array(*[F.lit(b) for b in blocks]))).withColumn("_pv_rep", F.col("_pv.rep"))
-    new = {c: F.when(F.col("_pv_block").isin([b for b, cs in blocks.items() if c in cs]), F.col(f"_pv_{i}")).otherwise(col(c))
-           for i, c in enumerate(moved)}
-    return j.withColumns(new).drop("_pv_pos", "_pv_donor", "_pv", *[f"_pv_{i}" for i in range(len(moved))])
+    values = None  # the block's columns in its order
+    for b, cs in blocks.items():
+        own, is_b = F.array(*[col(c).cast("double") for c in cs]), F.col("_pv_block") == b
+        values = F.when(is_b, own) if values is None else values.when(is_b, own)
+    sent = permuted_places(base, F.col("_pv_pos") - 1, n, blocks, n_repeats, seed)
+    sent = sent.select("_pv_block", "_pv_rep", (F.col("_pv_to") + 1).alias("_pv_to"), values.alias("_pv_values"))
+    j = base.join(sent, F.col("_pv_pos") == F.col("_pv_to"))
+    new = {}
+    for c in sorted({c for cs in blocks.values() for c in cs}):
+        value = None
+        for b, cs in blocks.items():
+            if c in cs:
+                got, is_b = F.col("_pv_values")[list(cs).index(c)], F.col("_pv_block") == b
+                value = F.when(is_b, got) if value is None else value.when(is_b, got)
+        new[c] = value.otherwise(col(c))
+    return j.withColumns(new).drop("_pv_pos", "_pv_to", "_pv_values")
 
 
 def _score_aggs(label: str, metric: str):
@@ -114,6 +115,24 @@ def permutation_importance(df: DataFrame, model, features, label: str, key, n_re
     return out.withColumnRenamed("block", "feature")
 
 
+def dependence_grid(df: DataFrame, targets, points: int = 100, lo: float = 0.05, hi: float = 0.95,
+                    accuracy: int = 10000) -> dict[str, list[float]]:
+    """X4's grids: the values of a feature that has fewer than ``points``, else ``points`` values spread
+    evenly between its 5th and 95th percentiles."""
+    x = {t: col(t).cast("double") for t in targets}
+    q = df.agg(*[F.percentile_approx(x[t], [lo, hi], accuracy).alias(f"q_{t}") for t in targets],
+               *[F.approx_count_distinct(x[t]).alias(f"n_{t}") for t in targets]).first()
+    grid = {}
+    for t in targets:
+        values = None
+        if q[f"n_{t}"] < 2 * points:  # a sketch's count: the exact values decide
+            values = sorted(r[0] for r in df.select(x[t]).where(x[t].isNotNull()).distinct().limit(points).collect())
+        if values is None or len(values) >= points:
+            values = np.linspace(*q[f"q_{t}"], points) if q[f"q_{t}"] else []
+        grid[t] = [float(v) for v in values]
+    return grid
+
+
 def partial_dependence(df: DataFrame, model, features, targets, points: int = 100,
                        lo: float = 0.05, hi: float = 0.95, accuracy: int = 10000) -> DataFrame:
     """Mean prediction when one feature is set to each value of its grid, over
@@ -127,17 +146,8 @@ def partial_dependence(df: DataFrame, model, features, targets, points: int = 10
     Percentiles use the mergeable ``percentile_approx``.
     """
     feats = list(features)
-    x = {t: col(t).cast("double") for t in targets}
-    q = df.agg(*[F.percentile_approx(x[t], [lo, hi], accuracy).alias(f"q_{t}") for t in targets],
-               *[F.approx_count_distinct(x[t]).alias(f"n_{t}") for t in targets]).first()
-    grid = []
-    for t in targets:
-        values = None
-        if q[f"n_{t}"] < 2 * points:  # a sketch's count: the exact values decide
-            values = sorted(r[0] for r in df.select(x[t]).where(x[t].isNotNull()).distinct().limit(points).collect())
-        if values is None or len(values) >= points:
-            values = np.linspace(*q[f"q_{t}"], points) if q[f"q_{t}"] else []
-        grid += [F.struct(F.lit(t).alias("feature"), F.lit(float(v)).alias("value")) for v in values]
+    grid = [F.struct(F.lit(t).alias("feature"), F.lit(v).alias("value"))
+            for t, vs in dependence_grid(df, targets, points, lo, hi, accuracy).items() for v in vs]
     rows = df.select(*feats).withColumn("_pd", F.explode(F.array(*grid)))
     rows = rows.withColumns({t: F.when(F.col("_pd.feature") == t, F.col("_pd.value")).otherwise(col(t)) for t in targets})
     asm = VectorAssembler(inputCols=feats, outputCol=model.getFeaturesCol(), handleInvalid="keep")
@@ -147,6 +157,14 @@ def partial_dependence(df: DataFrame, model, features, targets, points: int = 10
                 .orderBy("feature", "value"))
 
 
+def tree_dependence(nodes: DataFrame, features, grid: dict[str, list[float]]) -> DataFrame:
+    """X4 by the trees alone, the form that tree-recursion takes for a forest: where a tree splits on the
+    feature the grid value decides, at every other split both sides are taken with the shares of their
+    training rows.  Reads the node table (``forest.node_table``) and no rows; ``grid`` as from
+    ``dependence_grid``.  Columns as ``partial_dependence``."""
+    return dependence(leaf_boxes(nodes, list(features), list(grid)), grid).orderBy("feature", "value")
+
+
 def group_importance(imp: DataFrame, mapping: DataFrame, feature: str = "feature",
                      value: str = "importance") -> DataFrame:
     """Importances summed per feature group (features without a group

@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..functions.moments import filled, moments, scale_of
 from ..session import cut_lineage, materialize
 from .joins import side_join
+from .qr import group_factors, solve, without_own
+from .ranking import number_rows
 
 FEATURES = "features"
 
@@ -51,17 +54,19 @@ def impute_scale(cols, out: str = FEATURES) -> Pipeline:
 
 
 def population_scale(train: DataFrame, test: DataFrame, cols, out: str = FEATURES):
-    """M2, exact form: train means fill NULLs, columns centred and divided by
-    the population deviation of train (0 -> 1); one aggregate, one row."""
+    """M2, exact form: train means fill NULLs, columns centred and divided by the population deviation of
+    the *filled* train column (0 -> 1); one aggregate, one row.
+
+    A filled value is the mean and adds nothing to the squares about it, so the filled column's moments are
+    the known values' with the count of all rows (``functions.moments``)."""
     cols = list(cols)
-    st = train.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(cols)])
+    st = train.agg(*[moments(col(c)).alias(f"m{i}") for i, c in enumerate(cols)], F.count(F.lit(1)).alias("rows"))
+    st = cut_lineage(st.select(*[x for i in range(len(cols)) for x in (
+        F.col(f"m{i}.mean").alias(f"m{i}"), scale_of(filled(F.col(f"m{i}"), F.col("rows"))).alias(f"s{i}"))]))
 
     def apply(df):
         j = df.crossJoin(F.broadcast(st))
-        z = {c: (F.coalesce(col(c), F.col(f"m{i}")) - F.col(f"m{i}"))
-             / F.when(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"s{i}"))
-             for i, c in enumerate(cols)}
+        z = {c: (F.coalesce(col(c), F.col(f"m{i}")) - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(cols)}
         j = j.withColumns(z).drop(*[f"m{i}" for i in range(len(cols))], *[f"s{i}" for i in range(len(cols))])
         return assemble(j, cols, out)
 
@@ -137,44 +142,26 @@ def cross_predict(df: DataFrame, estimator, fold: str, prediction: str = "predic
 def logo_linear(df: DataFrame, features, label: str, group: str, prediction: str = "prediction") -> DataFrame:
     """L1 under leave-one-group-out, exactly, in one pass over the data.
 
-    Per group g: G_g = [X y]_g'[X y]_g (with an intercept column), as one NumPy
-    block per partition and group, summed element by element, so the plan
-    doesn't grow with the number of features.  The model for g solves
-    (G - G_g) beta = (b - b_g); the solves run in ``mapInPandas`` over the
-    per-group table, the coefficients are joined back null-safely and applied
-    as a native dot product.  Replaces #groups full refits.
+    Each group's rows [1 X y] become one triangle where they lie (``operators.qr``); a tree over the
+    groups gives each the triangle of all other groups, from which its model is solved (coefficients of least
+    norm where predictors are dependent, 0 without other rows).  The coefficients are joined back null-safely and
+    applied as a native dot product.  Replaces #groups full refits.  NULL predictors count as 0.
     """
     feats = list(features)
     k = len(feats) + 1
     xs = [F.lit(1.0)] + [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in feats]
     y = col(label).cast("double")
-    data = df.where(y.isNotNull()).select(col(group).alias("_lg_group"), F.array(*xs, y).alias("x"))
-    gtype = data.schema["_lg_group"].dataType.simpleString()
-    cells = (k + 1) * (k + 1)
+    factors = cut_lineage(group_factors(df.where(y.isNotNull()), col(group), [*xs, y]))
+    numbered, n = number_rows(factors, ["grp"], "id")
+    numbered = cut_lineage(numbered.withColumn("id", F.col("id") - 1))
+    rest = without_own(numbered.select("id", "r"), n, k + 1)
 
-    def blocks(batches):
-        for pdf in batches:
-            for g, part in pdf.groupby("_lg_group", dropna=False):
-                x = np.stack(part["x"].to_numpy())
-                yield pd.DataFrame({"_lg_group": pd.Series([None if pd.isna(g) else g] * cells, dtype=object),
-                                    "i": np.arange(cells), "g": (x.T @ x).ravel()})
-
-    sums = data.mapInPandas(blocks, f"_lg_group {gtype}, i int, g double").groupBy("_lg_group", "i").agg(F.sum("g").alias("g"))
-    # one row of (k+1)^2 numbers per group
-    per = cut_lineage(sums.groupBy("_lg_group").agg(F.array_sort(F.collect_list(F.struct("i", "g"))).alias("m"))
-                          .select("_lg_group", F.col("m.g").alias("m")))
-    total = (per.select(F.posexplode("m").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas())
-    whole = df.sparkSession.sparkContext.broadcast(total["g"].to_numpy())
-
-    def solve(batches):
+    def fit(batches):
         for pdf in batches:
-            betas = []
-            for m in pdf["m"]:
-                rest = (whole.value - np.asarray(m)).reshape(k + 1, k + 1)
-                betas.append(np.linalg.lstsq(rest[:k, :k], rest[:k, k], rcond=None)[0].tolist())
-            yield pd.DataFrame({"_lg_group": pdf["_lg_group"], "beta": betas})
+            betas = [solve(np.asarray(r, dtype=float).reshape(-1, k + 1), k).tolist() for r in pdf["r"]]
+            yield pd.DataFrame({"id": pdf["id"], "beta": betas})
 
-    betas = per.mapInPandas(solve, f"_lg_group {gtype}, beta array<double>").withColumnRenamed("_lg_group", group)
+    betas = rest.mapInPandas(fit, "id long, beta array<double>").join(numbered.select("id", F.col("grp").alias(group)), "id").drop("id")
     j = side_join(df, betas, group, "left")  # one row of coefficients per group
     pred = F.aggregate(F.zip_with("beta", F.array(*xs), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return j.withColumn(prediction, pred).drop("beta")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import iso_week, to_day, week_year
+from ..functions.exact import exact_mean, exact_sum
 from ..functions.exprs import col
 
 
@@ -103,8 +104,8 @@ def weekly_rollup(df: DataFrame, keys, means=(), sums=(), exposure: str | None =
 
 
 def cell_totals(df: DataFrame, key: str, c: str, total: str = "total", mean: str = "mean") -> DataFrame:
-    """A4: per-cell sum and mean."""
-    return df.groupBy(col(key)).agg(F.sum(col(c)).alias(total), F.avg(col(c)).alias(mean))
+    """A4: per-cell sum and mean, the same for any order of the rows."""
+    return df.groupBy(col(key)).agg(exact_sum(c).alias(total), exact_mean(c).alias(mean))
 
 
 def deduped_total(df: DataFrame, key: str, date: str, c: str, name: str = "total") -> DataFrame:
@@ -118,8 +119,8 @@ def deduped_total(df: DataFrame, key: str, date: str, c: str, name: str = "total
 
 
 def cell_mean(df: DataFrame, key: str, cols, suffix: str = "") -> DataFrame:
-    """Per-cell means of one or many columns."""
-    return df.groupBy(col(key)).agg(*[F.avg(col(c)).alias(f"{c}{suffix}") for c in cols])
+    """Per-cell means of one or many columns, the same for any order of the rows."""
+    return df.groupBy(col(key)).agg(*[exact_mean(c).alias(f"{c}{suffix}") for c in cols])
 
 
 def distinct_values(df: DataFrame, c: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
@@ -134,5 +135,5 @@ def sorted_distinct(df: DataFrame, c: str) -> DataFrame:
 
 
 def global_mean(df: DataFrame, c: str, name: str = "mean") -> DataFrame:
-    """A10: one-row mean line."""
-    return df.agg(F.avg(col(c)).alias(name))
+    """A10: one-row mean line, the same for any order of the rows."""
+    return df.agg(exact_mean(c).alias(name))

@@ -22,22 +22,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-#: Input bytes that one range holds when no number of partitions is given.
-RANGE_BYTES = 128 << 20
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
-    """The given number; else one range for each ``RANGE_BYTES`` of the plan's files and for each
-    partition of its checkpoints, at least ``spark.sql.shuffle.partitions`` (an explicit
-    number isn't split at run time, so it must follow the data)."""
-    if partitions:
-        return partitions
-    leaves, size, written = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0, 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRDD":
-            written += leaf.rdd().getNumPartitions()
-        elif leaf.getClass().getSimpleName() == "LogicalRelation":
-            size += int(str(leaf.stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), written, -(-size // RANGE_BYTES))
+    """The given number of ranges, else ``spark.sql.shuffle.partitions``, which a cluster sets to its data (a number
+    given to a repartition isn't split at run time)."""
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def number_rows(df: DataFrame, order_cols, name: str = "rn",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..functions.moments import moments, scale_of, without
 from ..session import cut_lineage
 from .joins import side_join
 
@@ -60,18 +61,16 @@ def unstandardize(df: DataFrame, stats: DataFrame, key: str, c: str, out: str |
 
 def fit_out_of_fold(df: DataFrame, fold: str, c: str) -> DataFrame:
     """W3 for cross-validation: per fold id, (mean, scale) of ``c`` over all rows
-    *outside* that fold, from per-fold sums (one grouped aggregate, one row per
-    fold): mean = (S - S_f)/(N - N_f), var = (Q - Q_f)/(N - N_f) - mean^2.
+    *outside* that fold: the folds' moments (one grouped aggregate, one row per
+    fold), all of them merged, and each fold's taken out again.
     Used to inverse-scale a held-out group without its own (unknown) statistics."""
-    x = col(c).cast("double")
-    per = df.where(x.isNotNull()).groupBy(col(fold)).agg(
-        F.count(F.lit(1)).alias("_oof_n"), F.sum(x).alias("_oof_s"), F.sum(x * x).alias("_oof_q"))
-    tot = per.agg(F.sum("_oof_n").alias("_t_n"), F.sum("_oof_s").alias("_t_s"), F.sum("_oof_q").alias("_t_q"))
-    j = per.crossJoin(F.broadcast(tot))  # one row
-    n = (F.col("_t_n") - F.col("_oof_n")).cast("double")
-    mean = F.try_divide(F.col("_t_s") - F.col("_oof_s"), n)
-    var = F.greatest(F.try_divide(F.col("_t_q") - F.col("_oof_q"), n) - mean * mean, F.lit(0.0))
-    std = F.sqrt(var)
-    out = j.select(col(fold), mean.alias("mean"),
-                   F.when(F.coalesce(std, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(std).alias("scale"))
-    return cut_lineage(out)
+    per = cut_lineage(df.groupBy(col(fold)).agg(moments(c).alias("_oof_m")))  # one row a fold, read twice
+    n = F.sum("_oof_m.n")
+    whole = per.agg(n.alias("n"), F.try_divide(F.sum(F.col("_oof_m.n") * F.col("_oof_m.mean")), n).alias("mean"))
+    off = F.col("_oof_m.mean") - F.col("_oof_t.mean")
+    spread = per.crossJoin(F.broadcast(whole.select(F.struct("n", "mean").alias("_oof_t"))))  # one row
+    m2 = spread.agg(F.coalesce(F.sum(F.col("_oof_m.m2") + F.coalesce(F.col("_oof_m.n") * off * off, F.lit(0.0))), F.lit(0.0)).alias("m2"))
+    whole = whole.crossJoin(m2).select(F.struct("n", "mean", "m2").alias("_oof_t"))  # one row each
+    rest = without(F.col("_oof_t"), F.col("_oof_m"))
+    out = per.crossJoin(F.broadcast(whole)).withColumn("_oof_r", rest)
+    return cut_lineage(out.select(col(fold), F.col("_oof_r.mean").alias("mean"), scale_of(F.col("_oof_r")).alias("scale")))

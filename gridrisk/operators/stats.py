@@ -1,19 +1,19 @@
 """Statistics: bounds, histogram, box statistics, correlation, confusion
 matrix, OLS with inference and variance inflation (A9, A11-A14, Q1, Q2).
 
-Only k x k matrices and one-row aggregates reach the driver.
+Only k x k triangles and one-row aggregates reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
 from ..session import cut_lineage
 from .joins import side_join
+from .qr import r_factor, rank_of, solve, t_pvalue
 from .ranking import row_number_global, running_total
 
 
@@ -142,58 +142,59 @@ def ols_one(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def ols(df: DataFrame, y: str, xs, fill_zero: bool = True) -> DataFrame:
-    """Q1: OLS with an intercept and inference, by MLlib's normal-equation solver
-    (a distributed Gram aggregate): one row per term with coefficient,
-    standard error, t and p values, plus R^2 and adjusted R^2.  NULL
-    predictors become 0 as in the reference."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Q1: OLS with an intercept and inference from the triangle of [1, X, y] (``operators.qr``): one row
+    per term with coefficient, standard error, t and p values, plus R^2 and adjusted R^2.  NULL
+    predictors become 0 as in the reference (else their rows are left out); rows with a NULL ``y`` are left out.
 
+    Dependent predictors get the coefficients of least norm, and with them or without a degree of freedom
+    the inference is NULL; R^2 of a constant ``y`` and adjusted R^2 without a degree of freedom are NULL."""
     xs = list(xs)
-    a = df.select(col(y).cast("double").alias("_y"), *[col(c).cast("double").alias(c) for c in xs])
-    if fill_zero:
-        a = a.na.fill(0.0, subset=xs)
-    a = a.where(F.col("_y").isNotNull())
-    vec = VectorAssembler(inputCols=xs, outputCol="_features").transform(a)
-    model = LinearRegression(featuresCol="_features", labelCol="_y", solver="normal",
-                             regParam=0.0, fitIntercept=True, standardization=False).fit(vec)
-    sm = model.summary
-    terms = xs + ["const"]
-    coefs = list(model.coefficients.toArray()) + [model.intercept]
-    rows = [(t, float(b), float(se), float(tv), float(p), float(sm.r2), float(sm.r2adj), int(sm.numInstances))
-            for t, b, se, tv, p in zip(terms, coefs, sm.coefficientStandardErrors, sm.tValues, sm.pValues)]
-    return df.sparkSession.createDataFrame(
-        rows, "term string, coef double, std_err double, t double, p_value double, r2 double, r2_adj double, n long")
+    columns = [F.lit(1.0), *[F.coalesce(col(c).cast("double"), F.lit(0.0)) if fill_zero else col(c).cast("double") for c in xs]]
+    a = df.where(col(y).isNotNull())
+    if not fill_zero:
+        a = a.na.drop(subset=xs)
+    r, n = r_factor(a, [*columns, col(y).cast("double")])
+    k = len(xs) + 1
+    spark = df.sparkSession
+    schema = "term string, coef double, std_err double, t double, p_value double, r2 double, r2_adj double, n long"
+    if not n:
+        return spark.createDataFrame([(t, None, None, None, None, None, None, 0) for t in [*xs, "const"]], schema)
+    r = np.concatenate([r, np.zeros((k + 1 - len(r), k + 1))])
+    beta = solve(r, k)
+    rss = float(((r[:, k] - r[:, :k] @ beta) ** 2).sum())
+    sst = float((r[1:, k] ** 2).sum())  # what the first column, the constant, leaves of y
+    dof, rank = n - k, rank_of(r[:, :k], n)
+    flat = sst <= (n * np.finfo(float).eps * abs(r[0, k])) ** 2
+    r2 = None if flat else 1 - rss / sst
+    adj = None if flat or dof <= 0 else 1 - (rss / dof) / (sst / (n - 1))
+    errors = [None] * k
+    if rank == k and dof > 0:
+        inv = np.linalg.inv(r[:k, :k])
+        errors = [float(e) for e in np.sqrt(rss / dof * (inv ** 2).sum(axis=1))]
+    rows = []
+    for i in [*range(1, k), 0]:
+        t = float(beta[i] / errors[i]) if errors[i] else None
+        rows.append((xs[i - 1] if i else "const", float(beta[i]), errors[i], t, t_pvalue(t, dof) if t is not None else None, r2, adj, n))
+    return spark.createDataFrame(rows, schema)
 
 
 def gram(df: DataFrame, xs) -> np.ndarray:
-    """X'X of the given columns (NULL -> 0): one k x k block per partition (NumPy), added up
-    element by element, so the plan doesn't grow with k."""
-    xs = list(xs)
-    k = len(xs)
-    data = df.select(F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in xs]).alias("x"))
-
-    def block(batches):
-        total = np.zeros((k, k))
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy())
-                total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(k * k), "g": total.ravel()})
-
-    sums = data.mapInPandas(block, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-    out = np.zeros(k * k)
-    out[sums["i"]] = sums["g"]
-    return out.reshape(k, k)
+    """X'X of the given columns (NULL -> 0), from their triangle."""
+    r, _ = r_factor(df, [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in xs])
+    return r.T @ r
 
 
 def vif(df: DataFrame, xs) -> DataFrame:
     """Q2: variance inflation factor of each predictor against the others
-    *without* an intercept (uncentred R^2): VIF_i = (X'X)_ii [(X'X)^-1]_ii.
-    Sorted descending."""
+    *without* an intercept (uncentred R^2), from the triangle R of X (NULL -> 0):
+    VIF_i = |X_i|^2 times the squared length of row i of R^-1.  Dependent predictors (and all-zero ones) have
+    the pseudo-inverse's value.  Sorted descending."""
     xs = list(xs)
-    g = gram(df, xs)
-    inv = np.linalg.pinv(g)
-    vals = [(c, float(g[i, i] * inv[i, i])) for i, c in enumerate(xs)]
-    vals.sort(key=lambda r: -r[1])
+    r, n = r_factor(df, [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in xs])
+    r = np.concatenate([r, np.zeros((len(xs) - len(r), len(xs)))])
+    lengths = np.linalg.norm(r, axis=0)
+    scaled = r / np.where(lengths > 0, lengths, 1.0)  # predictors of equal length
+    inv = np.linalg.inv(scaled) if n and rank_of(r, n) == len(xs) else np.linalg.pinv(scaled)
+    vals = [(c, float((inv[i] ** 2).sum())) for i, c in enumerate(xs)]
+    vals.sort(key=lambda v: -v[1])
     return df.sparkSession.createDataFrame(vals, "feature string, vif double")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exact import scaled_mean
 from ..sources.io import read_table
 
 # Cells excluded by the weekly-risk queries (the reference drops two cells; these
@@ -31,9 +32,9 @@ def risk_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("exposure"),
                    F.count(F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), F.lit(1)))
                     .alias("accident"),
-                   F.avg("l_discount").alias("f_discount"),
-                   F.avg("l_tax").alias("f_tax"),
-                   F.avg("l_extendedprice").alias("f_price")))
+                   scaled_mean("l_discount", 2).alias("f_discount"),
+                   scaled_mean("l_tax", 2).alias("f_tax"),
+                   scaled_mean("l_extendedprice", 2).alias("f_price")))
 
 
 def count_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import clean, evaluate, features, joins, panel, risk, scaling,
 from ..operators import geo as geo_ops
 from . import bindings as B
 from .catalog import query, round_doubles
-from .oracle import with_views
+from .oracle import exact_mean, with_views
 
 EXCL = ", ".join(str(c) for c in B.EXCLUDED_CELLS)
 
@@ -204,8 +204,9 @@ def logo_linear_one(spark, d):
 
 @query("population_scale", with_views("""
 SELECT site, date, round((coalesce(price, m) - m) / s, 6) AS price, round((daily_count - cm) / cs, 6) AS daily_count
-FROM gappy_panel, (SELECT avg(price) AS m, stddev_pop(price) AS s, avg(daily_count) AS cm, stddev_pop(daily_count) AS cs
-                   FROM gappy_panel WHERE year(date) <= 1998) WHERE year(date) > 1998""", "gappy_panel"))
+FROM gappy_panel, (SELECT any_value(m) AS m, stddev_pop(coalesce(price, m)) AS s, avg(daily_count) AS cm, stddev_pop(daily_count) AS cs
+                   FROM gappy_panel, (SELECT avg(price) AS m FROM gappy_panel WHERE year(date) <= 1998) WHERE year(date) <= 1998)
+WHERE year(date) > 1998""", "gappy_panel"))
 def population_scale_q(spark, d):
     """M2, exact: train means fill the gaps, columns centred and divided by the population deviation."""
     from ..operators import learn
@@ -214,6 +215,20 @@ def population_scale_q(spark, d):
     return round_doubles(te.select("site", "date", "price", "daily_count"))
 
 
+_FAR = 1e9
+
+
+@query("out_of_fold_scale", with_views(f"""
+SELECT f.fold, round(avg(x) - {_FAR}, 6) AS mean_off, round(stddev_pop(x), 6) AS scale
+FROM (SELECT DISTINCT fold FROM rows_) f JOIN rows_ r ON r.fold <> f.fold GROUP BY f.fold""", "count_panel", extra={
+    "rows_": f"SELECT CAST(site % 5 AS INTEGER) AS fold, {_FAR} + daily_count + site AS x FROM count_panel"}))
+def out_of_fold_scale(spark, d):
+    """W3 for cross-validation: mean (less 1e9) and deviation outside each fold, of values near 1e9."""
+    p = B.count_panel(spark, d).select((F.col("site") % 5).cast("int").alias("fold"), (F.lit(_FAR) + F.col("daily_count") + F.col("site")).alias("x"))
+    out = scaling.fit_out_of_fold(p, "fold", "x")
+    return round_doubles(out.select("fold", (F.col("mean") - _FAR).alias("mean_off"), "scale"))
+
+
 @query("logo_folds_null", with_views(f"""
 SELECT {_NULL_SITE_SQL} AS site, date,
        CAST(dense_rank() OVER (ORDER BY {_NULL_SITE_SQL} NULLS FIRST) - 1 AS INTEGER) AS fold FROM count_panel""", "count_panel"))
@@ -510,7 +525,7 @@ def cell_totals_q(spark, d):
 SELECT acc.grid, accidents, {_rnd('total_exposure')} AS total_exposure,
        {_rnd('m.f_discount')} AS f_discount, {_rnd('m.f_tax')} AS f_tax, {_rnd('m.f_price')} AS f_price
 FROM acc JOIN vol ON acc.grid = vol.grid
-LEFT JOIN (SELECT grid, avg(f_discount) AS f_discount, avg(f_tax) AS f_tax, avg(f_price) AS f_price
+LEFT JOIN (SELECT grid, {exact_mean('f_discount')} AS f_discount, {exact_mean('f_tax')} AS f_tax, {exact_mean('f_price')} AS f_price
            FROM risk_panel GROUP BY grid) m ON acc.grid = m.grid""", "risk_panel", extra=_SURFACE_CTES))
 def cell_feature_means(spark, d):
     """J4 + A7: per-cell feature means left-joined onto the per-cell totals."""

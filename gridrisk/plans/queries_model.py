@@ -15,7 +15,8 @@ from ..operators import clean, evaluate, explain, features, learn, panel, risk,
 from . import bindings as B
 from ..session import materialize
 from .catalog import query, round_doubles
-from .queries_core import TEST, TRAIN, _weekly
+from .oracle import exact_mean, products, student_p, swept, with_views
+from .queries_core import _SURFACE_CTES, TEST, TRAIN, _weekly
 
 WEEKLY_FEATS = ["f_discount", "f_tax", "f_price", "exposure"]
 #: The regressor predicts accidents by exposure, so exposure is no feature of it.
@@ -229,19 +230,66 @@ def _surface_with_means(spark, d):
     return s.join(panel.cell_mean(p, "grid", list(B.PANEL_FEATURES)), "grid", "left")
 
 
-@query("ols_multi")
+_XS = ["log_exposure", *B.PANEL_FEATURES]
+_MEANS_SQL = {**_SURFACE_CTES,
+              "means": f"SELECT grid, {', '.join(f'{exact_mean(c)} AS {c}' for c in B.PANEL_FEATURES)} FROM risk_panel GROUP BY grid",
+              "m": f"SELECT log_accidents AS y, log_exposure AS x0, {', '.join(f'coalesce({c}, 0.0) AS x{i}' for i, c in enumerate(B.PANEL_FEATURES, 1))} "
+                   "FROM surface LEFT JOIN means USING (grid) WHERE log_accidents IS NOT NULL"}
+_CENTRED = [*[f"x{i}" for i in range(len(_XS))], "y"]
+_OLS_SQL = {
+    **_MEANS_SQL,
+    "centre": f"SELECT count(*) AS n, {', '.join(f'avg({c}) AS a_{c}' for c in _CENTRED)} FROM m",
+    "c": f"SELECT {', '.join(f'{c} - a_{c} AS {c}' for c in _CENTRED)} FROM m, centre",
+    "swept0": products("c", _CENTRED), **swept("swept0", len(_XS)),
+    "s": f"SELECT * FROM swept{len(_XS)}",
+    "fit": f"""SELECT n, n - {len(_XS) + 1} AS dof, (SELECT v FROM s WHERE i = {len(_XS)} AND j = {len(_XS)}) AS rss,
+                      (SELECT v FROM swept0 WHERE i = {len(_XS)} AND j = {len(_XS)}) AS sst, [{', '.join(f'a_x{i}' for i in range(len(_XS)))}] AS x_mean, a_y FROM centre""",
+    "terms": f"""
+        SELECT {_XS}[b.i + 1] AS term, b.v AS coef, sqrt(rss / dof * v.v) AS std_err FROM s b JOIN s v ON v.i = b.i AND v.j = b.i, fit
+        WHERE b.j = {len(_XS)} AND b.i < {len(_XS)}
+        UNION ALL
+        SELECT 'const', any_value(a_y) - (SELECT sum(v * x_mean[i + 1]) FROM s, fit WHERE j = {len(_XS)} AND i < {len(_XS)}),
+               sqrt(any_value(rss) / any_value(dof) * (1.0 / any_value(n) + sum(s.v * x_mean[s.i + 1] * x_mean[s.j + 1])))
+        FROM s, fit WHERE s.i < {len(_XS)} AND s.j < {len(_XS)}""",
+    "ts": "SELECT term, coef, std_err, coef / std_err AS t, dof FROM terms, fit",
+    **student_p("ts", "term"),
+}
+
+
+@query("ols_multi", with_views("""
+SELECT term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(t, 6) AS t, round(p, 6) AS p_value, round(1 - rss / sst, 6) AS r2,
+       round(1 - rss / fit.dof / (sst / (n - 1)), 6) AS r2_adj, n
+FROM ts JOIN p_values USING (term), fit""", "risk_panel", extra=_OLS_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def ols_multi(spark, d):
     """Q1: log accidents on log exposure and the cell feature means, with
     standard errors, t and p values (NULL predictors -> 0)."""
     s = _surface_with_means(spark, d)
-    return round_doubles(stats.ols(s, "log_accidents", ["log_exposure", *B.PANEL_FEATURES]))
+    return round_doubles(stats.ols(s, "log_accidents", _XS))
 
 
-@query("vif_multi")
+@query("vif_multi", with_views(f"""
+SELECT {_XS}[g.i + 1] AS feature, round(g.v * s.v, 6) AS vif FROM swept0 g JOIN swept{len(_XS)} s ON s.i = g.i AND s.j = g.i WHERE g.j = g.i""",
+                               "risk_panel", extra={**_MEANS_SQL, "swept0": products("m", _CENTRED[:-1]), **swept("swept0", len(_XS))}))
 def vif_multi(spark, d):
     """Q2: VIF of the same predictors without intercept, highest first."""
     s = _surface_with_means(spark, d)
-    return round_doubles(stats.vif(s, ["log_exposure", *B.PANEL_FEATURES]))
+    return round_doubles(stats.vif(s, _XS))
+
+
+_LOGO_XS = ["1", "isodow(date) - 1", "day(date)", "month(date)"]
+
+
+@query("logo_linear_three", with_views(f"""
+SELECT p.site, p.date, round(sum(s.v * p.x[s.i + 1]), 6) AS predicted
+FROM (SELECT site, date, [{', '.join(_LOGO_XS)}] AS x FROM count_panel) p JOIN swept4 s ON s.site = p.site AND s.j = 4 AND s.i < 4 GROUP BY p.site, p.date""",
+                                       "count_panel", extra={
+    "own": products("count_panel", [f"CAST({x} AS DOUBLE)" for x in [*_LOGO_XS, "daily_count"]], by="site"),
+    "whole": "SELECT i, j, sum(v) AS v FROM own GROUP BY i, j",
+    "swept0": "SELECT site, i, j, whole.v - own.v AS v FROM own JOIN whole USING (i, j)", **swept("swept0", 4, by="site")}))
+def logo_linear_three(spark, d):
+    """L1 + M5 + M6 with three predictors: for every site, the plane fitted to all other sites."""
+    p = B.count_panel(spark, d).select("site", "date", "daily_count", F.weekday("date").alias("w"), F.dayofmonth("date").alias("d"), F.month("date").alias("m"))
+    return round_doubles(learn.logo_linear(p, ["w", "d", "m"], "daily_count", "site", prediction="predicted").select("site", "date", "predicted"))
 
 
 @query("impute_scale")

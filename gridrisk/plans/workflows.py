@@ -122,6 +122,7 @@ def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid",
     optional write-back of one split's predictions (J6) and map layer (R8)."""
     forest_params = dict(forest_params or {"numTrees": 100, "maxDepth": 10})
     feats = list(feature_cols)
+    day_panel = clean.to_numeric(day_panel, feats)  # text columns such as '30 mph' have no number: NULL, imputed below
     weekly = risk.weekly_risk(day_panel, cell=cell, date=date, accident=accident, exposure=exposure,
                               features=feats, scale=scale, exclude_cells=exclude)
     weekly = materialize(weekly)
