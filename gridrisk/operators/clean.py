@@ -8,14 +8,22 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import col, strip_unit
 from .joins import side_join
-from .ranking import rank_within, row_number_global
+from .ranking import number_rows, rank_within, row_number_global
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+#: Most levels that become columns of their own.
+MAX_LEVELS = 10_000
+
+
 def levels(df: DataFrame, c: str) -> list:
-    """Sorted non-null levels of a categorical (they become columns, so they reach the driver)."""
-    return sorted(r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().collect())
+    """Sorted non-null levels of a categorical (they become columns, so they reach the driver).  More than
+    ``MAX_LEVELS`` raise: a table has no place for them, ``one_hot_vector`` has."""
+    found = [r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{c} has over {MAX_LEVELS} levels; use one_hot_vector")
+    return sorted(found)
 
 
 def one_hot(df: DataFrame, cols, drop_first: bool = True, skip_missing: bool = True, prefix_sep: str = "_") -> DataFrame:
@@ -36,27 +44,36 @@ def one_hot(df: DataFrame, cols, drop_first: bool = True, skip_missing: bool = T
     return out
 
 
+def dictionary(df: DataFrame, c: str, index: str = "index") -> tuple[DataFrame, int]:
+    """(level, ``index``) with the levels of a column numbered from 0 in sort order, and their number.
+    Levels are numbered by ranges and never reach the driver; NULL is no level."""
+    found = df.select(col(c).alias("level")).where(F.col("level").isNotNull()).distinct()
+    numbered, n = number_rows(found, ["level"], index)
+    return numbered.withColumn(index, F.col(index) - 1), n
+
+
+def encode(df: DataFrame, c: str, index: str, drop_source: bool = False) -> tuple[DataFrame, int]:
+    """The rows with each value's place in its ``dictionary`` (NULL for NULL), and the number of levels."""
+    table, n = dictionary(df, c, index)
+    out = side_join(df, table.select(F.col("level").alias(c), index), c, "left")
+    return (out.drop(c) if drop_source else out), n
+
+
 def one_hot_vector(df: DataFrame, cols, drop_first: bool = True, suffix: str = "_vec") -> DataFrame:
     """P8 for wide categoricals: a sparse vector ``<col><suffix>`` per column over the sorted levels (the first
-    dropped), by MLlib's indexer and encoder; NULL gives all zeros; the source column is replaced."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    dropped); NULL gives all zeros; the source column is replaced.  Levels are numbered and joined back as a
+    distributed dictionary; only their number reaches the driver."""
+    from pyspark.ml.feature import OneHotEncoder
 
     out = df
     for c in cols:
-        # NULL is an extra last level whose place is cut off again
-        index = StringIndexer(inputCol=c, outputCol="_oh_i", stringOrderType="alphabetAsc", handleInvalid="keep")
-        known = index.fit(out.where(col(c).isNotNull()))
-        n = len(known.labels)
-        encoder = OneHotEncoder(inputCol="_oh_i", outputCol="_oh_v", dropLast=True)
-        coded = known.transform(out)
-        encoded = encoder.fit(coded).transform(coded)
-        if drop_first and n > 0:
-            from pyspark.ml.feature import VectorSlicer
-            encoded = VectorSlicer(inputCol="_oh_v", outputCol=f"{c}{suffix}", indices=list(range(1, n))).transform(encoded) \
-                if n > 1 else encoded.withColumn(f"{c}{suffix}", F.col("_oh_v"))
-        else:
-            encoded = encoded.withColumn(f"{c}{suffix}", F.col("_oh_v"))
-        out = encoded.drop("_oh_i", "_oh_v", c)
+        out, n = encode(out, c, "_oh_i", drop_source=True)
+        # what has no place of its own (NULL and the dropped level) is an extra last category, which the encoder drops
+        first = 1 if drop_first and n > 1 else 0
+        place = F.when(F.col("_oh_i") >= first, F.col("_oh_i") - first).otherwise(F.lit(n - first)).cast("double")
+        sizes = df.sparkSession.range(n - first + 1).select(F.col("id").cast("double").alias("_oh_p"))
+        encoder = OneHotEncoder(inputCol="_oh_p", outputCol=f"{c}{suffix}", dropLast=True).fit(sizes)
+        out = encoder.transform(out.withColumn("_oh_p", place)).drop("_oh_p", "_oh_i")
     return out
 
 

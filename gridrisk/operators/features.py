@@ -65,3 +65,10 @@ def blocks_by_pattern(columns, contains: dict, exact: dict | None = None) -> dic
         subs, names = contains.get(name, ()), set(exact.get(name, ()))
         out[name] = [c for c in columns if c in names or any(s in c for s in subs)]
     return out
+
+
+def flag_days(df: DataFrame, date: str, days: DataFrame, day: str = "date", out: str = "is_holiday") -> DataFrame:
+    """P7 with a calendar of any length: 1 on the dates of the table ``days``, else 0 (a NULL date too)."""
+    listed = days.select(F.to_date(F.col(f"`{day}`")).alias("_fd_day")).distinct().withColumn("_fd_hit", F.lit(1))
+    j = df.join(listed, F.to_date(F.col(f"`{date}`")) == F.col("_fd_day"), "left")
+    return j.withColumn(out, F.coalesce("_fd_hit", F.lit(0))).drop("_fd_day", "_fd_hit")

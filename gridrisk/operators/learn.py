@@ -1,15 +1,14 @@
 """Learners, cross-validated prediction, search and feature elimination
 (M2, M6, L1-L5, H1, H2, FS1, FS2) on MLlib.
 
-Every fit is a distributed MLlib job; the Python loops here only walk folds,
-parameter maps or elimination steps (a handful of driver-side decisions), never
-rows.
+Every fit is a distributed MLlib job; fits that don't depend on one another run side by side and are
+kept as they finish (``operators.search``).  The Python loops here only walk parameter maps or elimination
+steps (a handful of driver-side decisions), never rows.
 """
 
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from ..session import cut_lineage, materialize
 from .joins import side_join
 from .qr import group_factors, solve, without_own
 from .ranking import number_rows
+from .search import WIDTH, Ledger, Search, map_text, predict_folds, side_by_side
 
 FEATURES = "features"
 
@@ -127,16 +127,12 @@ def gbt_sub(label: str, features: str = FEATURES, maxIter: int = 100, maxDepth:
 
 # ---------------------------------------------------------- fold-wise fits ---
 
-def cross_predict(df: DataFrame, estimator, fold: str, prediction: str = "prediction") -> DataFrame:
-    """M6 + C1: for every fold id, fit on the other folds and predict the fold;
-    the per-fold predictions are unioned.  The input should be persisted by
-    the caller (it is read once per fold)."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    outs = []
-    for k in folds:
-        model = estimator.fit(df.where(F.col(fold) != k))
-        outs.append(model.transform(df.where(F.col(fold) == k)).withColumnRenamed("prediction", prediction))
-    return reduce(lambda a, b: a.unionByName(b), outs)
+def cross_predict(df: DataFrame, estimator, fold: str, prediction: str = "prediction", path: str | None = None,
+                  width: int = WIDTH) -> DataFrame:
+    """M6 + C1: for every fold id, fit on the other folds and predict the fold; ``width`` folds at a time, and
+    with ``path`` a run goes on where an earlier one ended (see ``operators.search``).  The input should be
+    materialised by the caller (it is read once per fold)."""
+    return predict_folds(df, estimator, fold, prediction, path, width)
 
 
 def logo_linear(df: DataFrame, features, label: str, group: str, prediction: str = "prediction") -> DataFrame:
@@ -187,44 +183,35 @@ def param_maps(estimator, grid: dict):
     return b.build()
 
 
-def _with_folds(cv, df: DataFrame, fold: str | None, num_folds: int):
-    """Use a fold-id column (ids 0..k-1; k read from the data) or random folds."""
-    if not fold:
-        return cv.setNumFolds(num_folds)
-    k = int(df.agg(F.max(fold)).first()[0]) + 1
-    return cv.setFoldCol(fold).setNumFolds(k)
+def _with_folds(df: DataFrame, fold: str | None, num_folds: int, seed: int) -> tuple[DataFrame, str]:
+    """The given fold-id column, or seeded random folds written once."""
+    if fold:
+        return df, fold
+    return materialize(df.withColumn("_fold", F.floor(F.rand(seed) * num_folds).cast("int"))), "_fold"
 
 
 def grid_search(df: DataFrame, estimator, grid: dict, evaluator, fold: str | None = None,
-                num_folds: int = 3, parallelism: int = 2, seed: int = 42):
+                num_folds: int = 3, parallelism: int = WIDTH, seed: int = 42, path: str | None = None) -> Search:
     """H1: exhaustive search scored by cross-validation on a given fold column
-    (e.g. contiguous blocks from ``split.fold_id``) or random folds."""
-    maps = param_maps(estimator, grid)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator,
-                        parallelism=parallelism, seed=seed)
-    cv = _with_folds(cv, df, fold, num_folds)
-    return cv.fit(df)
+    (e.g. contiguous blocks from ``split.fold_id``) or random folds.  ``parallelism`` fits run at a time; with
+    ``path`` finished scores are kept there and skipped by a later run."""
+    df, fold = _with_folds(df, fold, num_folds, seed)
+    return Search(df, estimator, param_maps(estimator, grid), evaluator, fold, path, parallelism)
 
 
-def random_search(df: DataFrame, estimator, grid: dict, evaluator, fold: str | None = None,
-                  n_iter: int = 20, seed: int = 42, num_folds: int = 3, parallelism: int = 2):
+def random_search(df: DataFrame, estimator, grid: dict, evaluator, fold: str | None = None, n_iter: int = 20,
+                  seed: int = 42, num_folds: int = 3, parallelism: int = WIDTH, path: str | None = None) -> Search:
     """H2: ``n_iter`` parameter maps drawn without replacement (seeded) from the
     full grid, then cross-validated like H1."""
     maps = param_maps(estimator, grid)
-    rnd = random.Random(seed)
-    chosen = rnd.sample(maps, min(n_iter, len(maps)))
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=chosen, evaluator=evaluator,
-                        parallelism=parallelism, seed=seed)
-    cv = _with_folds(cv, df, fold, num_folds)
-    return cv.fit(df)
+    chosen = random.Random(seed).sample(maps, min(n_iter, len(maps)))
+    df, fold = _with_folds(df, fold, num_folds, seed)
+    return Search(df, estimator, chosen, evaluator, fold, path, parallelism)
 
 
-def cv_table(cv_model, grid_keys=None):
+def cv_table(search: Search, grid_keys=None):
     """Average metric of each candidate as rows (param values as text)."""
-    rows = []
-    for pm, m in zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics):
-        rows.append((", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(m)))
-    return rows
+    return [(map_text(pm), float(m)) for pm, m in zip(search.getEstimatorParamMaps(), search.avgMetrics, strict=True)]
 
 
 # -------------------------------------------------------- feature selection ---
@@ -235,28 +222,32 @@ def _fit_sliced(assembled: DataFrame, idx, est_factory, label):
 
 
 def rfe_path(assembled: DataFrame, features, label: str, keep: int, step: int = 1,
-             est_factory=None, eval_df: DataFrame | None = None, metric: str = "mae"):
+             est_factory=None, eval_df: DataFrame | None = None, metric: str = "mae", done=(), record=None):
     """Recursive elimination: fit, drop the ``step`` least important features
     (impurity importance), repeat down to ``keep``.  Returns the surviving
-    feature lists at every size and, if ``eval_df`` is given, its metric."""
+    feature lists at every size and, if ``eval_df`` is given, its metric.
+
+    ``record`` is called with each step's (features, score, features of the next step) as it ends;
+    ``done`` has the steps of an earlier run, which aren't fitted again."""
     est_factory = est_factory or (lambda lbl, fcol: forest(lbl, fcol, numTrees=20, maxDepth=8))
     feats = list(features)
-    idx = list(range(len(feats)))
-    path = []
-    while True:
+    path = [(list(f), s) for f, s, _ in done]
+    left = list(done[-1][2]) if done else feats
+    while not path or len(path[-1][0]) > keep:
+        idx = [feats.index(f) for f in left]
         model, _ = _fit_sliced(assembled, idx, est_factory, label)
         score = None
         if eval_df is not None:
             ev = VectorSlicer(inputCol=FEATURES, outputCol="_sel", indices=idx).transform(eval_df)
-            score = regression_evaluator(label, metric).evaluate(model.transform(ev))
-        path.append(([feats[i] for i in idx], score))
-        if len(idx) <= keep:
-            break
+            score = float(regression_evaluator(label, metric).evaluate(model.transform(ev)))
+        path.append((left, score))
         imp = model.featureImportances.toArray()
-        n_drop = min(step, len(idx) - keep)
         order = sorted(range(len(idx)), key=lambda i: (imp[i], -i))
-        drop = set(order[:n_drop])
-        idx = [ix for pos, ix in enumerate(idx) if pos not in drop]
+        drop = set(order[:min(step, max(0, len(idx) - keep))])
+        following = [f for i, f in enumerate(left) if i not in drop]
+        if record:
+            record((left, score, following))
+        left = following
     return path
 
 
@@ -268,19 +259,30 @@ def rfe(df: DataFrame, features, label: str, keep: int = 30, step: int = 1, est_
 
 
 def rfecv(df: DataFrame, features, label: str, fold: str, step: int = 1, min_keep: int = 1,
-          est_factory=None, metric: str = "mae"):
+          est_factory=None, metric: str = "mae", path: str | None = None, width: int = WIDTH):
     """FS2: run elimination inside every fold, score each size on the held-out
     fold, pick the size with the lowest mean error, then eliminate on all
-    rows down to that size.  Returns (chosen features, {size: mean score})."""
+    rows down to that size.  Returns (chosen features, {size: mean score}).
+
+    The folds' eliminations run side by side; each step is kept in a ledger (at ``path``), from which a later
+    run goes on."""
     a = assemble(materialize(df), features)  # every fold and step re-reads it
-    folds = sorted(r[0] for r in a.select(fold).distinct().collect())
+    spark = df.sparkSession
+    ledger = Ledger(spark, path)
+    kept = ledger.done()
+    folds = sorted(r[0] for r in a.select(fold).distinct().collect())  # one value a fold
+
+    def one(name, train, held, least):
+        done = sorted((v for k, v in kept.items() if k.startswith(f"{name}/")), key=lambda v: -len(v[0]))
+        return rfe_path(train, features, label, least, step, est_factory, eval_df=held, metric=metric, done=done,
+                        record=lambda v: ledger.add(f"{name}/{len(v[0])}", v))
+
+    paths = side_by_side(spark, [lambda k=k: one(f"fold {k}", a.where(F.col(fold) != k), a.where(F.col(fold) == k), min_keep)
+                                 for k in folds], width)
     scores: dict[int, list[float]] = {}
-    for k in folds:
-        path = rfe_path(a.where(F.col(fold) != k), features, label, min_keep, step, est_factory,
-                        eval_df=a.where(F.col(fold) == k), metric=metric)
-        for feats, s in path:
+    for fold_path in paths:
+        for feats, s in fold_path:
             scores.setdefault(len(feats), []).append(s)
     mean = {n: float(np.mean(v)) for n, v in scores.items() if len(v) == len(folds)}
     best = min(mean, key=lambda n: (mean[n], n))
-    chosen = rfe_path(a, features, label, best, step, est_factory)[-1][0]
-    return chosen, mean
+    return one(f"all to {best}", a, None, best)[-1][0], mean

@@ -42,6 +42,13 @@ def exclude(df: DataFrame, c: str, values, keep_null: bool = True) -> DataFrame:
     return df.where(cond)
 
 
+def exclude_listed(df: DataFrame, c: str, listed: DataFrame, key: str | None = None) -> DataFrame:
+    """F3 with a list of any length: rows whose value stands in the table ``listed`` go; a NULL value goes only where
+    the table lists NULL."""
+    names = listed.select(col(key or c).alias("_el_key")).distinct()
+    return df.join(names, col(c).eqNullSafe(F.col("_el_key")), "left_anti")
+
+
 def week_between(df: DataFrame, lo: int, hi: int, week: str = "week") -> DataFrame:
     """inclusive week range."""
     return df.where(col(week).between(lo, hi))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Triangles that one task combines, and groups that a partition holds before it hands its triangles on.
 FAN = 32
 HELD = 1000
@@ -38,6 +40,7 @@ def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
 
 def r_factor(df: DataFrame, columns: list[Column]) -> tuple[np.ndarray, int]:
     """R (at most k x k) and the number of rows of the given columns, which must have no NULL."""
+    ship(df.sparkSession)
     k = len(columns)
     data = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
 
@@ -63,6 +66,7 @@ def group_factors(df: DataFrame, group: Column, columns: list[Column]) -> DataFr
     """(grp, r): one triangle per group (a NULL group is one of its own), of columns without NULLs.
 
     A partition keeps a triangle for each of up to ``HELD`` groups; a group of any size meets as triangles only."""
+    ship(df.sparkSession)
     k = len(columns)
     data = df.select(group.alias("grp"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     kind = data.schema["grp"].dataType.simpleString()

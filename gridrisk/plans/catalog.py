@@ -35,7 +35,7 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    from . import queries_core, queries_explain, queries_model  # noqa: F401  (registration side effect)
+    from . import queries_core, queries_explain, queries_model, queries_scale  # noqa: F401  (registration side effect)
     return {k: v[0] for k, v in REGISTRY.items()}
 
 

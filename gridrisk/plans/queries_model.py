@@ -335,6 +335,54 @@ def volume_model_workflow(spark, d):
     return round_doubles(out["per_group"])
 
 
+#: Trees of the registered comparisons (the reference: 100, and one fold a group).
+SMALL_COMPARISON = {"params": {"numTrees": 10, "maxIter": 10}, "group_folds": 3,
+                    "learners": {"LinearRegression": (learn.linear, {}), "RandomForest": (learn.forest, {"maxDepth": [5, 8]}),
+                                 "GBR": (learn.gbt, {"maxDepth": [3, 5]}), "XGBoost": (learn.gbt_sub, {"maxDepth": [3, 5]})}}
+
+
+@query("compare_learners_weekly")
+def compare_learners_weekly(spark, d):
+    """Stage 2's comparison: four learners tuned on the early weeks, whole cells held out, leaderboard."""
+    from .workflows import compare_learners
+    w = panel.week_between(_weekly(spark, d), 1, 40)
+    return round_doubles(compare_learners(w, features=RISK_FEATS, label="risk", group="grid", order=["grid", "year", "week"],
+                                          **SMALL_COMPARISON)["leaderboard"])
+
+
+@query("compare_learners_counts")
+def compare_learners_counts(spark, d):
+    """Stage 1's comparison: per-site scaled counts, whole sites held out, predictions scaled back by the site."""
+    from .workflows import compare_learners
+    p = materialize(_count_frame(spark, d))
+    st = scaling.fit_scaler(p, "site", "daily_count")
+    z = scaling.standardize(p, "site", "daily_count", out="scaled", stats=st)
+
+    def back(rows):
+        return scaling.unstandardize(rows, st, "site", "prediction", out="predicted").withColumn("true", F.col("daily_count"))
+
+    return round_doubles(compare_learners(z, features=COUNT_FEATS, label="scaled", group="site", order=["site", "date"], back=back,
+                                          **SMALL_COMPARISON)["leaderboard"])
+
+
+@query("search_scores")
+def search_scores(spark, d):
+    """H1 side by side against the same fits one after another: score of every candidate and fold, both ways."""
+    tr, _ = _split2(spark, d)
+    tr = split.fold_id(tr, 3, ["grid", "year", "week"])
+    a = learn.assemble(materialize(tr), RISK_FEATS)
+    grid, evaluator = {"maxDepth": [2, 4]}, learn.regression_evaluator("risk", "mae")
+    est = learn.forest("risk", numTrees=5)
+    table = learn.grid_search(a, est, grid, evaluator, fold="fold").table(spark)
+    serial = []
+    for m in learn.param_maps(est, grid):
+        for k in range(3):
+            model = est.copy(m).fit(a.where(F.col("fold") != k))
+            serial.append((learn.map_text(m), k, float(evaluator.evaluate(model.transform(a.where(F.col("fold") == k))))))
+    serial = spark.createDataFrame(serial, "params string, fold int, serial_score double")
+    return table.join(serial, ["params", "fold"], "full").withColumn("same", F.abs(F.col("score") - F.col("serial_score")) < 1e-9)
+
+
 @query("risk_model_workflow")
 def risk_model_workflow(spark, d):
     """Stage 2 end to end: weekly risk, the reference's two temporal splits,

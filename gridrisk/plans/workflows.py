@@ -109,6 +109,48 @@ def volume_model(panel: DataFrame, *, site: str, date: str, target: str, feature
     return out
 
 
+#: The learners that the reference compares, with the parameters it searches (fixed values); None is MLlib's deepest tree.
+LEARNERS = {
+    "LinearRegression": (learn.linear, {}),
+    "RandomForest": (learn.forest, {"maxDepth": [5, 10, learn.MAX_DEPTH]}),
+    "GBR": (learn.gbt, {"maxDepth": [3, 5]}),
+    "XGBoost": (learn.gbt_sub, {"maxDepth": [3, 5]}),
+}
+
+
+def compare_learners(frame: DataFrame, *, features, label: str, group: str, order, learners: dict | None = None,
+                     cv_folds: int = 3, group_folds: int | None = None, params: dict | None = None, back=None,
+                     path: str | None = None, width: int = 4, seed: int = 42) -> dict:
+    """The four-learner comparison of either stage: each learner is tuned by a grid search over contiguous
+    folds (MAE), then predicts every group from a model of the others (``group_folds`` None: one fold a group),
+    and a leaderboard (E8) ranks the pooled predictions.
+
+    Text features are coerced, gaps filled with the column means (M1).  ``back(predictions)`` may map scaled
+    predictions to ``true`` and ``predicted`` (stage 1); without it they are the label's own.  ``params`` are set on
+    every learner that has them (e.g. numTrees).  With ``path`` all fits are kept there, and a later run goes on."""
+    feats, spark = list(features), frame.sparkSession
+    p = clean.to_numeric(frame, feats)
+    p = clean.mean_impute(p, p, feats)
+    p = split.fold_id(p, cv_folds, list(order), name="_cv")
+    p = split.group_kfold(p, group, group_folds, name="_group") if group_folds else split.logo_folds(p, group, name="_group")
+    a = learn.assemble(materialize(p), feats)
+    tuned, predicted = [], []
+    for name, (make, grid) in (learners or LEARNERS).items():
+        est = make(label) if name == "LinearRegression" else make(label, seed=seed)
+        est = est.copy({est.getParam(k): v for k, v in (params or {}).items() if est.hasParam(k)})
+        if grid:
+            search = learn.grid_search(a, est, grid, learn.regression_evaluator(label, "mae"), fold="_cv",
+                                       parallelism=width, path=path and f"{path}/{name}/search")
+            est = est.copy(search.getEstimatorParamMaps()[search.best])
+            tuned += [(name, *row) for row in learn.cv_table(search)]
+        rows = learn.cross_predict(a, est, "_group", path=path and f"{path}/{name}/folds", width=width)
+        rows = back(rows) if back else rows.withColumns({"true": F.col(label), "predicted": F.col("prediction")})
+        predicted.append(rows.select(F.lit(name).alias("model"), group, "true", "predicted"))
+    predictions = evaluate.union_folds(*predicted)
+    return {"search": spark.createDataFrame(tuned, "model string, params string, mae double"), "predictions": predictions,
+            "leaderboard": evaluate.leaderboard(predictions, "model", "true", "predicted")}
+
+
 def risk_model(day_panel: DataFrame, *, specs, feature_cols, cell: str = "grid", date: str = "date",
                accident: str = "accident", exposure: str = "exposure", scale: float = 1000.0,
                exclude=(), classifier_grid: dict | None = None, regressor_grid: dict | None = None,

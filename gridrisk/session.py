@@ -8,6 +8,7 @@ such setting gets a scratch folder of its own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to a cluster's executors, once a session: their Python workers import what kernels
+    refer to, and a cluster's nodes may not have the package installed."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        return
+    package = Path(__file__).resolve().parent
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local checkpoint.
 

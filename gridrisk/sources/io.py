@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import geojson
+
 
 def nan_to_null(df: DataFrame, cols=None) -> DataFrame:
     """NaN -> NULL on floating columns (projection only, stays in codegen)."""
@@ -42,11 +44,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool = False,
-                 feature_schema: str | T.StructType | None = None) -> DataFrame:
+                 feature_schema: str | T.StructType | None = None, split_bytes: int | None = None) -> DataFrame:
     """One row per GeoJSON feature, properties flattened next to ``geometry``.
 
-    Reads a FeatureCollection file (``multiLine``: one record per file, so a
-    big layer should come as several files) or GeoJSON-seq lines (one feature
+    Reads a FeatureCollection file (``multiLine``: one record and one task per file; with ``split_bytes``, which
+    needs a schema, by ranges of so many bytes in several tasks, see ``sources.geojson``) or GeoJSON-seq lines (one feature
     per line, split across tasks like any JSON lines input).  A known
     ``feature_schema`` (DDL of one Feature) skips the schema-inference pass.
     ``seq`` says which of the two forms the files have; nothing is read to guess it.
@@ -54,6 +56,12 @@ def read_geojson(spark: SparkSession, path: str, key: str = "grid", seq: bool =
     if seq:
         reader = spark.read.schema(feature_schema) if feature_schema is not None else spark.read
         feats = reader.json(path).select(F.struct("*").alias("f"))
+    elif split_bytes:
+        if feature_schema is None:
+            raise ValueError("split_bytes needs feature_schema")
+        geojson.register(spark)
+        text = spark.read.format("feature_collection").option("splitBytes", split_bytes).load(path)
+        feats = text.select(F.from_json("feature", feature_schema).alias("f"))
     else:
         reader = spark.read.option("multiLine", True)
         if feature_schema is not None:
@@ -89,9 +97,34 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
     w.save(path)
 
 
+def z_order(x, y, bits: int = 16):
+    """A space-filling key of two columns scaled to 0..1: their bits in turn."""
+    top = float((1 << bits) - 1)
+    cells = [F.rint(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) * top).cast("long") for c in (x, y)]
+    key = F.lit(0).cast("long")
+    for i in range(bits):
+        for shift, c in enumerate(cells):
+            key = key + F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1)), 2 * i + shift)
+    return key
+
+
+def write_weeks(df: DataFrame, path: str, week: str = "week", near: tuple[str, str] | None = None,
+                bounds: tuple[float, float, float, float] = (-180.0, -90.0, 180.0, 90.0)) -> None:
+    """A layer in one folder a week.  Only the weeks that ``df`` has are replaced (dynamic partition
+    overwrite), so a week can be written again without touching the others.  With ``near`` (two coordinate
+    columns within ``bounds``) a week's rows are cut into files along a space-filling curve, so a box of the map
+    reads the files whose ranges it meets."""
+    out = df
+    if near:
+        x0, y0, x1, y1 = bounds
+        x, y = ((F.col(f"`{c}`") - lo) / (hi - lo) for c, lo, hi in zip(near, (x0, y0), (x1, y1), strict=True))
+        out = out.withColumn("_z", F.coalesce(z_order(x, y), F.lit(-1).cast("long")))
+        out = out.repartitionByRange(week, "_z").sortWithinPartitions(week, "_z").drop("_z")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(week).parquet(path)
+
+
 def metrics_long(df: DataFrame, id_cols=()) -> DataFrame:
     """K2: a wide one-row (or per-id) metric frame as long (metric, value) rows."""
     metric_cols = [c for c in df.columns if c not in id_cols]
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in metric_cols)
-    return df.selectExpr(*[f"`{c}`" for c in id_cols],
-                         f"stack({len(metric_cols)}, {pairs}) AS (metric, value)")
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in metric_cols])
+    return df.select(*[F.col(f"`{c}`") for c in id_cols], F.explode(pairs).alias("_m")).select(*[f"`{c}`" for c in id_cols], "_m.*")
