@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -68,6 +69,29 @@ def list_column(parts: list[bytes], dtype=np.int32) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=dtype)))
 
 
+#: Bytes of rows in one Arrow batch on its way to or from Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are cut by bytes, not by 10,000 rows of whatever size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_HELD: dict = {}
+
+
+def held(kind: str, key, make):
+    """What a kernel needs again and again (a vocabulary, dictionaries), made once a worker.  A worker holds one such
+    thing: when another kernel takes its turn in a reused worker, what the last one held goes."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder and read back, for steps that several jobs read.
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import STEP_BYTES, steps
+
 MAX_PIECE = 128
 #: One space in so many ends a piece, one paragraph in so many ends a section (powers of two).
 PIECE_SPACES = 8
@@ -175,3 +177,25 @@ _tree = _tree.asNondeterministic()
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` and the fingerprint of each text (a column named ``out`` is replaced)."""
     return docs.withColumn(out, _tree(F.col(f"`{text_col}`").cast("string")))
+
+
+def compared(rows: DataFrame, text: str, others: list[str], keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``rows``, the ``fingerprint`` of the column ``text`` and, for each of ``others``, its
+    ``<other>_fingerprint`` and ``near_<other>``, its likeness to the first.  All trees of a row are made in one pass of bounded
+    steps, which holds no text longer than it takes to hash it."""
+    names = [f"{o}_fingerprint" for o in others] + [f"near_{o}" for o in others]
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("fingerprint", T.StringType()),
+                           *[T.StructField(n, T.DoubleType() if n.startswith("near_") else T.StringType()) for n in names]])
+
+    def run(batches):
+        for batch in batches:
+            for step in steps(batch, text, STEP_BYTES // (1 + len(others))):
+                own = [tree(t.as_py()) for t in step.column(text)]
+                made = [[tree(t.as_py()) for t in step.column(o)] for o in others]
+                near = [[likeness(a, b) for a, b in zip(own, m, strict=True)] for m in made]
+                yield pa.RecordBatch.from_arrays(
+                    [*[step.column(c) for c in keep], pa.array(own, pa.string()), *[pa.array(m, pa.string()) for m in made],
+                     *[pa.array(n, pa.float64()) for n in near]], names=schema.names)
+        pa.default_memory_pool().release_unused()
+
+    return rows.select(*keep, text, *others).mapInArrow(run, schema)

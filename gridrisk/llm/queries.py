@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, fim, langid, licenses, linededup, linkgraph, manifest, merkle, ngramjoin, secrets, tokenstore
-from .common import ensure_checkpoint_dir, read_table, two, with_next
+from .common import bounded_batches, ensure_checkpoint_dir, read_table, two, with_next
 from .registry import query
 
 
@@ -142,14 +142,12 @@ def op5_merkle_fingerprint(spark, sf_dir):
     """Fingerprints of every document and of its edited text, and how alike they are."""
     rows = two(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     # fingerprints are made where the pairs lie: the texts alone are shuffled
-    pairs = with_next(rows, ["text"]).withColumn("edited", edited_text())
-    for text, name in (("text", "fingerprint"), ("next_text", "next_fingerprint"), ("edited", "edited_fingerprint")):
-        pairs = merkle.fingerprint(pairs, text, name)
-    return pairs.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
-                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                        "fingerprint", "edited_fingerprint",
-                        merkle.like("fingerprint", "edited_fingerprint").alias("near_edited"),
-                        merkle.like("fingerprint", "next_fingerprint").alias("near_next"))
+    pairs = with_next(rows, ["text"]).withColumn("edited", edited_text()).withColumnRenamed("next_text", "next")
+    pairs = pairs.select("*", F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
+                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    bounded_batches(spark)
+    out = merkle.compared(pairs, "text", ["edited", "next"], ["doc_id", "n_chars", "edited_sha256"])
+    return out.drop("next_fingerprint")
 
 
 def op7_sql() -> str:

@@ -73,3 +73,13 @@ def test_like_column(spark):
     got = [r[0] for r in df.select(merkle.like("fa", "fb")).collect()]
     assert got[0] == 1 and got[1] < 0.1
     assert df.filter(F.col("fa") == F.col("fb")).count() == 1
+
+
+def test_compared_equals_the_parts(spark):
+    ship(spark)
+    rows = docs(spark, edge_rows(), extra=True).withColumn("other", F.reverse("text")).withColumn("third", F.col("text")).withColumn("copy", F.col("text"))
+    got = merkle.compared(rows, "text", ["other", "third"], ["doc_id", "copy"]).collect()
+    for r in got:
+        fp, rev = merkle.tree(r["copy"]), merkle.tree((r["copy"] or "")[::-1])
+        assert (r["fingerprint"], r["other_fingerprint"], r["near_other"], r["near_third"]) == (fp, rev, merkle.likeness(fp, rev), 1.0)
+    assert len(got) == len(edge_rows())
