@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A text is cut into pre-tokens by a pattern; each pre-token's bytes form a linked list whose
-neighbouring pairs wait in buckets, one per merge rank.  A bitmap of three levels marks the
-buckets in use, so the next rank is three find-first-set steps away however many ranks there are,
-and a very long pre-token costs a bounded step per merge.  A bucket gives its leftmost
+neighbouring pairs wait in buckets, one per merge rank.  A bitmap of two levels marks the
+buckets in use: a bit a rank in words of 256, and a bit a word, so the next rank is two find-first-set
+steps away, and a very long pre-token costs a bounded step per merge.  A bucket gives its leftmost
 position first; an entry whose pair has changed meanwhile is stale and skipped.
 
 Words repeat, so each Python worker remembers the ids of the pieces it has met (bounded by
@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_column, steps, two
+from .common import held, list_column, steps, two
 from .pieces import part_tail, pieces
 
 #: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
-MEMO = 150_000
+MEMO = 300_000
+
 
 class Codec(dict):
     """Encoder and decoder for one vocabulary; as a dict it maps met pieces to their ids as
@@ -145,9 +145,8 @@ class Codec(dict):
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def codec(vocabulary: bytes, pattern: str) -> Codec:
-    return Codec(vocabulary, pattern)
+    return held("codec", (vocabulary, pattern), lambda: Codec(vocabulary, pattern))
 
 
 def load_vocabulary(spark: SparkSession, path: str):

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -29,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 160
 PIECE_CHARS = 600
@@ -129,9 +130,8 @@ class Classifier:
 
 
 
-@lru_cache(maxsize=1)
 def _classifier(model: LanguageModel) -> Classifier:
-    return Classifier(model)
+    return common.held("classifier", model, lambda: Classifier(model))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language",
@@ -140,12 +140,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
 
     A column that already has the name ``out`` is replaced.  The model (languages x 64 KB, fixed
     by ``train``) is broadcast."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                          T.StructField("rejected", T.BooleanType())])
 
     def judge(texts: pa.Array) -> pa.Array:
-        classifier = _classifier(held.value)
+        classifier = _classifier(sent.value)
         got = [classifier.judge(t.as_py()) for t in texts]
         score = pa.array([s for _, s in got], pa.float64())
         return pa.StructArray.from_arrays(
