@@ -202,14 +202,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     if runs:  # read twice
         tried = cut_lineage(tried)
     units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n\s*"), F.array("text")))
-    rows = tried.select("id", F.posexplode(units).alias("at", "unit"))
+    # rows that share an id are told apart by their texts
+    rows = tried.select("id", F.xxhash64("text").alias("of"), F.posexplode(units).alias("at", "unit"))
     # each step on its own, so that no text is taken apart twice
-    rows = rows.select("id", "at", words(F.col("unit")).alias("words"))
-    rows = rows.select("id", "at", bigrams(F.col("words")).alias("unit"))
+    rows = rows.select("id", "of", "at", words(F.col("unit")).alias("words"))
+    rows = rows.select("id", "of", "at", bigrams(F.col("words")).alias("unit"))
     met = rows.withColumn("size", F.coalesce(F.size("unit"), F.lit(0))).join(F.broadcast(by_size), "size")
     common = F.size(F.array_intersect("unit", "template"))
-    met = met.select("id", "at", "license", (2.0 * common / (F.col("size") + F.size("template"))).alias("dice"))
-    best = F.max("dice").over(Window.partitionBy("id", "at"))  # a unit is what it is most like
+    met = met.select("id", "of", "at", "license", (2.0 * common / (F.col("size") + F.size("template"))).alias("dice"))
+    best = F.max("dice").over(Window.partitionBy("id", "of", "at"))  # a unit is what it is most like
     met = met.filter(F.col("dice") >= threshold).withColumn("best", best).filter("dice = best")
     if not runs:
         return met.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
