@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 DAMPING = 0.85
-ITERATIONS = 20
-TOLERANCE = 1e-9
+#: Rounds end when no rank moves by more than ``TOLERANCE``, so what is left unspread is far below ``THRESHOLD``.
+ITERATIONS = 60
+TOLERANCE = 1e-4
 THRESHOLD = 0.5
 
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'<>\s]+)"""
