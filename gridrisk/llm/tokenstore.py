@@ -2,7 +2,7 @@
 
 Documents are put in ascending order of id (range partitions), encoded, and their ids gathered in
 shards of about ``SHARD_TOKENS`` (a document is never divided).  In each shard, frequent pairs of
-neighbouring ids are replaced by new ids (nonterminals), round by round, until a round gains little.  A
+neighbouring ids are replaced by new ids (nonterminals), round by round, until no pair occurs ``MIN_COUNT`` times.  A
 round takes the most frequent pairs that can't overlap: an id is the left part of its pairs or the
 right part, never both.  Rules refer to ids of earlier rounds only.
 
@@ -42,7 +42,8 @@ from .pieces import part_tail, pieces
 SHARD_TOKENS = 1 << 18
 #: A pair is replaced if it occurs so often.
 MIN_COUNT = 4
-#: Rounds end when one makes a sequence shorter by less than this power of a half.
+#: Rounds count pairs in hashed buckets while one makes a sequence shorter by more than this power of a half;
+#: later ones count every pair, until none is left that occurs often enough.
 LEAST_GAIN = 8
 #: Pairs replaced in one round, at most; the others wait for the next.
 ROUND_PAIRS = 4096
@@ -60,13 +61,14 @@ DOCUMENTS = "part int, k int, place int, id long, shard_start long, n_tokens lon
 class Encoder(dict):
     """Ids of pieces by the tokenizers library, as little-endian 32-bit numbers; met pieces are remembered."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, special_text: bool = False):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.tokenizer.encode_special_tokens = special_text
+        self.special = [] if special_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -77,7 +79,9 @@ class Encoder(dict):
         collecting = gc.isenabled()
         gc.disable()  # many small objects, no cycles
         try:
-            cut = [pieces(text) for text in texts]
+            # a text with a special token's string goes to the library whole: pieces might cut that string
+            whole = {i: text for i, text in enumerate(texts) if any(s in text for s in self.special)}
+            cut = [[] if i in whole else pieces(text) for i, text in enumerate(texts)]
             cores, tails = {}, {}
             for piece in set().union(*cut).difference(self):
                 got = self.older.get(piece)
@@ -91,7 +95,10 @@ class Encoder(dict):
             for piece, core in cores.items():
                 if tail := tails[piece]:
                     self[piece] = self[core] + self[tail]
-            return [b"".join(map(self.__getitem__, own)) for own in cut]
+            out = [b"".join(map(self.__getitem__, own)) for own in cut]
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+            return out
         finally:
             if collecting:
                 gc.enable()
@@ -110,11 +117,12 @@ def load_tokenizer(spark: SparkSession, path: str):
 
 # ---- grammar
 
-def _frequent(seq: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, min_count: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each neighbouring pair (-1: not a candidate), and the candidates' buckets and pairs,
-    most frequent first.  A bucket counts for the last pair seen in it; its others have a later round."""
+    most frequent first.  A bucket counts for the last pair seen in it; with the next round's salt its others
+    fall in other buckets."""
     pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    bucket = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+    bucket = ((pair ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
     held = np.zeros(1 << _BUCKETS, dtype=np.uint64)
     held[bucket] = pair
     bucket[held[bucket] != pair] = -1
@@ -124,16 +132,26 @@ def _frequent(seq: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray,
     return bucket, often, held[often]
 
 
+def _all_frequent(seq: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with a bucket of its own for each pair."""
+    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
+    pairs, bucket, count = np.unique(pair, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count >= min_count)
+    often = often[np.argsort(-count[often], kind="stable")]
+    return bucket, often, pairs[often]
+
+
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbol sequence, rules (pairs, in order of their nonterminals) and the first nonterminal."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, top = ids.astype(np.uint32), [], base
-    before = 2 * len(seq)
-    while len(seq) > 1 and before - len(seq) >= before >> LEAST_GAIN:
-        before = len(seq)
-        bucket, often, pairs = _frequent(seq, min_count)
+    before, hashed, rounds = 2 * len(seq), True, 0
+    while len(seq) > 1:
+        hashed = hashed and before - len(seq) >= before >> LEAST_GAIN
+        before, rounds = len(seq), rounds + 1
+        bucket, often, pairs = _frequent(seq, min_count, rounds * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF) if hashed else _all_frequent(seq, min_count)
         side: dict[int, int] = {}
-        taken = np.full(1 << _BUCKETS, -1, dtype=np.int64)
+        taken = np.full(max(1 << _BUCKETS, len(seq)), -1, dtype=np.int64)
         new = []
         left, right = (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist()
         for b, x, y in zip(often.tolist(), left, right, strict=True):
@@ -148,7 +166,10 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
             taken[b] = top + len(new)
             new.append((x, y))
         if not new:
-            break
+            if not hashed:
+                break
+            hashed = False
+            continue
         symbol = np.where(bucket >= 0, taken[bucket], -1)
         at = np.flatnonzero(symbol >= 0)
         # in a run of one id, every second pair only

@@ -288,3 +288,18 @@ def test_url_edges(spark):
     assert linkgraph.judge(empty(spark, PAGES), RULES).count() == 0
     got = linkgraph.judge(spark.createDataFrame([(1, "http://a.com/x", None)], PAGES), []).first()
     assert (got["rule"], got["verdict"], got["host"], got["path"]) == (None, "allow", "a.com", "/x")
+
+
+def test_license_of_texts_that_share_an_id(spark):
+    unlicense, mit = licenses.TEMPLATES["Unlicense"], licenses.TEMPLATES["MIT"]
+    got = licenses.scan(docs(spark, [(7, unlicense), (7, mit), (None, mit), (None, unlicense)])).collect()
+    assert {(r["id"], r["license"]) for r in got} >= {(7, "Unlicense"), (7, "MIT"), (None, "MIT"), (None, "Unlicense")}
+
+
+def test_ranks_on_a_cycle_have_settled(spark):
+    n = 5
+    links = spark.createDataFrame([(f"h{i}", f"h{(i + 1) % n}", 1.0) for i in range(n)], "src string, dst string, w double")
+    seeds = spark.createDataFrame([(f"h{i}", 1.0 if i == 0 else 0.0) for i in range(n)], "host string, seed double")
+    got = {r["host"]: r["rank"] for r in linkgraph.propagate(seeds, links).collect()}
+    for i in range(n):  # the geometric series of all rounds trips
+        assert abs(got[f"h{i}"] - 0.85 ** i / (1 - 0.85 ** n)) < 1e-3

@@ -121,3 +121,20 @@ def test_grammar_expands_to_its_input():
     assert len(tokenstore.write_shard([1], [np.array([1, 2] * 5000, "<u4").tobytes()])[0]) < 400
     with pytest.raises(ValueError):
         tokenstore.Shard(b"none" + bytes(30))
+
+
+def test_special_strings_as_the_library_reads_them(spark):
+    plain = Tokenizer.from_file(JSON)
+    with open(JSON, encoding="utf-8") as f:
+        own = tokenstore.Encoder(f.read())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", "word <|endoftext|>\n<|endoftext|>!!", "a <|endofte b", "plain words, no more"):
+        got = np.frombuffer(own.encode([text, "between"])[0], dtype="<u4").tolist()
+        assert got == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_no_frequent_pair_is_left():
+    rng = random.Random(11)
+    for size, kinds in ((20_000, 40), (20_000, 3000), (3_000, 2)):
+        seq, rules, base = tokenstore.compress(np.array([min(rng.randrange(kinds), rng.randrange(kinds)) for _ in range(size)], dtype=np.uint32))
+        pairs, counts = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64), return_counts=True)
+        assert not len(counts) or counts.max() < tokenstore.MIN_COUNT
