@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridrisk.llm import bpe, decontaminate, langid, linededup, ngramjoin
-from gridrisk.llm.common import ensure_checkpoint_dir, read_table, ship
+from gridrisk.llm.common import bounded_batches, ensure_checkpoint_dir, read_table, ship
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -33,6 +33,7 @@ def counted(docs: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learned from the labelled documents; those that it rejects go (no letters, or no clear lead)."""
     ship(spark)
+    bounded_batches(spark)
     verdict = fresh(docs, "verdict")
     judged = langid.identify(docs, langid.train(docs), out=verdict)
     return judged.filter(~F.col(f"{verdict}.rejected")).drop(verdict)
@@ -41,6 +42,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later repeats of runs of lines go, and documents that consist of such repeats alone."""
     ship(spark)
+    bounded_batches(spark)
     n = fresh(docs, "n_deleted")
     out = linededup.dedup(docs, out=n)
     return counted(out.filter((F.col(n) == 0) | (F.col("text") != "")).drop(n))
@@ -50,6 +52,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of linked documents the one with the least id stays; of rows that
     share an id the one whose text is least.  Rows without an id stay."""
     ship(spark)
+    bounded_batches(spark)
     near = ngramjoin.near_duplicates(docs)
     stay = near.filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
     row = fresh(docs, "row")
@@ -61,12 +64,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a full window of an item go; shorter items' spans are cut."""
     ship(spark)
+    bounded_batches(spark)
     return counted(decontaminate.remove(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: the columns of the documents with the text decoded from its ids, ``ids`` and ``n_tokens``."""
     ship(spark)
+    bounded_batches(spark)
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     out = fresh(docs, "bpe")
     coded = bpe.with_ids(docs, vocabulary, public_tokenizers.PATTERN, out=out)
