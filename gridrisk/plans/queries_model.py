@@ -116,7 +116,7 @@ def count_model_logo(spark, d):
     """Stage 1: per-site scaled counts (W1), exact leave-one-site-out linear
     model from per-site Gram sums (L1 + M5 + M6), predictions inverse-scaled
     with the site's statistics (W2), per-site metrics (E6)."""
-    p = _count_frame(spark, d)
+    p = materialize(_count_frame(spark, d))  # read for the statistics, the triangles and the predictions
     st = scaling.fit_scaler(p, "site", "daily_count")
     z = scaling.standardize(p, "site", "daily_count", out="scaled", stats=st)
     pred = learn.logo_linear(z, COUNT_FEATS, "scaled", "site", prediction="pred_scaled")
