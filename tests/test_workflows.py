@@ -79,3 +79,15 @@ def test_cli_risk_on_csv(spark, tmp_path):
     assert code.returncode == 0, code.stderr[-2000:]
     assert (out / "surface").exists() and (out / "ols").exists()
     assert cli is not None
+
+
+def test_risk_model_coerces_text_features(spark):
+    """A speed written as text has no number where it has a unit: NULL, filled with the mean like any gap."""
+    from pyspark.sql import functions as F
+
+    from gridrisk.plans.workflows import risk_model
+    days = spark.range(6 * 140).select((F.col("id") % 6).cast("int").alias("grid"), F.date_add(F.lit("2023-01-02").cast("date"), F.floor(F.col("id") / 6).cast("int")).alias("date"),
+                                       (F.col("id") % 7 == 0).cast("int").alias("accident"), (F.col("id") % 11 + 1).cast("double").alias("exposure"),
+                                       F.when(F.col("id") % 5 == 0, "30 mph").otherwise((F.col("id") % 3 * 10).cast("string")).alias("max_speed"))
+    out = risk_model(days, specs=[{"train": (1, 12), "test": (13, 20)}], feature_cols=["max_speed"], forest_params={"numTrees": 2, "maxDepth": 3})
+    assert out["metrics"].count() > 5 and dict(out["weekly"].dtypes)["max_speed"] == "double"
