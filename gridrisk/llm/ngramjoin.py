@@ -15,6 +15,9 @@ if it has fewer words).  Two documents link when their sets' Jaccard similarity
   already: where lists are long it first pairs one group (the hub) with the others, connects what links,
   and then verifies whatever pairs still lie between different components.  So a family of many
   near copies costs about a pair a member and no link between components is lost.
+* Each group in a long list also has a bitmap of its prefix.  A bit that one bitmap has and the other lacks stands for at least one
+  shingle that the prefixes don't share, so a pair whose bitmaps differ too much can't link and leaves the join at
+  once: near copies of one text share many shingles, and each of these would bring the pair again.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are their
 own component; rows with the same id are one document, whose component joins all their texts; a null
@@ -45,6 +48,8 @@ HUB_ROUNDS = 4
 #: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
 FETCH_BROADCAST = 1 << 20
 MEMO = 150_000
+#: Words of 64 bits in a prefix's bitmap.
+BITMAP = 8
 #: Shingles counted together in a task, and how often one is common there wherever it lies in a document's order.
 BLOCK = 1 << 21
 BLOCK_COMMON = 4
@@ -158,37 +163,47 @@ def _order(shared: DataFrame, most: int, least: int) -> Order:
     return Order(s[by], df[by])
 
 
+def bitmap(p: np.ndarray) -> list[int]:
+    """A bit for the low end of each hash, in ``BITMAP`` signed words."""
+    bits = np.zeros(64 * BITMAP, dtype=np.uint8)
+    bits[p & 64 * BITMAP - 1] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _long(digest: int) -> int:
     return (digest & (1 << 64) - 1) - (1 << 63)
 
 
-BASE = "n int, k long, g long, prefix binary, outside binary"
+BITS = [f"b{i}" for i in range(BITMAP)]
+BASE = ", ".join(["n int, k long, g long, prefix binary, outside binary", *[f"{b} long" for b in BITS]])
 
 
 def _base(docs: DataFrame, order, n: int) -> DataFrame:
-    """For every document: ``id``, set size ``n``, set ``k``, group ``g``, ``prefix``, and ``outside``: the prefix's
-    shingles that lie outside the document's zone."""
+    """For every document: ``id``, set size ``n``, set ``k``, group ``g``, ``prefix``, its bitmap, and ``outside``:
+    the prefix's shingles that lie outside the document's zone."""
     def run(batches):
         look = order.value
         for whole in batches:
             for batch in steps(whole):
-                size, k, g, prefix, outside = [], [], [], [], []
+                size, k, g, prefix, outside, bits = [], [], [], [], [], []
                 for text in batch.column(1):
                     h = shingles(text.as_py(), n)
                     size.append(len(h))
                     if not len(h):
-                        k.append(None), g.append(None), prefix.append(None), outside.append(None)
+                        k.append(None), g.append(None), prefix.append(None), outside.append(None), bits.append([None] * BITMAP)
                         continue
                     p = look.prefix(h)
                     k.append(_long(xxhash.xxh3_64_intdigest(h.tobytes())))
                     g.append(_long(xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(h))))
                     prefix.append(p.tobytes())
+                    bits.append(bitmap(p))
                     out = p[p > h[zone_length(len(h)) - 1]]
                     outside.append(out.tobytes() if len(out) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(size, pa.int32()), pa.array(k, pa.int64()), pa.array(g, pa.int64()),
-                     pa.array(prefix, pa.binary()), pa.array(outside, pa.binary())],
-                    names=["id", "n", "k", "g", "prefix", "outside"])
+                     pa.array(prefix, pa.binary()), pa.array(outside, pa.binary()),
+                     *(pa.array(b, pa.int64()) for b in zip(*bits, strict=True))],
+                    names=["id", "n", "k", "g", "prefix", "outside", *BITS])
         _forget()
 
     kind = docs.select("id").schema.simpleString()[len("struct<"):-1].replace(":", " ")
@@ -221,6 +236,20 @@ def may_link(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Colu
     return size & ((100 + PERCENT) * most >= PERCENT * (n + other_n))
 
 
+def may_overlap(n: Column, bits: list[Column], other_n: Column, other_bits: list[Column]) -> Column:
+    """Whether two sets can link by what the bitmaps of their prefixes don't have in common; without bitmaps they can."""
+    def shared(n: Column, own: list[Column], other: list[Column]) -> Column:
+        return n - _rest(n) - sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(own, other, strict=True)), F.lit(0))
+
+    most = F.least(shared(n, bits, other_bits), shared(other_n, other_bits, bits)) + _rest(F.greatest(n, other_n))
+    return F.coalesce((100 + PERCENT) * most >= PERCENT * (n + other_n), F.lit(True))
+
+
+def _rest(n: Column) -> Column:
+    """The size without the prefix."""
+    return F.ceil(F.lit(PERCENT) * n / 100) - 1
+
+
 class Join:
     """The tables of one join: documents, sets, groups and the lists of groups that share a shingle."""
 
@@ -234,7 +263,8 @@ class Join:
         self.base = table(_base(known, order, n))
         sets = self.base.filter("n > 0")
         #: a row for each distinct set
-        self.members = table(sets.groupBy("k").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n")))
+        self.members = table(sets.groupBy("k").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n"),
+                                                     *[F.min(b).alias(b) for b in BITS]))
         groups = sets.groupBy("g").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"))
         postings = _spread(groups, ["g", "n"], "prefix")
         # a shingle that two prefixes share was counted twice, or lies outside the zone of one of them
@@ -301,7 +331,7 @@ class Join:
     def links(self) -> DataFrame:
         """Every link between different sets: ``a``, ``b`` (their ``k``; ``members`` and ``base`` have the documents)."""
         inner = _crossing(self.within.withColumn("label", F.col("u")), False).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        outer = self._expand(_crossing(self.lists.withColumn("label", F.col("u")), True), None, True)
+        outer = self._expand(_crossing(self._signed(self.lists.withColumn("label", F.col("u"))), True), None, True)
         return self.verify(self.scratch.table(_ordered(outer.unionByName(inner)).distinct())).distinct()
 
     def components(self) -> DataFrame:
@@ -332,10 +362,17 @@ class Join:
             inner, outer = (_hub_pairs(x, i) for x in long)
             labels = step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, False)))
         inner = self.scratch.table(_labelled(self.within, "u", labels))
-        outer = self.scratch.table(self.lists.join(self._group_labels(labels), "u"))
+        outer = self._signed(self.scratch.table(self.lists.join(self._group_labels(labels), "u")))
         inner, outer = _crossing(inner, False), _crossing(outer, True)
         return step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, True)))
 
+    def _signed(self, lists: DataFrame) -> DataFrame:
+        """The lists with their units' bitmaps; those of lists that aren't long stay null."""
+        bits = self.members.groupBy(F.col("g").alias("u")).agg(*[F.min(b).alias(b) for b in BITS])
+        long = self.scratch.table(_long_lists(lists).join(bits, "u"))
+        rest = lists.join(long.select("s").distinct(), "s", "left_anti")
+        return self.scratch.table(rest.unionByName(long, allowMissingColumns=True))
+
     def _group_labels(self, labels: DataFrame | None) -> DataFrame:
         """The component that all members of a group are in; null if they're in several."""
         groups = _labelled(self.members.select("k", "g"), "k", labels).groupBy(F.col("g").alias("u")).agg(
@@ -366,12 +403,12 @@ def _pairs(left: DataFrame, right: DataFrame, more: str, shared: bool = False) -
     pairs = pairs.filter(may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")))
     if not shared:
         return pairs.select("x", "y").distinct()
+    pairs = pairs.filter(may_overlap(F.col("x_n"), [F.col(f"x_{b}") for b in BITS], F.col("y_n"), [F.col(f"y_{b}") for b in BITS]))
     # either unit may be x, from list to list
     both = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.greatest("x_n", "y_n").alias("most"),
                         (F.col("x_n") + F.col("y_n")).alias("total"))
     both = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min("most").alias("most"), F.min("total").alias("total"))
-    rest = F.ceil(F.lit(PERCENT) * F.col("most") / 100) - 1  # the size without the prefix
-    return both.filter((100 + PERCENT) * (F.col("c") + rest) >= PERCENT * F.col("total")).select("x", "y")
+    return both.filter((100 + PERCENT) * (F.col("c") + _rest(F.col("most"))) >= PERCENT * F.col("total")).select("x", "y")
 
 
 def _long_lists(lists: DataFrame) -> DataFrame:
