@@ -17,7 +17,8 @@ if it has fewer words).  Two documents link when their sets' Jaccard similarity
   near copies costs about a pair a member and no link between components is lost.
 * Each group in a long list also has a bitmap of its prefix.  A bit that one bitmap has and the other lacks stands for at least one
   shingle that the prefixes don't share, so a pair whose bitmaps differ too much can't link and leaves the join at
-  once: near copies of one text share many shingles, and each of these would bring the pair again.
+  once: near copies of one text share many shingles, and each of these would bring the pair again.  A larger bitmap of
+  the whole set does the same for pairs of members before their texts are fetched.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are their
 own component; rows with the same id are one document, whose component joins all their texts; a null
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, steps, two
+from .common import Scratch, list_column, steps, two
 from .components import connected
 
 N = 5
@@ -48,8 +49,9 @@ HUB_ROUNDS = 4
 #: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
 FETCH_BROADCAST = 1 << 20
 MEMO = 150_000
-#: Words of 64 bits in a prefix's bitmap.
+#: Words of 64 bits in the bitmaps of a prefix and of a whole set.
 BITMAP = 8
+SKETCH = 32
 #: Shingles counted together in a task, and how often one is common there wherever it lies in a document's order.
 BLOCK = 1 << 21
 BLOCK_COMMON = 4
@@ -163,11 +165,11 @@ def _order(shared: DataFrame, most: int, least: int) -> Order:
     return Order(s[by], df[by])
 
 
-def bitmap(p: np.ndarray) -> list[int]:
-    """A bit for the low end of each hash, in ``BITMAP`` signed words."""
-    bits = np.zeros(64 * BITMAP, dtype=np.uint8)
-    bits[p & 64 * BITMAP - 1] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def bitmap(h: np.ndarray, words: int) -> np.ndarray:
+    """A bit for the low end of each hash, in so many (a power of two) signed words."""
+    bits = np.zeros(64 * words, dtype=np.uint8)
+    bits[h & 64 * words - 1] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def _long(digest: int) -> int:
@@ -175,35 +177,36 @@ def _long(digest: int) -> int:
 
 
 BITS = [f"b{i}" for i in range(BITMAP)]
-BASE = ", ".join(["n int, k long, g long, prefix binary, outside binary", *[f"{b} long" for b in BITS]])
+BASE = ", ".join(["n int, k long, g long, prefix binary, outside binary", *[f"{b} long" for b in BITS], "sketch array<long>"])
 
 
 def _base(docs: DataFrame, order, n: int) -> DataFrame:
-    """For every document: ``id``, set size ``n``, set ``k``, group ``g``, ``prefix``, its bitmap, and ``outside``:
-    the prefix's shingles that lie outside the document's zone."""
+    """For every document: ``id``, set size ``n``, set ``k``, group ``g``, ``prefix``, its bitmap, ``outside``
+    (the prefix's shingles that lie outside the document's zone) and ``sketch``, the bitmap of the whole set."""
     def run(batches):
         look = order.value
         for whole in batches:
             for batch in steps(whole):
-                size, k, g, prefix, outside, bits = [], [], [], [], [], []
+                size, k, g, prefix, outside, bits, sketch = [], [], [], [], [], [], []
                 for text in batch.column(1):
                     h = shingles(text.as_py(), n)
                     size.append(len(h))
                     if not len(h):
-                        k.append(None), g.append(None), prefix.append(None), outside.append(None), bits.append([None] * BITMAP)
+                        k.append(None), g.append(None), prefix.append(None), outside.append(None), bits.append([None] * BITMAP), sketch.append(b"")
                         continue
                     p = look.prefix(h)
                     k.append(_long(xxhash.xxh3_64_intdigest(h.tobytes())))
                     g.append(_long(xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(h))))
                     prefix.append(p.tobytes())
-                    bits.append(bitmap(p))
+                    bits.append(bitmap(p, BITMAP).tolist())
+                    sketch.append(bitmap(h, SKETCH).tobytes())
                     out = p[p > h[zone_length(len(h)) - 1]]
                     outside.append(out.tobytes() if len(out) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(size, pa.int32()), pa.array(k, pa.int64()), pa.array(g, pa.int64()),
                      pa.array(prefix, pa.binary()), pa.array(outside, pa.binary()),
-                     *(pa.array(b, pa.int64()) for b in zip(*bits, strict=True))],
-                    names=["id", "n", "k", "g", "prefix", "outside", *BITS])
+                     *(pa.array(b, pa.int64()) for b in zip(*bits, strict=True)), list_column(sketch, np.int64)],
+                    names=["id", "n", "k", "g", "prefix", "outside", *BITS, "sketch"])
         _forget()
 
     kind = docs.select("id").schema.simpleString()[len("struct<"):-1].replace(":", " ")
@@ -245,6 +248,16 @@ def may_overlap(n: Column, bits: list[Column], other_n: Column, other_bits: list
     return F.coalesce((100 + PERCENT) * most >= PERCENT * (n + other_n), F.lit(True))
 
 
+def may_match(n: Column, sketch: Column, other_n: Column, other_sketch: Column) -> Column:
+    """Whether two sets can link by what their bitmaps don't have in common."""
+    def shared(n: Column, own: Column, other: Column) -> Column:
+        alone = F.zip_with(own, other, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+        return n - F.aggregate(alone, F.lit(0), lambda x, y: x + y)
+
+    most = F.least(shared(n, sketch, other_sketch), shared(other_n, other_sketch, sketch))
+    return (100 + PERCENT) * most >= PERCENT * (n + other_n)
+
+
 def _rest(n: Column) -> Column:
     """The size without the prefix."""
     return F.ceil(F.lit(PERCENT) * n / 100) - 1
@@ -319,14 +332,25 @@ class Join:
         return self.scratch.table(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
     def _expand(self, units: DataFrame, labels: DataFrame | None, all_members: bool) -> DataFrame:
-        """Pairs of groups as pairs of members of different components: all of them, or one for each
-        component that a group has a member in."""
-        m = _labelled(self.members.select("k", "g"), "k", labels)
-        if not all_members:
+        """Pairs of groups as pairs of members of different components: all of them that their bitmaps admit, or one
+        for each component that a group has a member in."""
+        m = _labelled(self.members.select("k", "g", "n"), "k", labels)
+        if all_members:
+            units = self.scratch.table(units)
+            groups = units.select(F.explode(F.array("x", "y")).alias("g")).distinct()
+            met = m.join(groups, "g", "left_semi")
+            sketches = self.base.select("k", "sketch").join(met.select("k"), "k", "left_semi").dropDuplicates(["k"])
+            m = self.scratch.table(met.join(sketches, "k"))
+        else:
             m = m.groupBy("g", "label").agg(F.min("k").alias("k"))
-        left = m.select(F.col("g").alias("x"), F.col("k").alias("a"), F.col("label").alias("la"))
-        right = m.select(F.col("g").alias("y"), F.col("k").alias("b"), F.col("label").alias("lb"))
-        return units.join(left, "x").join(right, "y").filter("la != lb").select("a", "b")
+
+        def side(unit: str, member: str) -> DataFrame:
+            return m.select(F.col("g").alias(unit), *[F.col(c).alias(member if c == "k" else f"{member}_{c}") for c in m.columns if c != "g"])
+
+        pairs = units.join(side("x", "a"), "x").join(side("y", "b"), "y").filter("a_label != b_label")
+        if all_members:
+            pairs = pairs.filter(may_match(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch")))
+        return pairs.select("a", "b")
 
     def links(self) -> DataFrame:
         """Every link between different sets: ``a``, ``b`` (their ``k``; ``members`` and ``base`` have the documents)."""

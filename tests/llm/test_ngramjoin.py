@@ -91,6 +91,35 @@ def test_without_hub_rounds(spark, monkeypatch):
     assert result(ngramjoin.near_duplicates(docs(spark, rows))) == brute(rows)[0]
 
 
+def test_near_copies_in_long_lists(spark):
+    """A family whose copies mostly don't link: long lists, so bitmaps decide and may lose no link."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)]
+    texts = family(rng, base, 160, 9) + [" ".join(base[:k]) for k in (121, 140, 149)]
+    rows = list(enumerate(texts))
+    expected, links = brute(rows)
+    assert 0 < len(links) < 160 * 80
+    near = ngramjoin.near_duplicates(docs(spark, rows))
+    assert result(near) == expected
+    scratch = Scratch(spark)
+    join = ngramjoin.Join(docs(spark, rows), scratch)
+    assert join.links().count() == len(links)
+    scratch.close()
+
+
+def test_bitmaps_admit_every_link():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 30, 146, 900, 6000):
+        for _ in range(40):
+            a = np.unique(rng.integers(-2 ** 63, 2 ** 63 - 1, n))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(-2 ** 63, 2 ** 63 - 1, n // 10)]))
+            x, y = (ngramjoin.bitmap(h, ngramjoin.SKETCH).view(np.uint64) for h in (a, b))
+            both = len(np.intersect1d(a, b))
+            assert both <= len(a) - sum(int(w).bit_count() for w in x & ~y)
+            assert both <= len(b) - sum(int(w).bit_count() for w in y & ~x)
+
+
 def test_edges(spark):
     ship(spark)
     assert result(ngramjoin.near_duplicates(docs(spark, edge_rows(), extra=True))) == brute(edge_rows())[0]
