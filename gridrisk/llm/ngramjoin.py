@@ -17,8 +17,9 @@ if it has fewer words).  Two documents link when their sets' Jaccard similarity
   near copies costs about a pair a member and no link between components is lost.
 * Each group in a long list also has a bitmap of its prefix.  A bit that one bitmap has and the other lacks stands for at least one
   shingle that the prefixes don't share, so a pair whose bitmaps differ too much can't link and leaves the join at
-  once: near copies of one text share many shingles, and each of these would bring the pair again.  A larger bitmap of
-  the whole set does the same for pairs of members before their texts are fetched.
+  once: near copies of one text share many shingles, and each of these would bring the pair again.  A group of one set
+  also has a bitmap of this whole set there.  A larger one does the same for pairs of members before their texts are
+  fetched.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are their
 own component; rows with the same id are one document, whose component joins all their texts; a null
@@ -49,9 +50,10 @@ HUB_ROUNDS = 4
 #: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
 FETCH_BROADCAST = 1 << 20
 MEMO = 150_000
-#: Words of 64 bits in the bitmaps of a prefix and of a whole set.
+#: Words of 64 bits in the bitmaps of a prefix and of a whole set, and in the fold of the latter that lists carry.
 BITMAP = 8
 SKETCH = 32
+FOLD = 16
 #: Shingles counted together in a task, and how often one is common there wherever it lies in a document's order.
 BLOCK = 1 << 21
 BLOCK_COMMON = 4
@@ -177,6 +179,7 @@ def _long(digest: int) -> int:
 
 
 BITS = [f"b{i}" for i in range(BITMAP)]
+FOLDS = [f"f{i}" for i in range(FOLD)]
 BASE = ", ".join(["n int, k long, g long, prefix binary, outside binary", *[f"{b} long" for b in BITS], "sketch array<long>"])
 
 
@@ -239,13 +242,18 @@ def may_link(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Colu
     return size & ((100 + PERCENT) * most >= PERCENT * (n + other_n))
 
 
-def may_overlap(n: Column, bits: list[Column], other_n: Column, other_bits: list[Column]) -> Column:
-    """Whether two sets can link by what the bitmaps of their prefixes don't have in common; without bitmaps they can."""
-    def shared(n: Column, own: list[Column], other: list[Column]) -> Column:
-        return n - _rest(n) - sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(own, other, strict=True)), F.lit(0))
+def may_overlap(x: str, y: str) -> Column:
+    """Whether two units can link by what the bitmaps of their prefixes, and those of their whole sets, don't have in
+    common; without bitmaps they can."""
+    def alone(unit: str, other: str, bits: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"{unit}_{b}").bitwiseAND(F.bitwise_not(F.col(f"{other}_{b}")))) for b in bits), F.lit(0))
 
-    most = F.least(shared(n, bits, other_bits), shared(other_n, other_bits, bits)) + _rest(F.greatest(n, other_n))
-    return F.coalesce((100 + PERCENT) * most >= PERCENT * (n + other_n), F.lit(True))
+    def admits(n: Column, other_n: Column, bits: list[str], more: Column) -> Column:
+        most = F.least(n - alone(x, y, bits), other_n - alone(y, x, bits)) + more
+        return F.coalesce((100 + PERCENT) * most >= PERCENT * (F.col(f"{x}_n") + F.col(f"{y}_n")), F.lit(True))
+
+    n, other_n = F.col(f"{x}_n"), F.col(f"{y}_n")
+    return admits(n - _rest(n), other_n - _rest(other_n), BITS, _rest(F.greatest(n, other_n))) & admits(n, other_n, FOLDS, F.lit(0))
 
 
 def may_match(n: Column, sketch: Column, other_n: Column, other_sketch: Column) -> Column:
@@ -339,8 +347,7 @@ class Join:
             units = self.scratch.table(units)
             groups = units.select(F.explode(F.array("x", "y")).alias("g")).distinct()
             met = m.join(groups, "g", "left_semi")
-            sketches = self.base.select("k", "sketch").join(met.select("k"), "k", "left_semi").dropDuplicates(["k"])
-            m = self.scratch.table(met.join(sketches, "k"))
+            m = self.scratch.table(met.join(self._sketches(met), "k"))
         else:
             m = m.groupBy("g", "label").agg(F.min("k").alias("k"))
 
@@ -390,10 +397,21 @@ class Join:
         inner, outer = _crossing(inner, False), _crossing(outer, True)
         return step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, True)))
 
+    def _sketches(self, wanted: DataFrame) -> DataFrame:
+        """``k`` and the bitmap of the whole set of the members whose ``k`` is wanted."""
+        return self.base.select("k", "sketch").join(wanted.select("k"), "k", "left_semi").dropDuplicates(["k"])
+
     def _signed(self, lists: DataFrame) -> DataFrame:
-        """The lists with their units' bitmaps; those of lists that aren't long stay null."""
-        bits = self.members.groupBy(F.col("g").alias("u")).agg(*[F.min(b).alias(b) for b in BITS])
-        long = self.scratch.table(_long_lists(lists).join(bits, "u"))
+        """The lists with their units' bitmaps; those of lists that aren't long stay null, and those of whole sets
+        where a group has several sets."""
+        long = self.scratch.table(_long_lists(lists))
+        only = F.when(F.count(F.lit(1)) == 1, F.min("k")).alias("k")
+        bits = self.members.groupBy(F.col("g").alias("u")).agg(only, *[F.min(b).alias(b) for b in BITS])
+        bits = self.scratch.table(bits.join(long.select("u").distinct(), "u", "left_semi"))
+        # bit i of the fold stands for the bits i and i + 64 FOLD of the sketch
+        folds = [F.col("sketch")[i].bitwiseOR(F.col("sketch")[i + FOLD]).alias(f) for i, f in enumerate(FOLDS)]
+        bits = bits.join(self._sketches(bits), "k", "left").select("u", *BITS, *folds)
+        long = self.scratch.table(long.join(bits, "u"))
         rest = lists.join(long.select("s").distinct(), "s", "left_anti")
         return self.scratch.table(rest.unionByName(long, allowMissingColumns=True))
 
@@ -427,7 +445,7 @@ def _pairs(left: DataFrame, right: DataFrame, more: str, shared: bool = False) -
     pairs = pairs.filter(may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")))
     if not shared:
         return pairs.select("x", "y").distinct()
-    pairs = pairs.filter(may_overlap(F.col("x_n"), [F.col(f"x_{b}") for b in BITS], F.col("y_n"), [F.col(f"y_{b}") for b in BITS]))
+    pairs = pairs.filter(may_overlap("x", "y"))
     # either unit may be x, from list to list
     both = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.greatest("x_n", "y_n").alias("most"),
                         (F.col("x_n") + F.col("y_n")).alias("total"))

@@ -116,6 +116,7 @@ def test_bitmaps_admit_every_link():
             b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(-2 ** 63, 2 ** 63 - 1, n // 10)]))
             x, y = (ngramjoin.bitmap(h, ngramjoin.SKETCH).view(np.uint64) for h in (a, b))
             both = len(np.intersect1d(a, b))
+            assert ((x[:ngramjoin.FOLD] | x[ngramjoin.FOLD:]) == ngramjoin.bitmap(a, ngramjoin.FOLD).view(np.uint64)).all()
             assert both <= len(a) - sum(int(w).bit_count() for w in x & ~y)
             assert both <= len(b) - sum(int(w).bit_count() for w in y & ~x)
 
