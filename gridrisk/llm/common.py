@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-exported)
 
 #: Text bytes that one step of an Arrow kernel holds at a time (one longer text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -70,7 +71,7 @@ def list_column(parts: list[bytes], dtype=np.int32) -> pa.Array:
 
 
 #: Bytes of rows in one Arrow batch on its way to or from Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -81,13 +82,26 @@ def bounded_batches(spark: SparkSession) -> None:
 _HELD: dict = {}
 
 
+def release() -> None:
+    """Give back to the system what a worker no longer uses: freed memory would stay with the process otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's; others have none
+    if trim:
+        trim(0)
+
+
+def let_go() -> None:
+    """For kernels that need nothing that is held: what the last one held goes."""
+    _HELD.clear()
+    release()
+
+
 def held(kind: str, key, make):
     """What a kernel needs again and again (a vocabulary, dictionaries), made once a worker.  A worker holds one such
     thing: when another kernel takes its turn in a reused worker, what the last one held goes."""
     if (kind, key) not in _HELD:
-        _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        let_go()
         _HELD[kind, key] = make()
     return _HELD[kind, key]
 

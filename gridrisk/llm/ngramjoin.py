@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_column, steps, two
+from .common import Scratch, let_go, list_column, steps, two
 from .components import connected
 
 N = 5
@@ -75,7 +75,7 @@ _WORDS = _Words()
 def _forget() -> None:
     """At the end of a task: a reused worker shouldn't hold an operator's memory while others run."""
     _WORDS.clear()
-    pa.default_memory_pool().release_unused()
+    let_go()
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
