@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import clean, features, panel, sketch
 from ..session import ensure_checkpoint_dir
-from ..sources.io import read_geojson, read_table, write_weeks
+from ..sources.io import read_geojson, read_table, write_collections, write_weeks
 from . import bindings as B
 from .catalog import query, round_doubles
 from .oracle import with_views
@@ -29,20 +29,17 @@ SELECT o_orderkey AS grid, 'cell {' || o_orderkey || '} "Feature"' AS name, 5 AS
        CAST(o_orderkey % 170 - 84.5 AS DOUBLE) AS y_max
 FROM orders""")
 def geo_collection(spark, d):
-    """A FeatureCollection in one file, read by byte ranges in several tasks.  (The one file is the
-    reference's form; here one task writes it.)"""
+    """FeatureCollection files, each read by byte ranges in several tasks.  (The one file is the reference's
+    form; here each task of the scan writes one, so a table that one task scans still gives one.)"""
     key = F.col("o_orderkey")
     lon, lat = (key % 360 - 180).cast("double"), (key % 170 - 85).cast("double")
     ring = F.array(*[F.array(lon + dx, lat + dy) for dx, dy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5))])
     name = F.concat(F.lit("cell {"), key.cast("string"), F.lit('} "Feature"'))
     o = read_table(spark, d, "orders").select(F.to_json(F.struct(
         F.lit("Feature").alias("type"), F.struct(key.alias("grid"), name.alias("name")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))).alias("value"), key.alias("k"))
-    last = o.agg(F.max("k").alias("k")).first()["k"]
-    lines = o.select(F.concat("value", F.when(F.col("k") == last, F.lit("")).otherwise(F.lit(","))).alias("value"), (F.col("k") == last).cast("int").alias("at"))
-    ends = spark.createDataFrame([('{"type":"FeatureCollection","features":[', -1), ("]}", 2)], "value string, at int")
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))).alias("value"))
     path = _scratch(spark, "collection")
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    write_collections(o, path)
     g = read_geojson(spark, path, feature_schema=_FEATURE, split_bytes=1 << 20)
     xs, ys = F.transform(F.col("geometry.coordinates")[0], lambda p: p[0]), F.transform(F.col("geometry.coordinates")[0], lambda p: p[1])
     return g.select("grid", "name", F.size(xs).alias("n_vertices"), F.array_min(xs).alias("x_min"), F.array_max(ys).alias("y_max"))

@@ -118,6 +118,27 @@ def features(read, start: int, end: int, size: int) -> Iterator[dict]:
             base, at = base + at, 0
 
 
+def collection_lines(batches: Iterator) -> Iterator:
+    """Arrow batches of features as JSON text -> the lines of one FeatureCollection: a comma before every feature but the first."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def lines(values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([values], ["value"])
+
+    yield lines(pa.array(['{"type":"FeatureCollection","features":['], pa.string()))
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(0).cast(pa.string())
+        if first:
+            yield lines(values.slice(0, 1))
+            values, first = values.slice(1), False
+        yield lines(pc.binary_join_element_wise(pa.scalar(",", pa.string()), values, pa.scalar("", pa.string())))
+    yield lines(pa.array(["]}"], pa.string()))
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, end: int, size: int):
         self.path, self.start, self.end, self.size = path, start, end, size
@@ -131,6 +152,8 @@ class _Reader(DataSourceReader):
         return [_Range(p, a, min(a + self.split, n), n) for p, n in _files(self.path) for a in range(0, n, self.split)]
 
     def read(self, partition):
+        if partition is None:  # a folder without files
+            return
         system, _ = _file_system(self.path)
         with system.open_input_file(partition.path) as f:
             for feature in features(lambda at, n: f.read_at(min(n, partition.size - at), at), partition.start, partition.end, partition.size):

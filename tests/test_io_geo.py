@@ -91,3 +91,31 @@ def test_geojson_with_known_schema(spark):
     g = io.read_geojson(spark, os.path.join(d, "c.geojson"), seq=False, feature_schema=ddl)
     r = g.first()
     assert r.grid == 7 and len(r.geometry.coordinates[0]) == 5
+
+
+def test_collections_are_written_without_a_sort(spark):
+    """Each partition is a whole FeatureCollection file; rows pass through (a sort held a whole file's rows in one task)."""
+    d = _tmp()
+    text = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("id").alias("grid"), F.lit('a {"[,').alias("name")).alias("properties"),
+                              F.struct(F.lit("Polygon").alias("type")).alias("geometry")))
+    df = spark.range(0, 2500, 1, 3).union(spark.range(7)).where("id < 2000 or id > 2400").select(text.alias("value"))
+    io.write_collections(df, f"{d}/all")
+    files = [os.path.join(d, "all", f) for f in os.listdir(f"{d}/all") if f.startswith("part")]
+    whole = [json.load(open(f)) for f in files]
+    assert len(files) > 1 and {w["type"] for w in whole} == {"FeatureCollection"}
+    want = sorted([*range(2000), *range(2401, 2500), *range(7)])
+    assert sorted(x["properties"]["grid"] for w in whole for x in w["features"]) == want
+    ddl = "type string, properties struct<grid: bigint, name: string>, geometry struct<type: string>"
+    back = io.read_geojson(spark, f"{d}/all", feature_schema=ddl, split_bytes=50_000).collect()
+    assert sorted(r.grid for r in back) == want and {r.name for r in back} == {'a {"[,'}
+    io.write_collections(df.where("false"), f"{d}/none")
+    assert io.read_geojson(spark, f"{d}/none", feature_schema=ddl, split_bytes=1000).count() == 0
+
+
+def test_geo_collection_keeps_rows_without_key_and_twice(spark):
+    from gridrisk.plans import queries_scale
+
+    d = _tmp()
+    spark.createDataFrame([(5,), (9,), (9,), (None,)], "o_orderkey long").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    got = sorted((r.grid or 0, r.n_vertices) for r in queries_scale.geo_collection(spark, d).collect())
+    assert got == [(0, 5), (5, 5), (9, 5), (9, 5)]
