@@ -107,3 +107,34 @@ def test_sketches_merge_as_if_whole(spark):
     for r in sketch.estimates(sketch.merge(stored, ["k"])).collect():
         exact = df.where(F.col("k") == r["k"]).agg(F.count_distinct("d").alias("d"), F.avg((F.col("x") <= r["q_0.5"]).cast("int")).alias("rank")).first()
         assert r["n"] == 8000 and abs(r["n_distinct"] / exact["d"] - 1) < 0.08 and abs(exact["rank"] - 0.5) < 0.03
+
+
+def test_a_small_panel_is_read_by_few_tasks(spark):
+    """The shuffle partitions of a large table cost a small panel's fits a task each, in every job and shuffle."""
+    from gridrisk import session
+
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = session.materialize(spark.range(5000).selectExpr("id", "id % 7 AS k"))
+        assert got.rdd.getNumPartitions() == session.tasks_for(spark, 5000) == 2 * spark.sparkContext.defaultParallelism < 64
+        assert sorted(r.id for r in got.collect()) == list(range(5000))
+        assert session.materialize(spark.range(9), 33).rdd.getNumPartitions() == 33
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert session.tasks_for(spark, 100 * session.TASK_ROWS + 1) == 101
+
+
+def test_fits_read_rows_kept_in_memory(spark):
+    from gridrisk.operators import learn
+    from gridrisk.session import materialize
+
+    df = materialize(spark.range(60).selectExpr("id", "CAST(id % 7 AS double) AS a", "CAST(id % 5 AS double) AS y"))
+    plain = learn.assemble(df, ["a"])
+    with learn.fit_input(df, ["a"]) as a:
+        assert a.storageLevel.useMemory and a.storageLevel.useDisk
+        assert [x.collect() for x in (a.where("id > 9"),)] == [plain.where("id > 9").collect()]
+        assert a.rdd.getNumPartitions() == plain.rdd.getNumPartitions()
+        fits = [learn.forest("y", numTrees=3).fit(x).toDebugString for x in (a, plain)]
+        assert fits[0].split("\n")[1:] == fits[1].split("\n")[1:]
+    assert not a.storageLevel.useMemory
