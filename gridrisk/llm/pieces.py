@@ -11,7 +11,7 @@ import re
 
 _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACES = re.compile(r"(?<=\S) (?=\S)")
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may begin a contraction
+TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may begin a contraction
 
 
 def pieces(text: str) -> list[str]:
@@ -31,7 +31,7 @@ def pieces(text: str) -> list[str]:
 
 def part_tail(piece: str) -> tuple[str, str]:
     """A piece without its closing signs, and those; no closing signs if the cut isn't certain."""
-    core = piece.rstrip(_TAIL)
+    core = piece.rstrip(TAIL)
     if len(core) < len(piece) and core and core[-1] < "ɐ" and core[-1].isalpha():
         return core, piece[len(core):]
     return piece, ""

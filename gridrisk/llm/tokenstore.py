@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import zlib
-from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +39,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import steps, two
-from .pieces import part_tail, pieces
+from .pieces import TAIL, pieces
 
 SHARD_TOKENS = 1 << 18
 #: A pair is replaced if it occurs so often.
 MIN_COUNT = 4
-#: Rounds count pairs in hashed buckets while one makes a sequence shorter by more than this power of a half;
-#: later ones count every pair, until none is left that occurs often enough.
-LEAST_GAIN = 8
 #: Pairs replaced in one round, at most; the others wait for the next.
 ROUND_PAIRS = 4096
 END_ID = 0
 #: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
 MEMO = 450_000
+#: Words that the library encodes at once.
+RUN = 64
 _BUCKETS = 18
 
 SHARDS = "part int, k int, n_docs long, n_tokens long, shard binary"
@@ -58,6 +59,45 @@ DOCUMENTS = "part int, k int, place int, id long, shard_start long, n_tokens lon
 
 # ---- tokens
 
+def _kinds() -> np.ndarray:
+    """Class of each byte: 1 letter, 2 closing sign, 4 space, 5 line feed, 6 other white space; 0 what else there is."""
+    out = np.zeros(256, dtype=np.uint8)
+    for i in range(128):
+        c = chr(i)
+        out[i] = 5 if c == "\n" else 4 if c == " " else 6 if c.isspace() else 1 if c.isalpha() else 2 if c in TAIL else 0
+    return out
+
+
+_KINDS = _kinds()
+#: White space of more than one byte.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts without wide white space, and the place of each text's first among them (and their number).
+
+    Cuts are those of ``pieces``, and one between each ASCII letter and a closing sign after it."""
+    column = pa.array(texts, pa.string())
+    _, offsets, body = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(texts) + 1) if texts else np.zeros(1, np.int32)
+    if not offsets[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, dtype=np.int64)
+    kind = _KINDS[np.frombuffer(body, np.uint8, offsets[-1])]
+    solid = kind < 4
+    begin, end = offsets[:-1], offsets[1:]
+    begin, end = begin[begin < end], end[begin < end]
+    lone = np.zeros(len(kind), dtype=bool)  # has signs on both sides in its text
+    lone[1:-1] = solid[:-2] & solid[2:]
+    lone[begin] = lone[end - 1] = False
+    line = (kind == 5) & lone
+    mark = (kind == 4) & lone | line
+    mark[1:] |= line[:-1] | (kind[1:] == 2) & (kind[:-1] == 1)
+    mark[begin] = True
+    starts = np.flatnonzero(mark)
+    bounds = np.append(starts, len(kind)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), body), np.searchsorted(starts, offsets)
+
+
 class Encoder(dict):
     """Ids of pieces by the tokenizers library, as little-endian 32-bit numbers; met pieces are remembered."""
 
@@ -69,35 +109,65 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = special_text
         self.special = [] if special_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: which tokens begin with a space
+        self.leads = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), dtype=bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
         self.older: dict[str, bytes] = {}
 
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, met: Iterable[str]) -> None:
+        """Each of these different pieces that isn't remembered is looked up once; words behind a space as a run of words, which is cheaper."""
+        words, others = [], []
+        for piece in filterfalse(self.__contains__, met):  # a set's difference from a subclass of dict would read all of it
+            got = self.older.get(piece)
+            if got is not None:
+                self[piece] = got
+            elif piece[:1] == " " and piece.split() == [piece[1:]]:
+                words.append(piece)
+            else:
+                others.append(piece)
+        if words and not any(" " in s for s in self.special):
+            ids = np.concatenate(self._library(["".join(words[i:i + RUN]) for i in range(0, len(words), RUN)]))
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) == len(words):  # a word's first token begins with its space, no other one has a space
+                body, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                self.update(zip(words, map(body.__getitem__, map(slice, ends, ends[1:])), strict=True))
+                words = []
+        others += words
+        self.update(zip(others, map(np.ndarray.tobytes, self._library(others)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each piece that isn't remembered is looked up once, its closing signs apart."""
         if len(self) > MEMO:
             self.older = dict(self)
             self.clear()
         collecting = gc.isenabled()
         gc.disable()  # many small objects, no cycles
         try:
+            out: list[bytes | None] = [None] * len(texts)
             # a text with a special token's string goes to the library whole: pieces might cut that string
-            whole = {i: text for i, text in enumerate(texts) if any(s in text for s in self.special)}
-            cut = [[] if i in whole else pieces(text) for i, text in enumerate(texts)]
-            cores, tails = {}, {}
-            for piece in set().union(*cut).difference(self):
-                got = self.older.get(piece)
-                if got is None:
-                    cores[piece], tails[piece] = part_tail(piece)
-                else:
-                    self[piece] = got
-            unknown = list(set(cores.values()).union(tails.values()).difference(self))
-            for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                self[p] = array("I", e.ids).tobytes()
-            for piece, core in cores.items():
-                if tail := tails[piece]:
-                    self[piece] = self[core] + self[tail]
-            out = [b"".join(map(self.__getitem__, own)) for own in cut]
-            for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
-                out[i] = array("I", e.ids).tobytes()
+            whole = [i for i, text in enumerate(texts) if any(s in text for s in self.special)]
+            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+                out[i] = ids.tobytes()
+            wide = [i for i, text in enumerate(texts) if out[i] is None and not text.isascii() and _WIDE.search(text)]
+            parted = [pieces(texts[i]) for i in wide]
+            self._learn(set().union(*parted))
+            for i, own in zip(wide, parted, strict=True):
+                out[i] = b"".join(map(self.__getitem__, own))
+            rest = [i for i, got in enumerate(out) if got is None]
+            own, first = cut([texts[i] for i in rest])
+            coded = own.dictionary_encode()
+            met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self._learn(met)
+            known = list(map(self.__getitem__, met))
+            ends = np.cumsum([0, *map(len, known)])
+            known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(met), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(known))])
+            ids = known.take(coded.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist() if len(ids) else [0] * len(first)
+            body = ids.buffers()[2]
+            for i, a, b in zip(rest, at, at[1:]):
+                out[i] = body[a:b].to_pybytes() if a < b else b""
             return out
         finally:
             if collecting:
@@ -117,41 +187,41 @@ def load_tokenizer(spark: SparkSession, path: str):
 
 # ---- grammar
 
-def _frequent(seq: np.ndarray, min_count: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each neighbouring pair (-1: not a candidate), and the candidates' buckets and pairs,
-    most frequent first.  A bucket counts for the last pair seen in it; with the next round's salt its others
-    fall in other buckets."""
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    bucket = ((pair ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-    held = np.zeros(1 << _BUCKETS, dtype=np.uint64)
+def _bits(n: int) -> int:
+    return min(_BUCKETS, n.bit_length() + 2)
+
+
+def _frequent(seq: np.ndarray, at: np.ndarray, min_count: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the pairs that begin at ``at``: bucket of each (-1: not counted), how often its pair occurs, and the frequent
+    buckets and their pairs, most frequent first.  A bucket counts for the last pair seen in it; with the next round's
+    salt its others fall in other buckets."""
+    bits = _bits(len(at))
+    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    bucket = ((pair ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    held = np.empty(1 << bits, dtype=np.uint64)
     held[bucket] = pair
     bucket[held[bucket] != pair] = -1
-    count = np.bincount(bucket + 1, minlength=(1 << _BUCKETS) + 1)[1:]
+    count = np.bincount(bucket + 1, minlength=(1 << bits) + 1)[1:]
     often = np.flatnonzero(count >= min_count)
     often = often[np.argsort(-count[often], kind="stable")][:ROUND_PAIRS]
-    return bucket, often, held[often]
-
-
-def _all_frequent(seq: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same with a bucket of its own for each pair."""
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    pairs, bucket, count = np.unique(pair, return_inverse=True, return_counts=True)
-    often = np.flatnonzero(count >= min_count)
-    often = often[np.argsort(-count[often], kind="stable")]
-    return bucket, often, pairs[often]
+    return bucket, count[bucket], often, held[often]
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbol sequence, rules (pairs, in order of their nonterminals) and the first nonterminal."""
+    """Symbol sequence, rules (pairs, in order of their nonterminals) and the first nonterminal.
+
+    A round counts the pairs that are open.  One that was counted and isn't frequent is closed for good: new
+    occurrences of a pair come only with a new symbol in it, all in the round that makes the symbol."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, top = ids.astype(np.uint32), [], base
-    before, hashed, rounds = 2 * len(seq), True, 0
-    while len(seq) > 1:
-        hashed = hashed and before - len(seq) >= before >> LEAST_GAIN
-        before, rounds = len(seq), rounds + 1
-        bucket, often, pairs = _frequent(seq, min_count, rounds * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF) if hashed else _all_frequent(seq, min_count)
+    is_open, rounds = np.ones(len(seq), dtype=bool), 0
+    is_open[-1:] = False  # no pair begins there
+    while len(begin := np.flatnonzero(is_open)):
+        rounds += 1
+        bucket, count, often, pairs = _frequent(seq, begin, min_count, rounds * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
+        is_open[begin[(bucket >= 0) & (count < min_count)]] = False
         side: dict[int, int] = {}
-        taken = np.full(max(1 << _BUCKETS, len(seq)), -1, dtype=np.int64)
+        taken = np.full(1 << _bits(len(begin)), -1, dtype=np.int64)
         new = []
         left, right = (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist()
         for b, x, y in zip(often.tolist(), left, right, strict=True):
@@ -166,21 +236,24 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
             taken[b] = top + len(new)
             new.append((x, y))
         if not new:
-            if not hashed:
-                break
-            hashed = False
-            continue
+            continue  # pairs that shared a bucket wait for the next salt
         symbol = np.where(bucket >= 0, taken[bucket], -1)
-        at = np.flatnonzero(symbol >= 0)
+        chosen = symbol >= 0
+        at, symbol = begin[chosen], symbol[chosen]
         # in a run of one id, every second pair only
         touching = np.concatenate([[False], np.diff(at) == 1])
         if touching.any():
-            begin = np.maximum.accumulate(np.where(touching, 0, np.arange(len(at))))
-            at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        seq[at] = symbol[at]
+            first = np.maximum.accumulate(np.where(touching, 0, np.arange(len(at))))
+            second = (np.arange(len(at)) - first) % 2 == 0
+            at, symbol = at[second], symbol[second]
+        seq[at] = symbol
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, is_open = seq[keep], is_open[keep]
+        at -= np.arange(len(at))
+        is_open[at] = True
+        is_open[np.maximum(at - 1, 0)] = True
+        is_open[-1:] = False
         rules += new
         top += len(new)
     return seq, np.array(rules, dtype=np.uint32).reshape(-1, 2), base

@@ -132,6 +132,44 @@ def test_special_strings_as_the_library_reads_them(spark):
         assert got == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_like_the_library_with_words_in_runs():
+    """Also with few remembered pieces; words go to the library in runs, not as a text of its own each."""
+    plain = Tokenizer.from_file(JSON)
+    with open(JSON, encoding="utf-8") as f:
+        own = tokenstore.Encoder(f.read())
+    rng = random.Random(8)
+    given = texts(1500) + ["".join(rng.choice("abyz.,'é漢 \n\t") for _ in range(40)) for _ in range(1500)] + ["", "a", " ", "\n"]
+    for i in range(0, len(given), 500):
+        part = given[i:i + 500]
+        want = [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)] == want
+    assert own.encode([]) == []
+    words, asked, library = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(600)), [], own._library
+    own._library = lambda given: (asked.extend(given), library(given))[1]
+    assert np.frombuffer(own.encode([words])[0], "<u4").tolist() == plain.encode(words, add_special_tokens=False).ids
+    assert len(asked) < 30
+
+
+def test_cuts_are_those_of_pieces():
+    given = [t for t in texts() if not tokenstore._WIDE.search(t)]
+    own, first = tokenstore.cut(given)
+    own = own.to_pylist()
+    for t, a, b in zip(given, first, first[1:], strict=False):
+        assert "".join(own[a:b]) == t
+        ends = {len("".join(own[a:i])) for i in range(a, b + 1)}
+        assert {len("".join(pieces(t)[:i])) for i in range(len(pieces(t)) + 1)} <= ends
+
+
+def test_rounds_count_open_pairs_only(monkeypatch):
+    """A round of the grammar reads what the last ones left open, not the whole sequence again."""
+    read, frequent = [], tokenstore._frequent
+    monkeypatch.setattr(tokenstore, "_frequent", lambda seq, at, *a: (read.append(len(at)), frequent(seq, at, *a))[1])
+    rng = np.random.default_rng(2)
+    ids = rng.zipf(1.3, 60_000).clip(max=30_000).astype(np.uint32)
+    seq, rules, base = tokenstore.compress(ids)
+    assert len(rules) and read[0] == len(ids) - 1 and sum(read[len(read) // 2:]) < len(seq) // 2
+
+
 def test_no_frequent_pair_is_left():
     rng = random.Random(11)
     for size, kinds in ((20_000, 40), (20_000, 3000), (3_000, 2)):
