@@ -342,14 +342,12 @@ class Join:
     def _expand(self, units: DataFrame, labels: DataFrame | None, all_members: bool) -> DataFrame:
         """Pairs of groups as pairs of members of different components: all of them that their bitmaps admit, or one
         for each component that a group has a member in."""
-        m = _labelled(self.members.select("k", "g", "n"), "k", labels)
+        units = self.scratch.table(units)
+        met = self._members_of(units.select(F.explode(F.array("x", "y")).alias("g")), "n")
         if all_members:
-            units = self.scratch.table(units)
-            groups = units.select(F.explode(F.array("x", "y")).alias("g")).distinct()
-            met = m.join(groups, "g", "left_semi")
-            m = self.scratch.table(met.join(self._sketches(met), "k"))
+            m = self.scratch.table(_labelled(met.join(self._sketches(met), "k"), "k", labels))
         else:
-            m = m.groupBy("g", "label").agg(F.min("k").alias("k"))
+            m = _labelled(met, "k", labels).groupBy("g", "label").agg(F.min("k").alias("k"))
 
         def side(unit: str, member: str) -> DataFrame:
             return m.select(F.col("g").alias(unit), *[F.col(c).alias(member if c == "k" else f"{member}_{c}") for c in m.columns if c != "g"])
@@ -386,14 +384,14 @@ class Join:
             if i > 1 and 10 * found[-1].count() < tested[-1].count():
                 break  # few of the last pairs linked: hubs don't help
             inner, outer = (x.drop("label") for x in long)
-            inner, outer = _labelled(inner, "u", labels), outer.join(self._group_labels(labels), "u")
-            long = [self.scratch.table(_long_lists(x)) for x in (inner, outer)]
+            inner, outer = _labelled(inner, "u", labels), outer.join(self._group_labels(outer, labels), "u")
+            long = [self.scratch.table(_long_lists(self.scratch.table(x))) for x in (inner, outer)]
             if not any(x.limit(1).count() for x in long):
                 break
             inner, outer = (_hub_pairs(x, i) for x in long)
             labels = step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, False)))
         inner = self.scratch.table(_labelled(self.within, "u", labels))
-        outer = self._signed(self.scratch.table(self.lists.join(self._group_labels(labels), "u")))
+        outer = self._signed(self.scratch.table(self.lists.join(self._group_labels(self.lists, labels), "u")))
         inner, outer = _crossing(inner, False), _crossing(outer, True)
         return step(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(self._expand(outer, labels, True)))
 
@@ -415,9 +413,15 @@ class Join:
         rest = lists.join(long.select("s").distinct(), "s", "left_anti")
         return self.scratch.table(rest.unionByName(long, allowMissingColumns=True))
 
-    def _group_labels(self, labels: DataFrame | None) -> DataFrame:
-        """The component that all members of a group are in; null if they're in several."""
-        groups = _labelled(self.members.select("k", "g"), "k", labels).groupBy(F.col("g").alias("u")).agg(
+    def _members_of(self, groups: DataFrame, *more: str) -> DataFrame:
+        """``k``, ``g`` and ``more`` of the members of the groups in column ``g``, so that what a round joins follows
+        the groups it works on and not all documents."""
+        return self.members.select("k", "g", *more).join(groups.distinct(), "g", "left_semi")
+
+    def _group_labels(self, lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """For the groups in ``lists`` the component that all members of a group are in; null if they're in several."""
+        members = self._members_of(lists.select(F.col("u").alias("g")))
+        groups = _labelled(members, "k", labels).groupBy(F.col("g").alias("u")).agg(
             F.min("label").alias("low"), F.max("label").alias("high"))
         return groups.select("u", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"))
 
@@ -503,7 +507,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         join = Join(docs, scratch, id_col, text_col, n)
         labels = join.components()
-        rows = _labelled(join.base.select("id", "n", "k"), "k", labels).select("id", "n", F.col("label").alias("c"))
+        rows = scratch.table(_labelled(join.base.select("id", "n", "k"), "k", labels).select("id", "n", F.col("label").alias("c")))
         least = rows.groupBy("c").agg(F.min("id").alias("least"))
         rows = scratch.table(rows.join(least, "c", "left").select("id", "n", F.coalesce("least", "id").alias("component_id")))
         # rows that share an id are one document: the components of its texts are one

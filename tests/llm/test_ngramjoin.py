@@ -107,6 +107,24 @@ def test_near_copies_in_long_lists(spark):
     scratch.close()
 
 
+def test_rounds_label_only_members_they_work_on(spark, monkeypatch):
+    """Hub rounds on one family: the documents that share nothing are labelled once, at the end."""
+    ship(spark)
+    rng = random.Random(17)
+    texts = family(rng, [f"w{i}" for i in range(80)], 120, 6) + [" ".join(f"x{rng.randrange(10 ** 9)}" for _ in range(12)) for _ in range(400)]
+    rows, labelled, plain = list(enumerate(texts)), [], ngramjoin._labelled
+
+    def counted(given, col, labels):
+        if labels is not None and col == "k":
+            labelled.append(given.count())
+        return plain(given, col, labels)
+
+    monkeypatch.setattr(ngramjoin, "_labelled", counted)
+    monkeypatch.setattr(ngramjoin, "HUB_PAIRS", 1)
+    assert result(ngramjoin.near_duplicates(docs(spark, rows))) == brute(rows)[0]
+    assert len(labelled) > 2 and max(labelled[:-1]) <= 120 and labelled[-1] == 520
+
+
 def test_bitmaps_admit_every_link():
     import numpy as np
     rng = np.random.default_rng(5)
