@@ -24,13 +24,12 @@ first; repeated ids stay apart, in order of their texts; no documents give no sh
 from __future__ import annotations
 
 import gc
+import itertools
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +46,16 @@ MIN_COUNT = 4
 #: Pairs replaced in one round, at most; the others wait for the next.
 ROUND_PAIRS = 4096
 END_ID = 0
-#: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
+#: Pieces that a worker remembers: the last ones that were new, from so many to twice as many.
 MEMO = 450_000
 #: Words that the library encodes at once.
 RUN = 64
+#: Text bytes whose pieces are looked up together, and pieces that are made distinct together before that.
+STEP = 8 << 20
+CHUNK = 1 << 17
 _BUCKETS = 18
+#: A bucket whose pair isn't frequent, and one whose pair isn't replaced in this round.
+RARE, WAITS = -2, -1
 
 SHARDS = "part int, k int, n_docs long, n_tokens long, shard binary"
 DOCUMENTS = "part int, k int, place int, id long, shard_start long, n_tokens long, ids_crc32 long"
@@ -69,6 +73,16 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
+#: Bytes of Latin letters up to U+023F, if none of the others is near (the multiplication and division signs apart).
+_LATIN = np.array([chr(i).isascii() and chr(i).isalpha() or 0x80 <= i < 0xc0 or 0xc3 <= i <= 0xc8 for i in range(256)])
+#: The signs that byte-level tokenizers have for bytes, in UTF-8, with a space before that of the space; and their widths.
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = [chr(b).encode() for b in range(256)]
+for _i, _b in enumerate(sorted({*range(256)}.difference(_SAME))):
+    _SIGNS[_b] = chr(256 + _i).encode()
+_SIGNS[32] = b" " + _SIGNS[32]
+_WIDTH = np.array([len(x) for x in _SIGNS])
+_SIGNS = np.array([list(x.ljust(3, b" ")) for x in _SIGNS], dtype=np.uint8)
 #: White space of more than one byte.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -98,50 +112,100 @@ def cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), body), np.searchsorted(starts, offsets)
 
 
+def _signed(words: list[str]) -> list[str]:
+    """Runs of words behind a space in the tokenizer's signs, a space between two words."""
+    body = np.frombuffer("".join(words).encode(), np.uint8)
+    width = _WIDTH[body]
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), dtype=np.uint8)
+    for k in range(3):
+        has = np.flatnonzero(width > k)
+        out[at[has] + k] = _SIGNS[body[has], k]
+    first, text = at[np.flatnonzero(body == 32)[::RUN]].tolist(), out.tobytes()
+    return [text[a + 1:b].decode() for a, b in zip(first, [*first[1:], len(text)])]
+
+
 class Encoder(dict):
     """Ids of pieces by the tokenizers library, as little-endian 32-bit numbers; met pieces are remembered."""
 
     def __init__(self, tokenizer: str, special_text: bool = False):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        #: the same without the search for parts, for words of letters: they're one part each
+        self.parted = None
+        added, cuts = self.tokenizer.get_added_tokens_decoder().values(), self.tokenizer.pre_tokenizer
+        if (isinstance(cuts, pre_tokenizers.ByteLevel) and cuts.use_regex and not cuts.add_prefix_space and self.tokenizer.normalizer is None
+                and not any(t.content.replace(" ", "").isalpha() for t in added)):
+            self.parted = Tokenizer.from_str(tokenizer)
+            self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.parted.encode_special_tokens = True
         self.tokenizer.encode_special_tokens = special_text
         self.special = [] if special_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: which tokens begin with a space
         self.leads = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), dtype=bool)
         self.leads[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
-        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, met: Iterable[str]) -> None:
-        """Each of these different pieces that isn't remembered is looked up once; words behind a space as a run of words, which is cheaper."""
-        words, others = [], []
-        for piece in filterfalse(self.__contains__, met):  # a set's difference from a subclass of dict would read all of it
-            got = self.older.get(piece)
-            if got is not None:
-                self[piece] = got
-            elif piece[:1] == " " and piece.split() == [piece[1:]]:
-                words.append(piece)
-            else:
-                others.append(piece)
-        if words and not any(" " in s for s in self.special):
+    def _ids(self, met: pa.Array) -> list[bytes]:
+        """Ids of each of these different pieces without wide white space."""
+        pieces = met.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(self.get, pieces))
+        unmet = [i for i, got in enumerate(out) if got is None]
+        if unmet:
+            new = met.take(pa.array(unmet, pa.int64()))
+            ends = np.frombuffer(new.buffers()[1], np.int32, len(new) + 1 + new.offset)[new.offset:]
+            body = np.frombuffer(new.buffers()[2], np.uint8, ends[-1])
+            spaced = (body[ends[:-1]] == 32) & (np.diff(ends) > 1)
+
+            def none_behind(odd: np.ndarray) -> np.ndarray:
+                return np.diff(np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])[ends]) == odd[ends[:-1]]
+
+            word = spaced & none_behind(_KINDS[body] >= 4)
+            odd = ~_LATIN[body]
+            odd[1:] |= (body[:-1] == 0xc3) & ((body[1:] == 0x97) | (body[1:] == 0xb7))
+            new = [pieces[i] for i in unmet]
+            self.update(zip(new, self._new(new, word, spaced & none_behind(odd)), strict=True))
+            for i, piece in zip(unmet, new, strict=True):
+                out[i] = self[piece]
+        return out
+
+    def _runs(self, words: list[str], parted: bool) -> list[bytes]:
+        """Ids of words behind a space, which go to the library as runs of words: that is cheaper."""
+        if parted:
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.parted.encode_batch_fast(_signed(words), add_special_tokens=False)])
+        else:
             ids = np.concatenate(self._library(["".join(words[i:i + RUN]) for i in range(0, len(words), RUN)]))
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) == len(words):  # a word's first token begins with its space, no other one has a space
-                body, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                self.update(zip(words, map(body.__getitem__, map(slice, ends, ends[1:])), strict=True))
-                words = []
-        others += words
-        self.update(zip(others, map(np.ndarray.tobytes, self._library(others)), strict=True))
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(words):  # a word's first token begins with its space, no other one has a space
+            return list(map(np.ndarray.tobytes, self._library(words)))
+        body, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return list(map(body.__getitem__, map(slice, ends, ends[1:])))
+
+    def _new(self, met: list[str], word: np.ndarray, letters: np.ndarray) -> list[bytes]:
+        """Ids from the library; which pieces are words behind a space, and which of these have Latin letters only, is known."""
+        way = np.where(letters & (self.parted is not None), 2, np.where(word, 1, 0))
+        if any(" " in s for s in self.special):
+            way[:] = 0
+        out: list[bytes] = [b""] * len(met)
+        for k in range(3):
+            at = np.flatnonzero(way == k).tolist()
+            if at:
+                own = [met[i] for i in at]
+                got = self._runs(own, k == 2) if k else map(np.ndarray.tobytes, self._library(own))
+                for i, ids in zip(at, got, strict=True):
+                    out[i] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > MEMO:
-            self.older = dict(self)
+        if len(self) > 2 * MEMO:
+            late = dict(itertools.islice(self.items(), len(self) - MEMO, None))
             self.clear()
+            self.update(late)
         collecting = gc.isenabled()
         gc.disable()  # many small objects, no cycles
         try:
@@ -152,22 +216,29 @@ class Encoder(dict):
                 out[i] = ids.tobytes()
             wide = [i for i, text in enumerate(texts) if out[i] is None and not text.isascii() and _WIDE.search(text)]
             parted = [pieces(texts[i]) for i in wide]
-            self._learn(set().union(*parted))
+            fresh = [p for p in set().union(*parted) if p not in self]
+            word = np.array([p[:1] == " " and p.split() == [p[1:]] for p in fresh], dtype=bool)
+            self.update(zip(fresh, self._new(fresh, word, np.zeros(len(fresh), dtype=bool)), strict=True))
             for i, own in zip(wide, parted, strict=True):
                 out[i] = b"".join(map(self.__getitem__, own))
             rest = [i for i, got in enumerate(out) if got is None]
             own, first = cut([texts[i] for i in rest])
-            coded = own.dictionary_encode()
-            met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            self._learn(met)
-            known = list(map(self.__getitem__, met))
-            ends = np.cumsum([0, *map(len, known)])
+            if not len(own):
+                for i in rest:
+                    out[i] = b""
+                return out
+            # few pieces at a time are made distinct first: their table stays in the processor's cache
+            coded = pa.chunked_array([own.slice(i, CHUNK).dictionary_encode() for i in range(0, len(own), CHUNK)]).unify_dictionaries()
+            met = coded.chunk(0).dictionary
+            known = self._ids(met)
+            ends = np.zeros(len(met) + 1, dtype=np.int64)
+            np.cumsum(np.fromiter(map(len, known), np.int64, len(met)), out=ends[1:])
             known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(met), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(known))])
-            ids = known.take(coded.indices)
-            at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist() if len(ids) else [0] * len(first)
-            body = ids.buffers()[2]
+            ids = known.take(pa.concat_arrays([c.indices for c in coded.chunks]))
+            at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist()
+            body = memoryview(ids.buffers()[2] or b"")
             for i, a, b in zip(rest, at, at[1:]):
-                out[i] = body[a:b].to_pybytes() if a < b else b""
+                out[i] = bytes(body[a:b])
             return out
         finally:
             if collecting:
@@ -191,20 +262,30 @@ def _bits(n: int) -> int:
     return min(_BUCKETS, n.bit_length() + 2)
 
 
-def _frequent(seq: np.ndarray, at: np.ndarray, min_count: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the pairs that begin at ``at``: bucket of each (-1: not counted), how often its pair occurs, and the frequent
-    buckets and their pairs, most frequent first.  A bucket counts for the last pair seen in it; with the next round's
-    salt its others fall in other buckets."""
+def _frequent(seq: np.ndarray, at: np.ndarray, min_count: int, salt: int) -> tuple[np.ndarray, ...]:
+    """The places of ``at`` whose pairs may be frequent, bucket of each (the last: not counted), what is known of each
+    bucket (``RARE`` or ``WAITS``), and the frequent buckets and their pairs, most frequent first.  A bucket counts for the
+    last pair seen in it; with the next round's salt its others fall in other buckets."""
     bits = _bits(len(at))
-    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    bucket = ((pair ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    pair = seq.take(at).astype(np.uint64)
+    pair <<= np.uint64(32)
+    pair |= seq.take(at + 1)
+    bucket = pair ^ np.uint64(salt)
+    bucket *= np.uint64(0x9E3779B97F4A7C15)
+    bucket >>= np.uint64(64 - bits)
+    bucket = bucket.view(np.int64)
+    # all pairs of a bucket that has few are rare
+    may = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= min_count).take(bucket))
+    at, pair, bucket = at.take(may), pair.take(may), bucket.take(may)
     held = np.empty(1 << bits, dtype=np.uint64)
     held[bucket] = pair
-    bucket[held[bucket] != pair] = -1
-    count = np.bincount(bucket + 1, minlength=(1 << bits) + 1)[1:]
+    bucket[held.take(bucket) != pair] = 1 << bits
+    count = np.bincount(bucket, minlength=(1 << bits) + 1)
+    state = np.where(count < min_count, RARE, WAITS)
+    state[-1], count[-1] = WAITS, 0
     often = np.flatnonzero(count >= min_count)
     often = often[np.argsort(-count[often], kind="stable")][:ROUND_PAIRS]
-    return bucket, count[bucket], often, held[often]
+    return at, bucket, state, often, held[often]
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -218,11 +299,10 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
     is_open[-1:] = False  # no pair begins there
     while len(begin := np.flatnonzero(is_open)):
         rounds += 1
-        bucket, count, often, pairs = _frequent(seq, begin, min_count, rounds * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
-        is_open[begin[(bucket >= 0) & (count < min_count)]] = False
+        is_open[begin] = False
+        begin, bucket, state, often, pairs = _frequent(seq, begin, min_count, rounds * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
         side: dict[int, int] = {}
-        taken = np.full(1 << _bits(len(begin)), -1, dtype=np.int64)
-        new = []
+        new, taken = [], []
         left, right = (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist()
         for b, x, y in zip(often.tolist(), left, right, strict=True):
             if x == y:
@@ -233,11 +313,13 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
                 continue
             else:
                 side[x], side[y] = 0, 1
-            taken[b] = top + len(new)
+            taken.append(b)
             new.append((x, y))
+        state[taken] = np.arange(top, top + len(new))
+        symbol = state.take(bucket)
+        is_open[begin] = symbol == WAITS
         if not new:
             continue  # pairs that shared a bucket wait for the next salt
-        symbol = np.where(bucket >= 0, taken[bucket], -1)
         chosen = symbol >= 0
         at, symbol = begin[chosen], symbol[chosen]
         # in a run of one id, every second pair only
@@ -260,11 +342,19 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, n
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(len(rules), dtype=np.uint32)
-    lengths = out.tolist()
-    for i, (x, y) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[x - base] if x >= base else 1) + (lengths[y - base] if y >= base else 1)
-    return np.array(lengths, dtype=np.uint32)
+    out = np.zeros(len(rules), dtype=np.uint32)
+
+    def length(symbols: np.ndarray) -> np.ndarray:
+        made = symbols >= base
+        return np.where(made, out[np.where(made, symbols - base, 0)], 1)
+
+    todo = np.arange(len(rules))
+    while len(todo):  # one round for each level of rules
+        left, right = length(rules[todo, 0]), length(rules[todo, 1])
+        ready = (left > 0) & (right > 0)
+        out[todo[ready]] = (left + right)[ready]
+        todo = todo[~ready]
+    return out
 
 
 def _pack(numbers: np.ndarray, width: int) -> bytes:
@@ -313,24 +403,27 @@ class Shard:
         numbers, null = np.frombuffer(take(8 * n_docs), dtype="<i8"), np.frombuffer(take(n_docs), dtype=np.uint8)
         self.doc_ids = [None if gone else x for x, gone in zip(numbers.tolist(), null.tolist(), strict=True)]
         self.starts = np.frombuffer(take(8 * n_docs + 8), dtype="<u8").astype(np.int64)
-        size = np.ones(n_seq, dtype=np.int64)
-        made = self.seq >= self.base
-        size[made] = self.lengths[self.seq[made] - self.base]
-        self.ends = np.cumsum(size)
+        self.ends = np.cumsum(self._sizes(self.seq))
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        size = np.ones(len(symbols), dtype=np.int64)
+        made = np.flatnonzero(symbols >= self.base)
+        size[made] = self.lengths[symbols[made] - self.base]
+        return size
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Nonterminals opened until there is none; a round opens those of the deepest level present."""
-        symbols = symbols.astype(np.uint32)
-        while len(open_ := np.flatnonzero(symbols >= self.base)):
-            rule = self.rules[symbols[open_] - self.base]
-            step = np.ones(len(symbols), dtype=np.int64)
-            step[open_] = 2
-            ends = np.cumsum(step)
-            out = np.empty(ends[-1], dtype=np.uint32)
-            out[ends - step] = symbols
-            out[ends[open_] - 2], out[ends[open_] - 1] = rule[:, 0], rule[:, 1]
-            symbols = out
-        return symbols
+        """Tokens go to their places at once, and nonterminals' two symbols to theirs, until no nonterminal is left."""
+        size = self._sizes(symbols)
+        ends = np.cumsum(size)
+        out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint32)
+        at = ends - size
+        while len(symbols):
+            made = symbols >= self.base
+            out[at[~made]] = symbols[~made]
+            left, right = self.rules[symbols[made] - self.base].T
+            at = at[made]
+            symbols, at = np.concatenate([left, right]), np.concatenate([at, at + self._sizes(left)])
+        return out
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids of a range of the shard's tokens; only symbols that cover it are expanded."""
@@ -369,7 +462,7 @@ def shards(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "
                  pa.array([n], pa.int64()), pa.array([body], pa.binary())], names=["part", "k", "n_docs", "n_tokens", "shard"])
 
         for whole in batches:
-            for batch in steps(whole):
+            for batch in steps(whole, limit=STEP):
                 for doc, got in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     parts.append(got + end)
@@ -399,7 +492,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(body.as_py())
                 ids = shard.all_tokens().astype("<u4")
                 n = len(shard.doc_ids)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(shard.starts[:-1], shard.starts[1:], strict=True)]
+                body, ends = memoryview(ids.tobytes()), (4 * shard.starts).tolist()
+                crc = [zlib.crc32(body[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.as_py()] * n, pa.int32()), pa.array([k.as_py()] * n, pa.int32()),
                      pa.array(range(n), pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1]),

@@ -176,3 +176,28 @@ def test_no_frequent_pair_is_left():
         seq, rules, base = tokenstore.compress(np.array([min(rng.randrange(kinds), rng.randrange(kinds)) for _ in range(size)], dtype=np.uint32))
         pairs, counts = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64), return_counts=True)
         assert not len(counts) or counts.max() < tokenstore.MIN_COUNT
+
+
+def test_words_of_letters_are_encoded_without_the_search_for_parts():
+    """Their ids are those of the whole text, next to signs, digits and letters beyond Latin too."""
+    plain = Tokenizer.from_file(JSON)
+    with open(JSON, encoding="utf-8") as f:
+        own = tokenstore.Encoder(f.read())
+    rng = random.Random(9)
+    signs = "abcXYZ" * 4 + "éÀßœŁƀȿɏɐ×÷ªµ'd's1²漢ñ´.,- \ń­"
+    given = [" ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(600)]
+    want = [e.ids for e in plain.encode_batch(given, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(given)] == want
+    words, asked, library = " ".join(f"é{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(600)), [], own._library
+    own._library = lambda given: (asked.extend(given), library(given))[1]
+    assert np.frombuffer(own.encode([words])[0], "<u4").tolist() == plain.encode(words, add_special_tokens=False).ids
+    assert len(asked) <= 1  # the first word, which has no space before it
+
+
+def test_rare_pairs_close_in_the_first_round(monkeypatch):
+    """Pairs of a bucket that has few are rare, whichever of them the bucket counts for."""
+    rng, opened, frequent = np.random.default_rng(4), [], tokenstore._frequent
+    monkeypatch.setattr(tokenstore, "_frequent", lambda seq, at, *more: (opened.append(len(at)), frequent(seq, at, *more))[1])
+    ids = rng.integers(0, 50_000, 100_000).astype(np.uint32)
+    seq, rules, base = tokenstore.compress(ids)
+    assert len(rules) == 0 and (seq == ids).all() and sum(opened) < 1.05 * len(ids)
