@@ -49,7 +49,6 @@ HUB_PAIRS = 32
 HUB_ROUNDS = 4
 #: Documents whose ids are broadcast to fetch their texts; more are joined as the planner chooses.
 FETCH_BROADCAST = 1 << 20
-MEMO = 150_000
 #: Words of 64 bits in the bitmaps of a prefix and of a whole set, and in the fold of the latter that lists carry.
 BITMAP = 8
 SKETCH = 32
@@ -57,39 +56,89 @@ FOLD = 16
 #: Shingles counted together in a task, and how often one is common there wherever it lies in a document's order.
 BLOCK = 1 << 21
 BLOCK_COMMON = 4
+#: Bytes whose words are hashed at once, and the longest word that isn't hashed by the library.
+POWERS = 1 << 15
+LONG_WORD = 32
 
 
-class _Words(dict):
-    """Hash of a word, remembered."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """White space, a random number for each byte (the same for a capital ASCII letter and its small one), the powers
+    of an odd number and those of its inverse."""
+    white = np.zeros(256, dtype=bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+    signs = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], dtype=np.uint64)
+    signs[white] = 0
+    factor = 0x9E3779B97F4A7C13
+    powers, inverse = (np.full(POWERS, f, dtype=np.uint64) for f in (factor, pow(factor, -1, 1 << 64)))
+    for x in (powers, inverse):
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return white, signs, powers, inverse
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-_WORDS = _Words()
+_WHITE, _SIGNS, _POWERS, _INVERSE = _tables()
 
 
 def _forget() -> None:
     """At the end of a task: a reused worker shouldn't hold an operator's memory while others run."""
-    _WORDS.clear()
     let_go()
 
 
-def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """The set, as ascending signed 64-bit hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(words))
-    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def _words(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word in bytes of text.
+
+    A word's hash is a polynomial of its bytes' numbers: a difference of two prefix sums, shifted to the word's start."""
+    solid = ~_WHITE[body]
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):  # runs of words within the powers at hand
+        low = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, low + POWERS, side="right")))
+        size = min(int(end[to - 1]) - low, POWERS)  # less than a long word, which has a hash of its own
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_SIGNS[body[low:low + size]] * _POWERS[:size], out=sums[1:])
+        a, b = start[at:to] - low, np.minimum(end[at:to] - low, size)
+        out[at:to] = (sums[b] - sums[a]) * _INVERSE[a]
+        at = to
+    out = _mix(out ^ (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(body[start[i]:end[i]].tobytes().lower())
+    return start, out
+
+
+def sets_of(texts: pa.Array, n: int = N) -> list[np.ndarray]:
+    """The set of each text, as ascending signed 64-bit hashes; all texts are hashed together."""
+    parts = [t.as_buffer() or b"" if t.is_valid else b"" for t in texts.cast(pa.binary())]
+    ends = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    start, h = _words(np.frombuffer(b"".join(x for p in parts for x in (p, b" ")), dtype=np.uint8))
+    first = np.searchsorted(start, ends)
+    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
     for i in range(n):
         out = (out ^ h[i:len(out) + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return np.unique(out.view(np.int64))
+    whole, got = out.view(np.int64), []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        if b - a >= n:
+            own = np.sort(whole[a:b - n + 1])
+            distinct = np.ones(len(own), dtype=bool)
+            np.not_equal(own[1:], own[:-1], out=distinct[1:])
+            got.append(own if distinct.all() else own[distinct])
+        elif b > a:
+            own = np.full(1, b - a, dtype=np.uint64)
+            for x in h[a:b]:
+                own = (own ^ x) * np.uint64(0x9E3779B97F4A7C15)
+                own ^= own >> np.uint64(32)
+            got.append(own.view(np.int64))
+        else:
+            got.append(np.zeros(0, dtype=np.int64))
+    return got
 
 
 def prefix_length(n: int) -> int:
@@ -107,12 +156,19 @@ class Order:
     def __init__(self, frequent: np.ndarray, counts: np.ndarray):
         self.frequent, self.counts = frequent, counts
 
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        return at, self.frequent[at] == h
+
     def prefix(self, h: np.ndarray) -> np.ndarray:
         p = prefix_length(len(h))
         if not len(self.frequent):
             return h[:p]
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        often = self.frequent[at] == h
+        least = h[:zone_length(len(h))]  # mostly enough
+        first = least[~self._find(least)[1]][:p]
+        if len(first) == p:
+            return first
+        at, often = self._find(h)
         first = h[~often][:p]
         if len(first) == p:
             return first
@@ -136,8 +192,7 @@ def _zone_counts(docs: DataFrame, n: int) -> DataFrame:
 
         for whole in batches:
             for batch in steps(whole):
-                for text in batch.column(0):
-                    h = shingles(text.as_py(), n)
+                for h in sets_of(batch.column(0), n):
                     if len(h):
                         zones.append(h[:zone_length(len(h))])
                         sets.append(h)
@@ -191,8 +246,7 @@ def _base(docs: DataFrame, order, n: int) -> DataFrame:
         for whole in batches:
             for batch in steps(whole):
                 size, k, g, prefix, outside, bits, sketch = [], [], [], [], [], [], []
-                for text in batch.column(1):
-                    h = shingles(text.as_py(), n)
+                for h in sets_of(batch.column(1), n):
                     size.append(len(h))
                     if not len(h):
                         k.append(None), g.append(None), prefix.append(None), outside.append(None), bits.append([None] * BITMAP), sketch.append(b"")
@@ -309,7 +363,7 @@ class Join:
         def run(batches):
             for whole in batches:
                 for batch in steps(whole, limit=1 << 20):
-                    got = [shingles(t.as_py(), n).tobytes() for t in batch.column(0)]
+                    got = [h.tobytes() for h in sets_of(batch.column(0), n)]
                     # an id that has several texts brings sets that aren't wanted
                     own = pa.array([_long(xxhash.xxh3_64_intdigest(x)) == k for x, k in zip(got, batch.column(1).to_pylist(), strict=True)])
                     yield pa.RecordBatch.from_arrays([batch.column(1).filter(own), pa.array(got, pa.binary()).filter(own)], names=["k", "body"])
@@ -526,6 +580,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _lone(rows: DataFrame, n: int) -> DataFrame:
     @F.arrow_udf("long")
     def size(texts: pa.Array) -> pa.Array:
-        return pa.array([len(shingles(t.as_py(), n)) for t in texts], pa.int64())
+        return pa.array([len(h) for h in sets_of(texts, n)], pa.int64())
 
     return rows.select("id", size("text").alias("n_shingles"), F.col("id").alias("component_id"))

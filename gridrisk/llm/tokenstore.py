@@ -139,9 +139,8 @@ class Encoder(dict):
         added, cuts = self.tokenizer.get_added_tokens_decoder().values(), self.tokenizer.pre_tokenizer
         if (isinstance(cuts, pre_tokenizers.ByteLevel) and cuts.use_regex and not cuts.add_prefix_space and self.tokenizer.normalizer is None
                 and not any(t.content.replace(" ", "").isalpha() for t in added)):
-            self.parted = Tokenizer.from_str(tokenizer)
+            self.parted = Tokenizer(self.tokenizer.model)
             self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-            self.parted.encode_special_tokens = True
         self.tokenizer.encode_special_tokens = special_text
         self.special = [] if special_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: which tokens begin with a space

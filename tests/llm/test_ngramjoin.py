@@ -171,3 +171,38 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 200, 201: 200, 202: 200}
     assert connected(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_texts_hashed_together_have_the_sets_of_each(monkeypatch):
+    """Across runs of words, with words longer than a run, empty texts between, and capital ASCII letters only made small."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngramjoin, "POWERS", 64)
+    rng = random.Random(3)
+    texts = ["", None, "a", "A b", "a B c\td e", "x y z w v u", "X Y z\x0bw v\x0cu", "é É " * 9, "w" * 200 + " " + "W" * 200, "\x1c a\x00b", "a b", "b a"]
+    texts += [" ".join(rng.choice(["ab", "ba", "Ab", "é" * 40, "E" * 63, "漢"]) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+
+    def brute(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    got, want = ngramjoin.sets_of(pa.array(texts)), [brute(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert all((x[1:] > x[:-1]).all() for x in got)
+    for i, x in enumerate(got[:80]):
+        for j, y in enumerate(got[:80]):
+            assert len(set(x.tolist()) & set(y.tolist())) == len(want[i] & want[j])
+
+
+def test_prefixes_look_up_few_shingles():
+    """Frequent shingles are looked for among the least hashes; in the whole set only if too few are left there."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    order, asked = ngramjoin.Order(np.sort(rng.integers(-2**63, 2**63 - 1, 50)), np.ones(50, dtype=int)), []
+    order.__dict__["_find"] = lambda h: (asked.append(len(h)), ngramjoin.Order._find(order, h))[1]
+    h = np.sort(rng.integers(-2**63, 2**63 - 1, 1000))
+    assert (order.prefix(h) == h[:ngramjoin.prefix_length(1000)]).all() and sum(asked) < 300
+    order.frequent = h[:900]
+    order.counts = np.arange(900)
+    assert order.prefix(h).tolist() == [*h[900:].tolist(), *h[:101].tolist()]
