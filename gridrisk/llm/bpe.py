@@ -16,8 +16,9 @@ bytes, and an id outside the vocabulary raises.  Repeated rows are encoded each
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,17 @@ from .pieces import part_tail, pieces
 
 #: Pieces that a worker remembers: as many as this, and those of the generation before that were met again.
 MEMO = 300_000
+#: The same where a codec runs at the end of a pipeline, whose executors' heaps are full by then.
+LATE_MEMO = 150_000
 
 
 class Codec(dict):
     """Encoder and decoder for one vocabulary; as a dict it maps met pieces to their ids as
     little-endian 32-bit numbers (a piece with a leading space has that space in its key)."""
 
-    def __init__(self, vocabulary: bytes, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str, memo: int | None = None):
         super().__init__()
+        self.memo = memo
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         size = max(self.ranks.values(), default=0) + 1
         self.tokens: list[bytes | None] = [None] * size
@@ -79,7 +83,7 @@ class Codec(dict):
             rank = (j << 8) + bit.bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
-                i = heapq.heappop(bucket)
+                i = heappop(bucket)
             else:
                 i = bucket[0]
                 del buckets[rank]
@@ -99,21 +103,23 @@ class Codec(dict):
             else:
                 pair = None
             waiting[i] = pair
+            if pair is not None:
+                if pair in buckets:
+                    heappush(buckets[pair], i)
+                else:
+                    buckets[pair] = [i]
+                    words[pair >> 8] |= 1 << (pair & 255)
+                    top |= 1 << (pair >> 8)
             left = before[i]
             if left >= 0:
-                other = rank_of(part[left] + part[i])
-                waiting[left] = other
-                pushes = ((pair, i), (other, left))
-            else:
-                pushes = ((pair, i),)
-            for new, at in pushes:
-                if new is not None:
-                    if new in buckets:
-                        heapq.heappush(buckets[new], at)
+                other = waiting[left] = rank_of(part[left] + part[i])
+                if other is not None:
+                    if other in buckets:
+                        heappush(buckets[other], left)
                     else:
-                        buckets[new] = [at]
-                        words[new >> 8] |= 1 << (new & 255)
-                        top |= 1 << (new >> 8)
+                        buckets[other] = [left]
+                        words[other >> 8] |= 1 << (other & 255)
+                        top |= 1 << (other >> 8)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[part[i]])
@@ -129,9 +135,10 @@ class Codec(dict):
             pre_tokens = self.split(piece)
             if len(pre_tokens) != 1:
                 return b"".join([self[p] for p in pre_tokens])
-            got = np.array(self.pre_token(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
+            ids = self.pre_token(piece.encode("utf-8", "surrogatepass"))
+            got = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= (self.memo or MEMO):
                 self.older = dict(self)
                 self.clear()
             self[piece] = got
@@ -145,8 +152,8 @@ class Codec(dict):
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def codec(vocabulary: bytes, pattern: str) -> Codec:
-    return held("codec", (vocabulary, pattern), lambda: Codec(vocabulary, pattern))
+def codec(vocabulary: bytes, pattern: str, memo: int | None = None) -> Codec:
+    return held("codec", (vocabulary, pattern, memo), lambda: Codec(vocabulary, pattern, memo))
 
 
 def load_vocabulary(spark: SparkSession, path: str):
@@ -210,7 +217,7 @@ def with_ids(docs: DataFrame, vocabulary, pattern: str, text_col: str = "text",
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
 
     def run(texts: pa.Array) -> pa.Array:
-        c, parts = codec(vocabulary.value, pattern), []
+        c, parts = codec(vocabulary.value, pattern, LATE_MEMO), []
         for batch in steps(pa.RecordBatch.from_arrays([texts], names=["text"])):
             ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in batch.column(0)]
             got = [c.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]

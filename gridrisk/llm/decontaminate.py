@@ -172,8 +172,11 @@ def _scanner(index, carry: bool, last: bool):
     return run
 
 
-def _marker(index):
-    kind = T.StructType([T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("longest", T.IntegerType())])
+def _marker(index, last: bool, drop_from: int):
+    """Spans and longest window by one more block; after the last one the text without those spans instead (null if the
+    document goes), so that one Python worker marks and cuts."""
+    found = T.StructField("text", T.StringType()) if last else T.StructField("spans", T.ArrayType(T.IntegerType()))
+    kind = T.StructType([found, T.StructField("longest", T.IntegerType())])
 
     def mark(texts: pa.Array, before: pa.Array) -> pa.Array:
         look, spans, longest = index.value, [], []
@@ -185,6 +188,10 @@ def _marker(index):
                 mask |= _unruns(old_spans, len(doc))
             spans.append(_runs(mask).tobytes())
             longest.append(max(n, old_n))
+        if last:
+            left = [None if n >= drop_from else cut_spans(t.as_py(), np.frombuffer(s, dtype=np.int32))
+                    for t, s, n in zip(texts, spans, longest, strict=True)]
+            return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(longest, pa.int32())], names=["text", "longest"])
         return pa.StructArray.from_arrays([list_column(spans), pa.array(longest, pa.int32())], names=["spans", "longest"])
 
     return F.arrow_udf(mark, kind).asNondeterministic()
@@ -198,29 +205,25 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"),
                        F.expr("named_struct('spans', cast(array() as array<int>), 'longest', 0)").alias("_hits"))
-    for b, index in enumerate(_indexes(benchmark, item_col, item_text_col, window, block_bytes)):
+    indexes = _indexes(benchmark, item_col, item_text_col, window, block_bytes)
+    for b, index in enumerate(indexes):
         if b:
             rows = cut_lineage(rows)
-        rows = rows.withColumn("_hits", _marker(index)("_text", "_hits"))
+        rows = rows.withColumn("_hits", _marker(index, b == len(indexes) - 1, drop_from)("_text", "_hits"))
     rows = rows.filter(F.col("_hits.longest") < drop_from)
-    text = cut_spans("_text", F.col("_hits.spans"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
+    return rows.select(*[F.col("_hits.text").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in names])
 
 
-@F.arrow_udf(T.StringType())
-def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def cut_spans(text: str | None, flat) -> str | None:
     """The text without the characters from a span's first word to its last."""
-    out = []
-    for text, flat in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        if text and flat:
-            body = text.encode("utf-8", "surrogatepass")
-            inside = np.frombuffer(body.translate(_WORD), dtype=np.uint8) != 0x20
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-            starts, ends = edge[::2], edge[1::2]
-            keep, at = [], 0
-            for a, b in zip(flat[::2], flat[1::2], strict=True):
-                keep.append(body[at:starts[a]])
-                at = ends[b - 1]
-            text = b"".join([*keep, body[at:]]).decode("utf-8", "surrogatepass")
-        out.append(text)
-    return pa.array(out, pa.string())
+    if not text or not len(flat):
+        return text
+    body = text.encode("utf-8", "surrogatepass")
+    inside = np.frombuffer(body.translate(_WORD), dtype=np.uint8) != 0x20
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    keep, at = [], 0
+    for a, b in zip(flat[::2], flat[1::2], strict=True):
+        keep.append(body[at:starts[a]])
+        at = ends[b - 1]
+    return b"".join([*keep, body[at:]]).decode("utf-8", "surrogatepass")

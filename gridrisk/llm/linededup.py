@@ -142,7 +142,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out:
     key = F.col(f"_doc.`{id_col}`")
     text = F.col(f"_doc.`{text_col}`").cast("string")
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc")).join(cuts, key == F.col("_cut_id"), "left")
-    new = _without(text, F.col("_cuts")["at"], F.col("_cuts")["n"])
+    # not deterministic: a filter on the text, pushed down, would cut all texts twice, by a second Python worker for each task
+    new = _without.asNondeterministic()(text, F.col("_cuts")["at"], F.col("_cuts")["n"])
     deleted = F.size(F.array_distinct(F.flatten(F.transform("_cuts", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in columns],
                          F.when(F.col("_cuts").isNull(), 0).otherwise(deleted).cast("long").alias(out))

@@ -78,6 +78,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_tasks_take_one_python_worker(spark, tmp_path):
+    """A task with two Python steps holds two workers, and idle ones take turns: four vocabularies on two cores."""
+    rows, items = corpus()
+    write_tables(spark, tmp_path, rows, items)
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs(spark, rows), str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        steps = [x for x in plan.splitlines() if "ArrowEvalPython" in x or "InArrow" in x]
+        assert len(steps) <= 1, (name, steps)
+
+
 def test_empty_tables(spark, tmp_path):
     empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     empty(spark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -67,6 +67,14 @@ def test_memory_of_pieces_is_bounded(codec, monkeypatch, reference):
         assert len(codec) <= 50 or len(codec) > 1000  # entries of earlier tests go at the first overflow
 
 
+def test_a_codec_can_remember_fewer_pieces(reference):
+    with open(RANKS, "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN, memo=50)
+    for t in texts(300):
+        assert ids(codec.encode(t)) == reference.encode_ordinary(t)
+        assert len(codec) <= 50 and len(codec.older) <= 50
+
+
 def test_round_trip_frame(spark, reference):
     ship(spark)
     v = bpe.load_vocabulary(spark, RANKS)
